@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, packing, quality, simhash, suffix_dedup, toxicity
+from . import chat_format, decontaminate, exact_dedup, packing, quality, secrets, simhash, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,14 +61,20 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    line = lambda e: F.concat(e["key"], F.lit(":"), e["value"])
+    return found.withColumn("headers", F.array_join(F.array_sort(F.transform(F.map_entries("headers"), line)), "|"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "chars")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_exact_dedup, op2_quality_classifier, op3_best_fit_packing, op4_toxicity, op6_simhash_near_dedup, op7_chat_format,
-        op8_suffix_array_dedup, op10_benchmark_decontamination,
+        op1_exact_dedup, op2_quality_classifier, op3_best_fit_packing, op4_toxicity, op5_secret_scan, op6_simhash_near_dedup,
+        op7_chat_format, op8_suffix_array_dedup, op9_warc_revisits, op10_benchmark_decontamination,
     )
     return {f.__name__: f for f in found}
 
@@ -124,5 +134,36 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)
 """
 
 
+OP9_SQL = r"""
+WITH b AS (SELECT page_id, url, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS size, page_id // 3 AS t FROM pages),
+r AS (
+  SELECT 2 * page_id AS record_id, url, t AS captured, 'response' AS type, '"' || digest[1:16] || '"' AS etag, digest,
+         'content-length:' || size || '|content-type:text/html|date:' || t || '|etag:"' || digest[1:16] || '"' AS headers, size FROM b
+  UNION ALL
+  SELECT 2 * page_id + 1, url || '#again', t + 1 + page_id % 5, 'revisit',
+         CASE WHEN page_id % 13 = 0 THEN NULL WHEN page_id % 11 = 0 THEN '"stale"' WHEN page_id % 7 = 0 THEN NULL ELSE '"' || digest[1:16] || '"' END,
+         CASE WHEN page_id % 13 = 0 THEN NULL ELSE digest END, 'content-length:0|date:' || (t + 1 + page_id % 5) || '|x-cache:hit', NULL FROM b
+), u AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS x FROM r),
+k AS (
+  SELECT *, regexp_replace(lower(regexp_extract(x, '^[^/?]*')), '^www[.]|:(?:80|443)$', '', 'g')
+    || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+       regexp_extract(x, '^[^/?]*(.*)$', 1), '([?&])utm_[^&]*', '\1', 'g'), '&+', '&', 'g'), '[?]&', '?', 'g'), '[?&]+$', ''), '/+$', '') AS url_key FROM u
+), j AS (
+  SELECT k.*, (SELECT max(struct_pack(captured := p.captured, record_id := p.record_id)).record_id FROM k p
+               WHERE p.url_key = k.url_key AND p.type = 'response' AND p.captured < k.captured) AS ref FROM k
+), s AS (
+  SELECT j.*, p.digest AS then_digest, p.size AS then_size, CASE
+    WHEN j.type = 'response' THEN 'response' WHEN p.record_id IS NULL THEN 'no_earlier_response'
+    WHEN coalesce(j.etag = p.etag, j.digest = p.digest, false) THEN 'resolved' ELSE 'validator_mismatch' END AS status
+  FROM j LEFT JOIN k p ON p.record_id = j.ref
+)
+SELECT record_id, url_key, captured, type, status, CASE WHEN status IN ('resolved', 'validator_mismatch') THEN ref END AS refers_to,
+       CASE WHEN status = 'resolved' THEN then_digest ELSE digest END AS digest,
+       CASE WHEN status = 'resolved' THEN 'content-length:' || then_size || '|content-type:text/html|date:' || captured
+            || '|etag:"' || then_digest[1:16] || '"|x-cache:hit' ELSE headers END AS headers
+FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "op10_benchmark_decontamination": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "op9_warc_revisits": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL}
