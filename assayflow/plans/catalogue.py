@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,19 +26,24 @@ def register(sql: str | None = None, name: str | None = None) -> Callable[[Query
     return add
 
 
-@register("SELECT l_returnflag, l_linestatus, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS slope FROM lineitem GROUP BY ALL")
-def calibration_slope_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.regr_slope("l_extendedprice", "l_quantity").alias("slope"))
+#: Modules whose queries make up the catalogue; each registers its own when imported.
+MODULES = ("calibration_queries",)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration_slope_by_flag(spark, sf_dir)
+    return queries()["calibration_fit"](spark, sf_dir)
+
+
+def _load() -> None:
+    for module in MODULES:
+        import_module(f"{__package__}.{module}")
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
