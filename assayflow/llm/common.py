@@ -1,13 +1,19 @@
-"""What the corpus operators share: reading tables, scratch tables on shared storage, bounded samples."""
+"""What the corpus operators share: reading tables, folding case, bounded slices of batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, scratch_dir
+
+__all__ = ["ascii_lower", "materialize", "scratch_dir", "slices", "table"]
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -20,24 +26,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set here only for a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by the driver and the executors")
-        folder = tempfile.mkdtemp(prefix="assayflow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: cuts lineage and survives lost executors.
-
-    Unlike checkpoint(), the copy is compressed, and what reads it has no inherited partitioning, so joins on it
-    shuffle both sides and adaptive execution may split skewed keys.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of at most about `most` bytes of text (a longer text alone), so that word lists stay small."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(sizes, dtype=np.int64) // most
+        edges = np.flatnonzero(np.diff(group)) + 1
+        for a, b in zip(np.r_[0, edges], np.r_[edges, batch.num_rows]):
+            yield batch.slice(a, b - a)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _WORD_IDS.setdefault(tokenizer, WordIds(tokenizer)) if tokenizer not in _WORD_IDS else _WORD_IDS[tokenizer]
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
+        for batch in slices(batches):
             rows, out = [], []
             for i, raw in enumerate(ids_of.texts([t or "" for t in batch.column("text").to_pylist()])):
                 raw += end

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import materialize
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -173,38 +174,6 @@ def _links_in_shards(prints: DataFrame, radius: int) -> DataFrame:
     return shards.mapInArrow(run, "src long, dst long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Edges (src, dst) -> node, label: the smallest node reachable. Only nodes with an edge appear.
-
-    Alternates large-star and small-star steps: each turns every neighbourhood into a star around its smallest node,
-    so long chains shrink by halves. A step is two shuffles of the edges; partial aggregation finds a busy node's
-    minimum and the join back may be split, so no neighbourhood meets in one task. Ends when no edge changes.
-    """
-    edges = materialize(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct(), "edges")
-
-    def signature(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
-
-    seen = signature(edges)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.filter("v > u").join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.filter("u <> v").distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
-        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialize(small.filter("u <> v").distinct(), "small-star")
-        before, seen = seen, signature(edges)
-        if seen == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-
-
 def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
     """A row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 

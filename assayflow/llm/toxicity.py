@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import materialize
+from .common import materialize, slices
 from .subword_model import SubwordModel, train
 
 #: Labelled documents of each label that a fit reads at most.
@@ -44,7 +44,7 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_PER_LABEL, t
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             score = shared.value.texts([v.as_buffer().to_pybytes() if v.is_valid else b"" for v in b.column("text")])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
