@@ -59,12 +59,18 @@ def t2_limit(model: OutlierModel, alpha: float = 0.05, form: str = "F_textbook")
     return factor * dist.f_ppf(1 - alpha, a, n - a)
 
 
-def q_limit(model: OutlierModel, alpha: float = 0.05, method: str = "jm") -> float:
-    """Jackson-Mudholkar (jm) or Box's matched chi-squared (box) limit from the eigenvalues left out."""
+def q_limit(model: OutlierModel, alpha: float = 0.05, method: str = "jm", scored: DataFrame | None = None) -> float:
+    """Jackson-Mudholkar (jm) or Box's matched chi-squared (box) limit; 0 without residual space.
+
+    Both come from the eigenvalues left out; box takes the mean and variance of q in scored instead, where given.
+    """
     rest = model.eigenvalues[model.components :]
     t1, t2, t3 = (float((rest**k).sum()) for k in (1, 2, 3))
     if t1 <= 1e-12 * float(model.eigenvalues.sum()):
         return 0.0
+    if method == "box" and scored is not None:
+        mean, var = scored.agg(F.avg("q"), F.var_samp("q")).first()
+        return var / (2 * mean) * dist.chi2_ppf(1 - alpha, 2 * mean * mean / var)
     if method == "box":
         return t2 / t1 * dist.chi2_ppf(1 - alpha, t1 * t1 / t2)
     h = 1 - 2 * t1 * t3 / (3 * t2 * t2)
@@ -97,7 +103,7 @@ def _robust_dof(median: float, iqr: float) -> tuple[int, float]:
 def acceptance(scored: DataFrame, alpha: float = 0.05, gamma: float = 0.01, method: str = "classical") -> Acceptance:
     """Limits from the training rows' leverage and q: one aggregation, then scalars."""
     quart = lambda c: [F.percentile(c, q) for q in (0.25, 0.5, 0.75)]
-    r = scored.agg(F.count("*"), F.avg("leverage"), F.var_pop("leverage"), F.avg("q"), F.var_pop("q"), *quart("leverage"), *quart("q")).first()
+    r = scored.agg(F.count("*"), F.avg("leverage"), F.var_samp("leverage"), F.avg("q"), F.var_samp("q"), *quart("leverage"), *quart("q")).first()
     n, mean_h, var_h, mean_q, var_q, h1, h2, h3, q1, q2, q3 = r
     flat = not mean_q > 1e-12
 
