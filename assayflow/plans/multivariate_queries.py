@@ -78,7 +78,7 @@ def pls_vip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_frame(spark, [(i, float(v)) for i, v in enumerate(values)], "pos long, vip double"))
 
 
-@register("SELECT 3 AS components, 64.0 AS vip_squares")
+@register("SELECT 3 AS components, 64e0 AS vip_squares")
 def pls_vip_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = gram.vip(gram.pls(gram.moments(spectra(spark, sf_dir))[None], _LVS))
     return rounded(_frame(spark, [(_LVS, float((values**2).sum()))], "components int, vip_squares double"))
@@ -139,7 +139,7 @@ def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validate.permutation_test(spark, validate.folds(spectra(spark, sf_dir), "kfold"), 1, n_perm=49))
 
 
-@register(f"WITH sp AS ({SPECTRA_SQL}) SELECT 2.0 AS leverage_sum, round(2.0 * (count(*) - 1), 6) AS t2_sum, true AS proportional FROM sp")
+@register(f"WITH sp AS ({SPECTRA_SQL}) SELECT 2e0 AS leverage_sum, round(2e0 * (count(*) - 1), 6) AS t2_sum, true AS proportional FROM sp")
 def leverage_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leverages sum to the number of components, and T2 is (n - 1) of them."""
     rows = spectra(spark, sf_dir)

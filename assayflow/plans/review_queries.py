@@ -46,7 +46,7 @@ def special_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IMAGES = "VALUES ('A', .1, .2, .3), ('A', .9, .8, .7), ('A', -.1, .7, 1.2), ('A', .4, .4, .4), ('Z', 0.0, 0.0, 0.0)"
 
 
-@register("SELECT * FROM (VALUES ('A', .1, '.', '.'), ('A', .9, '2_666', '-x+1, -y+1, -z+1'), ('A', -.1, '3_556', '-x, y+1/2, -z+3/2'), ('A', .4, '?', '?'), ('Z', .0, '?', '?')) t(label, x, code, operation)")
+@register("SELECT label, CAST(x AS DOUBLE) AS x, code, operation FROM (VALUES ('A', .1, '.', '.'), ('A', .9, '2_666', '-x+1, -y+1, -z+1'), ('A', -.1, '3_556', '-x, y+1/2, -z+3/2'), ('A', .4, '?', '?'), ('Z', .0, '?', '?')) t(label, x, code, operation)")
 def symmetry_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = spark.sql(f"SELECT label, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM {_IMAGES} AS t(label, x, y, z)")
     codes = review.symmetry_codes(images, _sites(spark), _ops(spark))
@@ -107,7 +107,7 @@ def verified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.verified(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"], 50, F.col("lang") == "de").select("doc_id")
 
 
-@register("SELECT 12 AS n, round(4 * (5.0 + 6.0 + 7.0), 6) AS total")
+@register("SELECT 12 AS n, 72e0 AS total")
 def cell_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = review.cell_edges(spark, (5.0, 6.0, 7.0, 80.0, 95.0, 110.0))
     size = F.sqrt(sum((F.col(f"{c}2") - F.col(f"{c}1")) * (F.col(f"{c}2") - F.col(f"{c}1")) for c in "xyz"))
@@ -129,7 +129,7 @@ def calibration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("lang", F.regexp_extract("text", r"n = (\d+)", 1).cast("long").alias("n"))
 
 
-@register("SELECT * FROM (VALUES (1, 'A', 'setting'), (2, 'B', 'file'), (3, 'C', 'default')) t(id, w, origin)".replace("'A'", "1.0").replace("'B'", "0.71").replace("'C'", "1.5406"))
+@register("SELECT * FROM (VALUES (1, 1e0, 'setting'), (2, 71e-2, 'file'), (3, 15406e-4, 'default')) t(id, w, origin)")
 def wavelength_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql("SELECT * FROM VALUES (1, 1.0D, 0.71D), (2, NULL, 0.71D), (3, NULL, NULL) AS t(id, asked, declared)")
     w, origin = review.wavelength_used(F.col("asked"), F.col("declared"))

@@ -45,7 +45,7 @@ def phase_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mixture.phase_report(_parents(spark, sf_dir), ["event_type"], "product", "a", "b").select("event_type", "rwp", "verdict"))
 
 
-@register("SELECT 1.0 AS total, true AS none_negative")
+@register("SELECT 1e0 AS total, true AS none_negative")
 def nnls_many_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of several parents are not negative and sum to one."""
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
@@ -97,7 +97,7 @@ def complementarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("l.id").alias("l_id"), F.col("r.id").alias("r_id"))
 
 
-@register("SELECT 7.5 AS score, 'OH' AS donor, 'N' AS acceptor, true AS hetero_favoured")
+@register("SELECT 75e-1 AS score, 'OH' AS donor, 'N' AS acceptor, true AS hetero_favoured")
 def hbond_competition(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.sql("SELECT * FROM VALUES ('a', 'OH', 4.0D), ('b', 'NH', 2.5D), ('a', 'CH', 0.5D) AS t(molecule, label, score)")
     a = spark.sql("SELECT * FROM VALUES ('a', 'O', 2.0D), ('b', 'N', 3.5D) AS t(molecule, label, score)")
@@ -217,7 +217,7 @@ def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MASS = "CASE sym WHEN 'H' THEN 1.008 WHEN 'C' THEN 12.011 WHEN 'N' THEN 14.007 WHEN 'O' THEN 15.999 END"
 
 
-@register(f"WITH {_EXPANDED}, m AS (SELECT 1.66054 * sum(occ * {_MASS}) / 1000 AS d FROM ex) SELECT round(d, 6) AS from_cell, round(1.66042 * 90 * 2 / 1000, 6) AS from_formula, .30 AS declared, CASE WHEN abs(d / (1.66042 * .18) - 1) <= .03 THEN CASE WHEN abs(1.66042 * .18 / .3 - 1) <= .03 THEN 'agree' ELSE 'declared is off' END WHEN abs(d / .3 - 1) <= .03 THEN 'formula is off' WHEN abs(1.66042 * .18 / .3 - 1) <= .03 THEN 'atoms are missing or too many' ELSE 'none agree' END AS verdict FROM m")
+@register(f"WITH {_EXPANDED}, m AS (SELECT 1.66054 * sum(occ * {_MASS}) / 1000 AS d FROM ex) SELECT round(d, 6) AS from_cell, round(1.66042 * 90 * 2 / 1000, 6) AS from_formula, 30e-2 AS declared, CASE WHEN abs(d / (1.66042 * .18) - 1) <= .03 THEN CASE WHEN abs(1.66042 * .18 / .3 - 1) <= .03 THEN 'agree' ELSE 'declared is off' END WHEN abs(d / .3 - 1) <= .03 THEN 'formula is off' WHEN abs(1.66042 * .18 / .3 - 1) <= .03 THEN 'atoms are missing or too many' ELSE 'none agree' END AS verdict FROM m")
 def density_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(structure.density_check(_expanded(spark), 1000.0, 90.0, 2, 0.30))
 
@@ -268,7 +268,7 @@ def hbonds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.hydrogen_bonds(atoms).select("donor", "hydrogen", "acceptor", "kind", "strength")
 
 
-@register("SELECT d FROM (VALUES (2.70), (2.90)) t(d)")
+@register("SELECT CAST(d AS DOUBLE) AS d FROM (VALUES (2.70), (2.90)) t(d)")
 def xref_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spark.sql("SELECT * FROM VALUES (2.70D), (2.80D), (2.90D) AS t(d)")
     return structure.matching(found, spark.sql("SELECT * FROM VALUES (2.72D), (2.89D), (3.5D) AS t(d)"), "d")
@@ -325,7 +325,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JSON = '{"result": [{"file": "1", "formula": "- C2 H6 O -"}, {"formula": "x"}, {"file": "2", "formula": "Fe2 O3"}]}'
 
 
-@register("SELECT * FROM (VALUES ('1', 'C2 H6 O', 9.0), ('2', 'Fe2 O3', 5.0)) t(file, formula, atoms)")
+@register("SELECT * FROM (VALUES ('1', 'C2 H6 O', 9e0), ('2', 'Fe2 O3', 5e0)) t(file, formula, atoms)")
 def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = readers.json_records(spark.sql(f"SELECT '{_JSON}' AS text"), "text", "file:string,formula:string", "file")
     rows = rows.withColumn("formula", F.trim(F.regexp_replace("formula", r"^\s*-|-\s*$", "")))
@@ -335,7 +335,7 @@ def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CIF = "data_x\n_cell_length_a 11.429(4)\n_chemical_name_common 'Aspirin form'\n_publ_section_title\n;\nA long\n title\n;\n_note ?\n"
 
 
-@register("SELECT 'Aspirin form' AS name, 'A long title' AS title, '' AS note, 11.429 AS a")
+@register("SELECT 'Aspirin form' AS name, 'A long title' AS title, '' AS note, 11429e-3 AS a")
 def cif_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.createDataFrame([(_CIF,)], "text string")
     f = lambda k: cif_field(F.col("text"), k)
