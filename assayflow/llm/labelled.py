@@ -21,8 +21,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, by_label:
     """text, y, fold of at most `most` labelled documents outside fold 0 (per label if by_label), by hash of the id.
 
     The ids are at most `most` per label, so their broadcast is bounded. Rows without an id, label or document are
-    left out; a label other than 0 counts as 1; ids labelled or stored more than once appear as often, up to a factor
-    of what the tables repeat.
+    left out; a label other than 0 counts as 1. Ids labelled or stored more than once appear as often, so callers cut
+    the rows to their bound again.
     """
     known = labels.select(F.col("doc_id"), (F.col(label) != 0).cast("int").alias("y")).filter("doc_id is not null and y is not null")
     known = known.withColumn("fold", fold(F.col("doc_id"))).filter("fold <> 0").withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(11)))

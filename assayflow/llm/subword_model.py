@@ -7,6 +7,7 @@ as toxic as its worst stretch, so that length does not dilute a few words.
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -82,11 +83,11 @@ class SubwordModel:
         return 1 / (1 + np.exp(-np.clip(worst + self.bias, -30, 30)))
 
 
-def _evidence(y: np.ndarray, split: list[list[bytes]], number: dict[bytes, int], buckets: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _evidence(y: np.ndarray, split: list[np.ndarray], n_words: int, buckets: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How strongly each bucket's n-grams point to label 1 (shrunk log-odds), and in how many word uses they occur."""
-    uses = np.zeros((2, len(number)))
+    uses = np.zeros((2, n_words))
     for label, seq in zip(y.tolist(), split):
-        uses[label, [number[w] for w in set(seq)]] += 1
+        uses[label, np.unique(seq)] += 1
     seen = np.stack([np.bincount(owners_of, uses[k][owners], BUCKETS) for k, owners_of in ((0, buckets), (1, buckets))])
     share = seen.sum(1) / seen.sum()
     expected = 2 * share[:, None] + 1e-9
@@ -95,22 +96,45 @@ def _evidence(y: np.ndarray, split: list[list[bytes]], number: dict[bytes, int],
     return odds * z2 / (z2 + 9), seen.sum(0)
 
 
-def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, batch: int = 64, rate: float = 0.1, least_uses: int = 3, seed: int = 7) -> SubwordModel:
+def misspelt(word: bytes, rng: random.Random) -> bytes:
+    """The word with one inner letter doubled, left out, swapped with the next or replaced; short words stay."""
+    if len(word) < 4:
+        return word
+    i, how = rng.randrange(1, len(word) - 1), rng.randrange(4)
+    if how == 0:
+        return word[: i + 1] + word[i:]
+    if how == 1:
+        return word[:i] + word[i + 1 :]
+    if how == 2:
+        return word[:i] + word[i + 1 : i + 2] + word[i : i + 1] + word[i + 2 :]
+    return word[:i] + rng.choice([b"a", b"e", b"i", b"o", b"u", b"0", b"1", b"3"]) + word[i + 1 :]
+
+
+def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, batch: int = 64, rate: float = 0.1, least_uses: int = 3, misspell: float = 0.8, seed: int = 7) -> SubwordModel:
     """Each round finds every document's worst stretch under the model so far and steps on them.
 
     The first embedding dimension starts from the n-grams' shrunk log-odds, so the first stretches are chosen well;
-    n-grams of fewer than least_uses word uses keep a zero vector, since they could only be learnt by heart. Without
-    both labels the model is a constant: the share of label 1, pulled towards a half.
+    n-grams of fewer than least_uses word uses keep a zero vector, since they could only be learnt by heart. Every
+    document is learnt from a second time with a share of its words misspelt, whatever its label. Without both labels
+    the model is a constant: the share of label 1, pulled towards a half.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
     prior = (y.sum() + 1) / (len(y) + 2)
     flat = SubwordModel(np.zeros(BUCKETS), float(np.log(prior / (1 - prior))))
-    split = [words(t) for t in texts]
-    if len(set(y.tolist())) < 2 or not any(split):
+    if len(set(y.tolist())) < 2:
+        return flat
+    spell, number, split = random.Random(seed), {}, []
+    for copy in (0, 1) if misspell else (0,):
+        for text in texts:
+            seq = words(text)
+            if copy:
+                seq = [misspelt(w, spell) if spell.random() < misspell else w for w in seq]
+            split.append(np.fromiter((number.setdefault(w, len(number)) for w in seq), np.int32, len(seq)))
+        y = y if copy == 0 else np.concatenate([y, y])
+    if not number:
         return flat
-    number: dict[bytes, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for seq in split for w in seq], np.int64)
+    ids = np.concatenate(split)
     buckets, owners = grams(list(number))
     order = np.argsort(owners, kind="stable")
     buckets, owners = buckets[order], owners[order]
@@ -125,7 +149,7 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, batch: i
         at += len(seq)
     bounds, doc = np.array(starts), np.array(doc)
     divisor = (bounds[:, 1] - bounds[:, 0]).clip(STRETCH // 3)
-    evidence, seen = _evidence(y, split, number, buckets, owners)
+    evidence, seen = _evidence(y, split, len(number), buckets, owners)
     free = seen >= least_uses
     embed = (rng.uniform(-0.1 / WIDTH, 0.1 / WIDTH, (BUCKETS, WIDTH)) * free[:, None]).astype(np.float32)
     embed[:, 0] += evidence * free
