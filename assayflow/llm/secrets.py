@@ -12,11 +12,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: 16 or more token characters with a digit among them, or what is assigned to a name of a secret.
-CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{16,512}"
-    r"|(?i:(?<=(?:token|secret|passwd|password|apikey|api_key|api-key)[ ]{0,2}[:=][ ]{0,2}[\"']?))[^\s\"']{8,512}"
-)
+#: What names a secret and assigns to it.
+ASSIGNED = r"(?i:(?:token|secret|passwd|password|apikey|api_key|api-key)[ ]{0,2}[:=][ ]{0,2}[\"']?)"
+#: What is assigned so, or 16 or more token characters with a digit among them.
+CANDIDATE = ASSIGNED + r"[^\s\"',;]{8,512}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{16,512}"
+#: A character that every candidate needs; texts without one are passed over before the slower search.
+NEEDED = "[0-9:=]"
 BEFORE, AFTER = 48, 24
 TREES, DEPTH, SEED = 24, 6, 17
 THRESHOLD = 0.5
@@ -35,13 +36,18 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     """A row per candidate of each whole text: doc_id, start (in characters), candidate, before, after, path."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     path = F.coalesce(F.col(path_col), F.lit("")) if path_col else F.lit("")
-    cut = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), text.alias("text")).withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).filter(F.size("found") > 0)
+    some = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), text.alias("text")).filter(F.col("text").rlike(NEEDED))
+    cut = some.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).filter(F.size("found") > 0)
     cut = cut.withColumn("between", F.split("text", CANDIDATE, -1)).drop("text")
-    rows = cut.select("doc_id", "path", "found", "between", F.posexplode("found").alias("k", "candidate"))
-    before, after = F.get("between", F.col("k")), F.get("between", F.col("k") + 1)
+    rows = cut.select("doc_id", "path", "found", "between", F.posexplode("found").alias("k", "whole"))
     lengths = lambda x: F.aggregate(x, F.lit(0), lambda n, s: n + F.length(s))
     start = lengths(F.slice("between", 1, F.col("k") + 1)) + F.when(F.col("k") > 0, lengths(F.slice("found", 1, F.greatest(F.col("k"), F.lit(1))))).otherwise(0)
-    return rows.select("doc_id", start.alias("start"), "candidate", F.right(before, F.lit(BEFORE)).alias("before"), F.left(after, F.lit(AFTER)).alias("after"), "path")
+    rows = rows.withColumn("name", F.regexp_extract("whole", "^" + ASSIGNED, 0))
+    n, before, after = F.length("name"), F.get("between", F.col("k")), F.get("between", F.col("k") + 1)
+    return rows.select(
+        "doc_id", (start + n).alias("start"), F.substring("whole", n + 1, F.length("whole")).alias("candidate"),
+        F.right(F.concat(before, "name"), F.lit(BEFORE)).alias("before"), F.left(after, F.lit(AFTER)).alias("after"), "path",
+    )
 
 
 def with_features(rows: DataFrame) -> DataFrame:
