@@ -22,13 +22,22 @@ OPEN_BINS = 4096
 #: Pieces that one shard packs on average. A shard leaves less than one bin's space unused beyond what best fit does.
 SHARD_PIECES = 16_384
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 #: Of such a word the tokenizer makes one piece from the letters and one from the signs, whatever stands around it.
 _PLAIN = re.compile(f"([{_LETTERS}]*)([.,;:!?%&$#*|]*)")
 
 
+#: A point or comma between a letter and white space is a piece of its own, so that a blank before it changes no ids.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+
+
+def _loosened(text: bytes) -> bytes:
+    """Fewer different words with the same ids: A-Z in lower case, stops apart; what may be a special token stays."""
+    return text if b"<|" in text else _STOP.sub(rb" \1", text.lower())
+
+
 class WordIds:
     """Token ids of white-space separated words as little-endian uint32 bytes, remembered by word.
 
@@ -47,34 +56,39 @@ class WordIds:
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[bytes, bytes] = {b"": b""}
         self.parts: dict[str, bytes] = {"": b""}
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.words
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        self._learn({w for words in split for w in words if w not in known})
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-    def _learn(self, new: set[str]) -> None:
-        plain, other = [], []
-        for word in new:
-            if m := _PLAIN.fullmatch(word):
-                plain.append((word, m[1].lower(), m[2]))
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        split = [_loosened(t).replace(b"\n", b" ").split(b" ") for t in texts]
+        if len(self.words) > REMEMBERED:
+            self.words = {b"": b""}
+        self._learn(set().union(*split) - self.words.keys())
+        get = self.words.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+    def _learn(self, new: set[bytes]) -> None:
+        letters, signed, other = [], [], []
+        match = _PLAIN.fullmatch
+        for raw in new:
+            if raw.isalpha():
+                letters.append(raw)
+            elif m := match(word := raw.decode()):
+                signed.append((raw, m[1].lower(), m[2]))
             else:
-                other.append(word)
+                other.append((raw, word))
         if len(self.parts) > REMEMBERED:
             self.parts = {"": b""}
-        self._parts(sorted({p for _, a, b in plain for p in (a, b) if p not in self.parts}))
-        for word, a, b in plain:
-            self.words[word] = self.parts[a] + self.parts[b]
-        for word, e in zip(other, self.whole.encode_batch(other, add_special_tokens=False)):
-            self.words[word] = np.array(e.ids, "<u4").tobytes()
-
-    def _parts(self, parts: list[str]) -> None:
+        low = [w.decode().lower() for w in letters]
+        self._parts({*low, *(x for _, a, b in signed for x in (a, b))} - self.parts.keys())
+        parts = self.parts
+        self.words.update(zip(letters, map(parts.__getitem__, low)))
+        self.words.update((raw, parts[a] + parts[b]) for raw, a, b in signed)
+        for (raw, _), e in zip(other, self.whole.encode_batch([word for _, word in other], add_special_tokens=False)):
+            self.words[raw] = np.array(e.ids, "<u4").tobytes()
+
+    def _parts(self, new: set[str]) -> None:
+        parts = list(new)
         for at in range(0, len(parts), 4096):
             some = parts[at : at + 4096]
             ids = np.array(self.merges.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -99,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in slices(batches):
             rows, out = [], []
-            for i, raw in enumerate(ids_of.texts([t or "" for t in batch.column("text").to_pylist()])):
+            for i, raw in enumerate(ids_of.texts([v.as_buffer().to_pybytes() if v.is_valid else b"" for v in batch.column("text")])):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
