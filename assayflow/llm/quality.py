@@ -83,7 +83,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features: int =
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), *(b.column(c) for c in ("y", "fold", "order"))], names=["x", "y", "fold", "order"])
 
     chosen = labelled.sample(docs, labels, "quality", most)
-    rows = materialize(chosen.mapInArrow(take, "x array<double>, y int, fold int, order long"), "quality-sample")
+    taken = chosen.mapInArrow(take, "x array<double>, y int, fold int, order long").orderBy("order", "x").limit(most)  # ids may repeat
+    rows = materialize(taken, "quality-sample")
     rng = np.random.default_rng(seed)
     p = len(NAMES)
     directions, phases = rng.normal(size=(p, features)) / KERNEL_WIDTH, rng.uniform(0, 2 * np.pi, features)
