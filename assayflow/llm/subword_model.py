@@ -30,24 +30,24 @@ def grams(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of all words, blanks marking word ends, and which word each belongs to."""
     line = np.frombuffer(b" " + b" ".join(vocabulary) + b" ", np.uint8).astype(np.uint32)
     blank = line == 32
-    owner = np.cumsum(blank) - 1
+    owner = np.cumsum(blank, dtype=np.int32) - 1
     buckets, owners = [], []
     code = line.copy()
     for n in range(2, max(SIZES) + 1):
         if len(line) < n:
             break
         code = code[: len(line) - n + 1] * np.uint32(0x01000193) ^ line[n - 1 :]
-        inner = np.cumsum(blank)
+        inner = np.cumsum(blank, dtype=np.int32)
         clean = inner[n - 2 : len(line) - 1] - inner[: len(line) - n + 1] == 0 if n > 2 else np.ones(len(code), bool)
         if n in SIZES:
             at = np.flatnonzero(clean & ~(blank[: len(code)] & blank[n - 1 :] & (n <= 2)))
             mixed = code[at] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)
             mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            buckets.append((mixed ^ (mixed >> np.uint32(13))) % np.uint32(BUCKETS))
+            buckets.append(((mixed ^ (mixed >> np.uint32(13))) % np.uint32(BUCKETS)).astype(np.int32))
             owners.append(owner[at])
     if not buckets:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 @dataclass
@@ -138,6 +138,7 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, batch: i
     buckets, owners = grams(list(number))
     order = np.argsort(owners, kind="stable")
     buckets, owners = buckets[order], owners[order]
+    del order
     n_grams = np.bincount(owners, minlength=len(number))
     gram_begin = np.cumsum(n_grams) - n_grams
     starts, doc = [], []
