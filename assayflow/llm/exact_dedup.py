@@ -60,5 +60,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """docs with all its columns, one row of each group of equal texts (see exact_dedup for nulls and ties)."""
-    return _marked(docs, id_col, text_col, keep).filter(F.col("id") == F.col("keep_id")).select("row.*")
+    """docs with all its columns, one row of each group of equal texts (see exact_dedup for nulls and ties).
+
+    Where no row of a group has an id, all its rows stay: no text is lost because nothing names the row to keep.
+    """
+    return _marked(docs, id_col, text_col, keep).filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("row.*")

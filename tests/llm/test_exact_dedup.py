@@ -34,3 +34,9 @@ def test_filter_keeps_columns_and_empty_tables(spark):
     kept = ed.drop_exact_copies(docs(spark, ROWS[:6]))
     assert kept.columns == ["doc_id", "text", "keep_id", "row"] and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
     assert ed.exact_dedup(docs(spark, [])).count() == 0 and ed.drop_exact_copies(docs(spark, [])).count() == 0
+
+
+def test_texts_without_any_id_are_not_lost(spark):
+    rows = [(None, "only", "x", "r"), (None, "also", "x", "r"), (None, "ALSO", "x", "s"), (None, "named", "x", "r"), (4, "Named", "x", "r")]
+    kept = ed.drop_exact_copies(docs(spark, rows))
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("4", "Named"), ("None", "ALSO"), ("None", "also"), ("None", "only")]
