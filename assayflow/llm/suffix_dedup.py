@@ -348,7 +348,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool
     """
     keyed = _keyed(docs.select("doc_id", "text"))
     spans = repeated_spans(keyed.select("id", "sum", "text"), threshold, most_kinds, block)
-    by_text = spans.groupBy("id", "sum").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    # a set, so that rows that share both id and text add up to one text's spans in whatever number they come
+    by_text = spans.groupBy("id", "sum").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     by_text = materialize(by_text.select(F.col("id").alias("span_id"), F.col("sum").alias("span_sum"), "spans"), "spans")
     joined = keyed.join(by_text, (F.col("id") == F.col("span_id")) & (F.col("sum") == F.col("span_sum")), "left").select("doc_id", "text", "spans")
 
