@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import struct
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cif_field, cif_number
-from ..operators import design, graph, mixture, pattern, spatial, structure, validate
-from ..sources import readers
+from ..operators import design, graph, mixture, pattern, scattering, spatial, structure, validate
+from ..sources import readers, spc
 from .adapters import SPECTRA_SQL, rounded, spectra, table
 from .catalogue import register
 
@@ -354,3 +355,36 @@ def gate_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql("SELECT * FROM VALUES ('INFO'), ('INFO') AS f(severity)")
     rank = F.create_map(F.lit("INFO"), F.lit(0), F.lit("WARN"), F.lit(1), F.lit("FAIL"), F.lit(2))
     return rows.agg(F.max_by("severity", F.element_at(rank, F.col("severity"))).alias("severity"), F.count("*").cast("int").alias("n"))
+
+
+# --- calculated intensities and binary spectra
+
+_FACTORS = ", ".join(f"('{sym}', {', '.join(f'{v!r}::DOUBLE' for v in f)})" for sym, f in scattering.FORM_FACTORS.items())
+_AMPLITUDES = f"""WITH {_HKL}, {_EXPANDED}, ff(sym, a1, b1, a2, b2, a3, b3, a4, b4, c) AS (VALUES {_FACTORS}),
+s AS (SELECT *, 1 / (4 * d * d) AS s2 FROM t WHERE two_theta BETWEEN 5 AND 50),
+w AS (SELECT h, k, l, two_theta, 2 * pi() * (h * x + k * y + l * z) AS p, occ * (a1 * exp(-b1 * s2) + a2 * exp(-b2 * s2) + a3 * exp(-b3 * s2) + a4 * exp(-b4 * s2) + c) AS v FROM s CROSS JOIN (SELECT sym, occ, x, y, z FROM ex) q JOIN ff USING (sym)),
+f AS (SELECT h, k, l, two_theta, sqrt(sum(v * cos(p)) ** 2 + sum(v * sin(p)) ** 2) AS amplitude FROM w GROUP BY ALL),
+y AS (SELECT *, amplitude ** 2 * (1 + cos(radians(two_theta)) ** 2) / (sin(radians(two_theta / 2)) ** 2 * cos(radians(two_theta / 2))) AS v FROM f)"""
+
+
+def _amplitudes(spark: SparkSession) -> DataFrame:
+    return scattering.with_amplitudes(pattern.reflections(spark, _CELL, _WAVE, 5, 50), _expanded(spark))
+
+
+@register(_AMPLITUDES + " SELECT h, k, l, round(amplitude, 6) AS amplitude FROM y")
+def structure_amplitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_amplitudes(spark).select("h", "k", "l", "amplitude"))
+
+
+@register(_AMPLITUDES + ", m AS (SELECT round(two_theta, 4) AS two_theta, sum(v) AS v, count(*) AS reflections FROM y GROUP BY 1) SELECT two_theta, round(100 * v / max(v) OVER (), 6) AS intensity, reflections FROM m")
+def powder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(scattering.powder_lines(_amplitudes(spark)))
+
+
+@register("SELECT * FROM (VALUES ('even', 1e0, 5e-1, NULL), ('even', 2e0, -25e-2, NULL), ('even', 3e0, 1e0, NULL), ('text', NULL, NULL, 'not an SPC file of version 0x4B')) t(file, x, y, problem)")
+def spc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of three points, descending in x, with y as integers of 2^-30; and one that is no spectrum."""
+    head = struct.pack("<BBBbiddi", 0, spc.VERSION, 0, 2, 3, 3.0, 1.0, 1).ljust(spc.HEADER, b"\0")
+    raw = head + bytes(spc.TRACE_HEADER) + struct.pack("<3i", 1 << 30, -(1 << 28), 1 << 29)
+    files = spark.createDataFrame([("even", bytearray(raw)), ("text", bytearray(b"1 2"))], "file string, content binary")
+    return spc.parse_spc(files)
