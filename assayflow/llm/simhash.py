@@ -27,12 +27,12 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> None:
     counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(raw: bytes, size: int = 3) -> int:
-    """A bit is 1 if set in over half of the shingles' XXH64 (seed 42); 0 for a text without words."""
+def _shingle_blocks(raw: bytes, size: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of a text's shingles in blocks; none for a text without words."""
     words = raw.translate(_ONE_SPACE).split(b" ")
     words = [w for w in words if w]
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-1].tolist()]
@@ -40,10 +40,20 @@ def fingerprint(raw: bytes, size: int = 3) -> int:
     n = max(1, len(words) - size + 1)
     stops = stops[size - 1 :] if len(words) >= size else stops[-1:]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for at in range(0, n, _BLOCK):
-        hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts[at : min(n, at + _BLOCK)], stops[at : at + _BLOCK])], np.uint64)
+        yield np.array([digest(line[a:b], 42) for a, b in zip(starts[at : min(n, at + _BLOCK)], stops[at : at + _BLOCK])], np.uint64)
+
+
+def shingle_hashes(raw: bytes, size: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *_shingle_blocks(raw, size)])
+
+
+def fingerprint(raw: bytes, size: int = 3) -> int:
+    """A bit is 1 if set in over half of the shingles' XXH64 (seed 42); 0 for a text without words."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in _shingle_blocks(raw, size):
         _majority(hashes, counts)
+        n += len(hashes)
     bits = (2 * counts > n).astype(np.uint8)
     return int(np.packbits(bits).view(np.uint64)[0])
 
