@@ -12,10 +12,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What names a secret and assigns to it.
-ASSIGNED = r"(?i:(?:token|secret|passwd|password|apikey|api_key|api-key)[ ]{0,2}[:=][ ]{0,2}[\"']?)"
-#: What is assigned so, or 16 or more token characters with a digit among them.
-CANDIDATE = ASSIGNED + r"[^\s\"',;]{8,512}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{16,512}"
+_NAMES = "token|secret|passwd|password|apikey|api_key|api-key"
+#: What names a secret, with any words that follow in the name, and assigns to it. A later name in a run starts anew, which keeps the search linear.
+_SIGN = rf"(?i:(?:{_NAMES})(?:(?!{_NAMES})[A-Za-z0-9_-])*+[\"']?[ \t]*+[:=][ \t]*+)"
+ASSIGNED = _SIGN + "[\"']?"
+#: What is assigned so (a quoted value to its own quote, any other to white space or a quote), or 16 or more token
+#: characters with a digit among them. Of any length.
+CANDIDATE = _SIGN + r"(?:\"[^\"]{8,}+(?=\")|'[^']{8,}+(?=')|[\"']?[^\s\"']{8,}+)|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 #: A character that every candidate needs; texts without one are passed over before the slower search.
 NEEDED = "[0-9:=]"
 BEFORE, AFTER = 48, 24
@@ -42,7 +45,7 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     rows = cut.select("doc_id", "path", "found", "between", F.posexplode("found").alias("k", "whole"))
     lengths = lambda x: F.aggregate(x, F.lit(0), lambda n, s: n + F.length(s))
     start = lengths(F.slice("between", 1, F.col("k") + 1)) + F.when(F.col("k") > 0, lengths(F.slice("found", 1, F.greatest(F.col("k"), F.lit(1))))).otherwise(0)
-    rows = rows.withColumn("name", F.regexp_extract("whole", "^" + ASSIGNED, 0))
+    rows = rows.withColumn("name", F.regexp_extract("whole", "^(" + ASSIGNED + r")[\s\S]{8,}+$", 1))
     n, before, after = F.length("name"), F.get("between", F.col("k")), F.get("between", F.col("k") + 1)
     return rows.select(
         "doc_id", (start + n).alias("start"), F.substring("whole", n + 1, F.length("whole")).alias("candidate"),

@@ -72,3 +72,20 @@ def test_scan_and_redaction(spark):
     one = docs.filter("doc_id in (1, 2)").dropDuplicates(["doc_id"])
     assert {r.doc_id: r.text for r in secrets.redact(one, secrets.scan(one, model)).collect()} == {1: 'a token = "[SECRET]" b', 2: rows[1][1]}
     assert secrets.scan(docs.limit(0), model).count() == 0
+
+
+def test_candidates_are_whole(spark):
+    late = "x" * 900 + "7" + "y" * 90
+    blob = "aB3/" * 500
+    cases = {
+        1: (f"see {blob} end", blob), 2: (f"see {late} end", late), 3: ('password = "ab,cd;efghij" next', "ab,cd;efghij"), 4: ("password=ab,cdefgh;ijk next", "ab,cdefgh;ijk"),
+        5: ('{"token": "hunter22hunter"}', "hunter22hunter"), 6: ("secret_key_id: hunter22hunter", "hunter22hunter"), 7: ("password = 'it is \"so\" long' next", 'it is "so" long'),
+        8: (f'api_key = "{blob}" next', blob), 9: ("token" * 20_000 + " = hunter22x", "hunter22x"), 10: ("see token_abcdefghijk1=ab end", "token_abcdefghijk1=ab"),
+    }
+    docs = spark.createDataFrame([(i, text, "a") for i, (text, _) in cases.items()], "doc_id long, text string, source string")
+    rows = secrets.findings(docs).collect()
+    assert {r.doc_id: r.candidate for r in rows} == {i: want for i, (_, want) in cases.items()} and len(rows) == len(cases)
+    for r in rows:
+        assert cases[r.doc_id][0][r.start :].startswith(r.candidate)
+    found = secrets.findings(docs.filter("doc_id in (1, 8)")).selectExpr("doc_id", "start", "length(candidate) AS length", "true AS is_secret")
+    assert {r.doc_id: r.text for r in secrets.redact(docs.filter("doc_id in (1, 8)"), found).collect()} == {1: "see [SECRET] end", 8: 'api_key = "[SECRET]" next'}
