@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import materialize
+from .common import keep_one, materialize, text_sum
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACES = bytes([*range(9, 14), 32])
@@ -207,9 +207,11 @@ def hex_print(fp: Column) -> Column:
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
-    """docs with all its columns; of each component the row with the smallest doc_id stays (see near_duplicates).
+    """docs with all its columns, one row of each component (see near_duplicates): that with the smallest doc_id.
 
-    Rows without a doc_id stay: they can't be named as the kept row of a component. Rows that repeat a kept id stay.
+    Rows are told apart by id and text. A row without an id stays only where none of its component has one; of rows
+    that repeat id and text one stays.
     """
-    ids = near_duplicates(docs, radius, size).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.alias("d").join(materialize(ids, "near-copies").alias("x"), F.col("d.doc_id") == F.col("x.doc_id"), "left_anti")
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", text_sum().alias("sum")).alias("doc_id"), "text")
+    found = near_duplicates(keyed, radius, size)
+    return keep_one(docs, found.select("doc_id.doc_id", "doc_id.sum", F.col("component_id").alias("part")))

@@ -95,3 +95,16 @@ def test_null_ids_repeats_and_empty(spark):
     got = sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(df).collect())
     assert got == [("5", 5), ("5", 5), ("9", 9), ("None", 5)]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_one_id_on_two_texts(spark):
+    a, b = "one text of some words", "quite another one that has no copy"
+    for extra in ([], [(9, b.upper())]):
+        df = spark.createDataFrame([(1, a), (5, a.upper()), (5, b), *extra], "doc_id long, text string")
+        assert sorted((r.doc_id, r.text) for r in simhash.drop_near_copies(df).collect()) == [(1, a), (5, b)]
+
+
+def test_filter_leaves_one_row_on_ties(spark):
+    rows = [(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (None, "q r"), (None, "q r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in simhash.drop_near_copies(df).collect()) == [("5", "a b c d"), ("None", "q r")]
