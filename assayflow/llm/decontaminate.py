@@ -21,6 +21,7 @@ SHARD_BYTES = 4_000_000
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _TOKEN = re.compile(rb"[^ ]+")
 
+Item = tuple[str | None, str]
 Built = tuple[dict[bytes, int], ahocorasick.Automaton | None]
 _BUILT: dict[str, Built] = {}
 
@@ -30,7 +31,7 @@ def words(text: str | bytes | None) -> list[bytes]:
     return raw.translate(_WORDS).split()
 
 
-def build(items: list[tuple[str, str]], window: int) -> Built:
+def build(items: list[Item], window: int) -> Built:
     """Word numbers from 1 and the automaton over the windows, each holding (words, numbers of its items)."""
     numbers: dict[bytes, int] = {}
     windows: dict[tuple[int, ...], set[int]] = {}
@@ -47,7 +48,7 @@ def build(items: list[tuple[str, str]], window: int) -> Built:
     return numbers, automaton
 
 
-def _cached(items: list[tuple[str, str]], window: int) -> Built:
+def _cached(items: list[Item], window: int) -> Built:
     key = hashlib.md5(repr((window, items)).encode()).hexdigest()
     if key not in _BUILT:
         _BUILT.clear()
@@ -76,7 +77,7 @@ _SCAN = "n_words long, spans array<struct<first: long, last: long>>, items array
 _PAIRS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
+def _scan(docs: DataFrame, items: list[Item], window: int) -> DataFrame:
     """docs needs doc_id and text; adds word spans, the same spans in characters of the text as given, and item ids."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     schema = pa.schema([("doc_id", docs_type(docs)), ("n_words", pa.int64()), ("spans", _PAIRS), ("items", pa.list_(pa.string())), ("chars", _PAIRS)])
@@ -92,7 +93,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
                 hits, found = spans(seq := flat.split(), built)
                 n_words.append(len(seq))
                 all_spans.append(hits)
-                all_items.append(sorted(items[i][0] for i in found))
+                all_items.append(sorted(items[i][0] for i in found if items[i][0] is not None))
                 chars.append(_in_characters(raw, flat, hits) if hits else [])
             pairs = lambda x: pa.array([[{"first": a, "last": b} for a, b in s] for s in x], _PAIRS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pairs(all_spans), pa.array(all_items, pa.list_(pa.string())), pairs(chars)], schema=schema)
@@ -112,28 +113,30 @@ def _in_characters(raw: bytes, flat: bytes, hits: list[tuple[int, int]]) -> list
     return [(int(lead[places[a][0]]) - 1, int(lead[places[b - 1][1] - 1])) for a, b in hits]
 
 
-def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def _shards(benchmark: DataFrame, shard_bytes: int, nameless: bool) -> Iterator[list[Item]]:
     """The items, read to the driver a bounded shard at a time. Each shard is broadcast on its own."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = items if nameless else items.filter("item_id is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = 1 if total <= shard_bytes else int(2 * total // shard_bytes) + 1
     for k in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield sorted((r.item_id, r.text) for r in part.collect())
+        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, nameless: bool = False) -> DataFrame:
     """A row per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, chars.
 
     Words are lower-cased runs of letters, digits and characters beyond ASCII. An item's windows are its runs of
     `window` words; an item of fewer words, but not none, is one window. A word inside any occurrence is hit.
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. spans are hit words, chars the same places in the text as it
     was given. Null and empty texts have no words; items that are null or have no words match nothing; items that
-    repeat an item_id count once; a null item_id is ignored. Rows that repeat are scanned each. Other columns are
+    repeat an item_id count once. An item without an item_id is ignored, unless `nameless`: then the words of its
+    windows are hit as any other's, and only n_items and items_sha256 leave it out. Rows that repeat are scanned each. Other columns are
     ignored. Texts never leave their task: there is no shuffle unless the benchmark needs several automata.
     """
     slim = docs.select("doc_id", "text")
-    parts = list(_shards(benchmark, shard_bytes))
+    parts = list(_shards(benchmark, shard_bytes, nameless))
     if len(parts) == 1:
         found = _scan(slim, parts[0], window)
     else:
@@ -164,21 +167,21 @@ def _join_span(acc, s):
     return F.when(meets, longer).otherwise(F.concat(acc, F.array(s)))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, nameless: bool = False) -> DataFrame:
     """docs with all its columns, without rows that decontaminate() marks. Rows are told apart by id and text.
 
     With one automaton the rows are filtered where they are read, so nothing is shuffled.
     """
-    parts = list(_shards(benchmark, shard_bytes))
+    parts = list(_shards(benchmark, shard_bytes, nameless))
     for part in parts if len(parts) == 1 else []:
         return _filter_in_place(docs, part, window)
     # a document is contaminated by all shards' spans together, so these must meet
     keyed = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("sum")).alias("doc_id"), "text")
-    bad = materialize(decontaminate(keyed, benchmark, window, shard_bytes).filter("contaminated").select(F.to_json("doc_id").alias("key")).distinct(), "contaminated")
+    bad = materialize(decontaminate(keyed, benchmark, window, shard_bytes, nameless).filter("contaminated").select(F.to_json("doc_id").alias("key")).distinct(), "contaminated")
     return keyed.withColumn("key", F.to_json("doc_id")).join(bad, "key", "left_anti").select("row.*")
 
 
-def _filter_in_place(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
+def _filter_in_place(docs: DataFrame, items: list[Item], window: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

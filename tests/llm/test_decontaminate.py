@@ -4,7 +4,9 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from assayflow.llm import decontaminate as dc
+from assayflow.llm.queries import OP10_SQL, op10_benchmark_decontamination
 
 
 def words(t):
@@ -53,3 +55,23 @@ def test_empty_tables(spark):
     assert dc.decontaminate(docs.limit(0), bench).count() == 0
     r = dc.decontaminate(docs, bench.limit(0)).first()
     assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (2, 0, 0, False)
+
+
+def test_items_without_an_id_are_searched(spark, tmp_path):
+    import duckdb
+
+    long = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, "x " + long), (2, "short item here"), (3, "named one and short item"), (4, "none"), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, long), (None, "short item"), (7, "named one"), (None, None)], "item_id long, text string")
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    with duckdb.connect() as db:
+        for name in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+        want = sorted(db.execute(OP10_SQL).fetchall())
+    got = sorted(map(tuple, op10_benchmark_decontamination(spark, str(tmp_path)).collect()))
+    assert got == want and [r[2] for r in got] == [20, 2, 4, 0, 0]
+    kept = dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5]
+    split = dc.decontaminate(docs, bench, shard_bytes=100, nameless=True)
+    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in split.collect()) == [(r[0], r[2], r[3]) for r in got]
