@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize
@@ -60,8 +60,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """docs with all its columns, one row of each group of equal texts (see exact_dedup for nulls and ties).
+    """docs with all its columns, one row of each group of equal texts (see exact_dedup for nulls).
 
-    Where no row of a group has an id, all its rows stay: no text is lost because nothing names the row to keep.
+    Of rows that repeat id and text one stays. Where no row of a group has an id, one row of each different text as
+    it was given stays: nothing names the row to keep, so texts that differ in case are not lost.
     """
-    return _marked(docs, id_col, text_col, keep).filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("row.*")
+    kept = _marked(docs, id_col, text_col, keep).filter(F.col("id").eqNullSafe(F.col("keep_id")))
+    given = F.when(F.col("id").isNull(), F.sha2(F.coalesce(F.col(f"row.{text_col}"), F.lit("")), 256)).alias("given")
+    same = ["id", "sha", "given"]
+    rows = _hashed(docs, id_col, text_col).select("row", "id", F.sha2("norm", 256).alias("sha"))
+    repeats = materialize(rows.select("id", "sha", given).groupBy(*same).count().filter("count > 1").drop("count"), "repeats")
+    if repeats.isEmpty():
+        return kept.select("row.*")
+    kept = kept.select("row", "id", "sha", given)
+    marks = repeats.select(*[F.col(c).alias(f"of_{c}") for c in same])
+    meets = F.col("sha") == F.col("of_sha")
+    for c in ("id", "given"):
+        meets &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    # the window's limit is applied in each task before its shuffle, so no group meets in one task
+    first = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("row")))
+    again = kept.join(marks, meets, "left_semi").withColumn("at", first).filter("at = 1")
+    return kept.join(marks, meets, "left_anti").unionByName(again.drop("at")).select("row.*")

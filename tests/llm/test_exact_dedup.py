@@ -40,3 +40,10 @@ def test_texts_without_any_id_are_not_lost(spark):
     rows = [(None, "only", "x", "r"), (None, "also", "x", "r"), (None, "ALSO", "x", "s"), (None, "named", "x", "r"), (4, "Named", "x", "r")]
     kept = ed.drop_exact_copies(docs(spark, rows))
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("4", "Named"), ("None", "ALSO"), ("None", "also"), ("None", "only")]
+
+
+def test_filter_leaves_one_row_of_repeats(spark):
+    rows = [(1, "Same", "x", "r"), (1, "same", "y", "r"), (1, "same", "y", "r"), (2, "same", "x", "r"), (1, "other", "x", "r"), *[(None, "nameless", "x", "r")] * 3, (None, None, "x", "r"), (None, "", "x", "r")]
+    for keep, named in (("min", 1), ("max", 2)):
+        kept = ed.drop_exact_copies(docs(spark, rows), keep=keep).collect()
+        assert sorted((str(r.doc_id), (r.text or "").lower()) for r in kept) == sorted([(str(named), "same"), ("1", "other"), ("None", "nameless"), ("None", "")])
