@@ -1,17 +1,17 @@
-"""Repeated-substring removal by prefix doubling over sampled positions.
+"""Repeated-substring removal: distributed prefix doubling over the positions that a sieve leaves.
 
-A position's rank at length h names the h bytes that start there; equal ranks mean equal bytes. Ranks double: the pair
-(rank_h(p), rank_h(p + h)) is the rank at 2h. The threshold is 2h, so there are two rounds:
+A position's rank at length h names the h bytes that start there; equal ranks mean equal bytes.
 
-1. Rank at h. Ranking every position would move many times the corpus, so only anchors are ranked: of each window of
-   consecutive positions that one 2h-byte string spans, the position whose h bytes hash smallest (first of equals).
-   The choice depends on the string's bytes alone, so equal 2h-byte strings have their anchor at the same place and
-   none is missed. Positions whose rank is unique drop out here with every string that they anchor.
-2. Rank at 2h. All strings of one anchor lie in a stretch around it. Anchors that share rank and stretch with another
-   are repeated throughout; where stretches differ, one of each kind has all its 2h-byte strings ranked as pairs.
+Sieve. Ranking every position would move many times the corpus. Of each window of consecutive positions that one
+string of the threshold's length spans, the position whose bytes (half the threshold) hash smallest is its anchor. The
+choice depends on the string's bytes alone, so equal strings have their anchor at the same place and none is missed.
+Strings whose anchor's bytes occur once are unique. All strings of one anchor lie in a stretch around it; if stretches
+around equal anchors are equal throughout, all their strings are repeated. One of each kind of the other stretches goes on.
 
-Ranks are 64-bit names, taken in pairs before anything is removed, instead of places in a sorted order: only equality
-counts here.
+Doubling. The first rank of every position left names a quarter of the threshold. Spark sorts the pairs (rank at p, rank
+at p + h) by range over the cluster; a pair's place among the different pairs is the rank at 2h, made of its place in the
+task and of the counts of the tasks before it. Positions with a unique pair retire, the rest go on at twice the offset
+until their rank spans the threshold. Position breaks ties in the sort, so equal pairs spread over tasks like any rows.
 """
 
 from __future__ import annotations
@@ -21,18 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
+from .sketch import in_sketch, sketch
 
 THRESHOLD = 200
 #: Bytes of text that the kernel handles at once; longer texts are cut with an overlap.
 BLOCK = 1 << 20
-#: Bits of the sketch of ranks worth a second look; its size does not grow with the input.
-SKETCH_BITS = 1 << 26
-#: Kinds of stretch around one rank that are compared in one task; a commoner rank is compared by shuffle.
-MOST_KINDS = 512
+#: Bytes of stretches whose positions are named at once.
+NAMED = 1 << 20
 
 _U = np.uint64
 #: Low bits of a comparison key that hold the place; over all the places of a block with its overlap.
@@ -144,21 +144,6 @@ def _raw(batch: pa.RecordBatch) -> list[bytes]:
     return [v.as_buffer().to_pybytes() if v.is_valid else b"" for v in batch.column("text")]
 
 
-def _in_sketch(words: np.ndarray, values: np.ndarray) -> np.ndarray:
-    bit = values & _U(SKETCH_BITS - 1)
-    return (words[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) == 1
-
-
-def _sketch(spark, keys: DataFrame, key: str):
-    """A broadcast bitmap of SKETCH_BITS bits (8 MB), set at each key's low bits: a first sieve that never misses."""
-    bit = F.col(key).bitwiseAND(F.lit(SKETCH_BITS - 1))
-    words = keys.select(F.shiftright(bit, 6).cast("int").alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits")).toArrow()
-    out = np.zeros(SKETCH_BITS >> 6, np.int64)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return spark.sparkContext.broadcast(out.view(_U))
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -173,15 +158,15 @@ def _ranks(docs: DataFrame, threshold: int, block: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "rank long, stretch long")
 
 
-def _places(docs: DataFrame, threshold: int, sketch, block: int) -> DataFrame:
+def _places(docs: DataFrame, threshold: int, sieve, block: int) -> DataFrame:
     """Anchors whose rank is in the sketch, with their text and range of starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sketch.value
+        words = sieve.value
         for batch in batches:
             for rows, offsets, parts in _blocks(_raw(batch), threshold, block):
                 rank, stretch, text, anchor, first, last = anchors(parts, threshold)
-                keep = _in_sketch(words, rank)
+                keep = in_sketch(words, rank)
                 rank, stretch, text, anchor, first, last = (x[keep] for x in (rank, stretch, text, anchor, first, last))
                 row, shift = pa.array(np.array(rows, np.int64)[text]), np.array(offsets, np.int64)[text]
                 yield pa.RecordBatch.from_arrays(
@@ -206,18 +191,18 @@ def _place_keys(places: DataFrame) -> DataFrame:
     return places.select("id", "sum", "anchor").mapInArrow(run, "key long")
 
 
-def _stretches(docs: DataFrame, threshold: int, sketch, block: int) -> DataFrame:
+def _stretches(docs: DataFrame, threshold: int, sieve, block: int) -> DataFrame:
     """Anchors whose place is in the sketch, with the bytes of their stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sketch.value
+        words = sieve.value
         for batch in batches:
             ids, sums = batch.column("id").to_numpy(), batch.column("sum").to_numpy()
             raws = _raw(batch)
             for rows, offsets, parts in _blocks(raws, threshold, block):
                 _, _, text, anchor, first, last = anchors(parts, threshold)
                 row, shift = np.array(rows, np.int64)[text], np.array(offsets, np.int64)[text]
-                keep = np.flatnonzero(_in_sketch(words, _place_key(ids[row], sums[row], anchor + shift)))
+                keep = np.flatnonzero(in_sketch(words, _place_key(ids[row], sums[row], anchor + shift)))
                 row, anchor, first, last = row[keep], (anchor + shift)[keep], (first + shift)[keep], (last + shift)[keep]
                 held = [raws[r][a : b + threshold] for r, a, b in zip(row.tolist(), first.tolist(), last.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(sums[row]), pa.array(anchor.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(held, pa.binary())], names=["id", "sum", "anchor", "first", "held"])
@@ -225,110 +210,150 @@ def _stretches(docs: DataFrame, threshold: int, sketch, block: int) -> DataFrame
     return docs.mapInArrow(run, "id long, sum long, anchor int, first int, held binary")
 
 
-_SPAN = "id long, sum long, begin int, end int"
+def _first_ranks(held: list[bytes], threshold: int) -> tuple[np.ndarray, ...]:
+    """Of every position in the stretches that starts a string: whose it is, its place there, and three ranks.
 
-
-def _pair_ranks(held: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every threshold-byte string of each stretch: its two half ranks as one pair of names, and whose it is."""
-    half = threshold // 2
+    The ranks name the first quarter, the second quarter and the last half of the string.
+    """
+    quarter, half = -(-threshold // 4), -(-threshold // 2)
     data = np.frombuffer(b"".join(held), np.uint8)
     lengths = np.array([len(x) for x in held])
     counts = lengths - threshold + 1
     owner = np.repeat(np.arange(len(held)), counts)
-    begin = np.repeat(np.cumsum(lengths) - lengths, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    names = []
-    for which in (0, 1):
-        ranks = Hasher(data, which).every(half)
-        names.append(_mix(ranks[begin] * _U(3) ^ _mix(ranks[begin + threshold - half])))
-    return names[0], names[1], owner
-
-
-def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cut = np.flatnonzero(np.diff(starts) != 1) + 1
-    return starts[np.r_[0, cut]], starts[np.r_[cut - 1, len(starts) - 1]]
-
-
-def _compare_in_task(kinds: DataFrame, threshold: int) -> DataFrame:
-    """Kinds of stretch, grouped by rank and sorted: spans of strings that some other kind has too."""
-
-    def one(group: list[tuple]) -> Iterator[tuple]:
-        if len(group) < 2:
-            return
-        a, b, owner = _pair_ranks([g[4] for g in group], threshold)
-        _, which, count = np.unique(a ^ _mix(b), return_inverse=True, return_counts=True)
-        again = count[which] > 1
-        edges = np.searchsorted(owner, np.arange(len(group) + 1)).tolist()
-        for g, left, right in zip(group, edges, edges[1:]):
-            own = np.flatnonzero(again[left:right])
-            if g[5] == 1 and own.size:
-                for first, last in zip(*_runs(own)):
-                    yield g[1], g[2], g[3] + int(first), g[3] + int(last) + threshold
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(np.cumsum(lengths) - lengths, counts) + place
+    h = Hasher(data)
+    short, long = h.every(quarter), h.every(half)
+    return owner, place, short[at], short[at + half - quarter], long[at + threshold - half]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        columns = ["rank", "id", "sum", "first", "held", "n"]
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-                if group and group[0][0] != row[0]:
-                    out += one(group)
-                    group = []
-                group.append(row)
-            yield _spans(out)
-        if group:
-            yield _spans(list(one(group)))
 
-    return kinds.mapInArrow(run, _SPAN)
+def _named(stretches: DataFrame, threshold: int) -> DataFrame:
+    """stretches (no, held) -> a row per position: no, place, rank and next (a quarter each), then (the last half)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "held", NAMED):
+            if not part.num_rows:
+                continue
+            owner, place, a, b, c = _first_ranks(part.column("held").to_pylist(), threshold)
+            yield pa.RecordBatch.from_arrays([part.column("no").take(pa.array(owner)), pa.array(place.astype(np.int32)), _signed(a), _signed(b), _signed(c)], names=["no", "place", "rank", "next", "then"])
 
-def _spans(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(4)], names=["id", "sum", "begin", "end"])
+    return stretches.select("no", "held").mapInArrow(run, "no long, place int, rank long, next long, then long")
 
 
-def _compare_by_shuffle(kinds: DataFrame, threshold: int) -> DataFrame:
-    """The same for ranks with many kinds of stretch: pair ranks are counted across tasks."""
+_RERANKED = "part int, no long, place int, local long, again boolean, then long, edge struct<rank: long, next: long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                a, b, owner = _pair_ranks(part.column("held").to_pylist(), threshold)
-                first = part.column("first").to_numpy()
-                inner = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                take = lambda c: part.column(c).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([_signed(a), _signed(b), take("id"), take("sum"), pa.array((first[owner] + inner).astype(np.int32)), take("n")], names=["a", "b", "id", "sum", "begin", "n"])
 
-    pairs = materialize(kinds.select("id", "sum", "first", "held", "n").mapInArrow(run, "a long, b long, id long, sum long, begin int, n long"), "pair-ranks")
-    again = pairs.groupBy("a", "b").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("a", "b")
-    found = pairs.filter("n = 1").join(materialize(again, "repeated-pairs"), ["a", "b"], "left_semi")
-    return found.select("id", "sum", "begin", (F.col("begin") + threshold).alias("end"))
+def _rerank(positions: DataFrame) -> DataFrame:
+    """positions (no, place, rank, next, then) -> no, place, rank, then of those whose pair (rank, next) isn't unique.
 
+    The new rank is the pair's place among all different pairs in sorted order. A task streams its sorted rows and
+    knows equal neighbours; it also passes on its first and last row with the pair, by which the driver adds up
+    the tasks' counts and sees pairs that run on from one task to the next.
+    """
+    spark = positions.sparkSession
+    order = ["rank", "next", "no", "place"]
 
-def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, most_kinds: int = MOST_KINDS, block: int = BLOCK) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held: pa.Table | None = None  # the last row of the batch before, until its next neighbour is known
+        before: tuple[int, int] | None = None
+        local = 0
+        for batch in _batches_and_end(batches):
+            table = pa.Table.from_batches([batch]) if batch is not None and batch.num_rows else None
+            if batch is not None and table is None:
+                continue
+            table = held if table is None else table if held is None else pa.concat_tables([held, table])
+            if table is None:
+                return
+            rank, following = table["rank"].to_numpy(), table["next"].to_numpy()
+            same = (rank[1:] == rank[:-1]) & (following[1:] == following[:-1])
+            opens = before is None
+            like_before = before is not None and before == (rank[0], following[0])
+            numbers = local + np.cumsum(np.r_[not opens and not like_before, ~same])
+            again = np.r_[like_before, same] | np.r_[same, False]
+            ends = batch is None
+            n = len(rank) if ends else len(rank) - 1
+            edge = np.zeros(len(rank), bool)
+            edge[0], edge[-1] = opens, ends
+            if not ends:
+                held, again[-1] = table.slice(n), False
+            keep = np.flatnonzero((again | edge)[:n])
+            if n:
+                before, local = (rank[n - 1], following[n - 1]), int(numbers[n - 1])
+            if len(keep):
+                rows = table.take(pa.array(keep))
+                pairs = pa.array([{"rank": r, "next": f} if e else None for r, f, e in zip(rank[keep].tolist(), following[keep].tolist(), edge[keep].tolist())], pa.struct([("rank", pa.int64()), ("next", pa.int64())]))
+                columns = [pa.array(np.full(len(keep), part, np.int32)), rows["no"], rows["place"], pa.array(numbers[keep]), pa.array(again[keep]), rows["then"], pairs]
+                yield from pa.table(columns, names=["part", "no", "place", "local", "again", "then", "edge"]).to_batches()
+
+    sorted_ = positions.repartitionByRange(*order).sortWithinPartitions(*order)
+    made = materialize(sorted_.mapInArrow(run, _RERANKED), "reranked")
+    starts = spark.createDataFrame(_starts(made.filter("edge is not null").select("part", "local", "edge.rank", "edge.next", "again").collect()), "of int, start long, first_again boolean, last_again boolean, last long")
+    rows = made.join(F.broadcast(starts), F.col("part") == F.col("of"))  # a row for each task of the sort
+    again = F.col("again") | (F.col("first_again") & (F.col("local") == 0)) | (F.col("last_again") & (F.col("local") == F.col("last")))
+    return rows.filter(again).select("no", "place", (F.col("start") + F.col("local")).alias("rank"), "then")
+
+
+def _batches_and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _starts(edges: list) -> list[tuple]:
+    """Of each task's first and last row: the rank at which its pairs start and whether its end pairs run on."""
+    tasks: dict[int, list] = {}
+    for e in sorted(edges, key=lambda e: (e["part"], e["local"])):
+        tasks.setdefault(e["part"], []).append(e)
+    out, start, last = [], 0, None
+    pair = lambda e: (e["rank"], e["next"])
+    for part in sorted(tasks):
+        first, end = tasks[part][0], tasks[part][-1]
+        runs_on = last is not None and last == pair(first)
+        if runs_on:
+            start -= 1
+            out[-1][3] = True
+        out.append([part, start, runs_on, False, end["local"]])
+        start += end["local"] + 1
+        last = pair(end)
+    return [tuple(x) for x in out]
+
+
+def _doubled(stretches: DataFrame, threshold: int) -> DataFrame:
+    """stretches (no, held) -> no, place: positions whose string of `threshold` bytes some other position has too."""
+    halves = _rerank(_named(stretches, threshold))
+    whole = _rerank(halves.select("no", "place", "rank", F.col("then").alias("next"), F.lit(0).cast("long").alias("then")))
+    return whole.select("no", "place")
+
+
+def _runs(places: str) -> Column:
+    """Sorted places -> the first and last of each run of neighbours."""
+    first = F.filter(places, lambda x, i: (i == 0) | (F.get(places, i - 1) != x - 1))
+    last = F.filter(places, lambda x, i: (i == F.size(places) - 1) | (F.get(places, i + 1) != x + 1))
+    return F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+
+
+def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """docs (id, sum, text) -> id, sum, begin, end: byte spans covered by strings of `threshold` bytes that recur."""
     spark = docs.sparkSession
     ranks = _ranks(docs, threshold, block).groupBy("rank").agg(F.count("*").alias("n"), (F.min("stretch") != F.max("stretch")).alias("mixed"))
     ranks = materialize(ranks.filter("n > 1").select("rank", "mixed"), "ranks")
-    places = _places(docs, threshold, _sketch(spark, ranks, "rank"), block)
+    places = _places(docs, threshold, sketch(spark, ranks, "rank"), block)
     places = materialize(places.join(ranks, "rank"), "places")
-    plain = places.filter("not mixed").select("id", "sum", F.col("first").alias("begin"), (F.col("last") + threshold).alias("end"))
+    span = lambda rows: rows.select("id", "sum", F.col("first").alias("begin"), (F.col("last") + threshold).alias("end"))
 
     mixed = places.filter("mixed")
     one = F.min(F.struct("id", "sum", "anchor", "first")).alias("one")
     kinds = mixed.groupBy("rank", "stretch").agg(F.count("*").alias("n"), one).select("rank", "stretch", "n", "one.*")
     kinds = materialize(kinds, "kinds")
     copied = mixed.join(kinds.filter("n > 1").select("rank", "stretch"), ["rank", "stretch"], "left_semi")
-    copied = copied.select("id", "sum", F.col("first").alias("begin"), (F.col("last") + threshold).alias("end"))
+    settled = span(places.filter("not mixed")).unionByName(span(copied))
 
-    held = _stretches(docs, threshold, _sketch(spark, _place_keys(kinds), "key"), block)
-    per_rank = materialize(kinds.groupBy("rank").agg(F.count("*").alias("kinds")), "kinds-of-rank")
-    known = kinds.join(per_rank, "rank").drop("stretch")
-    held = materialize(known.join(held, ["id", "sum", "anchor", "first"]), "stretches")
-    few = held.filter(F.col("kinds") <= most_kinds).repartition("rank").sortWithinPartitions("rank").select("rank", "id", "sum", "first", "held", "n")
-    spans = plain.unionByName(copied).unionByName(_compare_in_task(few, threshold))
-    many = held.filter(F.col("kinds") > most_kinds)
-    return spans if many.isEmpty() else spans.unionByName(_compare_by_shuffle(many, threshold))
+    held = _stretches(docs, threshold, sketch(spark, _place_keys(kinds), "key"), block)
+    known = kinds.select("id", "sum", "anchor", "first", "n").join(held, ["id", "sum", "anchor", "first"])
+    stretches = materialize(known.select(F.monotonically_increasing_id().alias("no"), "id", "sum", "first", "n", "held"), "stretches")
+    found = _doubled(stretches, threshold).groupBy("no").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    found = found.join(stretches.filter("n = 1").select("no", "id", "sum", "first"), "no").select("id", "sum", F.col("first").alias("at"), F.explode(_runs("places")).alias("run"))
+    return settled.unionByName(found.select("id", "sum", (F.col("at") + F.col("run.first")).alias("begin"), (F.col("at") + F.col("run.last") + threshold).alias("end")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -337,7 +362,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("sum"), text.alias("text"))
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool = False, most_kinds: int = MOST_KINDS, block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool = False, block: int = BLOCK) -> DataFrame:
     """A row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans (and kept).
 
     Each text is taken as UTF-8 bytes. A byte goes if some string of `threshold` bytes that covers it also starts
@@ -347,7 +372,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool
     judged by their own texts. Empty tables give no rows; other columns are ignored.
     """
     keyed = _keyed(docs.select("doc_id", "text"))
-    spans = repeated_spans(keyed.select("id", "sum", "text"), threshold, most_kinds, block)
+    spans = repeated_spans(keyed.select("id", "sum", "text"), threshold, block)
     # a set, so that rows that share both id and text add up to one text's spans in whatever number they come
     by_text = spans.groupBy("id", "sum").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     by_text = materialize(by_text.select(F.col("id").alias("span_id"), F.col("sum").alias("span_sum"), "spans"), "spans")

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from assayflow.llm.suffix_dedup import remove_repeats
+from assayflow.llm.suffix_dedup import _rerank, remove_repeats
 
 
 def brute(texts, size):
@@ -36,12 +36,46 @@ def random_texts(seed):
     return [*texts, "a" * 300, "ab" * 100, "a" * 55]
 
 
-@pytest.mark.parametrize(("seed", "most_kinds", "block"), [(1, 512, 1 << 20), (2, 1, 1 << 20), (3, 4, 70)])
-def test_removed_bytes_match_brute_force(spark, seed, most_kinds, block):
-    texts = random_texts(seed)
+def removed(spark, texts, size, **options):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs, 24, most_kinds=most_kinds, block=block).collect()}
-    assert [got[i] for i in range(len(texts))] == brute(texts, 24)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs, size, **options).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 1 << 20), (2, 1 << 20), (3, 70)])
+def test_removed_bytes_match_brute_force(spark, seed, block):
+    texts = random_texts(seed)
+    assert removed(spark, texts, 24, block=block) == brute(texts, 24)
+
+
+def test_production_threshold_on_periodic_texts_and_a_hot_passage(spark):
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
+    passage, other = noise(330), noise(260)
+    texts = [noise(rng.randint(0, 300)) + passage[rng.randint(0, 60) :] + noise(rng.randint(0, 300)) for _ in range(60)]
+    texts += [noise(150) + other + noise(90), other[20:] + passage, "ab" * 300, "b" + "ab" * 250 + "c", "x" * 900, "x" * 199, "x" * 200 + "y", noise(199), noise(5_000)]
+    texts += [texts[3][:250] + "#" + texts[3][250:], texts[3], None]
+    assert removed(spark, texts, 200) == brute(texts, 200)
+
+
+def test_ranks_of_sorted_pairs(spark):
+    """Over many tasks, with one pair that a third of all positions have and pairs that occur once."""
+    rng = random.Random(9)
+    rows = [(no, place, 7, 7, no) if no % 3 == 0 else (no, place, rng.randint(0, 9), rng.randint(-40, 40), no) for no in range(900) for place in range(3)]
+    positions = spark.createDataFrame(rows, "no long, place int, rank long, next long, then long").repartition(5)
+    several = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "9"}
+    before = {k: spark.conf.get(k) for k in several}
+    try:
+        for k, v in several.items():
+            spark.conf.set(k, v)
+        got = {(r.no, r.place): r.rank for r in _rerank(positions).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    counts = Counter((r[2], r[3]) for r in rows)
+    order = {pair: i for i, pair in enumerate(sorted(counts))}
+    assert got == {(r[0], r[1]): order[r[2], r[3]] for r in rows if counts[r[2], r[3]] > 1}
+    assert _rerank(spark.createDataFrame([], "no long, place int, rank long, next long, then long")).count() == 0
 
 
 def test_shared_and_null_ids_and_empty_table(spark):
