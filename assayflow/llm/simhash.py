@@ -15,6 +15,7 @@ from ..operators.graph import components
 from .common import keep_one, materialize, text_sum
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+ALL_BITS = (1 << 64) - 1
 _SPACES = bytes([*range(9, 14), 32])
 _ONE_SPACE = bytes(32 if b in _SPACES else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Shingles hashed at once; bounds memory on very long texts.
@@ -58,6 +59,14 @@ def fingerprint(raw: bytes, size: int = 3) -> int:
     return int(np.packbits(bits).view(np.uint64)[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The same from all of a text's shingle hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        _majority(hashes[at : at + _BLOCK], counts)
+    return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8)).view(np.uint64)[0])
+
+
 def with_fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp (the 64 bits as a signed long)."""
 
@@ -103,13 +112,17 @@ def _signed(x: int) -> int:
 
 
 class BKTree:
-    """Children are keyed by integer Hamming distance to the parent; a search follows only edges within the radius."""
+    """Children are keyed by integer Hamming distance to the parent; a search follows only edges within the radius.
+
+    Fingerprints may be given signed or not: their 64 bits are compared.
+    """
 
     def __init__(self) -> None:
         self.values: list[int] = []
         self.edges: list[dict[int, int]] = []
 
     def near(self, value: int, radius: int) -> list[int]:
+        value &= ALL_BITS
         found, todo = [], [0] if self.values else []
         while todo:
             at = todo.pop()
@@ -124,6 +137,7 @@ class BKTree:
         return found
 
     def add(self, value: int) -> int:
+        value &= ALL_BITS
         self.values.append(value)
         self.edges.append({})
         new = len(self.values) - 1
@@ -147,14 +161,15 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    for value in sorted(values):
+    values = sorted(values)
+    for value in values:
         near = tree.near(value, radius)
         new = tree.add(value)
         root.append(new)
         for i in near:
             a, b = top(i), top(new)
             root[max(a, b)] = min(a, b)
-    return [(v, tree.values[top(i)]) for i, v in enumerate(tree.values) if top(i) != i]
+    return [(v, values[top(i)]) for i, v in enumerate(values) if top(i) != i]
 
 
 def _links_in_shards(prints: DataFrame, radius: int) -> DataFrame:
