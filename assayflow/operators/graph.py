@@ -9,7 +9,7 @@ from ..sources.scratch import materialize
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Edges (src, dst) -> node, label: the smallest node reachable. Only nodes with an edge appear.
+    """Edges (src, dst) -> node, label: the smallest node reachable. Nodes without an edge and the smallest don't appear.
 
     Alternates large-star and small-star steps: each turns every neighbourhood into a star around its smallest node,
     so long chains shrink by halves. A step is two shuffles of the edges; partial aggregation finds a busy node's
