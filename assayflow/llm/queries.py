@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, exact_dedup, packing, quality, secrets, simhash, suffix_dedup, toxicity, warc
-from .common import table
+from .common import materialize, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -34,7 +34,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)))
+    docs = table(spark, sf_dir, "documents")
+    words = materialize(secrets.dictionary(docs), "dictionary")
+    return secrets.scan(docs, secrets.fit(secrets.labelled_findings(spark), words), words=words)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
