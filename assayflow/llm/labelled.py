@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOLDS = 5
+#: Bytes of the longest text that is learnt from, and of all such texts together.
+LONGEST, MOST_BYTES = 1 << 20, 1 << 26
 
 
 def fold(doc_id: Column) -> Column:
@@ -32,3 +34,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, by_label:
         chosen = known.orderBy("order", "doc_id").limit(most)
     chosen = F.broadcast(chosen.withColumnRenamed("doc_id", "known_id"))
     return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("known_id")).select("text", "y", "fold", "order")
+
+
+def within(rows: DataFrame, most: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """At most `most` rows and `most_bytes` of text of a sample(), in its order; texts over LONGEST are not learnt from."""
+    order = ["order", F.xxhash64("text")]
+    few = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).orderBy(*order).limit(most)
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over `most` rows
+    return few.withColumn("so_far", so_far).filter(F.col("so_far") <= most_bytes).drop("so_far")

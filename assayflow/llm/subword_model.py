@@ -1,8 +1,9 @@
 """A linear softmax over averaged subword embeddings, embeddings and softmax trained jointly in numpy.
 
 A word's vector is the mean of its character n-grams' vectors (hashed to buckets), so a misspelling that was never
-seen shares most of them with the word that was. A stretch of words has the mean of its words' vectors. A document is
-as toxic as its worst stretch, so that length does not dilute a few words.
+seen shares most of them with the word that was. A stretch of STRETCH neighbouring words, wherever it starts, has the
+mean of its words' vectors; what a stretch lacks in a short text counts as words of no weight, so that one word weighs
+the same in any text. A document is as toxic as its worst stretch, so that length does not dilute a few words.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 BUCKETS = 1 << 18
 WIDTH = 8
 SIZES = (3, 4, 5, 6)
-STRETCH = 3
+STRETCH = 32
 REMEMBERED = 400_000
 
 
@@ -50,6 +51,13 @@ def grams(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def stretches(scores: np.ndarray) -> np.ndarray:
+    """Mean scores of all stretches of a text's words, from running sums."""
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    size = min(STRETCH, len(scores))
+    return (sums[size:] - sums[:-size]) / STRETCH
+
+
 @dataclass
 class SubwordModel:
     gram_scores: np.ndarray  # log-odds that each bucket's vector gives
@@ -78,8 +86,7 @@ class SubwordModel:
         worst = np.zeros(len(texts))
         for i, seq in enumerate(split):
             if seq:
-                scores = np.array([known[w] for w in seq])
-                worst[i] = (np.add.reduceat(scores, cuts := np.arange(0, len(seq), STRETCH)) / np.diff(np.append(cuts, len(seq))).clip(STRETCH // 3)).max()
+                worst[i] = stretches(np.fromiter((known[w] for w in seq), float, len(seq))).max()
         return 1 / (1 + np.exp(-np.clip(worst + self.bias, -30, 30)))
 
 
@@ -110,10 +117,10 @@ def misspelt(word: bytes, rng: random.Random) -> bytes:
     return word[:i] + rng.choice([b"a", b"e", b"i", b"o", b"u", b"0", b"1", b"3"]) + word[i + 1 :]
 
 
-def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, batch: int = 64, rate: float = 0.1, least_uses: int = 3, misspell: float = 0.8, seed: int = 7) -> SubwordModel:
+def train(texts: list[str | None], labels: np.ndarray, rounds: int = 16, batch: int = 64, rate: float = 3.0, least_uses: int = 3, misspell: float = 0.8, seed: int = 7, start: float = 3.0) -> SubwordModel:
     """Each round finds every document's worst stretch under the model so far and steps on them.
 
-    The first embedding dimension starts from the n-grams' shrunk log-odds, so the first stretches are chosen well;
+    The first embedding dimension starts from `start` times the n-grams' shrunk log-odds, so the first stretches are chosen well;
     n-grams of fewer than least_uses word uses keep a zero vector, since they could only be learnt by heart. Every
     document is learnt from a second time with a share of its words misspelt, whatever its label. Without both labels
     the model is a constant: the share of label 1, pulled towards a half.
@@ -144,24 +151,24 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, batch: i
     starts, doc = [], []
     at = 0
     for i, seq in enumerate(split):
-        for k in range(0, len(seq), STRETCH):
+        for k in range(0, max(1, len(seq) - STRETCH // 2), STRETCH // 2) if len(seq) else ():
             starts.append((at + k, at + min(k + STRETCH, len(seq))))
             doc.append(i)
         at += len(seq)
     bounds, doc = np.array(starts), np.array(doc)
-    divisor = (bounds[:, 1] - bounds[:, 0]).clip(STRETCH // 3)
     evidence, seen = _evidence(y, split, len(number), buckets, owners)
     free = seen >= least_uses
     embed = (rng.uniform(-0.1 / WIDTH, 0.1 / WIDTH, (BUCKETS, WIDTH)) * free[:, None]).astype(np.float32)
-    embed[:, 0] += evidence * free
-    weights, bias = (0.1 * rng.normal(size=(WIDTH, 2))).astype(np.float32), np.zeros(2, np.float32)
+    embed[:, 0] += start * evidence * free
+    weights, bias = (rng.normal(size=(WIDTH, 2))).astype(np.float32), np.zeros(2, np.float32)
     weights[0] = -10, 10
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (weights, bias)]
     step = 0
     for turn in range(rounds):
         gram_scores = embed @ (weights[:, 1] - weights[:, 0])
         word_scores = np.bincount(owners, gram_scores[buckets], len(number)) / np.maximum(n_grams, 1)
-        worst = np.add.reduceat(word_scores[ids], bounds[:, 0]) / divisor
+        sums = np.concatenate([[0.0], np.cumsum(word_scores[ids])])
+        worst = (sums[bounds[:, 1]] - sums[bounds[:, 0]]) / STRETCH
         if turn == 0:
             top = np.full(len(y), -np.inf)
             np.maximum.at(top, doc, worst)
@@ -176,7 +183,7 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, batch: i
             word = ids[np.repeat(bounds[some, 0] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
             n = n_grams[word]
             gram = buckets[np.repeat(gram_begin[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            share = np.repeat(1 / np.maximum(n, 1) / divisor[some][seg], n).astype(np.float32)
+            share = np.repeat(1 / np.maximum(n, 1) / STRETCH, n).astype(np.float32)
             row = np.repeat(seg, n)
             begin = np.searchsorted(row, np.arange(len(some)))
             hidden = np.add.reduceat(embed[gram] * share[:, None], begin)

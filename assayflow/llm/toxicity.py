@@ -20,9 +20,9 @@ THRESHOLD = 0.5
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_PER_LABEL) -> SubwordModel:
-    """Trains in one task on at most `most` documents of each label outside the held-out fold."""
+    """Trains in one task on at most `most` documents of each label outside the held-out fold (see labelled.within)."""
     chosen = labelled.sample(docs, labels, "toxic", most, by_label=True).select("text", "y", "order")
-    rows = materialize(chosen.orderBy("order", F.xxhash64("text")).limit(2 * most), "toxicity-sample")  # ids may repeat
+    rows = materialize(labelled.within(chosen, 2 * most), "toxicity-sample")  # ids may repeat
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [f for f in frames if len(f)]

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from assayflow.llm import quality, subword_model, toxicity
+from assayflow.llm import labelled, quality, subword_model, toxicity
 from assayflow.llm.text_stats import NAMES, stats
 
 SYLLABLES = ["ti", "on", "er", "the", "an", "ou", "re", "st", "ha", "ing"]
@@ -86,6 +86,29 @@ def test_statistics_of_odd_texts():
         assert len(v) == len(NAMES) and np.isfinite(v).all()
 
 
+def test_score_is_that_of_the_worst_stretch_wherever_it_starts():
+    docs, labels = corpus(300, 5)
+    model = subword_model.train([t for _, t, _ in docs], np.array([t for _, _, t in labels]))
+    for text in ["", "one", docs[0][1], docs[1][1] * 3, "blockhead " + docs[2][1]]:
+        scores = []
+        for w in subword_model.words(text):
+            buckets, _ = subword_model.grams([w])
+            scores.append(sum(model.gram_scores[b] for b in buckets) / max(1, len(buckets)))
+        size = min(len(scores), subword_model.STRETCH)
+        worst = max((sum(scores[i : i + size]) / subword_model.STRETCH for i in range(len(scores) - size + 1)), default=0.0) if scores else 0.0
+        want = 1 / (1 + np.exp(-np.clip(worst + model.bias, -30, 30)))
+        assert model.texts([text.encode()])[0] == pytest.approx(want, abs=1e-9)
+    plain = docs[3][1]
+    one, two = model.texts([(plain + " snarky grumble").encode(), ("word " + plain + " snarky grumble").encode()])
+    assert one == pytest.approx(two, abs=1e-9)
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    rows = spark.createDataFrame([(f"{i}" * 100, i % 2, 1, i) for i in range(8)] + [("x" * (labelled.LONGEST + 1), 1, 1, -1), (None, 0, 1, 99)], "text string, y int, fold int, order long")
+    assert sorted(r.order for r in labelled.within(rows, 20, 450).collect()) == [0, 1, 2, 3]
+    assert labelled.within(rows, 20).count() == 9
+
+
 def test_grams_and_unseen_misspelling():
     buckets, owners = subword_model.grams([b"abc", b"de"])
     alone = subword_model.grams([b"abc"])[0]
