@@ -18,7 +18,7 @@ _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 BUCKETS = 1 << 18
 WIDTH = 8
 SIZES = (3, 4, 5, 6)
-STRETCH = 32
+STRETCH = 2
 REMEMBERED = 400_000
 
 
@@ -103,6 +103,15 @@ def _evidence(y: np.ndarray, split: list[np.ndarray], n_words: int, buckets: np.
     return odds * z2 / (z2 + 9), seen.sum(0)
 
 
+def _different(texts: list[str | None], y: np.ndarray) -> tuple[list[str | None], np.ndarray]:
+    """Each text once, with its first label: copies would make the words of one text look telling."""
+    first: dict[bytes, int] = {}
+    for i, text in enumerate(texts):
+        first.setdefault(b" ".join(words(text)), i)
+    at = list(first.values())
+    return [texts[i] for i in at], y[at]
+
+
 def misspelt(word: bytes, rng: random.Random) -> bytes:
     """The word with one inner letter doubled, left out, swapped with the next or replaced; short words stay."""
     if len(word) < 4:
@@ -117,18 +126,21 @@ def misspelt(word: bytes, rng: random.Random) -> bytes:
     return word[:i] + rng.choice([b"a", b"e", b"i", b"o", b"u", b"0", b"1", b"3"]) + word[i + 1 :]
 
 
-def train(texts: list[str | None], labels: np.ndarray, rounds: int = 16, batch: int = 64, rate: float = 3.0, least_uses: int = 3, misspell: float = 0.8, seed: int = 7, start: float = 3.0) -> SubwordModel:
+def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, batch: int = 64, rate: float = 0.1, least_uses: int = 3, misspell: float = 0.8, seed: int = 7, start: float = 1.0) -> SubwordModel:
     """Each round finds every document's worst stretch under the model so far and steps on them.
 
     The first embedding dimension starts from `start` times the n-grams' shrunk log-odds, so the first stretches are chosen well;
     n-grams of fewer than least_uses word uses keep a zero vector, since they could only be learnt by heart. Every
     document is learnt from a second time with a share of its words misspelt, whatever its label. Without both labels
-    the model is a constant: the share of label 1, pulled towards a half.
+    the model is a constant: the share of label 1, pulled towards a half. Texts that repeat are learnt from once.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
     prior = (y.sum() + 1) / (len(y) + 2)
     flat = SubwordModel(np.zeros(BUCKETS), float(np.log(prior / (1 - prior))))
+    if len(set(y.tolist())) < 2:
+        return flat
+    texts, y = _different(texts, y)
     if len(set(y.tolist())) < 2:
         return flat
     spell, number, split = random.Random(seed), {}, []
@@ -151,7 +163,8 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 16, batch:
     starts, doc = [], []
     at = 0
     for i, seq in enumerate(split):
-        for k in range(0, max(1, len(seq) - STRETCH // 2), STRETCH // 2) if len(seq) else ():
+        step = max(1, STRETCH // 2)
+        for k in range(0, max(1, len(seq) - step), step) if len(seq) else ():
             starts.append((at + k, at + min(k + STRETCH, len(seq))))
             doc.append(i)
         at += len(seq)
