@@ -1,4 +1,9 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over test items' word windows scans each text once."""
+"""Benchmark decontamination: Aho-Corasick automata over test items' word windows; each text is read once.
+
+A benchmark of up to SHARD_BYTES is one automaton. A larger one is dealt over several of that size, since an automaton
+takes some hundred times its text in memory; the plan is the same: one pass over the texts, in which a task runs the
+automata over its texts one after another. The driver never holds more than one shard's items.
+"""
 
 from __future__ import annotations
 
@@ -9,14 +14,17 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import slices
 
 WINDOW = 13
-#: Bytes of benchmark text in one automaton. A larger benchmark is dealt over several automata, each below this.
+#: Bytes of benchmark text in one automaton. A larger benchmark is dealt over several automata, each about this.
 SHARD_BYTES = 4_000_000
+#: Bytes of text that a task takes through all automata before it reads on; with several, each is built anew for these.
+SCANNED = 1 << 26
 #: Characters that are no part of a word become a space, A-Z become a-z; bytes of multi-byte characters stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _TOKEN = re.compile(rb"[^ ]+")
@@ -48,12 +56,42 @@ def build(items: list[Item], window: int) -> Built:
     return numbers, automaton
 
 
-def _cached(items: list[Item], window: int) -> Built:
-    key = hashlib.md5(repr((window, items)).encode()).hexdigest()
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = build(items, window)
-    return _BUILT[key]
+class Shards:
+    """A benchmark's items in broadcasts of bounded size, and their automata in the task that asks for them."""
+
+    def __init__(self, parts: list[Broadcast], window: int) -> None:
+        self.parts, self.window = parts, window
+
+    def built(self, k: int) -> tuple[list[Item], Built]:
+        """The kth shard's items and automaton. A worker keeps the last one that it built."""
+        items = self.parts[k].value
+        key = hashlib.md5(repr((self.window, items)).encode()).hexdigest()
+        if key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key] = build(items, self.window)
+        return items, _BUILT[key]
+
+    def scan(self, texts: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+        """Of each text's words: merged spans that windows of any shard cover, and the ids of the items found."""
+        covered: list[list[tuple[int, int]]] = [[] for _ in texts]
+        ids: list[set[str]] = [set() for _ in texts]
+        for k in range(len(self.parts)):
+            items, built = self.built(k)
+            for i, seq in enumerate(texts):
+                hits, found = spans(seq, built)
+                covered[i] = merged(covered[i] + hits) if covered[i] and hits else covered[i] or hits
+                ids[i].update(items[j][0] for j in found if items[j][0] is not None)
+        return covered, ids
+
+
+def merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(hits):
+        if out and out[-1][1] >= first:
+            out[-1] = out[-1][0], max(out[-1][1], last)
+        else:
+            out.append((first, last))
+    return out
 
 
 def spans(seq: list[bytes], built: Built) -> tuple[list[tuple[int, int]], set[int]]:
@@ -63,40 +101,37 @@ def spans(seq: list[bytes], built: Built) -> tuple[list[tuple[int, int]], set[in
     if automaton is None or not seq:
         return [], found
     get = numbers.get
-    merged: list[list[int]] = []
+    joined: list[list[int]] = []
     for end, (size, items) in automaton.iter(tuple([get(w, 0) for w in seq])):
         found.update(items)
         first = end + 1 - size
-        while merged and merged[-1][1] >= first:
-            first = min(first, merged.pop()[0])
-        merged.append([first, end + 1])
-    return [(a, b) for a, b in merged], found
+        while joined and joined[-1][1] >= first:
+            first = min(first, joined.pop()[0])
+        joined.append([first, end + 1])
+    return [(a, b) for a, b in joined], found
 
 
 _SCAN = "n_words long, spans array<struct<first: long, last: long>>, items array<string>, chars array<struct<first: long, last: long>>"
 _PAIRS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def _scan(docs: DataFrame, items: list[Item], window: int) -> DataFrame:
-    """docs needs doc_id and text; adds word spans, the same spans in characters of the text as given, and item ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _raw(value: pa.Scalar) -> bytes:
+    return value.as_buffer().to_pybytes() if value.is_valid else b""
+
+
+def _scan(docs: DataFrame, shards: Shards) -> DataFrame:
+    """docs (doc_id, text) with n_words, word spans, the same spans in characters of the text as given, and item ids."""
     schema = pa.schema([("doc_id", docs_type(docs)), ("n_words", pa.int64()), ("spans", _PAIRS), ("items", pa.list_(pa.string())), ("chars", _PAIRS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        built = _cached(items, window)
-        for batch in batches:
-            n_words, all_spans, all_items, chars = [], [], [], []
-            for value in batch.column("text"):
-                raw = value.as_buffer().to_pybytes() if value.is_valid else b""
-                flat = raw.translate(_WORDS)
-                hits, found = spans(seq := flat.split(), built)
-                n_words.append(len(seq))
-                all_spans.append(hits)
-                all_items.append(sorted(items[i][0] for i in found if items[i][0] is not None))
-                chars.append(_in_characters(raw, flat, hits) if hits else [])
+        for batch in slices(batches, most=SCANNED):
+            flat = [_raw(v).translate(_WORDS) for v in batch.column("text")]
+            texts = [f.split() for f in flat]
+            covered, ids = shards.scan(texts)
+            chars = [_in_characters(_raw(v), f, hits) if hits else [] for v, f, hits in zip(batch.column("text"), flat, covered)]
             pairs = lambda x: pa.array([[{"first": a, "last": b} for a, b in s] for s in x], _PAIRS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pairs(all_spans), pa.array(all_items, pa.list_(pa.string())), pairs(chars)], schema=schema)
+            columns = [pa.array([len(t) for t in texts], pa.int64()), pairs(covered), pa.array([sorted(i) for i in ids], pa.list_(pa.string())), pairs(chars)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema=schema)
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SCAN}")
 
@@ -113,15 +148,18 @@ def _in_characters(raw: bytes, flat: bytes, hits: list[tuple[int, int]]) -> list
     return [(int(lead[places[a][0]]) - 1, int(lead[places[b - 1][1] - 1])) for a, b in hits]
 
 
-def _shards(benchmark: DataFrame, shard_bytes: int, nameless: bool) -> Iterator[list[Item]]:
-    """The items, read to the driver a bounded shard at a time. Each shard is broadcast on its own."""
+def shards_of(benchmark: DataFrame, window: int, shard_bytes: int, nameless: bool) -> Shards:
+    """The items, read to the driver and broadcast a bounded shard at a time."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     items = items if nameless else items.filter("item_id is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = 1 if total <= shard_bytes else int(2 * total // shard_bytes) + 1
+    n = int(total // shard_bytes) + 1
+    parts = []
     for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # about shard_bytes
+        parts.append(spark.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or "", x[1]))))
+    return Shards(parts, window)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, nameless: bool = False) -> DataFrame:
@@ -132,66 +170,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. spans are hit words, chars the same places in the text as it
     was given. Null and empty texts have no words; items that are null or have no words match nothing; items that
     repeat an item_id count once. An item without an item_id is ignored, unless `nameless`: then the words of its
-    windows are hit as any other's, and only n_items and items_sha256 leave it out. Rows that repeat are scanned each. Other columns are
-    ignored. Texts never leave their task: there is no shuffle unless the benchmark needs several automata.
+    windows are hit as any other's, and only n_items and items_sha256 leave it out. Rows that repeat are scanned each.
+    Other columns are ignored. Texts never leave their task, for a benchmark of any size.
     """
-    slim = docs.select("doc_id", "text")
-    parts = list(_shards(benchmark, shard_bytes, nameless))
-    if len(parts) == 1:
-        found = _scan(slim, parts[0], window)
-    else:
-        keyed = slim.select(F.struct("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("sum")).alias("doc_id"), "text")
-        scans = [_scan(keyed, part, window) for part in parts]
-        every = scans[0]
-        for scan in scans[1:]:
-            every = every.unionByName(scan)
-        merge = lambda name: F.aggregate(F.sort_array(F.flatten(F.collect_list(name))), F.array().cast("array<struct<first: long, last: long>>"), _join_span)
-        found = (
-            every.groupBy("doc_id")
-            .agg(F.max("n_words").alias("n_words"), merge("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merge("chars").alias("chars"), F.count("*").alias("n"))
-            .withColumn("again", F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int"))))
-            .select(F.col("doc_id.doc_id").alias("doc_id"), "n_words", "spans", "items", "chars")
-        )
+    found = _scan(docs.select("doc_id", "text"), shards_of(benchmark, window, shard_bytes, nameless))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"])
-    found = found.withColumn("n_hit", n_hit).withColumn("items", F.array_distinct("items"))
+    found = found.withColumn("n_hit", n_hit)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans", "chars",
     )
 
 
-def _join_span(acc, s):
-    last = F.try_element_at(acc, F.lit(-1))
-    meets = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["last"] >= s["first"])
-    longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["last"], s["last"]).alias("last"))))
-    return F.when(meets, longer).otherwise(F.concat(acc, F.array(s)))
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, nameless: bool = False) -> DataFrame:
-    """docs with all its columns, without rows that decontaminate() marks. Rows are told apart by id and text.
-
-    With one automaton the rows are filtered where they are read, so nothing is shuffled.
-    """
-    parts = list(_shards(benchmark, shard_bytes, nameless))
-    for part in parts if len(parts) == 1 else []:
-        return _filter_in_place(docs, part, window)
-    # a document is contaminated by all shards' spans together, so these must meet
-    keyed = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("sum")).alias("doc_id"), "text")
-    bad = materialize(decontaminate(keyed, benchmark, window, shard_bytes, nameless).filter("contaminated").select(F.to_json("doc_id").alias("key")).distinct(), "contaminated")
-    return keyed.withColumn("key", F.to_json("doc_id")).join(bad, "key", "left_anti").select("row.*")
-
-
-def _filter_in_place(docs: DataFrame, items: list[Item], window: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    """docs with all its columns, without rows that decontaminate() marks; filtered where they are read."""
+    shards = shards_of(benchmark, window, shard_bytes, nameless)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = _cached(shared.value, window)
-        for batch in batches:
-            keep = []
-            for value in batch.column("text"):
-                seq = words(value.as_buffer().to_pybytes()) if value.is_valid else []
-                n_hit = sum(b - a for a, b in spans(seq, built)[0])
-                keep.append(not (n_hit and 20 * n_hit >= len(seq)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch in slices(batches, most=SCANNED):
+            texts = [words(_raw(v)) for v in batch.column("text")]
+            hit = [sum(b - a for a, b in hits) for hits in shards.scan(texts)[0]]
+            yield batch.filter(pa.array([not (n and 20 * n >= len(t)) for n, t in zip(hit, texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -75,3 +75,17 @@ def test_items_without_an_id_are_searched(spark, tmp_path):
     assert sorted(r.doc_id for r in kept.collect()) == [4, 5]
     split = dc.decontaminate(docs, bench, shard_bytes=100, nameless=True)
     assert sorted((r.doc_id, r.n_hit, r.n_items) for r in split.collect()) == [(r[0], r[2], r[3]) for r in got]
+
+
+def test_a_benchmark_of_many_shards_and_slices(spark, monkeypatch):
+    """Several automata of a bounded size; texts taken through them in slices of a few."""
+    rng = random.Random(7)
+    items = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(300))) for i in range(400)]
+    cut = [t.split()[40:60] for _, t in items[::150]]
+    texts = [" ".join(["before", *c, "after"]) for c in cut] + ["nothing of these", None]
+    monkeypatch.setattr(dc, "SCANNED", 200)
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    shards = dc.shards_of(bench, 13, 300_000, False)
+    assert len(shards.parts) > 2
+    got = sorted((r.doc_id, r.n_hit, r.n_items) for r in dc.decontaminate(docs.coalesce(1), bench, shard_bytes=300_000).collect())
+    assert got == [(0, 20, 1), (1, 20, 1), (2, 20, 1), (3, 0, 0), (4, 0, 0)]
