@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Slices of the time range. One URL's records are joined a slice at a time, so a busy URL spreads over that many tasks.
+#: Slices of time, of about equally many records each wherever in time they lie. One URL's records are joined a slice
+#: at a time, so a busy URL spreads over that many tasks.
 SLICES = 1024
 #: What a not-modified answer may not change: they describe the body, which is the earlier response's.
 FIXED_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
@@ -50,9 +52,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """
     names = ["record_id", "captured", "type", "etag", "last_modified", "digest", "headers"]
     rows = materialize(records.select(canonical_url(F.col("url")).alias("url_key"), *names), "warc-records")
-    first, last = rows.agg(F.min("captured"), F.max("captured")).first()
-    width = 1 if first is None else (last - first) // SLICES + 1
-    rows = rows.withColumn("slice", ((F.col("captured") - F.lit(first or 0)) / F.lit(width)).cast("int"))
+    edges = rows.filter("captured is not null").approxQuantile("captured", [i / SLICES for i in range(1, SLICES)], 0.25 / SLICES)
+    deal = Bucketizer(splits=[float("-inf"), *sorted(set(edges)), float("inf")], inputCol="at", outputCol="slice")
+    rows = deal.transform(rows.withColumn("at", F.coalesce("captured", F.lit(0)).cast("double"))).withColumn("slice", F.col("slice").cast("int")).drop("at")
     full = F.when((F.col("type") == "response") & F.col("captured").isNotNull(), F.struct("captured", "record_id", "etag", "last_modified", "digest", F.map_entries("headers").alias("headers")))
 
     # the latest response of each URL and slice, carried to the next slices in which the URL has records
@@ -80,10 +82,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def with_bodies(resolved: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Adds body to resolve_revisits' rows from bodies (record_id, body): each record's own, or the one it refers to."""
+    """Adds body to resolve_revisits' rows from bodies (record_id, body): each record's own, or the one it refers to.
+
+    A body column that the rows have already is replaced.
+    """
     source = F.when(F.col("status") == "resolved", F.col("refers_to")).otherwise(F.col("record_id"))
-    held = bodies.select(F.col("record_id").alias("body_of"), "body")
-    return resolved.join(held, source == F.col("body_of"), "left").drop("body_of")
+    held = bodies.select(F.col("record_id").alias("body_of"), F.col("body").alias("held_body"))
+    joined = resolved.select(F.struct(*resolved.columns).alias("row"), source.alias("source")).join(held, F.col("source") == F.col("body_of"), "left")
+    return joined.select(*[F.col("row")[c].alias(c) for c in resolved.columns if c != "body"], F.col("held_body").alias("body"))
 
 
 def captures(pages: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ def test_revisits_match_brute_force(spark, monkeypatch):
     for i in range(400):
         kind = rng.choice(["response", "revisit", "revisit", "request", None])
         records.append((i, rng.choice(["a.com/x", "b.com", "a.com/x"]), rng.choice([None, *range(40)]), kind, rng.choice([None, "1", "W/1", "2"]), rng.choice([None, "m"]), rng.choice([None, "d", "e"]), rng.choice([None, {"etag": "1", "content-length": "5"}, {"x": str(i)}])))
+    records += [(400 + k, "a.com/x", at, kind, "1", None, "d", None) for k, (at, kind) in enumerate([(-(10**15), "response"), (10**15, "revisit"), (-(10**15), "revisit")])]
     df = spark.createDataFrame(records, warc.RECORD).withColumn("then", F.lit("clash"))
     for slices in (1024, 3):
         monkeypatch.setattr(warc, "SLICES", slices)
@@ -49,7 +50,8 @@ def test_repeats_stay_and_bodies_follow(spark):
     rows = [(1, "a", 1, "response", "t", None, "d1", None), (2, "a", 2, "revisit", "t", None, None, None), (2, "a", 2, "revisit", "t", None, None, None)]
     out = warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD))
     bodies = spark.createDataFrame([(1, "body")], "record_id long, body string")
-    assert sorted((r.record_id, r.body) for r in warc.with_bodies(out, bodies).collect()) == [(1, "body"), (2, "body"), (2, "body")]
+    for df in (out, out.withColumn("body", F.lit("own"))):
+        assert sorted((r.record_id, r.body) for r in warc.with_bodies(df, bodies).collect()) == [(1, "body"), (2, "body"), (2, "body")]
 
 
 def test_candidates_have_their_places(spark):
