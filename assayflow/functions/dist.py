@@ -115,6 +115,14 @@ def norm_ppf(p: float) -> float:
     return math.copysign(_invert(norm_cdf, max(p, 1 - p), 0.0, 2.0), p - 0.5) if p != 0.5 else 0.0
 
 
+def t_expansion(z: float) -> list[float]:
+    """Terms of a Student's quantile in powers of the inverse degrees of freedom, from the normal quantile z."""
+    return [
+        z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+
+
 def t_quantile(p: float, dof: Column) -> Column:
     """The t quantile for each row's degrees of freedom; null below 1. For tables of models, not of measurements."""
 

@@ -32,6 +32,15 @@ def fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return g.drop("syy", "sxy")
 
 
+def refined(df: DataFrame, models: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """fit()'s models with their errors from residuals summed in a second pass, exact where a line is nearly perfect."""
+    sums = residuals(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), models, by, x, y).groupBy(*by).agg(F.sum(F.col("residual") * F.col("residual")).alias("__sse"), (F.var_pop(F.col(y).cast("double")) * F.count("*")).alias("__total"))
+    old = F.col("sse")
+    m = models.join(sums, by, "left").withColumn("sse", F.when(old.isNotNull(), F.col("__sse"))).withColumn("r2", 1 - ratio(F.col("sse"), F.col("__total"))).withColumn("s_resid", F.sqrt(ratio(F.col("sse"), F.when(F.col("n") > 2, F.col("n") - 2))))
+    m = m.withColumn("se_slope", ratio(F.col("s_resid"), F.sqrt("sxx"))).withColumn("se_intercept", F.col("s_resid") * F.sqrt(1 / F.col("n") + ratio(F.col("x_mean") * F.col("x_mean"), F.col("sxx"))))
+    return m.select(*models.columns)
+
+
 def with_limits(models: DataFrame, blank_sd: Column | None = None) -> DataFrame:
     """lod = 3.3 s / |slope| and loq = 10 s / |slope|, s the residual deviation or that of blanks."""
     s = F.col("s_resid") if blank_sd is None else blank_sd

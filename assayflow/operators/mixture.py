@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from .pattern import residual_peaks
+from .spatial import range_join
 from .stats import weighted_residual
 
 #: Fixed values of the pKa rule and of the complementarity rule (short axis, middle axis, dipole).
@@ -71,12 +73,21 @@ def unmix(df: DataFrame, product: str, parents: list[str]) -> dict[str, float]:
     return {p: float(x / w.sum()) if w.sum() > 0 else float("nan") for p, x in zip(parents, w)}
 
 
-def phase_report(df: DataFrame, by: list[str], product: str, a: str, b: str, explained_below: float = 0.15) -> DataFrame:
-    """unmix_two with rwp of what the parents explain, and a verdict on whether they explain the product."""
+def phase_report(df: DataFrame, by: list[str], product: str, a: str, b: str, x: str = "x", weight: str = "auto", share: float = 0.05) -> DataFrame:
+    """unmix_two with rwp, the residual's new and lost peaks (x, height, highest first) and a verdict.
+
+    The verdict is whether the parents leave a new peak, one of at least `share` of the largest |product|, unexplained;
+    rwp is reported beside it and decides nothing.
+    """
     parts = unmix_two(df, by, product, a, b)
     rows = df.join(parts, by).withColumn("explained", F.col("scale_a") * F.col(a) + F.col("scale_b") * F.col(b))
-    fit = weighted_residual(rows, by, product, "explained", "unit").select(*by, "rwp")
-    return parts.join(fit, by).withColumn("verdict", F.when(F.col("rwp") <= explained_below, "sum_of_parents").otherwise("new_signal"))
+    fit = weighted_residual(rows, by, product, "explained", weight).select(*by, "weight", "rwp")
+    peaks = residual_peaks(rows.withColumn("__who", F.struct(*by)), "__who", product, "explained", x, share)
+    some = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("height", F.col(x).alias("x")))), asc=False).alias(f"{kind}_peaks")
+    found = peaks.groupBy("__who").agg(some("new"), some("lost")).select("__who.*", "new_peaks", "lost_peaks")
+    out = parts.join(fit, by).join(found, by, "left")
+    out = out.withColumns({c: F.coalesce(c, F.array().cast(found.schema[c].dataType)) for c in ("new_peaks", "lost_peaks")})
+    return out.withColumn("verdict", F.when(F.size("new_peaks") > 0, "new_signal").otherwise("sum_of_parents"))
 
 
 def ionisation(pka_acid: Column, pka_base: Column) -> tuple[Column, Column]:
@@ -91,17 +102,43 @@ def complementary(left: str, right: str) -> Column:
     return (off("short") <= MOST_SHORT) & (off("middle") <= MOST_MIDDLE) & (off("dipole") <= MOST_DIPOLE)
 
 
-def best_pairing(donors: DataFrame, acceptors: DataFrame) -> DataFrame:
-    """One row: the best donor and acceptor by summed score (ties by labels), and whether it joins two molecules.
+def complementary_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Complementary rows l, r (structs) of two tables (short, middle, dipole, any others): a join on buckets of short."""
+    a = left.select(F.struct("*").alias("l"), F.col("short").alias("__at"))
+    near = lambda sign: F.col("r.short") + sign * (MOST_SHORT * 1.000001)
+    pairs = range_join(a, right.select(F.struct("*").alias("r")), "__at", near(-1), near(1), MOST_SHORT)
+    return pairs.filter(complementary("l", "r")).select("l", "r")
+
+
+def conformer_summary(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Median and population deviation of each value over a molecule's conformers, and their number."""
+    cells = [x for v in values for x in (F.percentile(F.col(v).cast("double"), 0.5).alias(f"{v}_median"), F.stddev_pop(F.col(v).cast("double")).alias(f"{v}_sd"))]
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *cells)
+
+
+def predictors(pairs: DataFrame, pairings: DataFrame) -> DataFrame:
+    """Three separate signals for pairs of molecules, and no verdict on them: zone, complementary, hetero_favoured.
+
+    pairs has pair, pka_acid, pka_base and structs l and r (short, middle, dipole); pairings is best_pairing() by pair.
+    A signal whose inputs are missing is null.
+    """
+    gap, zone = ionisation(F.col("pka_acid"), F.col("pka_base"))
+    rows = pairs.withColumn("pka_gap", gap).withColumn("zone", zone).withColumn("complementary", complementary("l", "r"))
+    return rows.join(pairings, "pair", "left").select("pair", "pka_gap", "zone", "complementary", "score", "donor", "acceptor", "hetero_favoured")
+
+
+def best_pairing(donors: DataFrame, acceptors: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A row (per `by`): the best donor and acceptor by summed score (ties by labels), and whether it joins two molecules.
 
     donors and acceptors (molecule, label, score) are two molecules' functional groups. The best sums over pairs come
     from each side's best group per molecule, so the lists are never multiplied out.
     """
-    top = lambda df, name: df.groupBy("molecule").agg(F.max(F.struct("score", "label")).alias(name)).withColumnRenamed("molecule", f"{name}_of")
+    by = by or []
+    top = lambda df, name: df.groupBy(*by, "molecule").agg(F.max(F.struct("score", "label")).alias(name)).withColumnRenamed("molecule", f"{name}_of")
     d, a = top(donors, "donor"), top(acceptors, "acceptor")
-    pairs = d.crossJoin(F.broadcast(a)).withColumn("sum", F.col("donor.score") + F.col("acceptor.score"))  # a row per molecule each
+    pairs = (d.join(a, by) if by else d.crossJoin(F.broadcast(a))).withColumn("sum", F.col("donor.score") + F.col("acceptor.score"))  # a row per molecule each
     hetero = F.col("donor_of") != F.col("acceptor_of")
     best = F.max(F.struct("sum", "donor.label", F.col("acceptor.label").alias("acceptor_label")))
-    out = pairs.agg(best.alias("best"), F.max(F.when(hetero, F.col("sum"))).alias("hetero"), F.max(F.when(~hetero, F.col("sum"))).alias("homo"))
+    out = pairs.groupBy(*by).agg(best.alias("best"), F.max(F.when(hetero, F.col("sum"))).alias("hetero"), F.max(F.when(~hetero, F.col("sum"))).alias("homo"))
     favoured = (F.col("hetero") > 0) & (F.col("hetero") >= F.coalesce("homo", F.lit(float("-inf"))))
-    return out.select(F.col("best.sum").alias("score"), F.col("best.label").alias("donor"), F.col("best.acceptor_label").alias("acceptor"), F.coalesce(favoured, F.lit(False)).alias("hetero_favoured"))
+    return out.select(*by, F.col("best.sum").alias("score"), F.col("best.label").alias("donor"), F.col("best.acceptor_label").alias("acceptor"), F.coalesce(favoured, F.lit(False)).alias("hetero_favoured"))

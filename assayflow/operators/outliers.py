@@ -14,6 +14,10 @@ from . import gram
 from .gram import vector
 
 
+#: Fixed value: the most degrees of freedom of a distance.
+MOST_DOF = 250
+
+
 @dataclass(frozen=True)
 class OutlierModel:
     n: int
@@ -92,27 +96,42 @@ class Acceptance:
 
 
 def _robust_dof(median: float, iqr: float) -> tuple[int, float]:
-    """Degrees of freedom whose chi-squared has this ratio of quartile range to median, and the mean that fits."""
+    """Degrees of freedom whose chi-squared has this ratio of quartile range to median, and the mean that fits.
+
+    The ratio falls as they grow: its root is bisected between 1 and MOST_DOF and rounded, half to even; a ratio out
+    of reach takes the nearer end. Without a spread there is one degree of freedom.
+    """
     if not median > 0 or not iqr > 0:
-        return 250, median or 1.0
-    target = iqr / median
-    best = min(range(1, 251), key=lambda n: abs((dist.chi2_ppf(0.75, n) - dist.chi2_ppf(0.25, n)) / dist.chi2_ppf(0.5, n) - target))
+        return 1, max(median or 0.0, 1e-12)
+    off = lambda n: (dist.chi2_ppf(0.75, n) - dist.chi2_ppf(0.25, n)) / dist.chi2_ppf(0.5, n) - iqr / median
+    low, high = 1.0, float(MOST_DOF)
+    if off(low) * off(high) >= 0:
+        root = low if abs(off(low)) <= abs(off(high)) else high
+    else:
+        while high - low > 1e-5:
+            root = (low + high) / 2
+            low, high = (root, high) if off(root) > 0 else (low, root)
+        root = (low + high) / 2
+    best = max(1, min(MOST_DOF, round(root)))
     return best, best * median / dist.chi2_ppf(0.5, best)
 
 
-def acceptance(scored: DataFrame, alpha: float = 0.05, gamma: float = 0.01, method: str = "classical") -> Acceptance:
-    """Limits from the training rows' leverage and q: one aggregation, then scalars."""
+def acceptance(scored: DataFrame, alpha: float = 0.05, gamma: float | None = 0.01, method: str = "classical") -> Acceptance:
+    """Limits from the training rows' leverage and q: one aggregation, then scalars.
+
+    Without a residual space (q is 0 beside the mean leverage) q has no say. Without gamma nothing is an outlier.
+    """
     quart = lambda c: [F.percentile(c, q) for q in (0.25, 0.5, 0.75)]
-    r = scored.agg(F.count("*"), F.avg("leverage"), F.var_samp("leverage"), F.avg("q"), F.var_samp("q"), *quart("leverage"), *quart("q")).first()
-    n, mean_h, var_h, mean_q, var_q, h1, h2, h3, q1, q2, q3 = r
-    flat = not mean_q > 1e-12
+    r = scored.agg(F.count("*"), F.avg("leverage"), F.var_samp("leverage"), F.avg("q"), F.var_samp("q"), F.max("q"), *quart("leverage"), *quart("q")).first()
+    n, mean_h, var_h, mean_q, var_q, max_q, h1, h2, h3, q1, q2, q3 = r
+    flat = max_q is None or max_q <= 1e-12 * max(1.0, mean_h)
 
     def classical(mean: float, var: float) -> tuple[int, float]:
-        return int(min(250, max(1, round(2 * mean * mean / var)))) if var > 0 else 250, mean
+        return int(min(MOST_DOF, max(1, round(2 * mean * mean / var)))) if var > 0 else 1, mean
 
     nh, h0 = classical(mean_h, var_h) if method == "classical" else _robust_dof(h2, h3 - h1)
     nq, q0 = (0, float("inf")) if flat else classical(mean_q, var_q) if method == "classical" else _robust_dof(q2, q3 - q1)
-    return Acceptance(nh, h0, nq, q0, dist.chi2_ppf(1 - alpha, nh + nq), dist.chi2_ppf((1 - gamma) ** (1 / n), nh + nq))
+    return Acceptance(nh, h0, nq, q0, dist.chi2_ppf(1 - alpha, nh + nq), dist.chi2_ppf((1 - gamma) ** (1 / n), nh + nq) if gamma else float("inf"))
 
 
 def accept(scored: DataFrame, limits: Acceptance) -> DataFrame:

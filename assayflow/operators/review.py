@@ -22,6 +22,16 @@ ORDERS = {"P1": 1, "P-1": 2, "P21": 2, "Pc": 2, "P21/m": 4, "P21/c": 4, "P21/n":
 LEAST_FOR_MEAN = 3
 
 
+def worst(findings: DataFrame, by: list[str], strict: bool = False) -> DataFrame:
+    """The worst severity (INFO, WARN, FAIL) of each group's findings and their number. strict: a FAIL is an error."""
+    rank = F.create_map(F.lit("INFO"), F.lit(0), F.lit("WARN"), F.lit(1), F.lit("FAIL"), F.lit(2))
+    out = findings.groupBy(*by).agg(F.max_by("severity", F.element_at(rank, F.col("severity"))).alias("severity"), F.count("*").alias("n"))
+    if not strict:
+        return out
+    context = F.concat_ws(", ", *[F.col(c).cast("string") for c in by])
+    return out.withColumn("severity", F.when(F.col("severity") == "FAIL", F.raise_error(F.concat(F.lit("gate failed: "), context)).cast("string")).otherwise(F.col("severity")))
+
+
 def wavelength_review(rows: DataFrame, wavelength: str, radiation: str) -> DataFrame:
     """rows with source (the nearest standard, if near enough), code and severity of the declared wavelength."""
     w, kind = F.col(wavelength).cast("double"), F.lower(F.coalesce(radiation, F.lit("")))

@@ -71,10 +71,18 @@ def multiplicity(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
 
 
 def spread_ratios(df: DataFrame, by: list[str], y: str, rmse: Column) -> DataFrame:
-    """rpd = sd / rmse and rpiq = (q3 - q1) / rmse; null where rmse is not above zero."""
-    v, e = F.col(y).cast("double"), F.when(rmse > 0, rmse)
+    """rpd = sd / rmse and rpiq = (q3 - q1) / rmse; infinite where rmse is not above zero, null where it is null."""
+    v, e = F.col(y).cast("double"), rmse.cast("double")
     stats = df.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp(v).alias("sd"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3"), F.max(e).alias("rmse"))
-    return stats.withColumn("rpd", ratio(F.col("sd"), F.col("rmse"))).withColumn("rpiq", ratio(F.col("q3") - F.col("q1"), F.col("rmse")))
+    over = lambda c: F.when(F.col("rmse") > 0, ratio(c, F.col("rmse"))).when(F.col("rmse").isNotNull() & c.isNotNull(), float("inf"))
+    return stats.withColumn("rpd", over(F.col("sd"))).withColumn("rpiq", over(F.col("q3") - F.col("q1")))
+
+
+def fit_stats(df: DataFrame, by: list[str], y: str, predicted: str) -> DataFrame:
+    """n, r2 (null where y doesn't vary) and rmse (over n) of predictions; rows without either value are left out."""
+    v, e = F.col(y).cast("double"), F.col(predicted).cast("double") - F.col(y).cast("double")
+    out = df.filter(F.col(y).isNotNull() & F.col(predicted).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.sum(e * e).alias("__ss"), (F.var_pop(v) * F.count("*")).alias("__st"))
+    return out.select(*by, "n", (1 - ratio(F.col("__ss"), F.when(F.col("__st") > 0, F.col("__st")))).alias("r2"), F.sqrt(F.col("__ss") / F.col("n")).alias("rmse"))
 
 
 def class_merit(df: DataFrame, truth: Column, predicted: Column, by: list[str] | None = None) -> DataFrame:

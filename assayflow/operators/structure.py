@@ -109,6 +109,52 @@ def density_check(atoms: DataFrame, volume: float, formula_weight: float, z: int
     return out.withColumn("verdict", verdict.when(F.col("declared").isNull(), "agree, none declared").when(close("from_formula", "declared"), "agree").otherwise("declared is off"))
 
 
+# Closeness of densities and of formula weights, shortest list of atoms, counts' tolerance, F(000)'s, alerts.
+CLOSE, WEIGHT_OFF, ATOMS_SHORT, COUNTS_OFF, COUNT_LEAST, F000_OFF = 0.03, 0.01, 0.5, 0.05, 0.15, 0.05
+RATIO_ALERTS = (("A", 0.10), ("B", 0.05), ("C", 0.01))
+
+
+def density_review(structures: DataFrame) -> DataFrame:
+    """structures with three densities, the first branch that applies, the ratio alert, F(000)'s check and severity.
+
+    Needs volume, mass and electrons (of the expanded cell), counts (element -> atoms in the cell), formula (element ->
+    atoms, or null), and as declared, any of them null: weight, z, density, f000. density_cell comes from the expanded
+    cell, density_formula from weight and z. The branches, in order: not_declared, consistent, declared_off (the
+    formula's density differs), weight_off, atoms_missing, expansion_wrong (FAIL), cell_off, pass.
+    """
+    v = F.when(F.col("volume") > 0, F.col("volume"))
+    made = structures.withColumn("density_cell", ratio(CELL_DENSITY * F.col("mass"), v)).withColumn("density_formula", ratio(FORMULA_DENSITY * F.when(F.col("weight") != 0, F.col("weight")) * F.when(F.col("z") != 0, F.col("z")), v))
+    near = lambda a: F.coalesce(F.abs(ratio(F.col(a) - F.col("density"), F.col("density"))) < CLOSE, F.lit(False))
+    cell_ok, formula_ok, have = near("density_cell"), near("density_formula"), F.col("density_formula").isNotNull()
+    elements = F.coalesce(F.map_entries("formula"), F.array().cast("array<struct<key:string,value:double>>"))
+    some = (F.size(elements) > 0) & F.coalesce(F.col("z") != 0, F.lit(False))
+    weigh = lambda e: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHT.items() for x in kv]), e["key"]), F.lit(0.0)) * e["value"]
+    formula_weight = F.aggregate(elements, F.lit(0.0), lambda s, e: s + weigh(e))
+    weight_off = F.coalesce((formula_weight > 0) & (F.abs(ratio(formula_weight - F.col("weight"), F.col("weight"))) > WEIGHT_OFF), F.lit(False))
+    held = lambda e: F.coalesce(F.try_element_at("counts", e["key"]), F.lit(0.0))
+    match = some & F.forall(elements, lambda e: F.abs(held(e) - e["value"] * F.col("z")) <= F.greatest(COUNTS_OFF * e["value"] * F.col("z"), F.lit(COUNT_LEAST)))
+    atoms = F.aggregate(F.map_values("counts"), F.lit(0.0), lambda s, n: s + n)
+    short = some & (atoms < F.aggregate(elements, F.lit(0.0), lambda s, e: s + e["value"] * F.col("z")) - ATOMS_SHORT)
+    branch = (
+        F.when(F.col("density").isNull(), "not_declared").when(cell_ok & (formula_ok | ~have), "consistent").when(have & cell_ok & ~formula_ok, "declared_off")
+        .when(~cell_ok & weight_off & match, "weight_off").when(~cell_ok & short, "atoms_missing").when(~cell_ok & match & have & formula_ok, "expansion_wrong")
+        .when(~cell_ok, "cell_off").otherwise("pass")
+    )
+    made = made.withColumn("branch", branch).withColumn("ratio", ratio(F.col("density"), F.col("density_formula")))
+    alert = F.when(F.col("ratio").isNull(), None)
+    for name, off in RATIO_ALERTS:
+        alert = alert.when(~F.col("ratio").between(1 - off, 1 + off), name)
+    made = made.withColumn("alert", alert).withColumn("f000_off", F.coalesce(F.abs(ratio(F.col("electrons") - F.col("f000"), F.col("f000"))) > F000_OFF, F.lit(False)))
+    warn = F.col("branch").isin("declared_off", "weight_off", "atoms_missing", "cell_off") | F.coalesce(F.col("alert").isin("A", "B"), F.lit(False)) | F.col("f000_off")
+    return made.withColumn("severity", F.when(F.col("branch") == "expansion_wrong", "FAIL").when(warn, "WARN").otherwise("INFO"))
+
+
+def bonds_and_contacts(found: DataFrame) -> DataFrame:
+    """hydrogen_bonds() as asserted bonds and then contacts, in one table with `asserted`; other kinds are left out."""
+    part = lambda kind, asserted: found.filter(F.col("kind") == kind).withColumn("asserted", F.lit(asserted))
+    return part("hbond", True).unionByName(part("contact", False))
+
+
 def alternatives(atoms: DataFrame) -> DataFrame:
     """Pairs of labels that exclude each other: one element's part-occupied sites too close, or groups of an assembly."""
     near = near_pairs(atoms, atoms, DISORDERED)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, ratio
+from ..functions.savgol import filter_array, smoothed
 
 #: Fixed values of the spike rule: ring offsets, noise factor, share of the range, noise multiple, neighbour share.
 RING = (-4, -3, -2, 2, 3, 4)
@@ -111,6 +113,63 @@ def find_anchors(df: DataFrame, center: float, gap: float = GAP, most: float = M
     return df.groupBy(key).agg(side(center - most, center - gap).alias("left"), side(center + gap, center + most).alias("right"))
 
 
+def gradient(df: DataFrame, key: str = "trace", x: str = "x", y: str = "y", delta: float = 1.0) -> DataFrame:
+    """df with slope: central differences of y over 2 delta by order of x, one-sided over delta at the ends."""
+    w = _ordered(key, x)
+    before, after = F.lag(y).over(w), F.lead(y).over(w)
+    inner = (after - before) / (2 * delta)
+    return df.withColumn("slope", F.when(before.isNotNull() & after.isNotNull(), inner).when(after.isNotNull(), (after - F.col(y)) / delta).otherwise((F.col(y) - before) / delta))
+
+
+def locked_anchors(reference: np.ndarray, grid: np.ndarray, center: float, gap: float = GAP, most: float = MAX_HALF_WIDTH, smooth: tuple[int, int] = (13, 3)) -> tuple[float, float]:
+    """Where a smoothed reference spectrum (on the ascending grid) is least on each side of a band, as find_anchors().
+
+    Found once, on the driver, and then used for the whole batch. A side without samples is an error.
+    """
+    ys = smoothed(reference, *smooth)
+    ends = []
+    for low, high in ((center - most, center - gap), (center + gap, center + most)):
+        inside = (grid >= low) & (grid <= high)
+        if not inside.any():
+            raise ValueError(f"no samples between {low} and {high}")
+        ends.append(float(grid[inside][np.argmin(ys[inside])]))
+    return ends[0], ends[1]
+
+
+def auto_windows(reference: np.ndarray, grid: np.ndarray, centers: list[tuple[float, str]], **options) -> list[tuple[float, float, str]]:
+    """Integration windows (low, high, name) between the locked anchors of each (center, name)."""
+    return [(*locked_anchors(reference, grid, center, **options), name) for center, name in centers]
+
+
+def band_metrics(grid: np.ndarray, anchors: tuple[float, float], center: float, half: float = ANCHOR_HALF, window: float = 8.0, smooth: tuple[int, int] = (13, 3), spectrum: str = "spectrum") -> dict[str, Column]:
+    """area, height and deriv2 of one band of spectra on an ascending grid, as expressions on the array column.
+
+    area and height are above the straight line between the anchor values (means within half, else the nearest
+    sample), clipped at zero. deriv2 is the deepest trough of the smoothed second derivative within window of the
+    centre, which no constant or sloping background changes. Null where a window has too few samples.
+    """
+    low, high = sorted(anchors)
+    a = F.col(spectrum)
+    at = lambda i: F.get(a, F.lit(int(i)))
+
+    def anchor(place: float) -> Column:
+        near = np.flatnonzero(np.abs(grid - place) <= half)
+        near = near if len(near) else np.array([np.abs(grid - place).argmin()])
+        return sum((at(i) for i in near), F.lit(0.0)) / len(near)
+
+    inside = np.flatnonzero((grid >= low) & (grid <= high))
+    left, right = anchor(low), anchor(high)
+    above = [F.greatest(at(i) - (left + (right - left) * float((grid[i] - low) / (high - low or 1.0))), F.lit(0.0)) for i in inside]
+    area = sum((float(grid[j] - grid[i]) * (u + v) / 2 for i, j, u, v in zip(inside, inside[1:], above, above[1:])), F.lit(0.0))
+    few = len(inside) < 2
+    step = float(np.diff(grid).mean())
+    near = np.flatnonzero(np.abs(grid - center) <= window)
+    second = filter_array(a, *smooth, 2, len(grid))
+    trough = F.array_max(F.transform(F.slice(second, int(near[0]) + 1, len(near)), lambda v: -v)) / (step * step) if len(near) else None
+    none = F.lit(None).cast("double")
+    return {"area": none if few else area, "height": none if few else F.array_max(F.array(*above)), "deriv2": none if trough is None else trough}
+
+
 def same_processing(records: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row: whether all records agree on keys with the first, and how many don't."""
     first = F.min_by(F.struct(*keys), order)

@@ -72,6 +72,26 @@ def cv_stats(predicted: DataFrame, by: list[str], y: str = "y") -> DataFrame:
     return out.withColumn("r2cv", 1 - ratio(F.col("__ss"), F.col("n") * F.col("__v"))).drop("__ss", "__v")
 
 
+def cross_validate(df: DataFrame, components: int, scheme: str = "auto", groups: str | None = None, method: str = "pls", y: str = "y", sample: str = "sample", k: int = 5) -> DataFrame:
+    """One row of cv_stats with scheme, question (what it answers), severity and code.
+
+    With groups the scheme is logo whatever is asked; else auto and loo leave out one sample, kfold deals levels of y.
+    Leaving out one sample of a repeated level only asks for levels that were seen, which is a warning.
+    """
+    if groups is None and scheme not in ("auto", "loo", "kfold"):
+        raise ValueError(f"unknown scheme {scheme!r}")
+    named = "logo" if groups else "kfold" if scheme == "kfold" else "loo"
+    question = {"logo": "a new group", "kfold": "new levels", "loo": "a new sample of the levels seen"}[named]
+    if named == "loo":
+        found = leave_one_out(df, components, sample, y=y)
+        again = df.filter(F.col(y).isNotNull()).agg(F.count("*") > F.count_distinct(y)).first()[0]
+    else:
+        rows = folds(df, named, y, groups or "grp", k)
+        found, again = predictions(rows, components, method, y=y).filter(F.col("a") == components), False
+    out = cv_stats(found, [], y)
+    return out.select(F.lit(named).alias("scheme"), F.lit(question).alias("question"), "*", F.lit("WARN" if again else "INFO").alias("severity"), F.lit("levels_repeat" if again else "ok").alias("code"))
+
+
 def component_scan(df: DataFrame, components: int = 10, chains: tuple[str, ...] = ("none", "snv"), method: str = "pls", fold: str = "fold") -> DataFrame:
     """pre, a, rmsecv, ...: one curve per preprocessing chain, all numbers of components from one model per fold."""
     out = None

@@ -28,7 +28,20 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("trace"), (seconds / 3.6e9).alias("x"), F.col("value").alias("y"), F.col("event_id").alias("step"))
 
 
+def two_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spectra() cut to its first two channels, whose principal axes have a closed form."""
+    return spectra(spark, sf_dir).withColumn("spectrum", F.slice("spectrum", 1, 2))
+
+
 #: The same roles in SQL.
 SPECTRA_SQL = "SELECT vec_id AS sample, CAST(embedding AS DOUBLE[]) AS spectrum, CAST(label AS DOUBLE) AS y, CAST(label AS INT) AS grp FROM embeddings"
 TRACES_SQL = "SELECT user_id AS trace, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9 AS x, value AS y, event_id AS step FROM events"
+#: pr: the principal axis (vx, vy) of the first two channels, eigenvalues e1 >= e2; sc: each sample's score t, T2, Q and leverage.
+PRINCIPAL_SQL = """xy AS (SELECT sample, y, grp, spectrum[1] AS a, spectrum[2] AS b FROM sp),
+mo AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS sa, var_samp(b) AS sb, covar_samp(a, b) AS sab FROM xy),
+ev AS (SELECT *, (sa + sb) / 2 + sqrt(((sa - sb) / 2) ** 2 + sab ** 2) AS e1, (sa + sb) / 2 - sqrt(((sa - sb) / 2) ** 2 + sab ** 2) AS e2 FROM mo),
+ax AS (SELECT *, sab / sqrt(sab ** 2 + (e1 - sa) ** 2) AS ux, (e1 - sa) / sqrt(sab ** 2 + (e1 - sa) ** 2) AS uy FROM ev),
+pr AS (SELECT * EXCLUDE (ux, uy), CASE WHEN (CASE WHEN abs(ux) >= abs(uy) THEN ux ELSE uy END) < 0 THEN -ux ELSE ux END AS vx, CASE WHEN (CASE WHEN abs(ux) >= abs(uy) THEN ux ELSE uy END) < 0 THEN -uy ELSE uy END AS vy FROM ax),
+st AS (SELECT sample, y, grp, (a - ma) * vx + (b - mb) * vy AS t, (a - ma) ** 2 + (b - mb) ** 2 AS norm, n, e1, e2 FROM xy CROSS JOIN pr),
+sc AS (SELECT *, t * t / e1 AS t2, greatest(norm - t * t, 0) AS q, t * t / e1 / (n - 1) AS leverage FROM st)"""
 CHANNELS_SQL = "SELECT sample, y, grp, k - 1 AS pos, spectrum[k] AS v FROM sp, unnest(range(1, 65)) AS u(k)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dist
 from ..operators import calibration, stats
 from .adapters import rounded, table
 from .catalogue import register
@@ -76,9 +77,19 @@ def calibration_intercept_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(calibration.intercept_test(calibration.fit(parts(spark, sf_dir), ["p_brand"], "x", "y")).select("p_brand", "n", "intercept", "t"))
 
 
-@register()
+#: Student's quantile at 0.975: a list up to 60 degrees of freedom, beyond that the expansion in their inverse.
+_T975 = f"""CASE WHEN {{0}} <= 60 THEN [{', '.join(repr(dist.t_ppf(0.975, k)) + '::DOUBLE' for k in range(1, 61))}][CAST({{0}} AS INT)]
+  ELSE {' + '.join(f'{c!r}::DOUBLE / ({{0}}) ** {k}' for k, c in enumerate(dist.t_expansion(dist.norm_ppf(0.975))))} END"""
+
+
+@register(
+    _fit_sql(_PARTS, "p_brand")
+    + f""", t AS (SELECT *, {_T975.format('(n - 2)')} AS t, s / sqrt(sxx) AS sb, s * sqrt(1.0 / n + mx * mx / sxx) AS sa FROM m)
+    SELECT p_brand, round(b - t * sb, 6) AS slope_low, round(b + t * sb, 6) AS slope_high, round(a - t * sa, 5) AS intercept_low, round(a + t * sa, 5) AS intercept_high, a - t * sa > 0 OR a + t * sa < 0 AS significant FROM t"""
+)
 def calibration_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(calibration.intercept_test(calibration.fit(parts(spark, sf_dir), ["p_brand"], "x", "y")).select("p_brand", "slope_low", "slope_high", "intercept_low", "intercept_high", "p", "significant"))
+    found = calibration.intercept_test(calibration.fit(parts(spark, sf_dir), ["p_brand"], "x", "y"))
+    return rounded(found.select("p_brand", "slope_low", "slope_high", F.round("intercept_low", 5).alias("intercept_low"), F.round("intercept_high", 5).alias("intercept_high"), "significant"))
 
 
 @register(
@@ -113,9 +124,11 @@ def _replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppliers.unionByName(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("v")))
 
 
-@register()
+@register(f"""
+WITH v AS (SELECT 's' || s_nationkey AS grp, s_acctbal AS v FROM supplier UNION ALL SELECT o_orderpriority, o_totalprice FROM orders), g AS (SELECT grp, count(*) AS n, stddev_samp(v) AS sd FROM v GROUP BY grp)
+SELECT grp, n, CASE WHEN n > 1 THEN round({_T975.format('(n - 1)')} * sd / sqrt(n), 4) END AS half_width FROM g""")
 def summarize_half_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.summarize(_replicates(spark, sf_dir), ["grp"], "v"))
+    return rounded(stats.summarize(_replicates(spark, sf_dir), ["grp"], "v").select("grp", "n", F.round("half_width", 4).alias("half_width")))
 
 
 @register("""
@@ -167,6 +180,14 @@ def rpd_rpiq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.spread_ratios(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", F.lit(10.0)).select("p_brand", "n", "sd", "rpd", "rpiq"))
 
 
+@register("""
+WITH r AS (SELECT l_returnflag, l_extendedprice AS y, 1500 * l_quantity AS f FROM lineitem)
+SELECT l_returnflag, count(*) AS n, round(1 - sum((f - y) ** 2) / (count(*) * var_pop(y)), 6) AS r2, round(sqrt(avg((f - y) ** 2)), 4) AS rmse FROM r GROUP BY 1""")
+def prediction_fit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").withColumn("f", 1500 * F.col("l_quantity"))
+    return rounded(stats.fit_stats(rows, ["l_returnflag"], "l_extendedprice", "f").withColumn("rmse", F.round("rmse", 4)))
+
+
 @register("""
 WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fn, count(*) FILTER (quality <> 1 AND toxic <> 0) AS tn, count(*) FILTER (quality <> 1 AND toxic = 0) AS fp FROM labels)
 SELECT *, round(tp / nullif(tp + fn, 0), 6) AS sensitivity, round(tn / nullif(tn + fp, 0), 6) AS specificity, round(sqrt(tp / nullif(tp + fn, 0) * tn / nullif(tn + fp, 0)), 6) AS efficiency FROM c""")

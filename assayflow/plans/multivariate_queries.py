@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import dot
 from ..operators import gram, outliers, validate
-from .adapters import CHANNELS_SQL, SPECTRA_SQL, rounded, spectra
+from ..functions import dist
+from .adapters import CHANNELS_SQL, PRINCIPAL_SQL, SPECTRA_SQL, rounded, spectra, two_channels
 from .catalogue import register
 
 _S = f"WITH sp AS ({SPECTRA_SQL}), ch AS ({CHANNELS_SQL})"
@@ -25,23 +26,24 @@ def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_frame(spark, [(i, j, float(s[i, j])) for i in range(len(s)) for j in range(i, len(s))], "i long, j long, v double"), 4)
 
 
-@register(_S + ", v AS (SELECT pos, var_samp(v) AS s FROM ch GROUP BY pos) SELECT 64 AS n_values, round(sum(s), 6) AS total FROM v")
+_PR = f"WITH sp AS ({SPECTRA_SQL}), {PRINCIPAL_SQL}"
+
+
+@register(_PR + " SELECT 1 AS component, round(e1, 6) AS eigenvalue, round(e1 / (e1 + e2), 6) AS share, round(vx, 6) + 0.0 AS first, round(vy, 6) + 0.0 AS second FROM pr UNION ALL SELECT 2, round(e2, 6), round(e2 / (e1 + e2), 6), NULL, NULL FROM pr")
 def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eigenvalues of the covariance sum to its trace."""
-    values, _, _ = gram.principal(gram.moments(spectra(spark, sf_dir))[None], 64)
-    return rounded(_frame(spark, [(len(values), float(values.sum()))], "n_values int, total double"))
+    """Eigenvalues and their shares of two channels, with the first axis."""
+    values, loadings, shares = gram.principal(gram.moments(two_channels(spark, sf_dir))[None], 2)
+    rows = [(k + 1, float(values[k]), float(shares[k]), *((float(loadings[0, 0]), float(loadings[1, 0])) if k == 0 else (None, None))) for k in range(2)]
+    return rounded(_frame(spark, rows, "component int, eigenvalue double, share double, first double, second double"))
 
 
-@register(_S + ", c AS (SELECT sample, v - avg(v) OVER (PARTITION BY pos) AS v FROM ch) SELECT sample, round(sum(v * v), 6) AS norm FROM c GROUP BY sample")
-def pca_scores_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With all components kept, a sample's scores have the length of its centred spectrum."""
-    rows = spectra(spark, sf_dir)
+@register(_PR + " SELECT sample, round(t, 6) + 0.0 AS score FROM sc")
+def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = two_channels(spark, sf_dir)
     m = gram.moments(rows)[None]
-    _, loadings, _ = gram.principal(m, 64)
-    p = len(loadings)
-    centred = F.zip_with("spectrum", gram.vector(m.mean[:p]), lambda v, c: v - c)
-    scored = rows.withColumn("z", centred).withColumn("t", F.array(*[dot(F.col("z"), gram.vector(loadings[:, k])) for k in range(loadings.shape[1])]))
-    return rounded(scored.select("sample", dot(F.col("t"), F.col("t")).alias("norm")))
+    _, loadings, _ = gram.principal(m, 1)
+    centred = F.zip_with("spectrum", gram.vector(m.mean[:2]), lambda v, c: v - c)
+    return rounded(rows.select("sample", dot(centred, gram.vector(loadings[:, 0])).alias("score")))
 
 
 _STANDARD = _S + """, z0 AS (SELECT sample, pos, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS v FROM ch WINDOW w AS (PARTITION BY pos)), y0 AS (SELECT sample, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS y FROM sp)"""
@@ -78,17 +80,19 @@ def pls_vip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_frame(spark, [(i, float(v)) for i, v in enumerate(values)], "pos long, vip double"))
 
 
-@register("SELECT 3 AS components, 64e0 AS vip_squares")
-def pls_vip_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = gram.vip(gram.pls(gram.moments(spectra(spark, sf_dir))[None], _LVS))
-    return rounded(_frame(spark, [(_LVS, float((values**2).sum()))], "components int, vip_squares double"))
+@register(_STANDARD + _lv(1) + _lv(2) + """, s AS (SELECT s1.q ** 2 * s1.tt AS a, s2.q ** 2 * s2.tt AS b FROM s1 CROSS JOIN s2)
+SELECT pos, round(sqrt(64 * (w1.w ** 2 * a + w2.w ** 2 * b) / (a + b)), 6) AS vip FROM w1 JOIN w2 USING (pos) CROSS JOIN s""")
+def pls_vip_2lv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = gram.vip(gram.pls(gram.moments(spectra(spark, sf_dir))[None], 2))
+    return rounded(_frame(spark, [(i, float(v)) for i, v in enumerate(values)], "pos long, vip double"))
 
 
-@register()
+@register(_PR + ", r AS (SELECT sum(t * (y - (SELECT avg(y) FROM sp))) / sum(t * t) AS b FROM sc) SELECT sample, round((SELECT avg(y) FROM sp) + b * t, 6) AS predicted FROM sc CROSS JOIN r")
 def pcr_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spectra(spark, sf_dir)
-    model = gram.pcr(gram.moments(rows)[None], _LVS)
-    return rounded(rows.select("sample", model.predict(F.col("spectrum"), _LVS).alias("predicted")))
+    """One principal component of two channels."""
+    rows = two_channels(spark, sf_dir)
+    model = gram.pcr(gram.moments(rows)[None], 1)
+    return rounded(rows.select("sample", model.predict(F.col("spectrum"), 1).alias("predicted")))
 
 
 @register(f"WITH sp AS ({SPECTRA_SQL}), l AS (SELECT DISTINCT y FROM sp), f AS (SELECT y, CAST((dense_rank() OVER (ORDER BY y) - 1) % least(5, count(*) OVER ()) AS BIGINT) AS fold FROM l) SELECT sample, y, fold FROM sp JOIN f USING (y)")
@@ -136,7 +140,7 @@ def choose_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(validate.permutation_test(spark, validate.folds(spectra(spark, sf_dir), "kfold"), 1, n_perm=49))
+    return rounded(validate.permutation_test(spark, validate.folds(spectra(spark, sf_dir), "kfold"), 1))
 
 
 @register(f"WITH sp AS ({SPECTRA_SQL}) SELECT 2e0 AS leverage_sum, round(2e0 * (count(*) - 1), 6) AS t2_sum, true AS proportional FROM sp")
@@ -148,33 +152,55 @@ def leverage_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.agg(F.sum("leverage").alias("leverage_sum"), F.sum("t2").alias("t2_sum"), F.every(F.abs(F.col("t2") - (model.n - 1) * F.col("leverage")) < 1e-9).alias("proportional")))
 
 
-@register(_S + ", c AS (SELECT sample, v - avg(v) OVER (PARTITION BY pos) AS v FROM ch), n AS (SELECT sample, sum(v * v) AS norm FROM c GROUP BY sample) SELECT sample, round(norm, 6) AS norm FROM n")
+@register(_PR + " SELECT sample, round(t2, 6) AS t2, round(q, 6) AS q, round(leverage, 6) AS leverage FROM sc")
 def hotelling_t2_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample's residual and its scores' squares add up to its centred length."""
-    rows = spectra(spark, sf_dir)
-    model = outliers.fit(rows, 2)
-    s = outliers.distances(rows, model)
-    scores = [dot(F.zip_with("spectrum", gram.vector(model.mean), lambda v, c: v - c), gram.vector(model.loadings[:, k])) for k in range(2)]
-    return rounded(s.select("sample", (F.col("q") + scores[0] * scores[0] + scores[1] * scores[1]).alias("norm")))
+    """Distances in and off a model of one component of two channels."""
+    rows = two_channels(spark, sf_dir)
+    return rounded(outliers.distances(rows, outliers.fit(rows, 1)).select("sample", "t2", "q", "leverage"))
 
 
-@register()
+#: Quantiles of chi-squared at 0.95 by degrees of freedom, of which two distances of one component have few.
+_CHI = ", ".join(f"({k}, {dist.chi2_ppf(0.95, k)!r}::DOUBLE)" for k in range(1, 41))
+_LIMITS = f""", chi(dof, v) AS (VALUES {_CHI}), mm AS (SELECT avg(leverage) AS h0, var_samp(leverage) AS vh, avg(q) AS q0, var_samp(q) AS vq FROM sc{{where}}),
+li AS (SELECT h0, q0, least(250, greatest(1, round_even(2 * h0 * h0 / vh, 0))) AS nh, least(250, greatest(1, round_even(2 * q0 * q0 / vq, 0))) AS nq FROM mm),
+fu AS (SELECT sample, grp, nh * leverage / h0 + nq * q / q0 AS f, v AS critical FROM sc CROSS JOIN li JOIN chi ON dof = CAST(nh + nq AS INT))"""
+
+
+@register(_PR + _LIMITS.format(where="") + " SELECT sample, round(f, 6) AS f, f <= critical AS accepted FROM fu")
 def ddsimca_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of both distances give their degrees of freedom."""
+    rows = two_channels(spark, sf_dir)
+    scored = outliers.distances(rows, outliers.fit(rows, 1))
+    return rounded(outliers.accept(scored, outliers.acceptance(scored, gamma=None)).select("sample", "f", "accepted"))
+
+
+@register()
+def ddsimca_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles in place of moments, over all channels."""
     rows = spectra(spark, sf_dir)
     scored = outliers.distances(rows, outliers.fit(rows, 2))
     return rounded(outliers.accept(scored, outliers.acceptance(scored, method="robust")).select("sample", "t2", "q", "leverage", "f", "kind"))
 
 
-@register()
+_OWN = PRINCIPAL_SQL.replace("mo AS (SELECT count(*) AS n", "mo AS (SELECT count(*) AS n").replace("FROM xy),\nev", "FROM xy WHERE grp = 0),\nev")
+
+
+@register(f"WITH sp AS ({SPECTRA_SQL}), {_OWN}" + _LIMITS.format(where=" WHERE grp = 0") + " SELECT sample, grp, round(f, 6) AS f, f <= critical AS accepted FROM fu")
 def oneclass_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model of one class judges every sample."""
-    rows = spectra(spark, sf_dir)
+    rows = two_channels(spark, sf_dir)
     own = rows.filter("grp = 0")
-    model = outliers.fit(own, 2)
-    limits = outliers.acceptance(outliers.distances(own, model))
+    model = outliers.fit(own, 1)
+    limits = outliers.acceptance(outliers.distances(own, model), gamma=None)
     return rounded(outliers.accept(outliers.distances(rows, model), limits).select("sample", "grp", "f", "accepted"))
 
 
+@register(_FOLDED + " SELECT 'logo' AS scheme, 'a new group' AS question, count(*) AS n, round(sqrt(avg((predicted - y) ** 2)), 6) AS rmsecv, 'INFO' AS severity FROM p")
+def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = validate.cross_validate(spectra(spark, sf_dir), 1, groups="grp")
+    return rounded(found.select("scheme", "question", "n", "rmsecv", "severity"))
+
+
 @register()
 def distance_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = outliers.fit(spectra(spark, sf_dir), 2)

@@ -21,9 +21,13 @@ def wavelength_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.wavelength_review(rows, "v", "r").select("id", "code", "source", "severity")
 
 
-@register("SELECT * FROM (VALUES (1, 'consistent', 'INFO'), (2, 'incomplete', 'WARN'), (3, 'not_listed', 'INFO')) t(id, code, severity)")
+_GROUP = "CASE s_suppkey % 5 WHEN 0 THEN 'P 21/c' WHEN 1 THEN 'C 2/c' WHEN 2 THEN 'P 6' WHEN 3 THEN 'P-1' ELSE 'P n m a' END"
+
+
+@register(f"""WITH s AS (SELECT s_suppkey AS id, {_GROUP} AS name, CAST(pow(2, s_suppkey % 4) AS INT) AS n FROM supplier), o(name, n) AS (VALUES ('P 21/c', 4), ('C 2/c', 8), ('P-1', 2))
+SELECT s.id, CASE WHEN o.name IS NULL AND s.name <> 'P n m a' THEN 'not_listed' WHEN s.n = coalesce(o.n, 8) THEN 'consistent' ELSE 'incomplete' END AS code, CASE WHEN (o.name IS NOT NULL OR s.name = 'P n m a') AND s.n <> coalesce(o.n, 8) THEN 'WARN' ELSE 'INFO' END AS severity FROM s LEFT JOIN o USING (name)""")
 def group_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM VALUES (1, 'P 21/c', 4), (2, 'C 2/c', 4), (3, 'P 6', 6) AS t(id, name, n)")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.expr(_GROUP).alias("name"), F.pow(F.lit(2), F.col("s_suppkey") % 4).cast("int").alias("n"))
     return review.group_review(rows, "name", "n").select("id", "code", "severity")
 
 
@@ -38,9 +42,16 @@ def _sites(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT idx, label, sym, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM {_SITES} AS t(idx, label, sym, x, y, z)")
 
 
-@register("SELECT * FROM (VALUES ('B', 'Fe', 2, 4), ('D', 'O', 2, 4)) t(label, sym, orbit, n_ops)")
+_QUARTERS = "SELECT p_partkey AS idx, 'P' || p_partkey AS label, 'C' AS sym, (p_partkey % 8) / 8e0 AS x, (p_partkey % 3) / 4e0 AS y, (p_partkey % 4) / 4e0 AS z FROM part"
+
+
+@register(f"""WITH a AS ({_QUARTERS}), i AS (SELECT label, sym, x, y, z FROM a UNION ALL SELECT label, sym, -x, -y, -z FROM a UNION ALL SELECT label, sym, -x, y + .5, -z + .5 FROM a UNION ALL SELECT label, sym, x, -y + .5, z + .5 FROM a)
+SELECT label, sym, CAST(count(DISTINCT [round((x + 8) * 8) % 8, round((y + 8) * 8) % 8, round((z + 8) * 8) % 8]) AS INT) AS orbit, 4 AS n_ops FROM i GROUP BY ALL HAVING count(DISTINCT [round((x + 8) * 8) % 8, round((y + 8) * 8) % 8, round((z + 8) * 8) % 8]) < 4""")
 def special_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.special_positions(_sites(spark), _ops(spark))
+    """Sites at eighths of a cell, one for each part."""
+    k = F.col("p_partkey")
+    sites = table(spark, sf_dir, "part").select(k.alias("idx"), F.concat(F.lit("P"), k).alias("label"), F.lit("C").alias("sym"), (k % 8 / 8).alias("x"), (k % 3 / 4).alias("y"), (k % 4 / 4).alias("z"))
+    return review.special_positions(sites, _ops(spark))
 
 
 _IMAGES = "VALUES ('A', .1, .2, .3), ('A', .9, .8, .7), ('A', -.1, .7, 1.2), ('A', .4, .4, .4), ('Z', 0.0, 0.0, 0.0)"
@@ -72,7 +83,9 @@ def _u(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM {_U} AS t(label, {', '.join(names)})").select("label", *[F.col(c).cast("double").alias(c) for c in names])
 
 
-@register("SELECT label, round(1.5381722544550522 * s, 6) AS short, round(1.5381722544550522 * l, 6) AS long FROM (VALUES ('A', .2, sqrt(.06)), ('B', sqrt(.015), sqrt(.025)), ('C', NULL, NULL)) t(label, s, l)")
+@register(f"""WITH u AS (SELECT label, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, CAST(d AS DOUBLE) AS d FROM ({_U}) t(label, a, b, c, d, e, f)),
+e AS (SELECT label, list_sort([(a + b) / 2 - sqrt(((a - b) / 2) ** 2 + d * d), (a + b) / 2 + sqrt(((a - b) / 2) ** 2 + d * d), c]) AS v FROM u)
+SELECT label, CASE WHEN v[1] > 1e-9 THEN round(1.5381722544550522 * sqrt(greatest(v[1], 0)), 6) END AS short, CASE WHEN v[1] > 1e-9 THEN round(1.5381722544550522 * sqrt(v[3]), 6) END AS long FROM e""")
 def displacement_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     axes = review.ellipsoid_axes(review.displacement(_u(spark), (5.0, 6.0, 7.0, 90.0, 90.0, 90.0)))
     return rounded(axes.select("label", F.get("axes", F.lit(0)).alias("short"), F.get("axes", F.lit(2)).alias("long")))
@@ -85,7 +98,11 @@ def _molecule(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT idx, label, sym, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, 1.0D AS occ, mol FROM {_MOL} AS t(idx, label, sym, x, y, z, mol)")
 
 
-@register("SELECT * FROM (VALUES ('C1'), ('O1'), ('H2'), ('N1')) t(label)")
+_NEAREST = f"""m AS (SELECT idx, label, sym, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM ({_MOL}) t(idx, label, sym, x, y, z, mol)),
+p AS (SELECT a.idx, a.label, a.sym, b.label AS other, b.sym AS os, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM m a JOIN m b ON a.idx <> b.idx)"""
+
+
+@register(f"WITH {_NEAREST}, h AS (SELECT idx, arg_min(os, d) AS s, min(d) AS d FROM p WHERE sym = 'H' AND os <> 'H' GROUP BY idx) SELECT label FROM m WHERE idx NOT IN (SELECT idx FROM h WHERE s = 'C' AND d > .4 AND d <= .76 + .31 + .4)")
 def without_carbon_hydrogens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.without_carbon_hydrogens(_molecule(spark)).select("label")
 
@@ -95,7 +112,7 @@ def packed_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.packed(_molecule(spark), "mol", (2, 2, 2)).select("label")
 
 
-@register("SELECT * FROM (VALUES ('C1'), ('H2')) t(label)")
+@register(f"WITH {_NEAREST} SELECT DISTINCT label FROM p WHERE other = 'O1' AND d <= 1.5")
 def surroundings(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _molecule(spark)
     return review.around(m, m.filter("label = 'O1'"), 1.5).select("label")
@@ -107,7 +124,7 @@ def verified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.verified(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"], 50, F.col("lang") == "de").select("doc_id")
 
 
-@register("SELECT 12 AS n, 72e0 AS total")
+@register("SELECT CAST(4 * count(*) AS INT) AS n, round(sum(4 * l), 6) AS total FROM (VALUES (5e0), (6e0), (7e0)) t(l)")
 def cell_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = review.cell_edges(spark, (5.0, 6.0, 7.0, 80.0, 95.0, 110.0))
     size = F.sqrt(sum((F.col(f"{c}2") - F.col(f"{c}1")) * (F.col(f"{c}2") - F.col(f"{c}1")) for c in "xyz"))
@@ -121,17 +138,26 @@ def mean_or_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(review.mean_or_points(rows, ["k"], "s_acctbal"))
 
 
-@register(_fit_sql(_DOCUMENTS, "lang") + "SELECT lang, n FROM m")
+def _four(v: str) -> str:
+    """Four significant digits."""
+    return f"round({v}, CAST(3 - floor(log10(abs({v}))) AS INT))"
+
+
+@register(_fit_sql(_DOCUMENTS, "lang") + f"""SELECT lang, n, {_four('b')} AS slope, {_four('r2')} AS r2, {_four('3.3 * s / abs(b)')} AS lod FROM m""")
 def calibration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentence's n is checked; its digits are formatted by the JVM."""
+    """Numbers read back from the sentence, which has four significant digits."""
     models = calibration.with_limits(calibration.fit(documents_by_lang(spark, sf_dir), ["lang"], "x", "y"))
     text = review.calibration_text(models, "lang")
-    return text.select("lang", F.regexp_extract("text", r"n = (\d+)", 1).cast("long").alias("n"))
+    read = lambda pattern: F.regexp_extract("text", pattern + r"(-?[0-9.]+)", 1).cast("double")
+    return text.select("lang", F.regexp_extract("text", r"n = (\d+)", 1).cast("long").alias("n"), *[read(p).alias(c) for c, p in (("slope", "y = "), ("r2", "R2 = "), ("lod", "LOD "))])
+
+
+_ASKED = "CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal / 10000 END AS asked, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal / 5000 END AS declared"
 
 
-@register("SELECT * FROM (VALUES (1, 1e0, 'setting'), (2, 71e-2, 'file'), (3, 15406e-4, 'default')) t(id, w, origin)")
+@register(f"SELECT id, coalesce(asked, declared, 1.5406::DOUBLE) AS w, CASE WHEN asked IS NOT NULL THEN 'setting' WHEN declared IS NOT NULL THEN 'file' ELSE 'default' END AS origin FROM (SELECT s_suppkey AS id, {_ASKED} FROM supplier)")
 def wavelength_used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM VALUES (1, 1.0D, 0.71D), (2, NULL, 0.71D), (3, NULL, NULL) AS t(id, asked, declared)")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), *[F.expr(e) for e in ("CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal / 10000 END AS asked", "CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal / 5000 END AS declared")])
     w, origin = review.wavelength_used(F.col("asked"), F.col("declared"))
     return rows.select("id", w.alias("w"), origin.alias("origin"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cif_field, cif_number
-from ..operators import design, graph, mixture, pattern, scattering, spatial, structure, validate
+from ..operators import design, graph, mixture, pattern, review, scattering, spatial, structure, validate
 from ..sources import readers, spc
 from .adapters import SPECTRA_SQL, rounded, spectra, table
 from .catalogue import register
@@ -40,18 +40,33 @@ def nnls_two_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mixture.unmix_two(_parents(spark, sf_dir), ["event_type"], "product", "a", "b"))
 
 
-@register(f"""WITH {_UNMIXED}, r AS (SELECT event_type, sqrt(sum((product - scale_a * a - scale_b * b) ** 2) / sum(product * product)) AS rwp FROM x JOIN w USING (event_type) GROUP BY 1)
-SELECT event_type, round(rwp, 6) AS rwp, CASE WHEN rwp <= .15 THEN 'sum_of_parents' ELSE 'new_signal' END AS verdict FROM r""")
+@register(f"""WITH {_UNMIXED}, e AS (SELECT event_type, h, product, product - scale_a * a - scale_b * b AS v FROM x JOIN w USING (event_type)),
+m AS (SELECT event_type, .05 * max(abs(product)) AS least, min(product) > 1e-3 * max(product) AS poisson, sqrt(sum(v ** 2) / sum(product ** 2)) AS ru, sqrt(sum(v ** 2 / greatest(product, 1e-6)) / sum(product ** 2 / greatest(product, 1e-6))) AS rp FROM e GROUP BY 1),
+k AS (SELECT event_type, h, v, lag(v) OVER o AS b, lead(v) OVER o AS n FROM e WINDOW o AS (PARTITION BY event_type ORDER BY h)),
+c AS (SELECT k.event_type, count(*) FILTER (v > b AND v > n AND v >= least) AS n_new, count(*) FILTER (-v > -b AND -v > -n AND -v >= least) AS n_lost, max(v) FILTER (v > b AND v > n AND v >= least) AS highest FROM k JOIN m USING (event_type) GROUP BY 1)
+SELECT event_type, CASE WHEN poisson THEN 'poisson' ELSE 'unit' END AS weight, round(CASE WHEN poisson THEN rp ELSE ru END, 6) AS rwp, CAST(n_new AS INT) AS n_new, CAST(n_lost AS INT) AS n_lost, round(highest, 6) AS highest,
+       CASE WHEN n_new > 0 THEN 'new_signal' ELSE 'sum_of_parents' END AS verdict FROM m JOIN c USING (event_type)""")
 def phase_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(mixture.phase_report(_parents(spark, sf_dir), ["event_type"], "product", "a", "b").select("event_type", "rwp", "verdict"))
-
-
-@register("SELECT 1e0 AS total, true AS none_negative")
+    rows = _parents(spark, sf_dir).withColumn("h", F.col("h").cast("long"))
+    found = mixture.phase_report(rows, ["event_type"], "product", "a", "b", "h")
+    highest = F.get("new_peaks", F.lit(0))["height"].alias("highest")
+    return rounded(found.select("event_type", "weight", "rwp", F.size("new_peaks").alias("n_new"), F.size("lost_peaks").alias("n_lost"), highest, "verdict"))
+
+
+@register("""WITH s AS (SELECT sum(l_quantity * l_quantity) AS aa, sum(l_quantity * l_discount) AS ab, sum(l_quantity * l_tax) AS ac, sum(l_discount * l_discount) AS bb, sum(l_discount * l_tax) AS bc, sum(l_tax * l_tax) AS cc,
+  sum(l_quantity * l_extendedprice) AS ay, sum(l_discount * l_extendedprice) AS bt, sum(l_tax * l_extendedprice) AS ct FROM lineitem),
+k AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det3, aa * bb - ab * ab AS dab, aa * cc - ac * ac AS dac, bb * cc - bc * bc AS dbc FROM s),
+w AS (SELECT (ay * dbc - ab * (bt * cc - bc * ct) + ac * (bt * bc - bb * ct)) / det3 AS a, (aa * (bt * cc - bc * ct) - ay * (ab * cc - bc * ac) + ac * (ab * ct - bt * ac)) / det3 AS b,
+        (aa * (bb * ct - bt * bc) - ab * (ab * ct - bt * ac) + ay * (ab * bc - bb * ac)) / det3 AS c FROM k
+  UNION ALL SELECT (ay * bb - bt * ab) / dab, (bt * aa - ay * ab) / dab, 0 FROM k UNION ALL SELECT (ay * cc - ct * ac) / dac, 0, (ct * aa - ay * ac) / dac FROM k UNION ALL SELECT 0, (bt * cc - ct * bc) / dbc, (ct * bb - bt * bc) / dbc FROM k
+  UNION ALL SELECT ay / aa, 0, 0 FROM k UNION ALL SELECT 0, bt / bb, 0 FROM k UNION ALL SELECT 0, 0, ct / cc FROM k),
+g AS (SELECT w.a, w.b, w.c, 2 * (w.a * ay + w.b * bt + w.c * ct) - (w.a ** 2 * aa + w.b ** 2 * bb + w.c ** 2 * cc + 2 * (w.a * w.b * ab + w.a * w.c * ac + w.b * w.c * bc)) AS gain FROM w CROSS JOIN s WHERE w.a >= 0 AND w.b >= 0 AND w.c >= 0)
+SELECT round(arg_max(a, gain) / arg_max(a + b + c, gain), 6) AS quantity, round(arg_max(b, gain) / arg_max(a + b + c, gain), 6) AS discount, round(arg_max(c, gain) / arg_max(a + b + c, gain), 6) AS tax FROM g""")
 def nnls_many_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of several parents are not negative and sum to one."""
+    """Shares of three parents: the best of the seven active sets."""
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
     parts = mixture.unmix(rows, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
-    return rounded(spark.createDataFrame([(sum(parts.values()), min(parts.values()) >= 0)], "total double, none_negative boolean"))
+    return rounded(spark.createDataFrame([tuple(float(parts[f"l_{c}"]) for c in ("quantity", "discount", "tax"))], "quantity double, discount double, tax double"))
 
 
 _MAXIMA = """, q AS (SELECT *, lag(v) OVER o AS b, lead(v) OVER o AS n FROM {rows} WINDOW o AS (PARTITION BY {key} ORDER BY h)) SELECT {out} FROM q WHERE v > b AND v > n AND v >= {least}"""
@@ -85,24 +100,51 @@ def ionisation_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.withColumn("gap", gap).withColumn("zone", zone))
 
 
-_SHAPES = "SELECT n_nationkey AS id, (n_nationkey * 7 % 10) / 10.0 AS short, (n_nationkey * 3 % 10) / 10.0 AS middle, n_nationkey % 9 * 1.0 AS dipole FROM nation"
+_SHAPES = "SELECT p_partkey AS id, CAST(p_partkey * 37 % 1000 AS DOUBLE) / 100 AS short, CAST(p_partkey * 91 % 1000 AS DOUBLE) / 100 AS middle, CAST(p_size AS DOUBLE) AS dipole FROM part"
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(n.alias("id"), ((n * 37 % 1000).cast("double") / 100).alias("short"), ((n * 91 % 1000).cast("double") / 100).alias("middle"), F.col("p_size").cast("double").alias("dipole"))
 
 
-@register(f"WITH s AS ({_SHAPES}) SELECT l.id AS l_id, r.id AS r_id FROM s l JOIN s r ON l.id < r.id AND abs(l.short - r.short) <= .20000001 AND abs(l.middle - r.middle) <= .20000001 AND abs(l.dipole - r.dipole) <= 4")
+@register(f"WITH s AS ({_SHAPES}) SELECT l.id AS l_id, r.id AS r_id FROM s l JOIN s r ON l.id < r.id AND abs(l.short - r.short) <= .2::DOUBLE AND abs(l.middle - r.middle) <= .2::DOUBLE AND abs(l.dipole - r.dipole) <= 4")
 def complementarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_nationkey")
-    s = table(spark, sf_dir, "nation").select(n.alias("id"), F.round((n * 7 % 10) / 10 - 0.00000001 * (n % 2), 9).alias("short"), F.round((n * 3 % 10) / 10 - 0.00000001 * (n % 2), 9).alias("middle"), (n % 9).cast("double").alias("dipole"))
-    s = s.withColumns({"short": F.round("short", 4), "middle": F.round("middle", 4)})
-    # nations are 25 rows; in general molecules are joined in buckets of their descriptors
-    pairs = s.alias("l").join(s.alias("r"), (F.col("l.id") < F.col("r.id")) & (F.round(F.abs(F.col("l.short") - F.col("r.short")), 6) <= 0.2) & (F.round(F.abs(F.col("l.middle") - F.col("r.middle")), 6) <= 0.2) & (F.abs(F.col("l.dipole") - F.col("r.dipole")) <= 4))
-    return pairs.select(F.col("l.id").alias("l_id"), F.col("r.id").alias("r_id"))
+    s = _shapes(spark, sf_dir)
+    return mixture.complementary_pairs(s, s).filter("l.id < r.id").select(F.col("l.id").alias("l_id"), F.col("r.id").alias("r_id"))
+
+
+@register("SELECT p_brand, count(*) AS n, round(median(p_retailprice), 6) AS price_median, round(stddev_pop(p_retailprice), 6) AS price_sd, round(median(p_size), 6) AS size_median, round(stddev_pop(p_size), 6) AS size_sd FROM part GROUP BY 1")
+def conformer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand as the conformers of a molecule."""
+    rows = table(spark, sf_dir, "part").select("p_brand", F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
+    return rounded(mixture.conformer_summary(rows, ["p_brand"], ["price", "size"]))
+
 
+#: Functional groups: a supplier's part of a nation pair is a donor group, a customer an acceptor group.
+_GROUPS = """d AS (SELECT s_nationkey % 5 AS pair, CAST(s_nationkey % 2 AS VARCHAR) AS molecule, s_name AS label, s_acctbal AS score FROM supplier),
+a AS (SELECT c_nationkey % 5 AS pair, CAST(c_nationkey % 2 AS VARCHAR) AS molecule, c_name AS label, c_acctbal AS score FROM customer),
+j AS (SELECT d.pair, d.score + a.score AS s, d.label AS dl, a.label AS al, d.molecule <> a.molecule AS hetero FROM d JOIN a USING (pair)),
+bp AS (SELECT pair, max(s) AS score, arg_max(dl, s) AS donor, arg_max(al, s) AS acceptor, coalesce(max(s) FILTER (hetero) > 0 AND max(s) FILTER (hetero) >= coalesce(max(s) FILTER (NOT hetero), '-infinity'::DOUBLE), false) AS hetero_favoured FROM j GROUP BY pair)"""
 
-@register("SELECT 75e-1 AS score, 'OH' AS donor, 'N' AS acceptor, true AS hetero_favoured")
+
+def _pairings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = lambda name, p: table(spark, sf_dir, name).select((F.col(f"{p}_nationkey") % 5).alias("pair"), (F.col(f"{p}_nationkey") % 2).cast("string").alias("molecule"), F.col(f"{p}_name").alias("label"), F.col(f"{p}_acctbal").alias("score"))
+    return mixture.best_pairing(side("supplier", "s"), side("customer", "c"), ["pair"])
+
+
+@register(f"WITH {_GROUPS} SELECT pair, round(score, 6) AS score, donor, acceptor, hetero_favoured FROM bp")
 def hbond_competition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.sql("SELECT * FROM VALUES ('a', 'OH', 4.0D), ('b', 'NH', 2.5D), ('a', 'CH', 0.5D) AS t(molecule, label, score)")
-    a = spark.sql("SELECT * FROM VALUES ('a', 'O', 2.0D), ('b', 'N', 3.5D) AS t(molecule, label, score)")
-    return mixture.best_pairing(d, a)
+    return rounded(_pairings(spark, sf_dir))
+
+
+@register(f"""WITH {_GROUPS}, s AS ({_SHAPES}), p AS (SELECT l.id AS pair, l.dipole / 5 AS acid, r.dipole / 5 AS base, abs(l.short - r.short) <= .2::DOUBLE AND abs(l.middle - r.middle) <= .2::DOUBLE AND abs(l.dipole - r.dipole) <= 4 AS complementary FROM s l JOIN s r ON r.id = l.id + 100)
+SELECT p.pair, round(base - acid, 6) AS pka_gap, CASE WHEN base - acid > 3 THEN 'salt' WHEN base - acid < 0 THEN 'cocrystal' ELSE 'continuum' END AS zone, complementary, CAST(hetero_favoured AS VARCHAR) AS hetero_favoured FROM p LEFT JOIN bp ON bp.pair = p.pair""")
+def predictor_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _shapes(spark, sf_dir)
+    l, r = s.select(F.struct("*").alias("l")), s.select(F.struct("*").alias("r"))
+    pairs = l.join(r, F.col("r.id") == F.col("l.id") + 100).select(F.col("l.id").alias("pair"), (F.col("l.dipole") / 5).alias("pka_acid"), (F.col("r.dipole") / 5).alias("pka_base"), "l", "r")
+    return rounded(mixture.predictors(pairs, _pairings(spark, sf_dir)).select("pair", "pka_gap", "zone", "complementary", F.col("hetero_favoured").cast("string").alias("hetero_favoured")))
 
 
 # --- patterns: a cubic cell of 5 angstrom
@@ -257,10 +299,14 @@ def disorder_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(spark.sql("SELECT * FROM VALUES ('A', 'B'), ('B', 'C'), ('X', 'Y') AS e(src, dst)"))
 
 
-@register("SELECT node, shell FROM (VALUES (1, 0), (2, 1), (5, 1), (3, 2)) t(node, shell)")
+@register("""WITH e AS (SELECT o_custkey AS u, -(o_orderkey % 40) - 1 AS v FROM orders WHERE o_custkey <= 60), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+s0 AS (SELECT min(u) AS node FROM e), s1 AS (SELECT DISTINCT v AS node FROM b JOIN s0 ON u = node WHERE v NOT IN (SELECT node FROM s0)),
+s2 AS (SELECT DISTINCT v AS node FROM b JOIN s1 ON u = node WHERE v NOT IN (SELECT node FROM s0 UNION ALL SELECT node FROM s1))
+SELECT node, 0 AS shell FROM s0 UNION ALL SELECT node, 1 FROM s1 UNION ALL SELECT node, 2 FROM s2""")
 def growth_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.sql("SELECT * FROM VALUES (1, 2), (2, 3), (3, 4), (1, 5) AS e(src, dst)")
-    return graph.shells(edges, spark.sql("SELECT 1 AS node"), 2)
+    """Customers and groups of their orders as a graph, grown two steps from the first customer."""
+    edges = table(spark, sf_dir, "orders").filter("o_custkey <= 60").select(F.col("o_custkey").alias("src"), (-(F.col("o_orderkey") % 40) - 1).alias("dst"))
+    return graph.shells(edges, edges.agg(F.min("src").alias("node")), 2)
 
 
 @register("SELECT DISTINCT donor, hydrogen, acceptor, kind, strength FROM (VALUES ('O2', 'H1', 'O3', 'hbond', 'moderate'), ('O2', 'H1', 'O1', 'bent', 'strong')) t(donor, hydrogen, acceptor, kind, strength)")
@@ -269,10 +315,11 @@ def hbonds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.hydrogen_bonds(atoms).select("donor", "hydrogen", "acceptor", "kind", "strength")
 
 
-@register("SELECT CAST(d AS DOUBLE) AS d FROM (VALUES (2.70), (2.90)) t(d)")
+@register("SELECT p_partkey, p_retailprice AS d FROM part WHERE EXISTS (SELECT 1 FROM supplier WHERE abs(s_acctbal - p_retailprice) < .03::DOUBLE)")
 def xref_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spark.sql("SELECT * FROM VALUES (2.70D), (2.80D), (2.90D) AS t(d)")
-    return structure.matching(found, spark.sql("SELECT * FROM VALUES (2.72D), (2.89D), (3.5D) AS t(d)"), "d")
+    """Prices with a balance within three hundredths."""
+    found = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("d"))
+    return structure.matching(found, table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("d")), "d")
 
 
 @register(f"WITH {_A} SELECT DISTINCT sym FROM a WHERE sym NOT IN ('H', 'C', 'O')")
@@ -349,12 +396,36 @@ def fold_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(rows.filter("fold in (0, 1)").select("sample"), "sample", "left_anti").select("sample")
 
 
-@register("SELECT 'INFO' AS severity, 2 AS n")
+_FINDING = "CASE WHEN l_discount > .09 AND l_tax > .07 THEN 'FAIL' WHEN l_discount > .08 THEN 'WARN' ELSE 'INFO' END"
+
+
+@register(f"WITH f AS (SELECT l_suppkey, {_FINDING} AS s FROM lineitem) SELECT l_suppkey, CASE WHEN bool_or(s = 'FAIL') THEN 'FAIL' WHEN bool_or(s = 'WARN') THEN 'WARN' ELSE 'INFO' END AS severity, count(*) AS n FROM f GROUP BY 1")
 def gate_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The worst severity of some findings."""
-    rows = spark.sql("SELECT * FROM VALUES ('INFO'), ('INFO') AS f(severity)")
-    rank = F.create_map(F.lit("INFO"), F.lit(0), F.lit("WARN"), F.lit(1), F.lit("FAIL"), F.lit(2))
-    return rows.agg(F.max_by("severity", F.element_at(rank, F.col("severity"))).alias("severity"), F.count("*").cast("int").alias("n"))
+    """The worst severity of each supplier's findings."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.expr(_FINDING).alias("severity"))
+    return review.worst(rows, ["l_suppkey"])
+
+
+_CELLS = """SELECT p_partkey, 500.0 + p_partkey % 300 AS volume, 300.0 + p_partkey % 97 AS mass, 150.0 + p_partkey % 50 AS electrons, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 2.0 + p_partkey % 3 END AS z,
+ CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 90.0 + p_partkey % 41 END AS weight, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(1.66 AS DOUBLE) * (300.0 + p_partkey % 97 + p_partkey % 4 * 12) / (500.0 + p_partkey % 300) END AS density,
+ CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 150.0 + p_partkey % 61 END AS f000, 8.0 + p_partkey % 5 AS c, 4.0 + p_partkey % 7 AS o, p_partkey % 8 <> 0 AS has_formula FROM part"""
+_CLOSE = "coalesce(abs(({0} - density) / nullif(density, 0)) < .03, false)"
+
+
+@register(f"""WITH s AS ({_CELLS}), d AS (SELECT *, 1.66054 * mass / volume AS d1, 1.66042 * weight * z / volume AS d2, CASE WHEN has_formula THEN 12.011 * 4 + 15.999 * 2 END AS fw FROM s),
+k AS (SELECT *, {_CLOSE.format('d1')} AS ok1, {_CLOSE.format('d2')} AS ok2, coalesce(fw > 0 AND abs(fw - weight) / weight > .01, false) AS off,
+ coalesce(has_formula AND z > 0 AND abs(c - 4 * z) <= greatest(.05 * 4 * z, .15) AND abs(o - 2 * z) <= greatest(.05 * 2 * z, .15), false) AS match, coalesce(has_formula AND z > 0 AND c + o < 6 * z - .5, false) AS short FROM d),
+b AS (SELECT *, CASE WHEN density IS NULL THEN 'not_declared' WHEN ok1 AND (ok2 OR d2 IS NULL) THEN 'consistent' WHEN d2 IS NOT NULL AND ok1 AND NOT ok2 THEN 'declared_off' WHEN NOT ok1 AND off AND match THEN 'weight_off'
+ WHEN NOT ok1 AND short THEN 'atoms_missing' WHEN NOT ok1 AND match AND d2 IS NOT NULL AND ok2 THEN 'expansion_wrong' WHEN NOT ok1 THEN 'cell_off' ELSE 'pass' END AS branch, density / d2 AS r, coalesce(abs(electrons - f000) / f000 > .05, false) AS f000_off FROM k),
+a AS (SELECT *, CASE WHEN r IS NULL THEN NULL WHEN r < .9 OR r > 1.1 THEN 'A' WHEN r < .95 OR r > 1.05 THEN 'B' WHEN r < .99 OR r > 1.01 THEN 'C' END AS alert FROM b)
+SELECT p_partkey, round(d1, 6) AS density_cell, round(d2, 6) AS density_formula, branch, alert, f000_off, CASE WHEN branch = 'expansion_wrong' THEN 'FAIL' WHEN branch IN ('declared_off', 'weight_off', 'atoms_missing', 'cell_off') OR coalesce(alert IN ('A', 'B'), false) OR f000_off THEN 'WARN' ELSE 'INFO' END AS severity FROM a""")
+def density_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up cells of carbon and oxygen, one for each part, of which some lack what is declared."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    s = spark.sql(_CELLS)
+    s = s.select(*[F.col(c).cast("double").alias(c) if c != "p_partkey" else F.col(c) for c in ("p_partkey", "volume", "mass", "electrons", "z", "weight", "density", "f000", "c", "o")], "has_formula")
+    s = s.withColumn("counts", F.create_map(F.lit("C"), "c", F.lit("O"), "o")).withColumn("formula", F.when(F.col("has_formula"), F.create_map(F.lit("C"), F.lit(4.0), F.lit("O"), F.lit(2.0))))
+    return rounded(structure.density_review(s).select("p_partkey", "density_cell", "density_formula", "branch", "alert", "f000_off", "severity"))
 
 
 # --- calculated intensities and binary spectra

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +23,27 @@ def read_xy(spark: SparkSession, path: str) -> DataFrame:
     return parse_xy(spark.read.text(path).withColumn("file", F.input_file_name()))
 
 
-def read_calibration(spark: SparkSession, path: str) -> DataFrame:
-    """conc, signal from the first two columns of CSV files; header and other lines without two numbers are skipped."""
+def read_calibration(spark: SparkSession, path: str, least: int = 1) -> DataFrame:
+    """conc, signal from the first two columns of CSV files; header and other lines without two numbers are skipped.
+
+    Files of fewer than `least` such lines are refused: their rows are left out. A line with errors needs three.
+    """
     raw = spark.read.csv(path, schema="a string, b string", mode="PERMISSIVE")
     rows = raw.select(F.trim("a").try_cast("double").alias("conc"), F.trim("b").try_cast("double").alias("signal"), F.input_file_name().alias("file"))
-    return rows.filter("conc is not null and signal is not null")
+    rows = rows.filter("conc is not null and signal is not null")
+    enough = rows.groupBy("file").count().filter(F.col("count") >= least).select("file")
+    return rows.join(enough, "file", "left_semi").select("conc", "signal", "file")
 
 
 def file_gate(spark: SparkSession, path: str, least: int = SMALLEST_FILE) -> DataFrame:
-    """A row per file: path, length, severity."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.when(F.col("length") < least, "FAIL").otherwise("INFO").alias("severity"))
+    """A row per file: path, length, severity. Where there is no file, one row that fails, with a null length."""
+    none = spark.createDataFrame([(path, None, "FAIL")], "path string, length long, severity string")
+    try:
+        found = spark.read.format("binaryFile").load(path)
+        empty = found.isEmpty()
+    except AnalysisException:
+        return none
+    return none if empty else found.select("path", "length", F.when(F.col("length") < least, "FAIL").otherwise("INFO").alias("severity"))
 
 
 # The tags of a structure's identity, first choice first.
@@ -111,12 +123,35 @@ def formula_counts(formula: Column) -> Column:
     return F.map_from_arrays(names, counts)
 
 
+def json_properties(texts: DataFrame, text: str, schema: str) -> DataFrame:
+    """The first record of PropertyTable.Properties as columns of `schema`, null where there is none."""
+    found = F.get(F.from_json(F.col(text), f"struct<PropertyTable:struct<Properties:array<struct<{schema}>>>>")["PropertyTable"]["Properties"], F.lit(0))
+    return texts.withColumn("__p", found).select(*[c for c in texts.columns if c != text], "__p.*")
+
+
+def structure_url(base: str, code: Column) -> Column:
+    return F.concat(F.lit(base + "/"), F.url_encode(code.cast("string")), F.lit(".cif"))
+
+
+def property_url(base: str, name: Column, properties: list[str]) -> Column:
+    return F.concat(F.lit(base + "/"), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")), F.lit("/property/" + ",".join(properties) + "/JSON"))
+
+
 def search_url(base: str, elements: list[str], **more: str) -> str:
     from urllib.parse import urlencode
 
     return f"{base}?{urlencode({f'el{i}': e for i, e in enumerate(elements, 1)} | more)}"
 
 
+def write_hydrogen_bonds(found: DataFrame, path: str) -> None:
+    """Asserted bonds, then contacts, with the columns of a table for people."""
+    from ..operators.structure import bonds_and_contacts
+
+    columns = {"donor": "D", "hydrogen": "H", "acceptor": "A", "ha": "H..A/A", "da": "D..A/A", "angle": "angle/deg", "strength": "class"}
+    rows = bonds_and_contacts(found).orderBy(F.desc("asserted"), "donor", "hydrogen", "acceptor")
+    write_csv(rows.select(*[F.col(a).alias(b) for a, b in columns.items()]), path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV files with a header; a table of results for people, in the order of its columns."""
     df.write.mode("overwrite").option("header", True).csv(path)

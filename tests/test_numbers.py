@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayflow.functions import dist, savgol
-from assayflow.operators import baseline, calibration, gram, mixture, outliers, pattern, preprocess, stats, structure, validate
+from assayflow.operators import baseline, calibration, gram, mixture, outliers, pattern, preprocess, review, stats, structure, traces, validate
 
 LINE = [(0.6, 2.131), (0.8, 2.850), (1.0, 3.521), (1.2, 3.913), (1.4, 4.601)]
 
@@ -212,3 +212,84 @@ def test_elements_and_cells(spark):
     m = structure.cartesian((6.1, 7.2, 8.3, 70, 80, 100))
     v = spark.range(1).select(structure.cell_volume(*[F.lit(float(x)) for x in (6.1, 7.2, 8.3, 70, 80, 100)])).first()[0]
     assert np.linalg.det(m) == pytest.approx(v)
+
+
+def test_acceptance_without_a_spread_and_by_its_root(spark):
+    flat = spark.createDataFrame([(0.25, 1.0)] * 6, "leverage double, q double")
+    for method in ("classical", "robust"):
+        a = outliers.acceptance(flat, method=method)
+        assert (a.nh, a.nq) == (1, 1) and a.h0 == pytest.approx(0.25) and a.critical == pytest.approx(dist.chi2_ppf(0.95, 2))
+    for dof in (1, 3, 17):
+        iqr, median = dist.chi2_ppf(0.75, dof) - dist.chi2_ppf(0.25, dof), dist.chi2_ppf(0.5, dof)
+        assert outliers._robust_dof(median, iqr) == (dof, pytest.approx(dof))
+    assert outliers._robust_dof(1.0, 1e-9)[0] == 250 and outliers._robust_dof(1.0, 50.0)[0] == 1 and outliers._robust_dof(0.0, 0.0) == (1, 1e-12)
+    empty = spark.createDataFrame([(0.1, 1e-15), (0.3, 0.0), (0.2, 1e-14)], "leverage double, q double")
+    a = outliers.acceptance(empty, gamma=None)
+    assert a.nq == 0 and math.isinf(a.q0) and math.isinf(a.outlier)
+    assert {r.kind for r in outliers.accept(empty, a).collect()} <= {"regular", "extreme"}
+
+
+def test_phase_verdict_goes_by_new_peaks_and_not_by_the_residual(spark):
+    grid = np.arange(5, 40, 0.05)
+    peak = lambda at, h: h * np.exp(-(((grid - at) / 0.5) ** 2))
+    a, b = peak(10, 1) + peak(20, 0.6) + peak(30, 0.4), peak(15, 0.8) + peak(25, 1) + peak(35, 0.5)
+    wide = 0.3 * np.exp(-(((grid - 22) / 60.0) ** 2)) + 0.3
+    made = {"mixture": 0.7 * a + 0.3 * b, "new": 0.7 * a + 0.3 * b + peak(12.5, 0.12), "raised": 0.7 * a + 0.3 * b + wide}
+    rows = [(k, float(x), float(y), float(u), float(v)) for k, ys in made.items() for x, y, u, v in zip(grid, ys, a, b)]
+    found = {r.k: r for r in mixture.phase_report(spark.createDataFrame(rows, "k string, x double, y double, a double, b double"), ["k"], "y", "a", "b", weight="unit").collect()}
+    assert found["mixture"].verdict == "sum_of_parents" and found["mixture"].part_a == pytest.approx(0.7, abs=1e-6) and found["mixture"].new_peaks == []
+    assert found["new"].verdict == "new_signal" and found["new"].rwp < 0.15 and found["new"].new_peaks[0].x == pytest.approx(12.5, abs=0.06)
+    assert found["raised"].rwp > 0.15
+
+
+def test_refined_errors_of_a_nearly_perfect_line(spark):
+    rows = [("g", float(x), 1e6 + 3.0 * x + (1e-7 if x % 2 else -1e-7)) for x in range(20)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    m = calibration.refined(df, calibration.fit(df, ["g"], "x", "y"), ["g"], "x", "y").first()
+    assert 0 < m.s_resid < 1e-6 and m.r2 == pytest.approx(1.0) and m.n == 20
+
+
+def test_ratios_of_a_perfect_prediction(spark):
+    r = stats.spread_ratios(spark.createDataFrame([("a", 1.0), ("a", 3.0)], "g string, y double"), ["g"], "y", F.lit(0.0)).first()
+    assert math.isinf(r.rpd) and math.isinf(r.rpiq)
+    fit = stats.fit_stats(spark.createDataFrame([("a", 2.0, 2.0), ("a", 2.0, 3.0), ("a", None, 1.0)], "g string, y double, p double"), ["g"], "y", "p").first()
+    assert fit.n == 2 and fit.r2 is None and fit.rmse == pytest.approx(math.sqrt(0.5))
+
+
+def test_band_metrics_ignore_a_sloping_background(spark):
+    grid = np.arange(100.0, 200.0, 1.0)
+    band = np.exp(-(((grid - 150) / 6) ** 2))
+    rows = [(0, band.tolist()), (1, (band + 0.02 * grid + 3).tolist())]
+    anchors = traces.locked_anchors(band + 1e-4 * np.abs(grid - 150), grid, 150, 12, 40)
+    assert traces.auto_windows(band, grid, [(150, "b")], gap=12, most=40)[0][2] == "b"
+    got = spark.createDataFrame(rows, "k int, spectrum array<double>").select("k", *[v.alias(n) for n, v in traces.band_metrics(grid, anchors, 150).items()]).orderBy("k").collect()
+    assert got[0].deriv2 == pytest.approx(got[1].deriv2, abs=1e-9) and got[0].area == pytest.approx(6 * math.sqrt(math.pi), rel=0.02) and got[1].height == pytest.approx(got[0].height, abs=0.05)
+    with pytest.raises(ValueError):
+        traces.locked_anchors(band, grid, 500)
+
+
+def test_cross_validation_names_its_question(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=6).tolist(), float(i % 4), i % 4) for i in range(24)]
+    df = spark.createDataFrame(rows, "sample int, spectrum array<double>, y double, grp int")
+    loo, kfold, logo = (validate.cross_validate(df, 2, **o).first() for o in ({}, {"scheme": "kfold"}, {"groups": "grp"}))
+    assert (loo.scheme, loo.code, loo.severity) == ("loo", "levels_repeat", "WARN") and (kfold.scheme, kfold.code) == ("kfold", "ok") and logo.scheme == "logo"
+    assert loo.n == kfold.n == logo.n == 24
+    with pytest.raises(ValueError):
+        validate.cross_validate(df, 2, "other")
+
+
+def test_density_branches_and_strict_gate(spark):
+    base = {"volume": 1000.0, "mass": 600.0, "electrons": 100.0, "counts": {"C": 40.0, "O": 20.0}, "formula": {"C": 20.0, "O": 10.0}, "weight": 300.0, "z": 2.0, "density": 0.996, "f000": 100.0}
+    cases = {
+        "consistent": {}, "not_declared": {"density": None}, "declared_off": {"weight": 500.0}, "weight_off": {"mass": 700.0, "weight": 300.0}, "atoms_missing": {"mass": 400.0, "counts": {"C": 20.0}, "weight": 400.21},
+        "expansion_wrong": {"mass": 900.0, "formula": {"H": 1.0}, "counts": {"H": 2.0}, "weight": 1.008, "density": 1.66042 * 1.008 * 2 / 1000}, "cell_off": {"mass": 700.0, "formula": None},
+    }
+    kind = "want string, volume double, mass double, electrons double, counts map<string,double>, formula map<string,double>, weight double, z double, density double, f000 double"
+    rows = [(want, *[(base | change)[k] for k in base]) for want, change in cases.items()]
+    for r in structure.density_review(spark.createDataFrame(rows, kind)).collect():
+        assert r.branch == r.want and (r.severity == "FAIL") == (r.want == "expansion_wrong")
+    findings = spark.createDataFrame([("a", "INFO"), ("a", "WARN"), ("b", "FAIL")], "g string, severity string")
+    assert {r.g: r.severity for r in review.worst(findings, ["g"]).collect()} == {"a": "WARN", "b": "FAIL"}
+    with pytest.raises(Exception, match="gate failed: b"):
+        review.worst(findings, ["g"], strict=True).collect()

@@ -19,6 +19,28 @@ def test_calibration_csv(spark, tmp_path):
     assert sorted((r.conc, r.signal) for r in readers.read_calibration(spark, str(tmp_path)).collect()) == [(1.0, 2.0), (3.0, 6.5)]
 
 
+def test_calibration_files_of_too_few_lines_are_refused(spark, tmp_path):
+    for name, text in (("a", "1,2\n2,3\n"), ("b", "x,y\n1,2\n2,3\n3,5\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    assert sorted(r.conc for r in readers.read_calibration(spark, str(tmp_path), least=3).collect()) == [1.0, 2.0, 3.0]
+
+
+def test_file_gate_and_properties_and_urls(spark, tmp_path):
+    r = readers.file_gate(spark, str(tmp_path / "none" / "x.cif")).first()
+    assert r.severity == "FAIL" and r.length is None
+    texts = spark.createDataFrame([('{"PropertyTable": {"Properties": [{"CID": 7, "Name": "a b"}, {"CID": 8}]}}',), ("{}",), (None,)], "text string")
+    assert [(r.CID, r.Name) for r in readers.json_properties(texts, "text", "CID:int,Name:string").collect()] == [(7, "a b"), (None, None), (None, None)]
+    urls = texts.limit(1).select(readers.structure_url("http://x/cif", F.lit(12)).alias("a"), readers.property_url("http://x/name", F.lit("a b"), ["P", "Q"]).alias("b")).first()
+    assert tuple(urls) == ("http://x/cif/12.cif", "http://x/name/a%20b/property/P,Q/JSON")
+
+
+def test_hydrogen_bond_sink_lists_bonds_then_contacts(spark, tmp_path):
+    rows = [("D1", "H1", "A1", 2.9, 1.9, 170.0, kind, "moderate") for kind in ("contact", "hbond", "bent")]
+    found = spark.createDataFrame(rows, "donor string, hydrogen string, acceptor string, da double, ha double, angle double, kind string, strength string")
+    readers.write_hydrogen_bonds(found.coalesce(1), str(tmp_path / "h"))
+    assert spark.read.csv(str(tmp_path / "h"), header=True).count() == 2
+
+
 CIF = """data_one
 _cell_length_a 10.0(2)
 _chemical_name_common 'Two atoms'
