@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite, ratio
 from ..functions.dist import t_quantile, t_two_sided
+from . import ranks
 
 CONFIDENCE = 0.95
 MAD_LIMIT = 3.5
@@ -22,32 +23,64 @@ def summarize(df: DataFrame, by: list[str], value: str, with_ci: bool = True, co
     return out.withColumn("half_width", t_quantile(0.5 + confidence / 2, F.col("n") - 1) * F.col("sem")) if with_ci else out
 
 
-def mad_flags(df: DataFrame, by: list[str], value: str, limit: float = MAD_LIMIT) -> DataFrame:
+def mad_flags(df: DataFrame, by: list[str], value: str, limit: float = MAD_LIMIT, large_groups: bool = False) -> DataFrame:
     """df with median, scale, z and flagged (z > limit). Medians are of finite values; others are never flagged.
 
+    large_groups: medians by ranks over slices, for groups whose values no task should hold; the result is the same.
     Scale is 1.4826 x the median absolute deviation or, where that is 0, 1.2533 x the mean absolute deviation.
     """
     v = F.col(value).cast("double")
     good = F.when(finite(v), v)
-    centre = df.groupBy(*by).agg(F.percentile(good, 0.5).alias("median"), F.count(good).alias("n_finite"))
+    if large_groups:
+        middle = ranks.quantiles(df.select(*by, good.alias("__good")), by, "__good", [0.5])
+        centre = _join(df.groupBy(*by).agg(F.count(good).alias("n_finite")), middle.select(*by, F.col("q0").alias("median")), by, "left")
+    else:
+        centre = df.groupBy(*by).agg(F.percentile(good, 0.5).alias("median"), F.count(good).alias("n_finite"))
     rows = _join(df, centre, by)
     off = F.abs(good - F.col("median"))
-    scale = rows.groupBy(*by).agg(F.percentile(off, 0.5).alias("mad"), F.avg(off).alias("mean_off"))
+    if large_groups:
+        middle = ranks.quantiles(rows.select(*by, off.alias("__off")), by, "__off", [0.5])
+        scale = _join(rows.groupBy(*by).agg(F.avg(off).alias("mean_off")), middle.select(*by, F.col("q0").alias("mad")), by, "left")
+    else:
+        scale = rows.groupBy(*by).agg(F.percentile(off, 0.5).alias("mad"), F.avg(off).alias("mean_off"))
     scale = scale.withColumn("scale", F.when(F.col("mad") > 0, MAD_FACTOR * F.col("mad")).otherwise(MEAN_FACTOR * F.col("mean_off"))).drop("mad", "mean_off")
     rows = _join(rows, scale, by).withColumn("z", ratio(off, F.col("scale")))
     return rows.withColumn("flagged", F.coalesce(F.col("z") > limit, F.lit(False))).withColumn("few", F.col("n_finite") < 5)
 
 
-def _join(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
-    return df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # without keys stats is one row
+def _join(df: DataFrame, stats: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    return df.join(stats, by, how) if by else df.crossJoin(F.broadcast(stats))  # without keys stats is one row
+
+
+def _adjust_one_family(df: DataFrame, p: str, method: str) -> DataFrame:
+    """adjust_pvalues() over all rows as one family: steps and their running extremes slice by slice."""
+    if method not in ("holm", "bh"):
+        raise ValueError(f"unknown method {method!r}")
+    m = df.agg(F.count(p)).first()[0]
+    step = (m - F.col("__rank")) if method == "holm" else m / (F.col("__rank") + 1)
+    rows = ranks.sliced(ranks.ranked(df, p, name="__rank").withColumn("__step", step * F.col(p)), p)
+    extreme = F.max if method == "holm" else F.min
+    inside = Window.partitionBy("__slice").orderBy("__rank")
+    inside = inside.rowsBetween(Window.unboundedPreceding, 0) if method == "holm" else inside.rowsBetween(0, Window.unboundedFollowing)
+    order = Window.partitionBy(F.lit(0)).orderBy("__of")  # a row per slice
+    beyond = order.rowsBetween(Window.unboundedPreceding, -1) if method == "holm" else order.rowsBetween(1, Window.unboundedFollowing)
+    slices = rows.groupBy(F.col("__slice").alias("__of")).agg(extreme("__step").alias("__own"))
+    slices = slices.select("__of", extreme("__own").over(beyond).alias("__other"))
+    both = F.greatest if method == "holm" else F.least
+    out = rows.withColumn("__run", extreme("__step").over(inside)).join(F.broadcast(slices), F.col("__slice").eqNullSafe(F.col("__of")))
+    return out.withColumn("p_adjusted", F.least(F.lit(1.0), both("__run", "__other"))).select(*df.columns, "p_adjusted")
 
 
 def adjust_pvalues(df: DataFrame, p: str, method: str, by: list[str] | None = None) -> DataFrame:
-    """df with p_adjusted by bonferroni, holm or bh, within each family of `by`."""
+    """df with p_adjusted by bonferroni, holm or bh, within each family of `by` or over all rows as one."""
+    if not by and method != "bonferroni":
+        return _adjust_one_family(df, p, method)
     family = Window.partitionBy(*(by or [F.lit(0)]))
     ordered = family.orderBy(p)
     m = F.count(p).over(family)
     rank = F.row_number().over(ordered)
+    if method == "bonferroni" and not by:
+        return df.crossJoin(F.broadcast(df.agg(F.count(p).alias("__m")))).withColumn("p_adjusted", F.least(F.lit(1.0), F.col("__m") * F.col(p))).drop("__m")
     if method == "bonferroni":
         adjusted = m * F.col(p)
     elif method == "holm":

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import dot, ratio
 from . import gram
 from .preprocess import ROW_STEPS, Preprocessor
+from .ranks import ranked
 
 PARSIMONY = 0.10
 
@@ -21,8 +22,9 @@ def folds(df: DataFrame, scheme: str, y: str = "y", groups: str = "grp", k: int
     """df with fold: the group itself (logo), or levels of y dealt in turn to k folds (kfold). Levels are never split."""
     if scheme == "logo":
         return df.withColumn("fold", F.col(groups))
-    levels = df.select(F.col(y).alias("__level")).distinct()
-    levels = levels.withColumn("fold", F.pmod(F.dense_rank().over(Window.orderBy("__level")) - 1, F.least(F.lit(k), F.count("*").over(Window.partitionBy(F.lit(0))))))
+    levels = df.select(F.col(y).alias("__level")).filter("__level is not null").distinct()
+    n = levels.count()
+    levels = ranked(levels, "__level", name="fold").withColumn("fold", F.pmod("fold", F.lit(max(1, min(k, n)))))
     return df.join(levels, F.col(y) == F.col("__level")).drop("__level")
 
 
@@ -112,8 +114,8 @@ def permutation_test(spark: SparkSession, df: DataFrame, components: int, n_perm
     """One row: the cross-validated error against those of permuted responses, and p = (as good or better + 1) / (n + 1).
 
     With groups, level means move between groups instead of single values. Each permutation permutes its own copy of
-    (sample, y), so the table of responses is n_perm times the samples; moments of the spectra are shared, since only
-    x'y changes with y. Responses are permuted by hashed order, the same for any partitioning.
+    (sample, y), so the table of responses is n_perm times the samples, carried as one array per sample beside its
+    spectrum; moments of the spectra are shared, since only x'y changes with y. Responses are permuted by hashed order, the same for any partitioning.
     """
     keyed = df.filter(F.col("spectrum").isNotNull() & F.col("y").isNotNull()).select(F.col(sample).alias("s"), (F.col(groups) if groups else F.col(sample)).alias("g"), "spectrum", "y", "fold")
     level = keyed.groupBy("g").agg(F.avg("y").alias("level"))
@@ -124,10 +126,26 @@ def permutation_test(spark: SparkSession, df: DataFrame, components: int, n_perm
     parts = gram.moments(keyed, fold="fold")
     shared = spark.sparkContext.broadcast({k: (m.n, m.shift[:-1], m.sums[:-1], m.products[:-1, :-1]) for k, m in parts.items()})
 
-    # x'y and y'y of each permutation and fold
+    # x'y and y'y of each permutation and fold: one matrix product for each batch, whose sums alone are shuffled
     c = parts[next(iter(parts))].shift[:-1]
-    rows = keyed.join(response, "g").select("perm", F.col("fold").cast("string").alias("fold"), "spectrum", "yp")
-    cells = rows.select("perm", "fold", "yp", F.posexplode("spectrum").alias("pos", "v")).groupBy("perm", "fold", "pos").agg(F.sum("yp").alias("sy"), F.sum(F.col("yp") * F.col("yp")).alias("syy"), F.sum(F.col("yp") * F.col("v")).alias("sxy"))
+    each = response.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("perm", "yp"))), lambda v: v["yp"]).alias("ys"))  # n_perm + 1 numbers
+    rows = keyed.join(each, "g").select(F.col("fold").cast("string").alias("fold"), F.col("spectrum").cast("array<double>").alias("spectrum"), "ys")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            x, ys = (b.column(k).flatten().to_numpy().reshape(b.num_rows, -1) for k in ("spectrum", "ys"))
+            names = np.array(b.column("fold").to_pylist(), object)
+            for name in set(names.tolist()):
+                at = names == name
+                own = np.vstack([ys[at].sum(0), (ys[at] ** 2).sum(0), x[at].T @ ys[at]])  # sy, syy and a row of x'y per channel
+                sums[name] = sums[name] + own if name in sums else own
+        for name, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(s)), pa.array(np.arange(len(s), dtype=np.int32)), pa.array(list(s), pa.list_(pa.float64()))], names=["fold", "row", "v"])
+
+    summed = rows.mapInArrow(products, "fold string, row int, v array<double>").select("fold", "row", F.posexplode("v").alias("perm", "v")).groupBy("fold", "row", "perm").agg(F.sum("v").alias("v"))
+    head = summed.filter("row < 2").groupBy("fold", "perm").agg(F.max(F.when(F.col("row") == 0, F.col("v"))).alias("sy"), F.max(F.when(F.col("row") == 1, F.col("v"))).alias("syy"))
+    cells = summed.filter("row >= 2").select("fold", "perm", (F.col("row") - 2).alias("pos"), F.col("v").alias("sxy")).join(head, ["fold", "perm"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         made = {}
