@@ -160,15 +160,15 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, batch: i
     del order
     n_grams = np.bincount(owners, minlength=len(number))
     gram_begin = np.cumsum(n_grams) - n_grams
-    starts, doc = [], []
-    at = 0
-    for i, seq in enumerate(split):
-        step = max(1, STRETCH // 2)
-        for k in range(0, max(1, len(seq) - step), step) if len(seq) else ():
-            starts.append((at + k, at + min(k + STRETCH, len(seq))))
-            doc.append(i)
-        at += len(seq)
-    bounds, doc = np.array(starts), np.array(doc)
+    lengths = np.array([len(seq) for seq in split])
+    step = max(1, STRETCH // 2)
+    n_stretches = np.where(lengths > 0, -(-np.maximum(1, lengths - step) // step), 0)
+    doc = np.repeat(np.arange(len(split), dtype=np.int32), n_stretches)
+    inner = np.arange(len(doc)) - np.repeat(np.cumsum(n_stretches) - n_stretches, n_stretches)
+    text_begin = np.cumsum(lengths) - lengths
+    opens = (text_begin[doc] + step * inner).astype(np.int32)
+    closes = np.minimum(opens + STRETCH, (text_begin + lengths)[doc]).astype(np.int32)
+    del inner
     evidence, seen = _evidence(y, split, len(number), buckets, owners)
     free = seen >= least_uses
     embed = (rng.uniform(-0.1 / WIDTH, 0.1 / WIDTH, (BUCKETS, WIDTH)) * free[:, None]).astype(np.float32)
@@ -181,7 +181,7 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, batch: i
         gram_scores = embed @ (weights[:, 1] - weights[:, 0])
         word_scores = np.bincount(owners, gram_scores[buckets], len(number)) / np.maximum(n_grams, 1)
         sums = np.concatenate([[0.0], np.cumsum(word_scores[ids])])
-        worst = (sums[bounds[:, 1]] - sums[bounds[:, 0]]) / STRETCH
+        worst = (sums[closes] - sums[opens]) / STRETCH
         if turn == 0:
             top = np.full(len(y), -np.inf)
             np.maximum.at(top, doc, worst)
@@ -191,9 +191,9 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, batch: i
         chosen = rng.permutation(by_doc[(rank == 0) | ((rank < 3) & (y[doc[by_doc]] == 0))])
         for first in range(0, len(chosen), batch):
             some = chosen[first : first + batch]
-            size = bounds[some, 1] - bounds[some, 0]
+            size = (closes[some] - opens[some]).astype(np.int64)
             seg = np.repeat(np.arange(len(some)), size)
-            word = ids[np.repeat(bounds[some, 0] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            word = ids[np.repeat(opens[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
             n = n_grams[word]
             gram = buckets[np.repeat(gram_begin[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             share = np.repeat(1 / np.maximum(n, 1) / STRETCH, n).astype(np.float32)
