@@ -53,7 +53,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     names = ["record_id", "captured", "type", "etag", "last_modified", "digest", "headers"]
     rows = materialize(records.select(canonical_url(F.col("url")).alias("url_key"), *names), "warc-records")
     edges = rows.filter("captured is not null").approxQuantile("captured", [i / SLICES for i in range(1, SLICES)], 0.25 / SLICES)
-    deal = Bucketizer(splits=[float("-inf"), *sorted(set(edges)), float("inf")], inputCol="at", outputCol="slice")
+    deal = Bucketizer(splits=[float("-inf"), *(sorted(set(edges)) or [0.0]), float("inf")], inputCol="at", outputCol="slice")
     rows = deal.transform(rows.withColumn("at", F.coalesce("captured", F.lit(0)).cast("double"))).withColumn("slice", F.col("slice").cast("int")).drop("at")
     full = F.when((F.col("type") == "response") & F.col("captured").isNotNull(), F.struct("captured", "record_id", "etag", "last_modified", "digest", F.map_entries("headers").alias("headers")))
 
