@@ -17,7 +17,7 @@ def sliced(df: DataFrame, column: str, name: str = "__slice") -> DataFrame:
     """df with the slice (0 and up, by ascending value) of a numeric column; equal values share one. Nulls are in none."""
     rows = df.withColumn("__at", F.col(column).cast("double"))
     edges = rows.approxQuantile("__at", [k / SLICES for k in range(1, SLICES)], 0.25 / SLICES)
-    deal = Bucketizer(splits=[float("-inf"), *sorted(set(edges)), float("inf")], inputCol="__at", outputCol=name, handleInvalid="keep")
+    deal = Bucketizer(splits=[float("-inf"), *(sorted(set(edges)) or [0.0]), float("inf")], inputCol="__at", outputCol=name, handleInvalid="keep")
     out = deal.transform(rows.fillna(float("inf"), ["__at"])).withColumn(name, F.when(F.col(column).isNotNull(), F.col(name).cast("int")))
     return out.drop("__at")
 

@@ -76,3 +76,9 @@ def test_scope_removes_what_it_wrote(spark):
     assert kept.count() == stays.count() == 5 and len(paths) == 2
     assert not os.path.exists(paths[0].removeprefix("file://")) and os.path.exists(paths[1].removeprefix("file://"))
     assert gone is not None
+
+
+def test_empty_tables_have_no_ranks(spark):
+    empty = spark.createDataFrame([], "g string, v double")
+    assert ranks.ranked(empty, "v", ["g"]).count() == 0 and ranks.quantiles(empty, ["g"], "v", [0.5]).count() == 0
+    assert stats.adjust_pvalues(empty, "v", "holm").count() == 0
