@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, packing, quality, secrets, simhash, suffix_dedup, toxicity, warc
+from . import chat_format, decontaminate, exact_dedup, packing, quality, ring, secrets, simhash, suffix_dedup, toxicity, warc
 from .common import materialize, table
 
 
@@ -73,10 +73,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True).drop("spans", "chars")
 
 
+def op11_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ring.shard_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_exact_dedup, op2_quality_classifier, op3_best_fit_packing, op4_toxicity, op5_secret_scan, op6_simhash_near_dedup,
-        op7_chat_format, op8_suffix_array_dedup, op9_warc_revisits, op10_benchmark_decontamination,
+        op7_chat_format, op8_suffix_array_dedup, op9_warc_revisits, op10_benchmark_decontamination, op11_ring_shards,
     )
     return {f.__name__: f for f in found}
 
@@ -135,6 +140,44 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)
 """
 
+#: CRC-32 byte by byte; 3988292384 is its reversed polynomial, a fixed value.
+_CRC_TABLE = "SELECT list(list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS t FROM range(256) r(i)"
+_BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+_CRC = f"xor(list_reduce({_BYTES}, lambda c, v: xor(c // 256, t[CAST(xor(c % 256, v) AS INT) + 1]), 4294967295), 4294967295)"
+
+#: Rounds as recursion: each carries all segments, placed and not, and sends the latter to the next shard with room.
+OP11_SQL = f"""
+WITH RECURSIVE crc AS MATERIALIZED ({_CRC_TABLE}), t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (
+  SELECT doc_id, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS point, strlen(text) + 1 AS size, {_CRC} AS text_crc32 FROM t CROSS JOIN crc
+), nodes AS (
+  SELECT shard, CAST('0x' || left(p, 4) AS INT) // 4 AS spot, min(p) AS point
+  FROM (SELECT s AS shard, md5('shard#' || s || '#' || v) AS p FROM range(16) a(s), range(128) b(v)) GROUP BY ALL
+), walk AS (SELECT *, coalesce(lag(spot) OVER w, max(spot) OVER (PARTITION BY shard) - 16384) AS prior FROM nodes WINDOW w AS (PARTITION BY shard ORDER BY spot)),
+met AS (SELECT shard, point, spot, unnest(range(prior + 1, spot + 1)) AS seen FROM walk),
+ring AS (SELECT (seen + 16384) % 16384 AS cell, list(shard ORDER BY spot - seen, point) AS prefers FROM met GROUP BY 1),
+rows AS (SELECT *, CAST('0x' || left(point, 4) AS INT) // 4 AS cell FROM d),
+counts AS (SELECT cell, count(*) AS n FROM rows GROUP BY 1),
+quotas AS (SELECT s AS shard, (SELECT count(*) FROM d) // 16 + CASE WHEN s < (SELECT count(*) FROM d) % 16 THEN 1 ELSE 0 END AS quota FROM range(16) a(s)),
+segments AS (
+  SELECT 0 AS round, cell, CAST(0 AS BIGINT) AS low, n AS high, CAST(NULL AS BIGINT) AS shard, CAST(NULL AS BIGINT) AS start FROM counts
+  UNION ALL
+  SELECT round + 1, cell, p.low, p.high, p.shard, p.start FROM (
+    WITH used AS (SELECT q.shard, any_value(quota) AS quota, coalesce(sum(g.high - g.low), 0) AS n FROM quotas q LEFT JOIN segments g ON g.shard = q.shard GROUP BY 1),
+    spare AS (SELECT list(shard) AS ok FROM used WHERE n < quota),
+    asking AS (SELECT g.round, g.cell, g.low, g.high, list_filter(prefers, lambda s: list_contains(ok, s))[1] AS target FROM segments g JOIN ring USING (cell) CROSS JOIN spare WHERE g.shard IS NULL),
+    begun AS (SELECT a.*, quota, n + coalesce(sum(high - low) OVER (PARTITION BY target ORDER BY cell, low ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_at FROM asking a JOIN used u ON u.shard = a.target),
+    cut AS (SELECT *, low + greatest(0, least(high - low, quota - begin_at)) AS mid FROM begun)
+    SELECT round, cell, struct_pack(low := CAST(low AS BIGINT), high := CAST(mid AS BIGINT), shard := CAST(target AS BIGINT), start := CAST(begin_at AS BIGINT)) AS p FROM cut WHERE mid > low
+    UNION ALL SELECT round, cell, struct_pack(low := CAST(mid AS BIGINT), high := CAST(high AS BIGINT), shard := CAST(NULL AS BIGINT), start := CAST(NULL AS BIGINT)) FROM cut WHERE high > mid
+    UNION ALL SELECT round, cell, struct_pack(low := low, high := high, shard := shard, start := start) FROM segments WHERE shard IS NOT NULL AND EXISTS (FROM segments WHERE shard IS NULL)
+  )
+), final AS (SELECT * FROM segments WHERE round = (SELECT max(round) FROM segments)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY point, doc_id) - 1 AS rank FROM rows)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(f.shard AS INT) AS shard, f.start + rank - f.low AS slot, CAST(NULL AS INT) AS grown_shard
+FROM ranked r JOIN final f ON f.cell = r.cell AND r.rank >= f.low AND r.rank < f.high
+"""
+
 
 OP9_SQL = r"""
 WITH b AS (SELECT page_id, url, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS size, page_id // 3 AS t FROM pages),
@@ -168,4 +211,4 @@ FROM s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "op9_warc_revisits": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "op9_warc_revisits": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL, "op11_ring_shards": OP11_SQL}
