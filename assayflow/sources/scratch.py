@@ -37,10 +37,19 @@ def scope(spark: SparkSession) -> Iterator[list[str]]:
         yield made
     finally:
         _SCOPES.remove(made)
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in made:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+        _remove(spark, made)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table that materialize() wrote and gave as df, as soon as one that follows from it is written."""
+    _remove(df.sparkSession, sorted({f.rpartition("/")[0] for f in df.inputFiles()}))
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
