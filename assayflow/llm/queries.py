@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, packing, quality, ring, secrets, simhash, suffix_dedup, toxicity, warc
+from . import chat_format, clusters, decontaminate, exact_dedup, packing, quality, ring, secrets, simhash, suffix_dedup, toxicity, warc, whitening
 from .common import materialize, table
 
 
@@ -78,10 +78,19 @@ def op11_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_exact_dedup, op2_quality_classifier, op3_best_fit_packing, op4_toxicity, op5_secret_scan, op6_simhash_near_dedup,
         op7_chat_format, op8_suffix_array_dedup, op9_warc_revisits, op10_benchmark_decontamination, op11_ring_shards,
+        op12_embedding_whitening, op13_centroid_clusters,
     )
     return {f.__name__: f for f in found}
 
@@ -178,6 +187,22 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(f.shard AS INT) AS shard, f
 FROM ranked r JOIN final f ON f.cell = r.cell AND r.rank >= f.low AND r.rank < f.high
 """
 
+#: Every assignment and every replacement of the ten rounds in turn.
+_NEAREST = "a{r} AS MATERIALIZED (SELECT i, min(struct_pack(d := d, c := c)) AS best FROM (SELECT i, c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN m{r} m USING (k) GROUP BY ALL) GROUP BY i)"
+_MOVED = """m{s} AS MATERIALIZED (SELECT m.c, m.k, CASE WHEN n IS NULL THEN m.x ELSE (t - ((t % n) + n) % n) // n END AS x
+  FROM m{r} m LEFT JOIN (SELECT best.c AS c, k, CAST(sum(x) AS BIGINT) AS t, count(*) AS n FROM a{r} JOIN v USING (i) GROUP BY ALL) USING (c, k))"""
+OP13_SQL = """
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT i, unnest(range(64)) AS k, unnest(x) AS x FROM e),
+m0 AS MATERIALIZED (SELECT c, unnest(range(64)) AS k, unnest(x) AS x FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS c, x FROM e ORDER BY c LIMIT 8)),
+""" + ",\n".join(_NEAREST.format(r=r) + (",\n" + _MOVED.format(r=r, s=r + 1) if r < 10 else "") for r in range(11)) + """,
+h AS (SELECT c, sha256(string_agg(x, ',' ORDER BY k)) AS centroid_sha256 FROM m10 GROUP BY 1)
+SELECT vec_id, CAST(best.c AS INT) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a10 JOIN e USING (i) JOIN h ON h.c = best.c
+"""
+
 
 OP9_SQL = r"""
 WITH b AS (SELECT page_id, url, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS size, page_id // 3 AS t FROM pages),
@@ -211,4 +236,4 @@ FROM s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "op9_warc_revisits": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL, "op11_ring_shards": OP11_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "op9_warc_revisits": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL, "op11_ring_shards": OP11_SQL, "op13_centroid_clusters": OP13_SQL}
