@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import crystals
+from ..operators import crystals, groups
 from ..operators.structure import ACCEPTORS, BOND_TOLERANCE, COVALENT, DONORS, NEUTRON, VAN_DER_WAALS
+from ..sources import cif
 from ..sources.scratch import materialize
 from .adapters import rounded, table
 from .catalogue import register
@@ -159,3 +160,104 @@ SELECT structure, donor, hydrogen, acceptor, round(da, 6) AS da, CASE WHEN kind
  CASE WHEN op = 0 AND su + du = 0 AND sv + dv = 0 AND sw + dw = 0 THEN '.' ELSE concat(op + 1, '_', su + du + 5, sv + dv + 5, sw + dw + 5) END AS code FROM ff WHERE k = 1""")
 def hydrogen_bond_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(crystals.hydrogen_bond_images(placed(spark, sf_dir)))
+
+
+# --- groups from operations: each supplier has those of a listed setting, in another order and about another origin
+
+_SETTINGS = "(VALUES " + ", ".join(f"({k}, '{name}', {len(groups.hall_operations(hall))})" for k, (name, hall) in enumerate(groups.HALL.items())) + ") AS v(k, name, n)"
+_OF = len(groups.HALL)
+
+
+@register(f"""WITH g AS (SELECT * FROM {_SETTINGS}),
+s AS (SELECT s_suppkey AS structure, g.name, g.n, CASE WHEN s_suppkey % 17 = 0 AND g.n > 1 THEN g.n - 1 ELSE g.n END AS n_ops, CASE WHEN s_suppkey % 29 = 0 THEN 'Q 1' WHEN s_suppkey % 13 = 0 THEN h.name ELSE g.name END AS declared
+  FROM supplier JOIN g ON g.k = s_suppkey % {_OF} JOIN g h ON h.k = (s_suppkey + 1) % {_OF}),
+f AS (SELECT *, CASE WHEN n_ops = 1 THEN 'P 1' WHEN n_ops = n THEN name END AS found FROM s)
+SELECT f.structure, f.declared, CAST(f.n_ops AS INT) AS n_ops, f.found AS name, CAST(d.n AS INT) AS "order", CASE WHEN d.n IS NULL THEN 'not_listed' WHEN f.n_ops <> d.n THEN 'incomplete' WHEN f.found <> f.declared THEN 'other_name' ELSE 'consistent' END AS code,
+ CASE WHEN f.n_ops <> d.n THEN 'WARN' ELSE 'INFO' END AS severity FROM f LEFT JOIN g d ON d.name = f.declared""")
+def group_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings told from shuffled operations about shifted origins; some lack an operation or declare another name."""
+    rows = [(k, name, len(found), op, *r, *[v / groups.PARTS for v in t]) for k, (name, hall) in enumerate(groups.HALL.items()) for found in [groups.hall_operations(hall)] for op, (r, t) in enumerate(found)]
+    kinds = ", ".join(f"{c} int" for c in groups.ROTATION) + ", " + ", ".join(f"{c} double" for c in groups.SHIFT)
+    every = spark.createDataFrame(rows, f"k int, name string, n int, op int, {kinds}")  # the listed settings' operations
+    names = every.filter("op = 0").select("k", "name")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("structure"), (F.col("s_suppkey") % _OF).cast("int").alias("k"))
+    origin = [(F.col("structure") * m % 97) / 97 for m in (1, 5, 11)]
+    made = s.join(F.broadcast(every), "k").filter(~((F.col("structure") % 17 == 0) & (F.col("n") > 1) & (F.col("op") == F.col("n") - 1)))
+    moved = [(F.col(f"t{i}") + origin[i - 1] - sum(F.col(f"r{i}{j}") * origin[j - 1] for j in (1, 2, 3)) + F.col("op") % 3 - 1).alias(f"t{i}") for i in (1, 2, 3)]
+    ops = made.select("structure", *groups.ROTATION, *moved).repartition("t1")  # in no order
+    after = F.broadcast(names.select(((F.col("k") + _OF - 1) % _OF).alias("k"), F.col("name").alias("next")))
+    declared = F.when(F.col("structure") % 29 == 0, "Q 1").when(F.col("structure") % 13 == 0, F.col("next")).otherwise(F.col("name"))
+    asked = s.join(F.broadcast(names), "k").join(after, "k").select("structure", declared.alias("declared"))
+    return groups.check(asked, ops).select("structure", "declared", "n_ops", "name", "order", "code", "severity")
+
+
+# --- files: each structure written out as text, its symmetry given in one of six ways, and read back
+
+_WRITTEN = {0: ("P 1", "P 1"), 1: ("P -1", "-P 1"), 2: ("P 1 21 1", "P 2yb"), 3: ("P 1 21/c 1", "-P 2ybc"), 4: ("P 21 21 21", "P 2ac 2ab")}
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """structure, text. By the structure's number modulo 6: a loop of either tag, a name, a Hall symbol, nothing, two blocks."""
+    atoms, ops, cells = structures(spark, sf_dir)
+    n, way, kind = F.col("idx"), F.col("structure") % 6, (F.col("structure") % 5).cast("int")
+    place = lambda c: F.format_string("%.9f(4)", F.col(c))
+    label = F.when(n % 3 == 0, F.concat(F.lit("'"), "label", F.lit("'"))).otherwise(F.col("label"))
+    symbol = F.when(n % 5 == 0, "?").when((n % 4 == 3) & (F.col("sym") == "O"), "O2-").otherwise(F.col("sym"))
+    occ = F.when(F.col("occ") < 1, F.format_string("%.2f", F.col("occ"))).when(n % 2 == 0, ".").otherwise("1")
+    line = F.concat_ws(" ", label, symbol, place("x"), place("y"), place("z"), occ, F.coalesce("assembly", F.lit(".")), F.coalesce("grp", F.lit(".")))
+    text = lambda part, at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), part.alias("line")))), lambda p: p["line"]), "\n")
+    listed = atoms.groupBy("structure").agg(text(line, "idx").alias("atoms"))
+    axis = lambda i: F.concat(*[F.when(F.col(f"r{i}{j}") == 1, f"+{v}").when(F.col(f"r{i}{j}") == -1, f"-{v}").otherwise("") for j, v in enumerate("xyz", 1)], F.when(F.col(f"t{i}") != 0, "+1/2").otherwise(""))
+    written = ops.groupBy("structure").agg(text(F.concat(F.lit("'"), axis(1), F.lit(", "), axis(2), F.lit(", "), axis(3), F.lit("'")), "op").alias("ops"))
+    chosen = lambda k: F.element_at(F.array(*[F.lit(v[k]) for v in _WRITTEN.values()]), kind + 1)
+    loop = lambda tag: F.concat(F.lit(f"loop_\n  {tag}\n"), "ops", F.lit("\n"))
+    symmetry = (
+        F.when(way == 0, loop("_symmetry_equiv_pos_as_xyz")).when((way == 1) | (way == 5), loop("_space_group_symop_operation_xyz"))
+        .when(way == 2, F.concat(F.lit("_symmetry_space_group_name_H-M '"), chosen(0), F.lit("'\n"))).when(way == 3, F.concat(F.lit("_space_group_name_H-M_alt ?\n_symmetry_space_group_name_Hall '"), chosen(1), F.lit("'\n")))
+        .otherwise("# no symmetry\n")
+    )
+    cell = F.concat(*[F.concat(F.lit(f"{tag}  "), F.format_string("%.12f", F.col(c)), F.lit("\n")) for c, tag in (("a", "_cell_length_a"), ("b", "_cell_length_b"), ("c", "_cell_length_c"), ("alpha", "_cell_angle_alpha"), ("beta", "_cell_angle_beta"), ("gamma", "_cell_angle_gamma"))])
+    title = F.lit("_publ_section_title\n;\nA text with a loop_ and\n_cell_length_a 1.0 in it\n;\n")
+    sites = "loop_\n" + "".join(f"_atom_site_{t}\n" for t in ("label", "type_symbol", "fract_x", "fract_y", "fract_z", "occupancy", "disorder_assembly", "disorder_group"))
+    head = F.concat(F.lit("# a file\ndata_s"), F.col("structure").cast("string"), F.lit("\n"))
+    whole = F.concat(head, title, symmetry, cell, F.lit(sites), "atoms", F.lit("\n"), F.when(way == 5, F.concat(F.lit("data_more\n_cell_length_a 1\n"))).otherwise(""))
+    return cells.join(listed, "structure").join(written, "structure").select("structure", whole.alias("text"))
+
+
+def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts' structures, operations and atoms."""
+    texts = _texts(spark, sf_dir)
+    found = materialize(cif.items(texts, "structure"), "cif-items")
+    one = cif.chosen(found, key="structure")
+    made = materialize(cif.structures(texts, found, key="structure"), "cif-structures")
+    return made, cif.operations(made, one, "structure"), cif.atoms(one, "structure")
+
+
+_CIF_OPS = f"SELECT * FROM ({OPS_SQL}) q WHERE structure % 6 <> 4 OR op = 0"
+
+
+@register(f"""WITH n AS (SELECT structure, count(*) AS n_atoms FROM ({ATOMS_SQL}) GROUP BY 1), o AS (SELECT structure, count(*) AS n_ops FROM ({_CIF_OPS}) GROUP BY 1)
+SELECT structure, concat('s', structure) AS block, CAST(CASE WHEN structure % 6 = 5 THEN 2 ELSE 1 END AS INT) AS blocks, n_atoms, n_ops, CASE structure % 6 WHEN 2 THEN 'name' WHEN 3 THEN 'hall' WHEN 4 THEN 'none' ELSE 'loop' END AS source,
+ round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, alpha, beta, gamma, CASE structure % 6 WHEN 4 THEN 'no_symmetry' WHEN 5 THEN 'many_blocks' ELSE '' END AS codes
+FROM ({CELLS_SQL}) JOIN n USING (structure) JOIN o USING (structure)""")
+def cif_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, ops, _ = _read(spark, sf_dir)
+    n = ops.groupBy("structure", "source").agg(F.count("*").alias("n_ops"))
+    codes = F.array_join(F.transform("findings", lambda f: f["code"]), ",")
+    return rounded(made.join(n, "structure").select("structure", "block", "blocks", "n_atoms", "n_ops", "source", "a", "b", "c", "alpha", "beta", "gamma", codes.alias("codes")))
+
+
+@register(f"SELECT structure, row_number() OVER (PARTITION BY structure ORDER BY idx) - 1 AS idx, label, sym, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z, occ, assembly, grp FROM ({ATOMS_SQL}) WHERE structure IN (SELECT s_suppkey FROM supplier)")
+def cif_atoms_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir)[2].select("structure", "idx", "label", "sym", "x", "y", "z", "occ", "assembly", "grp")
+
+
+@register(f"""WITH RECURSIVE {SITES_SQL.replace(OPS_SQL, _CIF_OPS)}, {CLUSTER_SQL}, {BONDS_SQL}
+SELECT structure, least(label_i, label_j) AS label_i, greatest(label_i, label_j) AS label_j, round(d, 4) AS d, count(*) AS n FROM bd GROUP BY ALL""")
+def cif_bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From texts to atoms, operations, sites and bonds."""
+    made, ops, atoms = _read(spark, sf_dir)
+    found = materialize(crystals.sites(atoms.drop("u_iso"), ops.drop("source"), made.select("structure", "a", "b", "c", "alpha", "beta", "gamma")), "sites")
+    where = materialize(crystals.with_clusters(found, crystals.disorder_clusters(found)), "sites")
+    pair = [f("label_i", "label_j").alias(c) for f, c in ((F.least, "label_i"), (F.greatest, "label_j"))]
+    return rounded(crystals.periodic_bonds(where).select("structure", *pair, F.round("d", 4).alias("d"))).groupBy("structure", "label_i", "label_j", "d").agg(F.count("*").alias("n"))
