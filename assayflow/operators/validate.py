@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot, ratio
-from . import gram
+from . import foldwise, gram
 from .preprocess import ROW_STEPS, Preprocessor
 from .ranks import ranked
 
 PARSIMONY = 0.10
+#: Scatter corrections with the degree of the polynomial that goes with the reference.
+SCATTER = {"msc": 0, "emsc": 2}
 
 
 def folds(df: DataFrame, scheme: str, y: str = "y", groups: str = "grp", k: int = 5) -> DataFrame:
@@ -32,12 +34,16 @@ def predictions(df: DataFrame, components: int, method: str = "pls", spectrum: s
     """Held-out predictions: df's rows by number of components (a), predicted by models of the other folds.
 
     One pass gives every fold's moments; a fold's training moments are the total less its own. Row-wise steps of
-    `chain` come first; centring and scaling are part of the models, so nothing of a fold reaches its own model.
+    `chain` come first; centring and scaling are part of the models, so nothing of a fold reaches its own model. One
+    msc or emsc may follow the row-wise steps; it is fitted to each fold's training rows (foldwise.py).
     """
     steps = [s for s in chain.split("+") if s != "none"]
-    if [s for s in steps if s not in (*ROW_STEPS, "center", "autoscale")]:
-        raise ValueError("only row-wise steps, centring and scaling are valid inside moment-based validation")
+    scatter = [s for s in steps if s in SCATTER]
+    if [s for s in steps if s not in (*ROW_STEPS, *SCATTER, "center", "autoscale")] or len(scatter) > 1 or scatter and not _scatter_in_place(steps, steps.index(scatter[0])):
+        raise ValueError("valid inside validation are row-wise steps, then one of msc and emsc, then centring and scaling")
     rows = Preprocessor("+".join(s for s in steps if s in ROW_STEPS) or "none").fit(df, spectrum).transform(df, spectrum)
+    if scatter:
+        return foldwise.predictions(rows, components, method, SCATTER[scatter[0]], spectrum, y, fold)
     parts = gram.moments(rows, spectrum, y, fold)
     every = gram.total(parts)
     cap = min(components, int(min(every.n - m.n for m in parts.values())) - 1)
@@ -50,6 +56,10 @@ def predictions(df: DataFrame, components: int, method: str = "pls", spectrum: s
     return joined.withColumn("predicted", dot(F.col(spectrum), F.col("coef")) + F.col("base")).drop("f", "coef", "base")
 
 
+def _scatter_in_place(steps: list[str], at: int) -> bool:
+    return set(steps[:at]) <= set(ROW_STEPS) and set(steps[at + 1 :]) <= {"center", "autoscale"}
+
+
 def leave_one_out(df: DataFrame, components: int, sample: str = "sample", spectrum: str = "spectrum", y: str = "y") -> DataFrame:
     """Each row predicted by the PLS model of all others, whose moments are the total less the row: sample, y, predicted."""
     rows = df.filter(F.col(spectrum).isNotNull() & F.col(y).isNotNull())

@@ -28,20 +28,34 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("trace"), (seconds / 3.6e9).alias("x"), F.col("value").alias("y"), F.col("event_id").alias("step"))
 
 
-def two_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """spectra() cut to its first two channels, whose principal axes have a closed form."""
-    return spectra(spark, sf_dir).withColumn("spectrum", F.slice("spectrum", 1, 2))
-
-
 #: The same roles in SQL.
 SPECTRA_SQL = "SELECT vec_id AS sample, CAST(embedding AS DOUBLE[]) AS spectrum, CAST(label AS DOUBLE) AS y, CAST(label AS INT) AS grp FROM embeddings"
 TRACES_SQL = "SELECT user_id AS trace, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9 AS x, value AS y, event_id AS step FROM events"
-#: pr: the principal axis (vx, vy) of the first two channels, eigenvalues e1 >= e2; sc: each sample's score t, T2, Q and leverage.
-PRINCIPAL_SQL = """xy AS (SELECT sample, y, grp, spectrum[1] AS a, spectrum[2] AS b FROM sp),
-mo AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS sa, var_samp(b) AS sb, covar_samp(a, b) AS sab FROM xy),
-ev AS (SELECT *, (sa + sb) / 2 + sqrt(((sa - sb) / 2) ** 2 + sab ** 2) AS e1, (sa + sb) / 2 - sqrt(((sa - sb) / 2) ** 2 + sab ** 2) AS e2 FROM mo),
-ax AS (SELECT *, sab / sqrt(sab ** 2 + (e1 - sa) ** 2) AS ux, (e1 - sa) / sqrt(sab ** 2 + (e1 - sa) ** 2) AS uy FROM ev),
-pr AS (SELECT * EXCLUDE (ux, uy), CASE WHEN (CASE WHEN abs(ux) >= abs(uy) THEN ux ELSE uy END) < 0 THEN -ux ELSE ux END AS vx, CASE WHEN (CASE WHEN abs(ux) >= abs(uy) THEN ux ELSE uy END) < 0 THEN -uy ELSE uy END AS vy FROM ax),
-st AS (SELECT sample, y, grp, (a - ma) * vx + (b - mb) * vy AS t, (a - ma) ** 2 + (b - mb) ** 2 AS norm, n, e1, e2 FROM xy CROSS JOIN pr),
-sc AS (SELECT *, t * t / e1 AS t2, greatest(norm - t * t, 0) AS q, t * t / e1 / (n - 1) AS leverage FROM st)"""
 CHANNELS_SQL = "SELECT sample, y, grp, k - 1 AS pos, spectrum[k] AS v FROM sp, unnest(range(1, 65)) AS u(k)"
+
+
+def principal_sql(train: str = "true", components: int = 2) -> str:
+    """CTEs over sp and ch: ev (component, eigenvalue, total), ax (component, pos, u), sc (each sample's t_1.., t2, q, leverage).
+
+    The covariance of the rows that `train` selects is squared 14 times and scaled by its trace, which leaves its first
+    axis; taken off, the next follows. The largest weight of an axis is positive.
+    """
+    parts = [f"tn AS (SELECT count(*) AS n FROM sp WHERE {train})", f"cm AS (SELECT pos, avg(v) AS m FROM ch WHERE {train} GROUP BY pos)",
+             "cz AS MATERIALIZED (SELECT ch.sample, ch.y, ch.grp, pos, v - m AS v FROM ch JOIN cm USING (pos))",
+             f"c1 AS MATERIALIZED (SELECT a.pos AS i, b.pos AS j, sum(a.v * b.v) / (SELECT n - 1 FROM tn) AS v FROM (SELECT * FROM cz WHERE {train}) a JOIN cz b USING (sample) GROUP BY ALL)"]
+    for k in range(1, components + 1):
+        parts.append(f"s{k}_0 AS (SELECT i, j, v / sum(v) FILTER (i = j) OVER () AS v FROM c{k})")
+        for m in range(14):
+            parts.append(f"s{k}_{m + 1} AS MATERIALIZED (SELECT i, j, v / sum(v) FILTER (i = j) OVER () AS v FROM (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM s{k}_{m} a JOIN s{k}_{m} b ON a.j = b.i GROUP BY ALL))")
+        parts.append(f"w{k} AS (SELECT i, v / sqrt(sum(v * v) OVER ()) AS u FROM s{k}_14 WHERE j = (SELECT arg_max(i, v) FROM s{k}_14 WHERE i = j))")
+        parts.append(f"u{k} AS MATERIALIZED (SELECT i, u * (SELECT sign(arg_max(u, abs(u))) FROM w{k}) AS u FROM w{k})")
+        parts.append(f"e{k} AS MATERIALIZED (SELECT sum(c.v * a.u * b.u) AS e FROM c{k} c JOIN u{k} a ON a.i = c.i JOIN u{k} b ON b.i = c.j)")
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c.i, c.j, c.v - (SELECT e FROM e{k}) * a.u * b.u AS v FROM c{k} c JOIN u{k} a ON a.i = c.i JOIN u{k} b ON b.i = c.j)")
+    every = range(1, components + 1)
+    parts.append("ev AS (" + " UNION ALL ".join(f"SELECT {k} AS component, e AS eigenvalue, (SELECT sum(v) FROM c1 WHERE i = j) AS total FROM e{k}" for k in every) + ")")
+    parts.append("ax AS (" + " UNION ALL ".join(f"SELECT {k} AS component, i AS pos, u FROM u{k}" for k in every) + ")")
+    joins = " ".join(f"JOIN u{k} ON u{k}.i = cz.pos" for k in every)
+    parts.append(f"st AS (SELECT sample, y, grp, sum(v * v) AS norm, {', '.join(f'sum(v * u{k}.u) AS t_{k}' for k in every)} FROM cz {joins} GROUP BY ALL)")
+    t2 = " + ".join(f"t_{k} * t_{k} / (SELECT e FROM e{k})" for k in every)
+    parts.append(f"sc AS MATERIALIZED (SELECT *, {t2} AS t2, greatest(norm - {' - '.join(f't_{k} * t_{k}' for k in every)}, 0) AS q, ({t2}) / ((SELECT n FROM tn) - 1) AS leverage FROM st)")
+    return ",\n".join(parts)

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot
-from ..operators import gram, outliers, validate
+from ..operators import gram, outliers, validate, wide
 from ..functions import dist
-from .adapters import CHANNELS_SQL, PRINCIPAL_SQL, SPECTRA_SQL, rounded, spectra, two_channels
+from ..sources.scratch import materialize
+from .adapters import CHANNELS_SQL, SPECTRA_SQL, principal_sql, rounded, spectra, table
 from .catalogue import register
 
 _S = f"WITH sp AS ({SPECTRA_SQL}), ch AS ({CHANNELS_SQL})"
@@ -26,24 +27,24 @@ def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_frame(spark, [(i, j, float(s[i, j])) for i in range(len(s)) for j in range(i, len(s))], "i long, j long, v double"), 4)
 
 
-_PR = f"WITH sp AS ({SPECTRA_SQL}), {PRINCIPAL_SQL}"
+_PR = f"{_S}, {principal_sql()}"
 
 
-@register(_PR + " SELECT 1 AS component, round(e1, 6) AS eigenvalue, round(e1 / (e1 + e2), 6) AS share, round(vx, 6) + 0.0 AS first, round(vy, 6) + 0.0 AS second FROM pr UNION ALL SELECT 2, round(e2, 6), round(e2 / (e1 + e2), 6), NULL, NULL FROM pr")
+@register(_PR + " SELECT component, CAST(pos AS BIGINT) AS pos, round(u, 6) + 0.0 AS loading, round(eigenvalue, 6) AS eigenvalue, round(eigenvalue / total, 6) AS share FROM ax JOIN ev USING (component)")
 def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eigenvalues and their shares of two channels, with the first axis."""
-    values, loadings, shares = gram.principal(gram.moments(two_channels(spark, sf_dir))[None], 2)
-    rows = [(k + 1, float(values[k]), float(shares[k]), *((float(loadings[0, 0]), float(loadings[1, 0])) if k == 0 else (None, None))) for k in range(2)]
-    return rounded(_frame(spark, rows, "component int, eigenvalue double, share double, first double, second double"))
+    """Two axes over all channels, their eigenvalues and shares."""
+    values, loadings, shares = gram.principal(gram.moments(spectra(spark, sf_dir))[None], 2)
+    rows = [(k + 1, i, float(v), float(values[k]), float(shares[k])) for k in range(2) for i, v in enumerate(loadings[:, k])]
+    return rounded(_frame(spark, rows, "component int, pos long, loading double, eigenvalue double, share double"))
 
 
-@register(_PR + " SELECT sample, round(t, 6) + 0.0 AS score FROM sc")
+@register(_PR + " SELECT sample, round(t_1, 6) + 0.0 AS score_1, round(t_2, 6) + 0.0 AS score_2 FROM sc")
 def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = two_channels(spark, sf_dir)
+    rows = spectra(spark, sf_dir)
     m = gram.moments(rows)[None]
-    _, loadings, _ = gram.principal(m, 1)
-    centred = F.zip_with("spectrum", gram.vector(m.mean[:2]), lambda v, c: v - c)
-    return rounded(rows.select("sample", dot(centred, gram.vector(loadings[:, 0])).alias("score")))
+    _, loadings, _ = gram.principal(m, 2)
+    centred = F.zip_with("spectrum", gram.vector(m.mean[:-1]), lambda v, c: v - c)
+    return rounded(rows.select("sample", *[dot(centred, gram.vector(loadings[:, k])).alias(f"score_{k + 1}") for k in range(2)]))
 
 
 _STANDARD = _S + """, z0 AS (SELECT sample, pos, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS v FROM ch WINDOW w AS (PARTITION BY pos)), y0 AS (SELECT sample, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS y FROM sp)"""
@@ -87,12 +88,12 @@ def pls_vip_2lv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_frame(spark, [(i, float(v)) for i, v in enumerate(values)], "pos long, vip double"))
 
 
-@register(_PR + ", r AS (SELECT sum(t * (y - (SELECT avg(y) FROM sp))) / sum(t * t) AS b FROM sc) SELECT sample, round((SELECT avg(y) FROM sp) + b * t, 6) AS predicted FROM sc CROSS JOIN r")
+@register(_PR + ", r AS (SELECT avg(y) AS m, sum(t_1 * y) / sum(t_1 * t_1) AS b1, sum(t_2 * y) / sum(t_2 * t_2) AS b2 FROM sc) SELECT sample, round(m + b1 * t_1 + b2 * t_2, 6) AS predicted FROM sc CROSS JOIN r")
 def pcr_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One principal component of two channels."""
-    rows = two_channels(spark, sf_dir)
-    model = gram.pcr(gram.moments(rows)[None], 1)
-    return rounded(rows.select("sample", model.predict(F.col("spectrum"), 1).alias("predicted")))
+    """Two principal components of all channels."""
+    rows = spectra(spark, sf_dir)
+    model = gram.pcr(gram.moments(rows)[None], 2)
+    return rounded(rows.select("sample", model.predict(F.col("spectrum"), 2).alias("predicted")))
 
 
 @register(f"WITH sp AS ({SPECTRA_SQL}), l AS (SELECT DISTINCT y FROM sp), f AS (SELECT y, CAST((dense_rank() OVER (ORDER BY y) - 1) % least(5, count(*) OVER ()) AS BIGINT) AS fold FROM l) SELECT sample, y, fold FROM sp JOIN f USING (y)")
@@ -120,6 +121,39 @@ def cv_rmsecv_1lv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validate.cv_stats(validate.predictions(rows, 1), ["a"]).drop("a"))
 
 
+def _scattered(columns: str) -> str:
+    """_FOLDED on spectra corrected against each fold's own reference; columns: the polynomials up to a degree, made orthonormal in turn."""
+    return f"""WITH sp AS ({SPECTRA_SQL}), ch AS ({CHANNELS_SQL}), g AS (SELECT DISTINCT grp AS f FROM sp), po AS (SELECT pos, 2 * pos / 63e0 - 1 AS z FROM (SELECT DISTINCT pos FROM ch)),
+{columns}, rf AS (SELECT f, pos, avg(v) AS r FROM ch JOIN g ON grp <> f GROUP BY ALL), rk AS (SELECT f, k, sum(r * u) AS c FROM rf JOIN un USING (pos) GROUP BY ALL), rp AS (SELECT f, pos, sum(c * u) AS p FROM rk JOIN un USING (k) GROUP BY ALL),
+rq AS (SELECT f, pos, p, r - p AS q FROM rf JOIN rp USING (f, pos)), xk AS (SELECT sample, k, sum(v * u) AS c FROM ch JOIN un USING (pos) GROUP BY ALL), xp AS (SELECT sample, pos, sum(c * u) AS p FROM xk JOIN un USING (k) GROUP BY ALL),
+sl AS (SELECT f, sample, sum(v * q) / (SELECT sum(o.q * o.q) FROM rq o WHERE o.f = rq.f) AS b FROM ch JOIN rq USING (pos) GROUP BY f, sample),
+cc AS MATERIALIZED (SELECT rq.f, ch.sample, ch.grp, ch.pos, (ch.v - xp.p) / sl.b + rq.p AS v FROM ch JOIN xp USING (sample, pos) JOIN rq USING (pos) JOIN sl ON sl.f = rq.f AND sl.sample = ch.sample),
+m AS (SELECT f, pos, avg(v) AS m, stddev_samp(v) AS s FROM cc WHERE grp <> f GROUP BY ALL), my AS (SELECT f, avg(y) AS m, stddev_samp(y) AS s FROM sp JOIN g ON grp <> f GROUP BY f),
+z AS (SELECT cc.f, cc.sample, cc.grp, cc.pos, (v - m.m) / m.s AS v, (sp.y - my.m) / my.s AS y FROM cc JOIN m USING (f, pos) JOIN my USING (f) JOIN sp USING (sample)),
+a AS (SELECT f, pos, sum(v * y) AS c FROM z WHERE grp <> f GROUP BY ALL), w AS (SELECT f, pos, c / sqrt(sum(c * c) OVER (PARTITION BY f)) AS w FROM a),
+t AS (SELECT z.f, sample, grp, y, sum(v * w) AS t FROM z JOIN w ON w.f = z.f AND w.pos = z.pos GROUP BY ALL), q AS (SELECT f, sum(t * y) / sum(t * t) AS q FROM t WHERE grp <> f GROUP BY f)
+SELECT t.f AS fold, t.sample, round(my.m + my.s * t * q, 6) AS predicted FROM t JOIN q ON q.f = t.f JOIN my ON my.f = t.f WHERE t.grp = t.f"""
+
+
+_CONSTANT = "un AS MATERIALIZED (SELECT pos, 0 AS k, 1 / 8e0 AS u FROM po)"
+_QUADRATIC = """q0 AS (SELECT pos, z, 1 / 8e0 AS u FROM po), q1 AS (SELECT pos, z, z / sqrt(sum(z * z) OVER ()) AS u FROM po),
+q2 AS (SELECT pos, z * z - avg(z * z) OVER () AS e FROM po), un AS MATERIALIZED (SELECT pos, 0 AS k, u FROM q0 UNION ALL SELECT pos, 1, u FROM q1 UNION ALL SELECT pos, 2, e / sqrt(sum(e * e) OVER ()) FROM q2)"""
+
+
+@register(_scattered(_CONSTANT))
+def cv_msc_1lv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out predictions with scatter corrected against the mean spectrum of each fold's training rows."""
+    found = validate.predictions(validate.folds(spectra(spark, sf_dir), "logo"), 1, chain="msc")
+    return rounded(found.select("fold", "sample", "predicted"))
+
+
+@register(_scattered(_QUADRATIC))
+def cv_emsc_1lv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a quadratic baseline beside the reference."""
+    found = validate.predictions(validate.folds(spectra(spark, sf_dir), "logo"), 1, chain="emsc+autoscale")
+    return rounded(found.select("fold", "sample", "predicted"))
+
+
 @register()
 def component_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validate.component_scan(validate.folds(spectra(spark, sf_dir), "logo"), 6))
@@ -154,13 +188,13 @@ def leverage_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_PR + " SELECT sample, round(t2, 6) AS t2, round(q, 6) AS q, round(leverage, 6) AS leverage FROM sc")
 def hotelling_t2_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances in and off a model of one component of two channels."""
-    rows = two_channels(spark, sf_dir)
-    return rounded(outliers.distances(rows, outliers.fit(rows, 1)).select("sample", "t2", "q", "leverage"))
+    """Distances in and off a model of two components of all channels."""
+    rows = spectra(spark, sf_dir)
+    return rounded(outliers.distances(rows, outliers.fit(rows, 2)).select("sample", "t2", "q", "leverage"))
 
 
-#: Quantiles of chi-squared at 0.95 by degrees of freedom, of which two distances of one component have few.
-_CHI = ", ".join(f"({k}, {dist.chi2_ppf(0.95, k)!r}::DOUBLE)" for k in range(1, 41))
+#: Quantiles of chi-squared at 0.95 by degrees of freedom, up to the most that two distances have together.
+_CHI = ", ".join(f"({k}, {dist.chi2_ppf(0.95, k)!r}::DOUBLE)" for k in range(1, 2 * outliers.MOST_DOF + 1))
 _LIMITS = f""", chi(dof, v) AS (VALUES {_CHI}), mm AS (SELECT avg(leverage) AS h0, var_samp(leverage) AS vh, avg(q) AS q0, var_samp(q) AS vq FROM sc{{where}}),
 li AS (SELECT h0, q0, least(250, greatest(1, round_even(2 * h0 * h0 / vh, 0))) AS nh, least(250, greatest(1, round_even(2 * q0 * q0 / vq, 0))) AS nq FROM mm),
 fu AS (SELECT sample, grp, nh * leverage / h0 + nq * q / q0 AS f, v AS critical FROM sc CROSS JOIN li JOIN chi ON dof = CAST(nh + nq AS INT))"""
@@ -169,8 +203,8 @@ fu AS (SELECT sample, grp, nh * leverage / h0 + nq * q / q0 AS f, v AS critical
 @register(_PR + _LIMITS.format(where="") + " SELECT sample, round(f, 6) AS f, f <= critical AS accepted FROM fu")
 def ddsimca_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments of both distances give their degrees of freedom."""
-    rows = two_channels(spark, sf_dir)
-    scored = outliers.distances(rows, outliers.fit(rows, 1))
+    rows = spectra(spark, sf_dir)
+    scored = outliers.distances(rows, outliers.fit(rows, 2))
     return rounded(outliers.accept(scored, outliers.acceptance(scored, gamma=None)).select("sample", "f", "accepted"))
 
 
@@ -182,15 +216,12 @@ def ddsimca_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(outliers.accept(scored, outliers.acceptance(scored, method="robust")).select("sample", "t2", "q", "leverage", "f", "kind"))
 
 
-_OWN = PRINCIPAL_SQL.replace("mo AS (SELECT count(*) AS n", "mo AS (SELECT count(*) AS n").replace("FROM xy),\nev", "FROM xy WHERE grp = 0),\nev")
-
-
-@register(f"WITH sp AS ({SPECTRA_SQL}), {_OWN}" + _LIMITS.format(where=" WHERE grp = 0") + " SELECT sample, grp, round(f, 6) AS f, f <= critical AS accepted FROM fu")
+@register(f"{_S}, {principal_sql('grp = 0')}" + _LIMITS.format(where=" WHERE grp = 0") + " SELECT sample, grp, round(f, 6) AS f, f <= critical AS accepted FROM fu")
 def oneclass_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model of one class judges every sample."""
-    rows = two_channels(spark, sf_dir)
+    rows = spectra(spark, sf_dir)
     own = rows.filter("grp = 0")
-    model = outliers.fit(own, 1)
+    model = outliers.fit(own, 2)
     limits = outliers.acceptance(outliers.distances(own, model), gamma=None)
     return rounded(outliers.accept(outliers.distances(rows, model), limits).select("sample", "grp", "f", "accepted"))
 
@@ -206,3 +237,42 @@ def distance_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = outliers.fit(spectra(spark, sf_dir), 2)
     rows = [("t2", form, outliers.t2_limit(model, form=form)) for form in ("F_textbook", "F_n2m1", "chi2", "beta")] + [("q", how, outliers.q_limit(model, method=how)) for how in ("jm", "box")]
     return rounded(_frame(spark, [(a, b, float(np.real(v))) for a, b, v in rows], "distance string, form string, value double"))
+
+
+# --- many channels: a nation's orders by day, as a spectrum of some thousands of days
+
+_DAILY = "SELECT c_nationkey AS nation, CAST(date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) AS INT) AS day, sum(o_totalprice) / 1e6 AS v FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL"
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation, spectrum: millions ordered on each day from the first to the last of the table."""
+    day = F.datediff(F.col("o_orderdate").cast("timestamp"), F.lit("1992-01-01").cast("timestamp"))
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("nation"), day.alias("day")).agg((F.sum("o_totalprice") / 1e6).alias("v"))
+    ends = table(spark, sf_dir, "orders").agg(F.min(day).alias("low"), F.max(day).alias("high"))  # one row
+    some = rows.groupBy("nation").agg(F.map_from_entries(F.collect_list(F.struct("day", "v"))).alias("by_day")).crossJoin(F.broadcast(ends))
+    return some.select("nation", F.transform(F.sequence("low", "high"), lambda d: F.coalesce(F.try_element_at("by_day", d), F.lit(0.0))).alias("spectrum"))
+
+
+def _dual_sql(components: int = 2) -> str:
+    """The same axes from products between nations: squared 14 times, scaled, and the first taken off."""
+    parts = [f"d AS MATERIALIZED ({_DAILY})", "na AS (SELECT DISTINCT nation FROM d)", "nn AS (SELECT count(*) AS n FROM na)",
+             "me AS (SELECT day, sum(v) / (SELECT n FROM nn) AS m FROM d GROUP BY 1)", "cz AS MATERIALIZED (SELECT nation, day, coalesce(v, 0) - m AS v FROM na CROSS JOIN me LEFT JOIN d USING (nation, day))",
+             "c1 AS MATERIALIZED (SELECT a.nation AS i, b.nation AS j, sum(a.v * b.v) AS v FROM cz a JOIN cz b USING (day) GROUP BY ALL)"]
+    for k in range(1, components + 1):
+        parts.append(f"s{k}_0 AS (SELECT i, j, v / sum(v) FILTER (i = j) OVER () AS v FROM c{k})")
+        for m in range(14):
+            parts.append(f"s{k}_{m + 1} AS MATERIALIZED (SELECT i, j, v / sum(v) FILTER (i = j) OVER () AS v FROM (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM s{k}_{m} a JOIN s{k}_{m} b ON a.j = b.i GROUP BY ALL))")
+        parts.append(f"u{k} AS MATERIALIZED (SELECT i, v / sqrt(sum(v * v) OVER ()) AS u FROM s{k}_14 WHERE j = (SELECT arg_max(i, v) FROM s{k}_14 WHERE i = j))")
+        parts.append(f"e{k} AS MATERIALIZED (SELECT sum(c.v * a.u * b.u) AS e FROM c{k} c JOIN u{k} a ON a.i = c.i JOIN u{k} b ON b.i = c.j)")
+        parts.append(f"g{k} AS (SELECT sign(arg_max(w, abs(w))) AS g FROM (SELECT day, sum(v * u) AS w FROM cz JOIN u{k} ON i = nation GROUP BY 1))")
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c.i, c.j, c.v - (SELECT e FROM e{k}) * a.u * b.u AS v FROM c{k} c JOIN u{k} a ON a.i = c.i JOIN u{k} b ON b.i = c.j)")
+    return ", ".join(parts)
+
+
+@register(f"WITH {_dual_sql()} SELECT u1.i AS nation, round(u1.u * sqrt(e1.e) * g1.g, 6) + 0.0 AS score_1, round(u2.u * sqrt(e2.e) * g2.g, 6) + 0.0 AS score_2, round((u1.u ** 2 + u2.u ** 2) * (n - 1), 6) AS t2, round(c.v - u1.u ** 2 * e1.e - u2.u ** 2 * e2.e, 6) + 0.0 AS q, round((e1.e + e2.e) / (SELECT sum(v) FROM c1 WHERE i = j), 6) AS share FROM u1 JOIN u2 USING (i) JOIN c1 c ON c.i = u1.i AND c.j = u1.i CROSS JOIN e1 CROSS JOIN e2 CROSS JOIN g1 CROSS JOIN g2 CROSS JOIN nn")
+def wide_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two components of thousands of channels, without a matrix of channels by channels."""
+    rows = materialize(daily(spark, sf_dir), "daily")  # every pass reads it
+    model = wide.principal(rows, 2)
+    found = wide.scores(rows, model, key="nation")
+    return rounded(found.select("nation", F.get("scores", F.lit(0)).alias("score_1"), F.get("scores", F.lit(1)).alias("score_2"), "t2", "q", F.lit(float(model.shares.sum())).alias("share")))

@@ -299,13 +299,13 @@ def disorder_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(spark.sql("SELECT * FROM VALUES ('A', 'B'), ('B', 'C'), ('X', 'Y') AS e(src, dst)"))
 
 
-@register("""WITH e AS (SELECT o_custkey AS u, -(o_orderkey % 40) - 1 AS v FROM orders WHERE o_custkey <= 60), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+@register("""WITH e AS (SELECT o_custkey AS u, -(o_orderkey % 40) - 1 AS v FROM orders), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 s0 AS (SELECT min(u) AS node FROM e), s1 AS (SELECT DISTINCT v AS node FROM b JOIN s0 ON u = node WHERE v NOT IN (SELECT node FROM s0)),
 s2 AS (SELECT DISTINCT v AS node FROM b JOIN s1 ON u = node WHERE v NOT IN (SELECT node FROM s0 UNION ALL SELECT node FROM s1))
 SELECT node, 0 AS shell FROM s0 UNION ALL SELECT node, 1 FROM s1 UNION ALL SELECT node, 2 FROM s2""")
 def growth_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and groups of their orders as a graph, grown two steps from the first customer."""
-    edges = table(spark, sf_dir, "orders").filter("o_custkey <= 60").select(F.col("o_custkey").alias("src"), (-(F.col("o_orderkey") % 40) - 1).alias("dst"))
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (-(F.col("o_orderkey") % 40) - 1).alias("dst"))
     return graph.shells(edges, edges.agg(F.min("src").alias("node")), 2)
 
 
