@@ -45,8 +45,10 @@ def sites(atoms: DataFrame, ops: DataFrame, cells: DataFrame) -> DataFrame:
     key = [F.pmod(F.round(100 * F.col(f"n{c}")).cast("int"), F.lit(100)).alias(f"k{c}") for c in "xyz"]
     kept = [c for c in atoms.columns if c not in "xyz"]
     images = images.select(*kept, "op", (F.col("idx") * MOST_OPS + F.col("op")).alias("site"), *[F.col(f"n{c}").alias(c) for c in "xyz"], "su", "sv", "sw", *key)
+    # dealt out by all keys: else Spark keeps what a join by structure left, and a large structure stays in one task
+    images = images.repartition("structure", "sym", "kx", "ky", "kz")
     first = F.row_number().over(Window.partitionBy("structure", "sym", "kx", "ky", "kz").orderBy("idx", "op"))
-    return images.withColumn("__k", first).filter("__k = 1").drop("__k", "kx", "ky", "kz").join(basis(cells), "structure")
+    return images.withColumn("__k", first).filter("__k = 1").drop("__k", "kx", "ky", "kz").join(basis(cells), "structure").repartition("structure", "site")
 
 
 def _buckets(axis: int, radius: float) -> Column:
@@ -168,14 +170,13 @@ def hydrogen_bond_images(placed: DataFrame, angle_min: float = ANGLE) -> DataFra
     kept = ["site", "label", "sym", "x", "y", "z", "cluster"]
     heavy, hydrogens = placed.filter("sym <> 'H'"), placed.filter("sym = 'H'")
     limit = max(COVALENT[s] for s in DONORS) + COVALENT["H"] + BOND_TOLERANCE
-    near = periodic_pairs(hydrogens, heavy, limit, ["site", "label", "x", "y", "z"], kept)
+    near = periodic_pairs(hydrogens, heavy, limit, ["site", "label", "x", "y", "z", *_BASIS], kept)
     owned = near.groupBy("structure", "l.site").agg(F.min(F.struct("d", F.col("r.site").alias("to"), *OFFSET, "l", "r")).alias("o")).select("structure", "o.*")
     owned = owned.filter(F.col("r.sym").isin(*DONORS) & (F.col("d") > SHORTEST) & (F.col("d") <= lookup(F.col("r.sym"), COVALENT) + COVALENT["H"] + BOND_TOLERANCE))
-    basis_ = placed.select("structure", *_BASIS).groupBy("structure").agg(*[F.first(c).alias(c) for c in _BASIS])
     # from here on places are seen from the donor's own cell; the hydrogen's cell is `home` away from it
-    donors = owned.join(basis_, "structure").select(
+    donors = owned.select(
         "structure", F.col("r.site").alias("dsite"), F.col("r.label").alias("label"), F.col("r.sym").alias("sym"), F.col("r.cluster").alias("cluster"), *[F.col(f"r.{c}").alias(c) for c in "xyz"],
-        F.col("l.site").alias("hsite"), F.col("l.label").alias("hydrogen"), "d", *[(F.col(f"l.{c}") - F.col(f"r.{c}") - F.col(o)).alias(f"h{c}") for c, o in zip("xyz", OFFSET)], *[F.col(o).alias(f"home_{o}") for o in OFFSET], *_BASIS,
+        F.col("l.site").alias("hsite"), F.col("l.label").alias("hydrogen"), "d", *[(F.col(f"l.{c}") - F.col(f"r.{c}") - F.col(o)).alias(f"h{c}") for c, o in zip("xyz", OFFSET)], *[F.col(o).alias(f"home_{o}") for o in OFFSET], *[F.col(f"l.{m}").alias(m) for m in _BASIS],
     )
     mine = ["dsite", "label", "sym", "cluster", "hsite", "hydrogen", "d", "hx", "hy", "hz", *[f"home_{o}" for o in OFFSET], *[c for c in "xyz"], *_BASIS[:6]]
     pairs = periodic_pairs(donors, heavy.filter(F.col("sym").isin(*ACCEPTORS)), LONGEST_DA, mine, [*kept, "op", "su", "sv", "sw"])

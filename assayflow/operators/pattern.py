@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .long_traces import gaps
 from .spatial import range_join
 
 #: Copper K alpha 1 and 2 wavelengths in angstrom, and half widths at which a line is cut.
@@ -89,10 +89,8 @@ def simulate(lines: DataFrame, grid: DataFrame, eta: float = LORENTZ, cut: float
 
 
 def nearest(points: DataFrame, lines: DataFrame, at: str = "two_theta") -> DataFrame:
-    """points with gap: the distance to the nearest line. lines are one structure's reflections, deduplicated by place."""
-    places = lines.select(F.round("two_theta", 9).alias("t")).distinct().agg(F.array_sort(F.collect_list("t")).alias("places"))
-    gap = F.array_min(F.transform("places", lambda t: F.abs(t - F.col(at))))
-    return points.crossJoin(F.broadcast(places)).withColumn("gap", gap).drop("places")
+    """points with gap: the distance to the nearest line."""
+    return gaps(points, lines.select(F.col("two_theta").alias("__line")), at, "__line")
 
 
 def index_peaks(peaks: DataFrame, lines: DataFrame, tolerance: float = INDEX_TOLERANCE, top: int = TOP) -> DataFrame:
@@ -116,23 +114,6 @@ def local_maxima(df: DataFrame, key: str, x: str = "x", y: str = "y", height: fl
     return top.select(key, F.get("xs", F.floor((F.size("xs") - 1) / 2).cast("int")).alias(x), F.col("v").alias(y))
 
 
-def thin_peaks(peaks: DataFrame, distance: float, key: str, x: str = "x", y: str = "y") -> DataFrame:
-    """The strongest peaks first, each removing weaker ones nearer than distance: greedy, so a trace is one group."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([y, x], ascending=[False, True])
-        kept: list[float] = []
-        rows = []
-        for i, v in enumerate(pdf[x]):
-            if all(abs(v - k) >= distance for k in kept):
-                kept.append(v)
-                rows.append(i)
-        return pdf.iloc[rows]
-
-    slim = peaks.select(key, x, y)
-    return slim.groupBy(key).applyInPandas(keep, slim.schema)
-
-
 def residual_peaks(df: DataFrame, key: str, observed: str, explained: str, x: str = "x", share: float = 0.05) -> DataFrame:
     """New and lost peaks of a residual: local maxima of it and of its negative above a share of the largest |observed|."""
     top = df.groupBy(key).agg((share * F.max(F.abs(observed))).alias("least"))

@@ -27,7 +27,7 @@ def register(sql: str | None = None, name: str | None = None) -> Callable[[Query
 
 
 #: Modules whose queries make up the catalogue; each registers its own when imported.
-MODULES = ("calibration_queries", "trace_queries", "multivariate_queries", "structure_queries", "review_queries", "crystal_queries")
+MODULES = ("calibration_queries", "trace_queries", "multivariate_queries", "structure_queries", "review_queries", "crystal_queries", "long_queries")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cif_field, cif_number
-from ..operators import design, graph, mixture, pattern, review, scattering, spatial, structure, validate
+from ..operators import design, graph, long_traces, mixture, pattern, review, scattering, spatial, structure, validate
 from ..sources import readers, spc
 from .adapters import SPECTRA_SQL, rounded, spectra, table
 from .catalogue import register
@@ -84,10 +84,19 @@ def profile_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pattern.local_maxima(p, "event_type", "h", "v"))
 
 
-@register()
+def thinned_sql(peaks: str, distance: int, key: str, v: str) -> str:
+    """CTE th over `peaks` (key, pos, v): state 1 is kept, -1 removed; each round decides about the peaks that none higher near is undecided of."""
+    near = f"q.{key} = p.{key} AND abs(q.pos - p.pos) < {distance}"
+    return f"""th AS (SELECT {key}, pos, {v}, 0 AS state FROM {peaks} UNION ALL SELECT {key}, pos, {v}, state FROM (
+  WITH k AS (SELECT p.*, NOT EXISTS (SELECT 1 FROM th q WHERE {near} AND q.state = 0 AND (q.{v} > p.{v} OR q.{v} = p.{v} AND q.pos > p.pos)) AS top FROM th p WHERE p.state = 0)
+  SELECT p.{key}, p.pos, p.{v}, CASE WHEN p.top THEN 1 WHEN EXISTS (SELECT 1 FROM k q WHERE {near} AND q.top) THEN -1 ELSE 0 END AS state FROM k p))"""
+
+
+@register(f"WITH RECURSIVE p AS ({_PROFILE}), pk AS (" + _MAXIMA.format(rows="p", key="event_type", out="event_type, h AS pos, v", least="0").removeprefix(", ").replace("q AS (", "WITH q AS (", 1) + f"), {thinned_sql('pk', 4, 'event_type', 'v')} SELECT event_type, pos AS h, round(v, 6) AS v FROM th WHERE state = 1")
 def pxrd_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours are samples, so peaks four hours apart and more stay."""
     p = table(spark, sf_dir, "events").groupBy("event_type", F.hour("ts").cast("long").alias("h")).agg(F.avg("value").alias("v"))
-    return rounded(pattern.thin_peaks(pattern.local_maxima(p, "event_type", "h", "v"), 4, "event_type", "h", "v"))
+    return rounded(long_traces.thinned(pattern.local_maxima(p, "event_type", "h", "v"), 4, "event_type", "v", "h"))
 
 
 _PAIRS = "VALUES (3.5, 7.0), (4.0, 3.0), (3.0, 4.5), (2.0, 5.0), (2.0, 2.0), (CAST(NULL AS DOUBLE), 1.0)"
