@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import crystals, groups
+from ..functions import dist
+from ..operators import crystals, groups, tensors
 from ..operators.structure import ACCEPTORS, BOND_TOLERANCE, COVALENT, DONORS, NEUTRON, VAN_DER_WAALS
 from ..sources import cif
 from ..sources.scratch import materialize
@@ -261,3 +262,58 @@ def cif_bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = materialize(crystals.with_clusters(found, crystals.disorder_clusters(found)), "sites")
     pair = [f("label_i", "label_j").alias(c) for f, c in ((F.least, "label_i"), (F.greatest, "label_j"))]
     return rounded(crystals.periodic_bonds(where).select("structure", *pair, F.round("d", 4).alias("d"))).groupBy("structure", "label_i", "label_j", "d").agg(F.count("*").alias("n"))
+
+
+# --- displacement tensors of each part's images, and the structures seen along their own axes
+
+_CELLS_ONLY = SITES_SQL.split(",\nim0 AS")[0]
+_U = ["u11", "u22", "u33", "u12", "u13", "u23"]
+TENSORS_SQL = f"""SELECT structure, idx, 2e-2 + idx % 13 * 1e-3 AS u11, 3e-2 + idx % 7 * 1e-3 AS u22, CASE WHEN idx % 50 = 0 THEN -1e-2 ELSE 25e-3 + idx % 5 * 2e-3 END AS u33,
+ (idx * 7 % 11 - 5) * 1e-3 AS u12, (idx * 5 % 9 - 4) * 1e-3 AS u13, (idx * 3 % 7 - 3) * 1e-3 AS u23 FROM ({ATOMS_SQL}) z"""
+_H = {1: "(m22 * m33 * a / sqrt((m22 * m33) ** 2 + (m12 * m33) ** 2 + (m12 * m23 - m13 * m22) ** 2))", 2: "(m22 * m33 / sqrt(m33 ** 2 + m23 ** 2))", 3: "m33"}
+_M = {(1, 1): "a", (1, 2): "m12", (1, 3): "m13", (2, 2): "m22", (2, 3): "m23", (3, 3): "m33"}
+_B = ", ".join(f"({' + '.join(f'{_M[i, k]} * r{k}{j}' for k in range(i, 4))}) / {_H[j]} AS b{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
+_C = ", ".join(f"{' + '.join(f'b{i}{p} * b{j}{q} * u{min(p, q)}{max(p, q)}' for p in (1, 2, 3) for q in (1, 2, 3))} AS c{i}{j}" for i, j in tensors.PLACES)
+_ROOTS = """(c11 + c22 + c33) / 3 AS q, sqrt(((c11 - q) ** 2 + (c22 - q) ** 2 + (c33 - q) ** 2 + 2 * (c12 ** 2 + c13 ** 2 + c23 ** 2)) / 6) AS p,
+ acos(greatest(-1, least(1, ((c11 - q) * ((c22 - q) * (c33 - q) - c23 ** 2) - c12 * (c12 * (c33 - q) - c23 * c13) + c13 * (c12 * c23 - (c22 - q) * c13)) / (2 * p ** 3)))) / 3 AS f,
+ q + 2 * p * cos(f + 2 * pi() / 3) AS e1, q + 2 * p * cos(f) AS e3, 3 * q - e1 - e3 AS e2"""
+
+
+@register(f"""WITH {_CELLS_ONLY}, t AS ({TENSORS_SQL}), o AS ({OPS_SQL}), b AS (SELECT t.structure, idx, op, {', '.join(_U)}, {_B} FROM t JOIN o ON o.structure = t.structure JOIN cl ON cl.structure = t.structure),
+c AS (SELECT structure, idx, op, {_C} FROM b), e AS (SELECT *, {_ROOTS} FROM c)
+SELECT structure, idx, op, {', '.join(f'round({n}, 6) + 0.0 AS {n}' for n in (*tensors.NAMES, 'e1', 'e2', 'e3'))}, round(q, 6) AS u_eq, CASE WHEN e1 > 1e-9 THEN round(sqrt(e1 * {dist.chi2_ppf(0.5, 3)!r}), 6) END AS a1, CASE WHEN e1 > 1e-9 THEN round(sqrt(e3 * {dist.chi2_ppf(0.5, 3)!r}), 6) END AS a3 FROM e""")
+def tensor_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms, ops, cells = structures(spark, sf_dir)
+    found = tensors.displaced_images(spark.sql(TENSORS_SQL), ops, cells)
+    return rounded(found.select("structure", "idx", "op", *tensors.NAMES, "e1", "e2", "e3", "u_eq", "a1", "a3"))
+
+
+def _power(tensor: str, name: str, squarings: int = 22) -> str:
+    """CTEs name0.. of a 3 x 3 tensor a structure (i, j, v), squared and scaled by its trace; name: its first axis, unit."""
+    parts = [f"{name}0 AS (SELECT structure, i, j, v / sum(v) FILTER (i = j) OVER (PARTITION BY structure) AS v FROM {tensor})"]
+    for k in range(squarings):
+        parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT structure, i, j, v / sum(v) FILTER (i = j) OVER (PARTITION BY structure) AS v FROM (SELECT a.structure, a.i, b.j, sum(a.v * b.v) AS v FROM {name}{k} a JOIN {name}{k} b ON a.structure = b.structure AND a.j = b.i GROUP BY ALL))")
+    last = f"{name}{squarings}"
+    parts.append(f"{name} AS (SELECT structure, i, v / sqrt(sum(v * v) OVER (PARTITION BY structure)) AS u FROM {last} JOIN (SELECT structure, arg_max(i, v) AS j FROM {last} WHERE i = j GROUP BY 1) USING (structure, j))")
+    return ", ".join(parts)
+
+
+@register(f"""WITH {_CELLS_ONLY}, h AS (SELECT q.structure, idx, cl.a * x + m12 * y + m13 * z AS x, m22 * y + m23 * z AS y, m33 * z AS z FROM ({ATOMS_SQL}) q JOIN cl ON cl.structure = q.structure WHERE sym <> 'H'),
+lg AS MATERIALIZED (SELECT structure, idx, i, c - avg(c) OVER (PARTITION BY structure, i) AS d FROM (SELECT structure, idx, unnest([1, 2, 3]) AS i, unnest([x, y, z]) AS c FROM h)),
+cv AS MATERIALIZED (SELECT a.structure, a.i, b.i AS j, sum(a.d * b.d) AS v FROM lg a JOIN lg b USING (structure, idx) GROUP BY ALL),
+rv AS (SELECT structure, i, j, CASE WHEN i = j THEN sum(v) FILTER (i = j) OVER (PARTITION BY structure) ELSE 0 END - v AS v FROM cv), {_power('cv', 'px')}, {_power('rv', 'pz')},
+t AS MATERIALIZED (SELECT lg.structure, idx, sum(d * px.u) AS x, sum(d * pz.u) AS z FROM lg JOIN px USING (structure, i) JOIN pz USING (structure, i) GROUP BY ALL),
+g AS (SELECT structure, sign(sum(x ** 3)) AS gx, sign(sum(z ** 3)) AS gz FROM t GROUP BY 1),
+f AS (SELECT structure, max(px.u * gx) FILTER (i = 1) AS x1, max(px.u * gx) FILTER (i = 2) AS x2, max(px.u * gx) FILTER (i = 3) AS x3, max(pz.u * gz) FILTER (i = 1) AS z1, max(pz.u * gz) FILTER (i = 2) AS z2, max(pz.u * gz) FILTER (i = 3) AS z3 FROM px JOIN pz USING (structure, i) JOIN g USING (structure) GROUP BY 1),
+ee AS (SELECT structure, sum(v) FILTER (i = j) AS tr, sum(v * a.u * b.u) AS w1, sum(v * c.u * e.u) AS w3 FROM cv JOIN px a USING (structure, i) JOIN px b ON b.structure = cv.structure AND b.i = cv.j JOIN pz c ON c.structure = cv.structure AND c.i = cv.i JOIN pz e ON e.structure = cv.structure AND e.i = cv.j GROUP BY 1),
+y AS (SELECT lg.structure, idx, sum(d * CASE i WHEN 1 THEN z2 * x3 - z3 * x2 WHEN 2 THEN z3 * x1 - z1 * x3 ELSE z1 * x2 - z2 * x1 END) AS v FROM lg JOIN f USING (structure) GROUP BY ALL)
+SELECT t.structure, t.idx, round(x * gx, 4) + 0.0 AS u, round(v, 4) + 0.0 AS v, round(z * gz, 4) + 0.0 AS w, CASE WHEN tr - w1 - w3 >= .85::DOUBLE * w1 THEN 'degenerate' ELSE 'unique' END AS code FROM t JOIN y USING (structure, idx) JOIN g USING (structure) JOIN ee USING (structure)""")
+def view_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heavier atoms of each structure along its own axes."""
+    atoms, _, cells = structures(spark, sf_dir)
+    heavy = atoms.filter("sym <> 'H'").join(crystals.basis(cells), "structure")
+    xyz = [(F.col("m11") * F.col("x") + F.col("m12") * F.col("y") + F.col("m13") * F.col("z")).alias("x"), (F.col("m22") * F.col("y") + F.col("m23") * F.col("z")).alias("y"), (F.col("m33") * F.col("z")).alias("z")]
+    where = materialize(heavy.select("structure", "idx", *xyz), "heavy")
+    axes = materialize(tensors.view_axes(where), "axes")
+    out = tensors.seen(where, axes).join(axes.select("structure", "code"), "structure")
+    return out.select("structure", "idx", *[(F.round(c, 4) + 0.0).alias(c) for c in "uvw"], "code")
