@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..operators import crystals, groups, tensors
-from ..operators.structure import ACCEPTORS, BOND_TOLERANCE, COVALENT, DONORS, NEUTRON, VAN_DER_WAALS
+from ..operators import crystals, groups, report, tensors
+from ..operators.structure import ACCEPTORS, BOND_TOLERANCE, CELL_DENSITY, COVALENT, DONORS, FORMULA_DENSITY, NEUTRON, VAN_DER_WAALS, WEIGHT
 from ..sources import cif
 from ..sources.scratch import materialize
 from .adapters import rounded, table
@@ -142,8 +142,8 @@ def _xyz(f: tuple[str, str, str], out: str) -> str:
     return f"a * {f[0]} + m12 * {f[1]} + m13 * {f[2]} AS {out}x, m22 * {f[1]} + m23 * {f[2]} AS {out}y, m33 * {f[2]} AS {out}z"
 
 
-@register(f"""WITH RECURSIVE {SITES_SQL}, {CLUSTER_SQL},
-nh AS ({_pairs("(SELECT * FROM im WHERE sym = 'H')", "(SELECT * FROM im WHERE sym <> 'H')", "l.site AS h, l.label AS hydrogen, l.x AS hx, l.y AS hy, l.z AS hz, r.site AS dsite, r.label AS donor, r.sym AS s, r.x + du AS qx, r.y + dv AS qy, r.z + dw AS qz", "1.5")}),
+#: ff: donor, hydrogen and acceptor triples over 27 and more images; k = 1 once each.
+HYDROGEN_SQL = f"""nh AS ({_pairs("(SELECT * FROM im WHERE sym = 'H')", "(SELECT * FROM im WHERE sym <> 'H')", "l.site AS h, l.label AS hydrogen, l.x AS hx, l.y AS hy, l.z AS hz, r.site AS dsite, r.label AS donor, r.sym AS s, r.x + du AS qx, r.y + dv AS qy, r.z + dw AS qz", "1.5")}),
 ow AS (SELECT *, row_number() OVER (PARTITION BY structure, h ORDER BY d, dsite, du, dv, dw) AS k FROM nh),
 dn AS MATERIALIZED (SELECT structure, h, hydrogen, dsite, donor, s, d AS dh, qx AS x, qy AS y, qz AS z, {_xyz(("(hx - qx)", "(hy - qy)", "(hz - qz)"), "h")} FROM ow JOIN cl USING (structure)
   WHERE k = 1 AND s IN {_IN(DONORS)} AND d > .4 AND d <= {_radii('s', COVALENT)} + .31::DOUBLE + .4::DOUBLE),
@@ -155,7 +155,10 @@ an AS (SELECT *, sqrt((ax - nx) ** 2 + (ay - ny) ** 2 + (az - nz) ** 2) AS ha FR
 kd AS (SELECT *, degrees(acos(greatest(-1, least(1, (-nx * (ax - nx) - ny * (ay - ny) - nz * (az - nz)) / (sqrt(nx ** 2 + ny ** 2 + nz ** 2) * ha))))) AS angle,
   EXISTS (SELECT 1 FROM x WHERE x.structure = an.structure AND x.a = an.donor AND x.b = an.acceptor) AS apart FROM an),
 kk AS (SELECT *, CASE WHEN apart THEN 'disorder' WHEN ha > {_radii('t', VAN_DER_WAALS)} + 1.2::DOUBLE THEN 'far' WHEN angle >= 120 THEN 'hbond' WHEN angle >= 90 THEN 'contact' ELSE 'bent' END AS kind FROM kd),
-ff AS (SELECT *, row_number() OVER (PARTITION BY structure, donor, hydrogen, acceptor, kind, round(da, 2) ORDER BY h, asite, du, dv, dw) AS k FROM kk)
+ff AS (SELECT *, row_number() OVER (PARTITION BY structure, donor, hydrogen, acceptor, kind, round(da, 2) ORDER BY h, asite, du, dv, dw) AS k FROM kk)"""
+
+
+@register(f"""WITH RECURSIVE {SITES_SQL}, {CLUSTER_SQL}, {HYDROGEN_SQL}
 SELECT structure, donor, hydrogen, acceptor, round(da, 6) AS da, CASE WHEN kind <> 'disorder' THEN round(ha, 6) END AS ha, CASE WHEN kind <> 'disorder' THEN round(angle, 6) END AS angle, kind,
  CASE WHEN da < 2.2 THEN 'long' WHEN da < 2.5 THEN 'strong' WHEN da < 3.2 THEN 'moderate' WHEN da < 4 THEN 'weak' ELSE 'long' END AS strength,
  CASE WHEN op = 0 AND su + du = 0 AND sv + dv = 0 AND sw + dw = 0 THEN '.' ELSE concat(op + 1, '_', su + du + 5, sv + dv + 5, sw + dw + 5) END AS code FROM ff WHERE k = 1""")
@@ -317,3 +320,67 @@ def view_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     axes = materialize(tensors.view_axes(where), "axes")
     out = tensors.seen(where, axes).join(axes.select("structure", "code"), "structure")
     return out.select("structure", "idx", *[(F.round(c, 4) + 0.0).alias(c) for c in "uvw"], "code")
+
+
+# --- the whole review of each structure; what is declared follows from the table by rule, now and then wrong
+
+_NAMES = ["P 1", "P -1", "P 21", "P 21/c", "P 21 21 21"]
+DECLARED_SQL = """SELECT s_suppkey AS structure, CASE WHEN s_suppkey % 7 = 0 THEN 'P n m a' """ + " ".join(f"WHEN s_suppkey % 5 = {k} THEN '{n}'" for k, n in enumerate(_NAMES)) + """ END AS name,
+ CASE WHEN s_suppkey % 8 = 0 THEN NULL WHEN s_suppkey % 9 = 0 THEN 102e-2 ELSE 1e0 END AS by_volume, CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 4 = 0 THEN 106e-2 ELSE 1e0 END AS by_density,
+ CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 5 = 1 THEN 11e-1 ELSE 1e0 END AS by_f000, CASE s_suppkey % 6 WHEN 1 THEN 71073e-5 WHEN 2 THEN 15418e-4 WHEN 3 THEN 13e-1 WHEN 4 THEN 12e-1 WHEN 5 THEN 56086e-5 END AS wavelength,
+ CASE WHEN s_suppkey % 6 = 4 THEN 'Synchrotron' END AS radiation FROM supplier"""
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms, ops, cells = structures(spark, sf_dir)
+    where = placed(spark, sf_dir)
+    bonds, found = crystals.periodic_bonds(where), crystals.hydrogen_bond_images(where)
+    inside = report.cell_contents(where).join(crystals.basis(cells), "structure").join(ops.groupBy("structure").agg(F.count("*").cast("double").alias("z")), "structure")
+    v = F.col("m11") * F.col("m22") * F.col("m33")
+    told = spark.sql(DECLARED_SQL).join(cells, "structure").join(inside, "structure").select(
+        "structure", "a", "b", "c", "alpha", "beta", "gamma", "name", (v * F.col("by_volume")).alias("volume"), (CELL_DENSITY * F.col("mass") / v * F.col("by_density")).alias("density"), (F.col("mass") / F.col("z")).alias("weight"),
+        "z", (F.col("electrons") * F.col("by_f000")).alias("f000"), F.transform_values("counts", lambda k, n: n / F.col("z")).alias("formula"), "wavelength", "radiation",
+    )
+    return report.validation(materialize(told, "declared"), atoms, ops, where, bonds, found)
+
+
+_WEIGHTS = "CASE sym " + " ".join(f"WHEN '{k}' THEN {WEIGHT[k]!r}::DOUBLE" for k in ("H", "C", "N", "O")) + " END"
+_ELECTRONS = "CASE sym " + " ".join(f"WHEN '{k}' THEN {report.NUMBERS[k]}" for k in ("H", "C", "N", "O")) + " END"
+_SUMMED = f"""mm AS (SELECT structure, sum(occ * {_WEIGHTS}) AS mass, sum(occ * {_ELECTRONS})::DOUBLE AS electrons, string_agg(DISTINCT sym, ' ' ORDER BY sym) AS elements, count(DISTINCT sym) AS n_elements FROM im GROUP BY 1),
+oo AS (SELECT structure, count(*) AS n_ops FROM ({OPS_SQL}) GROUP BY 1), sp AS (SELECT structure, count(*) AS n FROM (SELECT structure, idx, count(*) AS orbit FROM im GROUP BY ALL) JOIN oo USING (structure) WHERE orbit < n_ops GROUP BY 1),
+bb AS (SELECT structure, count(*) AS n, count(*) FILTER (o) AS n_out FROM (SELECT structure, least(label_i, label_j) AS a, greatest(label_i, label_j) AS b, round(d, 2) AS d, bool_or(abs(d - expected) > .25) AS o FROM bd GROUP BY ALL) GROUP BY 1),
+hh AS (SELECT structure, count(*) FILTER (kind = 'hbond') AS n_h, count(*) FILTER (kind = 'contact') AS n_c FROM ff WHERE k = 1 GROUP BY 1), su AS (SELECT structure, count(*) AS n FROM (SELECT DISTINCT structure, donor, acceptor FROM ff WHERE kind = 'disorder') GROUP BY 1),
+de AS (SELECT d.*, a * m22 * m33 AS made, a * m22 * m33 * by_volume AS told, {CELL_DENSITY!r}::DOUBLE * mass / (a * m22 * m33) * by_density AS density, electrons * by_f000 AS f000, mass, electrons, elements, n_elements, n_ops, CAST(cl.kind AS INT) AS kind
+  FROM ({DECLARED_SQL}) d JOIN cl USING (structure) JOIN mm USING (structure) JOIN oo USING (structure)),
+dd AS (SELECT *, coalesce(told, made) AS v, {CELL_DENSITY!r}::DOUBLE * mass / v AS d1, {FORMULA_DENSITY!r}::DOUBLE * mass / v AS d2, density / d2 AS r, coalesce(abs(d1 - density) / density < .03, false) AS ok1, coalesce(abs(d2 - density) / density < .03, false) AS ok2 FROM de),
+va AS (SELECT *, CASE WHEN density IS NULL THEN 'not_declared' WHEN ok1 AND ok2 THEN 'consistent' WHEN ok1 THEN 'declared_off' WHEN ok2 THEN 'expansion_wrong' ELSE 'cell_off' END AS branch,
+  CASE WHEN r IS NULL THEN NULL WHEN r < .9 OR r > 1.1 THEN 'A' WHEN r < .95 OR r > 1.05 THEN 'B' WHEN r < .99 OR r > 1.01 THEN 'C' END AS alert, coalesce(abs(electrons - f000) / f000 > .05, false) AS f_off,
+  CASE WHEN wavelength IS NULL THEN 'not_declared' WHEN radiation IS NOT NULL THEN 'other_source' WHEN wavelength = 1.3::DOUBLE THEN 'unusual' ELSE 'standard' END AS wave, CASE wavelength WHEN 0.71073::DOUBLE THEN ' Mo' WHEN 1.5418::DOUBLE THEN ' Cu-Ka' WHEN 0.56086::DOUBLE THEN ' Ag' ELSE '' END AS source,
+  (['{"', '".join(_NAMES)}'])[kind + 1] AS own FROM dd),
+re AS (SELECT structure, 1 AS place, 'A' AS block, 'volume' AS item, made AS number, CASE WHEN told IS NULL THEN 'not declared' ELSE printf('declared %.2f', told) END AS text, CASE WHEN coalesce(abs(made - told) / told > .01, false) THEN 'WARN' ELSE 'INFO' END AS severity FROM va
+  UNION ALL SELECT structure, 2, 'A', 'density', d1, branch || CASE WHEN density IS NULL THEN '' ELSE printf(', declared %.4f', density) END, CASE WHEN branch = 'expansion_wrong' THEN 'FAIL' WHEN branch IN ('declared_off', 'cell_off') THEN 'WARN' ELSE 'INFO' END FROM va
+  UNION ALL SELECT structure, 3, 'A', 'density ratio', r, coalesce(alert || '-alert', ''), CASE WHEN alert IN ('A', 'B') THEN 'WARN' ELSE 'INFO' END FROM va
+  UNION ALL SELECT structure, 4, 'A', 'F(000)', electrons, CASE WHEN f000 IS NULL THEN 'not declared' ELSE printf('declared %.2f', f000) END, CASE WHEN f_off THEN 'WARN' ELSE 'INFO' END FROM va
+  UNION ALL SELECT structure, 5, 'A', 'elements', n_elements, elements, 'INFO' FROM va
+  UNION ALL SELECT structure, 6, 'A', 'wavelength', wavelength, wave || source, CASE WHEN wave = 'unusual' THEN 'WARN' ELSE 'INFO' END FROM va
+  UNION ALL SELECT structure, 7, 'A', 'space group', n_ops, CASE WHEN name <> own THEN 'incomplete: ' ELSE 'consistent: ' END || name || ' / ' || own, CASE WHEN name <> own THEN 'WARN' ELSE 'INFO' END FROM va
+  UNION ALL SELECT structure, 8, 'A', 'special positions', coalesce(n, 0), '', 'INFO' FROM va LEFT JOIN sp USING (structure)
+  UNION ALL SELECT structure, 9, 'B', 'bonds', coalesce(n, 0), '', 'INFO' FROM va LEFT JOIN bb USING (structure)
+  UNION ALL SELECT structure, 10, 'B', 'outlying bonds', coalesce(n_out, 0), '', CASE WHEN n_out > 0 THEN 'WARN' ELSE 'INFO' END FROM va LEFT JOIN bb USING (structure)
+  UNION ALL SELECT structure, 11, 'C', 'hydrogen bonds', coalesce(n_h, 0), '', 'INFO' FROM va LEFT JOIN hh USING (structure) UNION ALL SELECT structure, 12, 'C', 'contacts', coalesce(n_c, 0), '', 'INFO' FROM va LEFT JOIN hh USING (structure)
+  UNION ALL SELECT structure, 13, 'C', 'suppressed', coalesce(n, 0), '', 'INFO' FROM va LEFT JOIN su USING (structure))"""
+_REPORT_SQL = f"WITH RECURSIVE {SITES_SQL}, {CLUSTER_SQL}, {BONDS_SQL}, {HYDROGEN_SQL}, {_SUMMED}"
+
+
+@register(_REPORT_SQL + " SELECT structure, CAST(place AS INT) AS place, block, item, round(number, 6) AS number, text, severity FROM re")
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirteen findings about every structure."""
+    return rounded(_report(spark, sf_dir))
+
+
+@register(_REPORT_SQL + """, ln AS (SELECT structure, place, severity, CASE place WHEN 1 THEN 'Crystal data' || chr(10) WHEN 9 THEN 'Geometry' || chr(10) WHEN 11 THEN 'Hydrogen bonds' || chr(10) ELSE '' END || '  ' || rpad(item, 18, ' ') || lpad(coalesce(printf('%.4f', number::DOUBLE), '-'), 14, ' ')
+  || CASE WHEN text = '' THEN '' ELSE '  ' || text END || CASE WHEN severity = 'INFO' THEN '' ELSE '  [' || severity || ']' END AS line FROM re)
+SELECT structure, CASE WHEN bool_or(severity = 'FAIL') THEN 'FAIL' WHEN bool_or(severity = 'WARN') THEN 'WARN' ELSE 'INFO' END AS severity, string_agg(line, chr(10) ORDER BY place) AS text FROM ln GROUP BY 1""".replace(", ln AS (", ", lx AS (").replace("FROM ln GROUP", "FROM lx GROUP"))
+def validation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same written out, a text for each structure."""
+    return report.table_text(_report(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot
-from ..operators import gram, outliers, validate, wide
+from ..operators import gram, outliers, report, validate, wide
 from ..functions import dist
 from ..sources.scratch import materialize
 from .adapters import CHANNELS_SQL, SPECTRA_SQL, principal_sql, rounded, spectra, table
@@ -276,3 +276,24 @@ def wide_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = wide.principal(rows, 2)
     found = wide.scores(rows, model, key="nation")
     return rounded(found.select("nation", F.get("scores", F.lit(0)).alias("score_1"), F.get("scores", F.lit(1)).alias("score_2"), "t2", "q", F.lit(float(model.shares.sum())).alias("share")))
+
+
+_THREE = "round({0}, CAST(2 - floor(log10(abs({0}))) AS INT))"
+
+
+@register(_FOLDED + f""", st AS (SELECT sample, pos, (v - avg(v) OVER k) / stddev_samp(v) OVER k AS v FROM ch WINDOW k AS (PARTITION BY pos)), sy AS (SELECT avg(y) AS m, stddev_samp(y) AS s FROM sp),
+wa AS (SELECT pos, sum(v * (y - m) / s) AS c FROM st JOIN sp USING (sample) CROSS JOIN sy GROUP BY pos), ww AS (SELECT pos, c / sqrt(sum(c * c) OVER ()) AS w FROM wa), ta AS (SELECT sample, sum(v * w) AS t FROM st JOIN ww USING (pos) GROUP BY 1),
+qa AS (SELECT sum(t * (y - m) / s) / sum(t * t) AS q FROM ta JOIN sp USING (sample) CROSS JOIN sy), fa AS (SELECT sqrt(avg((m + s * q * t - y) ** 2)) AS rmsec, 1 - sum((m + s * q * t - y) ** 2) / (count(*) * var_pop(y)) AS r2 FROM ta JOIN sp USING (sample) CROSS JOIN sy CROSS JOIN qa),
+va AS (SELECT count(*) AS n, sqrt(avg((predicted - y) ** 2)) AS rmsecv, avg(predicted - y) AS bias, 1 - sum((predicted - y) ** 2) / (count(*) * var_pop(y)) AS r2cv FROM p)
+SELECT n, 64::BIGINT AS channels, {_THREE.format('rmsec')} AS rmsec, round(r2, 3) AS r2, {_THREE.format('rmsecv')} AS rmsecv, round(r2cv, 3) AS r2cv, {_THREE.format('bias')} AS bias FROM va CROSS JOIN fa""")
+def methods_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers read back from the paragraph on a calibration of one latent variable."""
+    rows = spectra(spark, sf_dir)
+    model = gram.pls(gram.moments(rows)[None], 1)
+    e = model.predict(F.col("spectrum"), 1) - F.col("y")
+    fit = rows.agg(F.sqrt(F.avg(e * e)).alias("rmsec"), (1 - F.sum(e * e) / (F.count("*") * F.var_pop("y"))).alias("r2"))
+    found = validate.cross_validate(rows, 1, groups="grp").crossJoin(fit).withColumns({"method": F.lit("pls"), "channels": F.lit(model.coef.shape[1]), "chain": F.lit(None).cast("string"), "components": F.lit(1)})
+    text = report.methods_text(found)
+    read = lambda pattern, kind="double": F.regexp_extract("text", pattern, 1).cast(kind)
+    number = r"(-?[0-9.]+(?:e[-+]?[0-9]+)?)"
+    return text.select(read(r"used (\d+) samples", "long").alias("n"), read(r"of (\d+) channels", "long").alias("channels"), read(f"RMSEC {number}").alias("rmsec"), read(f"RMSEC [^,]*, R2 {number};").alias("r2"), read(f"RMSECV {number}").alias("rmsecv"), read(f"RMSECV [^,]*, R2 {number},").alias("r2cv"), read(r"bias [+]?" + number + r"\.").alias("bias"))
