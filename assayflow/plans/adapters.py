@@ -17,9 +17,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample, spectrum (64 channels), y, grp from embeddings."""
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("sample"), F.col("embedding").cast("array<double>").alias("spectrum"), F.col("label").cast("double").alias("y"), F.col("label").cast("int").alias("grp")
-    )
+    return as_spectra(table(spark, sf_dir, "embeddings"))
+
+
+def as_spectra(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("vec_id").alias("sample"), F.col("embedding").cast("array<double>").alias("spectrum"), F.col("label").cast("double").alias("y"), F.col("label").cast("int").alias("grp"))
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:

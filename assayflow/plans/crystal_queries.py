@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..operators import crystals, groups, report, tensors
+from ..operators import crystals, groups, report, shape, tensors
 from ..operators.structure import ACCEPTORS, BOND_TOLERANCE, CELL_DENSITY, COVALENT, DONORS, FORMULA_DENSITY, NEUTRON, VAN_DER_WAALS, WEIGHT
 from ..sources import cif
 from ..sources.scratch import materialize
@@ -301,7 +301,8 @@ def _power(tensor: str, name: str, squarings: int = 22) -> str:
     return ", ".join(parts)
 
 
-@register(f"""WITH {_CELLS_ONLY}, h AS (SELECT q.structure, idx, cl.a * x + m12 * y + m13 * z AS x, m22 * y + m23 * z AS y, m33 * z AS z FROM ({ATOMS_SQL}) q JOIN cl ON cl.structure = q.structure WHERE sym <> 'H'),
+#: t, y: places of heavier atoms along the first and last axes, and across both; g: signs; ee: spreads.
+_AXES_SQL = f"""h AS (SELECT q.structure, idx, cl.a * x + m12 * y + m13 * z AS x, m22 * y + m23 * z AS y, m33 * z AS z FROM ({ATOMS_SQL}) q JOIN cl ON cl.structure = q.structure WHERE sym <> 'H'),
 lg AS MATERIALIZED (SELECT structure, idx, i, c - avg(c) OVER (PARTITION BY structure, i) AS d FROM (SELECT structure, idx, unnest([1, 2, 3]) AS i, unnest([x, y, z]) AS c FROM h)),
 cv AS MATERIALIZED (SELECT a.structure, a.i, b.i AS j, sum(a.d * b.d) AS v FROM lg a JOIN lg b USING (structure, idx) GROUP BY ALL),
 rv AS (SELECT structure, i, j, CASE WHEN i = j THEN sum(v) FILTER (i = j) OVER (PARTITION BY structure) ELSE 0 END - v AS v FROM cv), {_power('cv', 'px')}, {_power('rv', 'pz')},
@@ -309,19 +310,35 @@ t AS MATERIALIZED (SELECT lg.structure, idx, sum(d * px.u) AS x, sum(d * pz.u) A
 g AS (SELECT structure, sign(sum(x ** 3)) AS gx, sign(sum(z ** 3)) AS gz FROM t GROUP BY 1),
 f AS (SELECT structure, max(px.u * gx) FILTER (i = 1) AS x1, max(px.u * gx) FILTER (i = 2) AS x2, max(px.u * gx) FILTER (i = 3) AS x3, max(pz.u * gz) FILTER (i = 1) AS z1, max(pz.u * gz) FILTER (i = 2) AS z2, max(pz.u * gz) FILTER (i = 3) AS z3 FROM px JOIN pz USING (structure, i) JOIN g USING (structure) GROUP BY 1),
 ee AS (SELECT structure, sum(v) FILTER (i = j) AS tr, sum(v * a.u * b.u) AS w1, sum(v * c.u * e.u) AS w3 FROM cv JOIN px a USING (structure, i) JOIN px b ON b.structure = cv.structure AND b.i = cv.j JOIN pz c ON c.structure = cv.structure AND c.i = cv.i JOIN pz e ON e.structure = cv.structure AND e.i = cv.j GROUP BY 1),
-y AS (SELECT lg.structure, idx, sum(d * CASE i WHEN 1 THEN z2 * x3 - z3 * x2 WHEN 2 THEN z3 * x1 - z1 * x3 ELSE z1 * x2 - z2 * x1 END) AS v FROM lg JOIN f USING (structure) GROUP BY ALL)
+y AS (SELECT lg.structure, idx, sum(d * CASE i WHEN 1 THEN z2 * x3 - z3 * x2 WHEN 2 THEN z3 * x1 - z1 * x3 ELSE z1 * x2 - z2 * x1 END) AS v FROM lg JOIN f USING (structure) GROUP BY ALL)"""
+
+
+@register(f"""WITH {_CELLS_ONLY}, {_AXES_SQL}
 SELECT t.structure, t.idx, round(x * gx, 4) + 0.0 AS u, round(v, 4) + 0.0 AS v, round(z * gz, 4) + 0.0 AS w, CASE WHEN tr - w1 - w3 >= .85::DOUBLE * w1 THEN 'degenerate' ELSE 'unique' END AS code FROM t JOIN y USING (structure, idx) JOIN g USING (structure) JOIN ee USING (structure)""")
 def view_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heavier atoms of each structure along its own axes."""
-    atoms, _, cells = structures(spark, sf_dir)
-    heavy = atoms.filter("sym <> 'H'").join(crystals.basis(cells), "structure")
-    xyz = [(F.col("m11") * F.col("x") + F.col("m12") * F.col("y") + F.col("m13") * F.col("z")).alias("x"), (F.col("m22") * F.col("y") + F.col("m23") * F.col("z")).alias("y"), (F.col("m33") * F.col("z")).alias("z")]
-    where = materialize(heavy.select("structure", "idx", *xyz), "heavy")
+    where = _heavy(spark, sf_dir)
     axes = materialize(tensors.view_axes(where), "axes")
     out = tensors.seen(where, axes).join(axes.select("structure", "code"), "structure")
     return out.select("structure", "idx", *[(F.round(c, 4) + 0.0).alias(c) for c in "uvw"], "code")
 
 
+def _heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """structure, idx and cartesian places of all but hydrogens."""
+    atoms, _, cells = structures(spark, sf_dir)
+    heavy = atoms.filter("sym <> 'H'").join(crystals.basis(cells), "structure")
+    xyz = [(F.col("m11") * F.col("x") + F.col("m12") * F.col("y") + F.col("m13") * F.col("z")).alias("x"), (F.col("m22") * F.col("y") + F.col("m23") * F.col("z")).alias("y"), (F.col("m33") * F.col("z")).alias("z")]
+    return materialize(heavy.select("structure", "idx", *xyz), "heavy")
+
+
+@register(f"""WITH {_CELLS_ONLY}, {_AXES_SQL}, sz AS (SELECT structure, list_sort([max(x) - min(x), max(v) - min(v), max(z) - min(z)]) AS e FROM t JOIN y USING (structure, idx) GROUP BY 1)
+SELECT structure, round(e[1] / e[3], 4) AS short, round(e[2] / e[3], 4) AS middle FROM sz""")
+def shape_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of each structure along its own axes, to the longest."""
+    found = shape.principal_extents(_heavy(spark, sf_dir), "structure")
+    return found.select("structure", F.round("short", 4).alias("short"), F.round("middle", 4).alias("middle"))
+
+
 # --- the whole review of each structure; what is declared follows from the table by rule, now and then wrong
 
 _NAMES = ["P 1", "P -1", "P 21", "P 21/c", "P 21 21 21"]

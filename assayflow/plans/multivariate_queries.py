@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import dot
 from ..operators import gram, outliers, report, validate, wide
 from ..functions import dist
-from ..sources.scratch import materialize
-from .adapters import CHANNELS_SQL, SPECTRA_SQL, principal_sql, rounded, spectra, table
+from ..sources.scratch import materialize, scratch_dir
+from ..streaming import scoring
+from .adapters import CHANNELS_SQL, SPECTRA_SQL, as_spectra, principal_sql, rounded, spectra, table
 from .catalogue import register
 
 _S = f"WITH sp AS ({SPECTRA_SQL}), ch AS ({CHANNELS_SQL})"
@@ -154,7 +157,24 @@ def cv_emsc_1lv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("fold", "sample", "predicted"))
 
 
-@register()
+def _scan_sql(most: int) -> str:
+    """Held-out errors of 1 to `most` latent variables for two chains; each is deflated in turn over every fold's training rows."""
+    parts = [f"sp AS ({SPECTRA_SQL})", f"raw AS ({CHANNELS_SQL})", "ch AS (SELECT 'none' AS pre, sample, y, grp, pos, v FROM raw UNION ALL SELECT 'snv', sample, y, grp, pos, (v - avg(v) OVER k) / stddev_pop(v) OVER k FROM raw WINDOW k AS (PARTITION BY sample))",
+             "g AS (SELECT DISTINCT grp AS f FROM sp)", "m AS (SELECT pre, f, pos, avg(v) AS m, stddev_samp(v) AS s FROM ch JOIN g ON grp <> f GROUP BY ALL)", "my AS (SELECT f, avg(y) AS m, stddev_samp(y) AS s FROM sp JOIN g ON grp <> f GROUP BY f)",
+             "e0 AS MATERIALIZED (SELECT pre, m.f, sample, grp, pos, (v - m.m) / m.s AS v, (y - my.m) / my.s AS y FROM ch JOIN m USING (pre, pos) JOIN my ON my.f = m.f)"]
+    for k in range(1, most + 1):
+        parts += [
+            f"a{k} AS (SELECT pre, f, pos, sum(v * y) AS c FROM e{k - 1} WHERE grp <> f GROUP BY ALL)", f"w{k} AS (SELECT pre, f, pos, c / sqrt(sum(c * c) OVER (PARTITION BY pre, f)) AS w FROM a{k})",
+            f"t{k} AS MATERIALIZED (SELECT pre, f, sample, grp, any_value(y) AS y, sum(v * w) AS t FROM e{k - 1} JOIN w{k} USING (pre, f, pos) GROUP BY pre, f, sample, grp)", f"q{k} AS (SELECT pre, f, sum(t * y) / sum(t * t) AS q, sum(t * t) AS tt FROM t{k} WHERE grp <> f GROUP BY ALL)",
+            f"p{k} AS (SELECT e.pre, e.f, pos, sum(e.v * t) / any_value(tt) AS p FROM e{k - 1} e JOIN t{k} t USING (pre, f, sample) JOIN q{k} USING (pre, f) WHERE e.grp <> e.f GROUP BY ALL)",
+            f"e{k} AS MATERIALIZED (SELECT e.pre, e.f, e.sample, e.grp, e.pos, e.v - t * p AS v, e.y - t * q AS y FROM e{k - 1} e JOIN t{k} t USING (pre, f, sample) JOIN q{k} USING (pre, f) JOIN p{k} USING (pre, f, pos))",
+        ]
+    parts.append("u AS (" + " UNION ALL ".join(f"SELECT {k} AS k, pre, f, sample, t * q AS v FROM t{k} JOIN q{k} USING (pre, f) WHERE grp = f" for k in range(1, most + 1)) + ")")
+    parts.append("h AS (SELECT pre, k AS a, sample, my.m + my.s * sum(v) OVER (PARTITION BY pre, sample ORDER BY k) AS predicted, sp.y FROM u JOIN my USING (f) JOIN sp USING (sample))")
+    return "WITH " + ", ".join(parts) + " SELECT a, count(*) AS n, round(sqrt(avg((predicted - y) ** 2)), 6) AS rmsecv, round(avg(predicted - y), 6) + 0.0 AS bias, round(1 - sum((predicted - y) ** 2) / (count(*) * var_pop(y)), 6) AS r2cv, pre FROM h GROUP BY a, pre"
+
+
+@register(_scan_sql(6))
 def component_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validate.component_scan(validate.folds(spectra(spark, sf_dir), "logo"), 6))
 
@@ -208,6 +228,18 @@ def ddsimca_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(outliers.accept(scored, outliers.acceptance(scored, gamma=None)).select("sample", "f", "accepted"))
 
 
+@register(_PR + _LIMITS.format(where="") + " SELECT sample, round(f, 6) AS f, f <= critical AS accepted FROM fu")
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as a stream, scored by a model of two components and written as it comes."""
+    rows = spectra(spark, sf_dir)
+    model = outliers.fit(rows, 2)
+    limits = outliers.acceptance(outliers.distances(rows, model), gamma=None)
+    where = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "embeddings").schema).parquet(f"{sf_dir}/embeddings.parquet*")  # a pattern, as the table may be one file
+    scored = scoring.score(as_spectra(stream), model, limits).select("sample", "f", "accepted")
+    return rounded(scoring.written(scored, f"{where}/rows", f"{where}/state"))
+
+
 @register()
 def ddsimca_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quartiles in place of moments, over all channels."""

@@ -25,3 +25,12 @@ def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append")
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def written(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Everything available now, written as Parquet to a folder that all executors share, and read back.
+
+    The sink writes each batch once, whatever is repeated; the checkpoint says how far it came.
+    """
+    df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
