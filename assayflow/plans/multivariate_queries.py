@@ -184,12 +184,11 @@ def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validate.leave_one_out(spectra(spark, sf_dir), 2))
 
 
-_SCAN = "VALUES ('none', 1, 1.5), ('none', 2, 1.05), ('none', 3, 1.0), ('snv', 1, 1.2), ('snv', 2, 1.08)"
-
-
-@register(f"WITH s(pre, a, rmsecv) AS ({_SCAN}) SELECT pre, a, CAST(rmsecv AS DOUBLE) AS rmsecv FROM s WHERE rmsecv <= (SELECT min(rmsecv) FROM s) * 1.1 ORDER BY a, rmsecv, pre LIMIT 1")
+@register(f"WITH scan AS ({_scan_sql(6)}) SELECT pre, a, rmsecv FROM scan WHERE rmsecv <= (SELECT min(rmsecv) FROM scan) * 1.1 ORDER BY a, rmsecv, pre LIMIT 1")
 def choose_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.choose_components(spark.sql(f"SELECT pre, a, CAST(rmsecv AS DOUBLE) AS rmsecv FROM {_SCAN} AS s(pre, a, rmsecv)"))
+    """The fewest components near the best error of the scan."""
+    scan = validate.component_scan(validate.folds(spectra(spark, sf_dir), "logo"), 6)
+    return rounded(validate.choose_components(scan).select("pre", "a", "rmsecv"))
 
 
 @register()

@@ -9,15 +9,17 @@ from ..operators import calibration, review, structure
 from .adapters import rounded, table
 from .calibration_queries import _DOCUMENTS, _fit_sql, documents_by_lang
 from .catalogue import register
+from .structure_queries import _views
 
-_WAVES = "VALUES (1, 1.54178, 'x-ray'), (2, 1.5406, NULL), (3, 0.8, 'Synchrotron'), (4, 0.9, ''), (5, NULL, 'x')"
+#: Wavelengths by rule, one for each supplier: near and off the standards, none, or from another source.
+_WAVES = "SELECT s_suppkey AS id, CASE s_suppkey % 7 WHEN 1 THEN 154178e-5 WHEN 2 THEN 15406e-4 WHEN 3 THEN 8e-1 WHEN 4 THEN 7107e-4 WHEN 5 THEN 5605e-4 WHEN 6 THEN 9e-1 END AS v, CASE s_suppkey % 5 WHEN 1 THEN 'x-ray' WHEN 2 THEN 'Synchrotron' WHEN 3 THEN '' WHEN 4 THEN 'neutrons' END AS r FROM supplier"
 
 
-@register(f"""WITH w AS (SELECT id, CAST(v AS DOUBLE) AS v, lower(coalesce(r, '')) AS r FROM ({_WAVES}) t(id, v, r)), s(name, s) AS (VALUES ('Cu-Ka', 1.5418), ('Cu-Ka1', 1.5406), ('Mo', .71073), ('Ag', .56086), ('Ga', 1.3414), ('In', .51359)),
+@register(f"""WITH w AS (SELECT id, v, lower(coalesce(r, '')) AS r FROM ({_WAVES})), s(name, s) AS (VALUES ('Cu-Ka', 1.5418), ('Cu-Ka1', 1.5406), ('Mo', .71073), ('Ag', .56086), ('Ga', 1.3414), ('In', .51359)),
 n AS (SELECT w.*, (SELECT arg_min(name, abs(w.v - s)) FROM s WHERE abs(w.v - s) < 5e-4) AS near FROM w), c AS (SELECT *, CASE WHEN v IS NULL THEN 'not_declared' WHEN regexp_matches(r, 'neutron|synchrotron|electron') THEN 'other_source' WHEN near IS NOT NULL THEN 'standard' ELSE 'unusual' END AS code FROM n)
 SELECT id, code, CASE WHEN code = 'standard' THEN near END AS source, CASE WHEN code = 'unusual' THEN 'WARN' ELSE 'INFO' END AS severity FROM c""")
 def wavelength_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(f"SELECT id, CAST(v AS DOUBLE) AS v, r FROM {_WAVES} AS t(id, v, r)")
+    rows = _views(spark, sf_dir).sql(_WAVES)
     return review.wavelength_review(rows, "v", "r").select("id", "code", "source", "severity")
 
 
@@ -54,68 +56,78 @@ def special_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.special_positions(sites, _ops(spark))
 
 
-_IMAGES = "VALUES ('A', .1, .2, .3), ('A', .9, .8, .7), ('A', -.1, .7, 1.2), ('A', .4, .4, .4), ('Z', 0.0, 0.0, 0.0)"
+#: An image of each part's atom by rule; some lie beside every image.
+_IMAGES = """SELECT concat('P', CAST(p_partkey AS VARCHAR(20))) AS label, p_partkey AS idx, (1 + p_partkey % 96) / 97e0 AS x, (1 + p_partkey * 5 % 96) / 97e0 AS y, (1 + p_partkey * 7 % 96) / 97e0 AS z, p_partkey % 4 AS op,
+ p_partkey % 3 - 1 AS sx, p_partkey % 5 - 2 AS sy, p_partkey % 2 AS sz, CASE WHEN p_partkey % 13 = 0 THEN 3e-1 ELSE 0e0 END AS off FROM part"""
 
 
-@register("SELECT label, CAST(x AS DOUBLE) AS x, code, operation FROM (VALUES ('A', .1, '.', '.'), ('A', .9, '2_666', '-x+1, -y+1, -z+1'), ('A', -.1, '3_556', '-x, y+1/2, -z+3/2'), ('A', .4, '?', '?'), ('Z', .0, '?', '?')) t(label, x, code, operation)")
+@register(f"""SELECT label, CASE WHEN off > 0 THEN '?' WHEN op = 0 AND sx = 0 AND sy = 0 AND sz = 0 THEN '.' ELSE concat(op + 1, '_', sx + 5, sy + 5, sz + 5) END AS code FROM ({_IMAGES})""")
 def symmetry_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = spark.sql(f"SELECT label, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM {_IMAGES} AS t(label, x, y, z)")
-    codes = review.symmetry_codes(images, _sites(spark), _ops(spark))
-    return review.operation_text(codes, _ops(spark)).select("label", "x", "code", "operation")
+    """Codes read off images, an image of each part's atom."""
+    rows = _views(spark, sf_dir).sql(_IMAGES)
+    turned = {"x": F.when(F.col("op").isin(0, 3), F.col("x")).otherwise(-F.col("x")), "y": F.when(F.col("op") == 0, F.col("y")).when(F.col("op") == 1, -F.col("y")).when(F.col("op") == 2, F.col("y") + 0.5).otherwise(0.5 - F.col("y")), "z": F.when(F.col("op") == 0, F.col("z")).when(F.col("op") == 1, -F.col("z")).when(F.col("op") == 2, 0.5 - F.col("z")).otherwise(F.col("z") + 0.5)}
+    images = rows.select("label", *[(v + F.col(f"s{c}") + F.col("off")).alias(c) for c, v in turned.items()])
+    atoms = rows.select("idx", "label", F.lit("C").alias("sym"), "x", "y", "z")
+    return review.operation_text(review.symmetry_codes(images, atoms, _ops(spark)), _ops(spark)).select("label", "code")
 
 
-@register("SELECT n AS n, ['i','ii','iii','iv','v','vi','vii','viii','ix','x','xi','xii'][n] AS roman FROM generate_series(1, 12) t(n)")
+@register("SELECT DISTINCT CAST(1 + p_partkey % 12 AS BIGINT) AS n, ['i','ii','iii','iv','v','vi','vii','viii','ix','x','xi','xii'][1 + p_partkey % 12] AS roman FROM part")
 def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1, 13).select(F.col("id").alias("n"), review.roman(F.col("id").cast("int")).alias("roman"))
+    n = (1 + F.col("p_partkey") % 12).cast("long")
+    return table(spark, sf_dir, "part").select(n.alias("n")).distinct().select("n", review.roman(F.col("n").cast("int")).alias("roman"))
 
 
-_U = "VALUES ('A', .04, .05, .06, .0, .0, .0), ('B', .02, .02, .02, .005, .0, .0), ('C', -.01, .02, .02, .0, .0, .0)"
+#: A tensor for each part by rule; some are none of an ellipsoid.
+_U = "SELECT concat('P', CAST(p_partkey AS VARCHAR(20))) AS label, CASE WHEN p_partkey % 50 = 0 THEN -1e-2 ELSE 2e-2 + p_size * 1e-3 END AS u11, 3e-2 + p_partkey % 7 * 1e-3 AS u22, 25e-3 + p_partkey % 5 * 2e-3 AS u33, (p_partkey % 11 - 5) * 1e-3 AS u12, 0e0 AS u13, 0e0 AS u23 FROM part"
 
 
-@register(f"SELECT label, round((u11 + u22 + u33) / 3, 6) AS u_eq FROM (SELECT label, CAST(a AS DOUBLE) AS u11, CAST(b AS DOUBLE) AS u22, CAST(c AS DOUBLE) AS u33 FROM ({_U}) t(label, a, b, c, d, e, f))")
+@register(f"SELECT label, round((u11 + u22 + u33) / 3, 6) AS u_eq FROM ({_U})")
 def u_equivalent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In a rectangular cell the tensor of the file is the cartesian one."""
-    return rounded(review.displacement(_u(spark), (5.0, 6.0, 7.0, 90.0, 90.0, 90.0)).select("label", "u_eq"))
+    return rounded(review.displacement(_u(spark, sf_dir), (5.0, 6.0, 7.0, 90.0, 90.0, 90.0)).select("label", "u_eq"))
 
 
-def _u(spark: SparkSession) -> DataFrame:
-    names = ("u11", "u22", "u33", "u12", "u13", "u23")
-    return spark.sql(f"SELECT * FROM {_U} AS t(label, {', '.join(names)})").select("label", *[F.col(c).cast("double").alias(c) for c in names])
+def _u(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _views(spark, sf_dir).sql(_U)
 
 
-@register(f"""WITH u AS (SELECT label, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, CAST(d AS DOUBLE) AS d FROM ({_U}) t(label, a, b, c, d, e, f)),
+@register(f"""WITH u AS (SELECT label, u11 AS a, u22 AS b, u33 AS c, u12 AS d FROM ({_U})),
 e AS (SELECT label, list_sort([(a + b) / 2 - sqrt(((a - b) / 2) ** 2 + d * d), (a + b) / 2 + sqrt(((a - b) / 2) ** 2 + d * d), c]) AS v FROM u)
 SELECT label, CASE WHEN v[1] > 1e-9 THEN round(1.5381722544550522 * sqrt(greatest(v[1], 0)), 6) END AS short, CASE WHEN v[1] > 1e-9 THEN round(1.5381722544550522 * sqrt(v[3]), 6) END AS long FROM e""")
 def displacement_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axes = review.ellipsoid_axes(review.displacement(_u(spark), (5.0, 6.0, 7.0, 90.0, 90.0, 90.0)))
+    axes = review.ellipsoid_axes(review.displacement(_u(spark, sf_dir), (5.0, 6.0, 7.0, 90.0, 90.0, 90.0)))
     return rounded(axes.select("label", F.get("axes", F.lit(0)).alias("short"), F.get("axes", F.lit(2)).alias("long")))
 
 
-_MOL = "VALUES (0, 'C1', 'C', 0.0, 0.0, 0.0, 1), (1, 'H1', 'H', 1.08, 0.0, 0.0, 1), (2, 'O1', 'O', 0.0, 1.43, 0.0, 1), (3, 'H2', 'H', 0.0, 1.9, .8, 1), (4, 'N1', 'N', 9.0, 9.0, 9.0, 2)"
+#: Parts as atoms in a box that grows with their number, 0.05 to a cubic angstrom.
+_MOL = """SELECT p_partkey AS idx, concat('A', CAST(p_partkey AS VARCHAR(20))) AS label, CASE p_partkey % 8 WHEN 0 THEN 'N' WHEN 2 THEN 'H' WHEN 3 THEN 'O' WHEN 5 THEN 'H' WHEN 7 THEN 'H' ELSE 'C' END AS sym, e * ((p_partkey * 61 + p_partkey * p_partkey) % 997 / 997e0) AS x,
+ e * ((p_partkey * 101 + p_partkey * p_partkey * 3) % 991 / 991e0) AS y, e * ((p_partkey * 37 + p_partkey * p_partkey * 7) % 983 / 983e0) AS z, p_partkey % 997 AS mol FROM part CROSS JOIN (SELECT power(count(*) / 5e-2, 1 / 3e0) AS e FROM part) n"""
 
 
-def _molecule(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT idx, label, sym, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, 1.0D AS occ, mol FROM {_MOL} AS t(idx, label, sym, x, y, z, mol)")
+def _molecule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _views(spark, sf_dir).sql(_MOL).withColumn("occ", F.lit(1.0))
 
 
-_NEAREST = f"""m AS (SELECT idx, label, sym, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM ({_MOL}) t(idx, label, sym, x, y, z, mol)),
-p AS (SELECT a.idx, a.label, a.sym, b.label AS other, b.sym AS os, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM m a JOIN m b ON a.idx <> b.idx)"""
+_NEAREST = f"""m AS MATERIALIZED ({_MOL}),
+p AS (SELECT a.idx, a.label, a.sym, b.label AS other, b.idx AS oi, b.sym AS os, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM m a JOIN m b ON a.idx <> b.idx AND abs(a.x - b.x) < 4)"""
 
 
 @register(f"WITH {_NEAREST}, h AS (SELECT idx, arg_min(os, d) AS s, min(d) AS d FROM p WHERE sym = 'H' AND os <> 'H' GROUP BY idx) SELECT label FROM m WHERE idx NOT IN (SELECT idx FROM h WHERE s = 'C' AND d > .4 AND d <= .76 + .31 + .4)")
 def without_carbon_hydrogens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.without_carbon_hydrogens(_molecule(spark)).select("label")
+    return review.without_carbon_hydrogens(_molecule(spark, sf_dir)).select("label")
 
 
-@register(f"SELECT label FROM (SELECT label, avg(x) OVER w AS mx, avg(y) OVER w AS my, avg(z) OVER w AS mz FROM ({_MOL}) t(idx, label, sym, x, y, z, mol) WINDOW w AS (PARTITION BY mol)) WHERE mx BETWEEN -1e-4 AND 2 AND my BETWEEN -1e-4 AND 2 AND mz BETWEEN -1e-4 AND 2")
+@register(f"SELECT label FROM (SELECT label, avg(x) OVER w AS mx, avg(y) OVER w AS my, avg(z) OVER w AS mz FROM ({_MOL}) WINDOW w AS (PARTITION BY mol)) WHERE mx >= -1e-4 AND mx < 20 AND my >= -1e-4 AND my < 20 AND mz >= -1e-4 AND mz < 20")
 def packed_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.packed(_molecule(spark), "mol", (2, 2, 2)).select("label")
+    """Atoms of the groups whose centre lies in a block of twenty cells a side."""
+    return review.packed(_molecule(spark, sf_dir), "mol", (20, 20, 20)).select("label")
 
 
-@register(f"WITH {_NEAREST} SELECT DISTINCT label FROM p WHERE other = 'O1' AND d <= 1.5")
+@register(f"WITH {_NEAREST} SELECT DISTINCT label FROM p WHERE oi % 10 = 0 AND d <= 1.5 AND idx % 10 <> 0")
 def surroundings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _molecule(spark)
-    return review.around(m, m.filter("label = 'O1'"), 1.5).select("label")
+    """What lies around every tenth atom."""
+    m = _molecule(spark, sf_dir)
+    return review.around(m, m.filter("idx % 10 = 0"), 1.5).select("label")
 
 
 @register("SELECT doc_id FROM (SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50) WHERE lang = 'de'")

@@ -14,6 +14,13 @@ from ..sources import readers, spc
 from .adapters import SPECTRA_SQL, rounded, spectra, table
 from .catalogue import register
 
+def _views(spark: SparkSession, sf_dir: str) -> SparkSession:
+    """spark, with the tables that make up the queries' inputs as views."""
+    for name in ("part", "supplier"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark
+
+
 # --- mixtures: hour-of-day profiles of event types
 
 _PROFILE = "SELECT event_type, hour(ts) AS h, avg(value) AS v FROM events GROUP BY ALL"
@@ -99,12 +106,13 @@ def pxrd_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(long_traces.thinned(pattern.local_maxima(p, "event_type", "h", "v"), 4, "event_type", "v", "h"))
 
 
-_PAIRS = "VALUES (3.5, 7.0), (4.0, 3.0), (3.0, 4.5), (2.0, 5.0), (2.0, 2.0), (CAST(NULL AS DOUBLE), 1.0)"
+#: Acids and bases by rule, a pair for each part.
+_PAIRS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 71 / 10e0 END AS a, p_size / 5e0 AS b FROM part"
 
 
-@register(f"SELECT acid, base, round(base - acid, 6) AS gap, CASE WHEN base - acid > 3 THEN 'salt' WHEN base - acid < 0 THEN 'cocrystal' WHEN base - acid IS NOT NULL THEN 'continuum' END AS zone FROM (SELECT CAST(a AS DOUBLE) AS acid, CAST(b AS DOUBLE) AS base FROM ({_PAIRS}) AS t(a, b))")
+@register(f"SELECT id, acid, base, round(base - acid, 6) AS gap, CASE WHEN base - acid > 3 THEN 'salt' WHEN base - acid < 0 THEN 'cocrystal' WHEN base - acid IS NOT NULL THEN 'continuum' END AS zone FROM (SELECT id, a AS acid, b AS base FROM ({_PAIRS}) t)")
 def ionisation_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(f"SELECT CAST(a AS DOUBLE) AS acid, CAST(b AS DOUBLE) AS base FROM {_PAIRS} AS t(a, b)")
+    rows = _views(spark, sf_dir).sql(f"SELECT id, a AS acid, b AS base FROM ({_PAIRS}) t")
     gap, zone = mixture.ionisation(F.col("acid"), F.col("base"))
     return rounded(rows.withColumn("gap", gap).withColumn("zone", zone))
 
@@ -168,53 +176,55 @@ def reflections_hkl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pattern.reflections(spark, _CELL, _WAVE, 5, 50))
 
 
-_PEAKS = "VALUES (17.75, 90.0), (25.17, 100.0), (30.0, 20.0), (35.84, 55.0)"
+#: Peaks by rule, one for each part.
+_PEAKS = "SELECT DISTINCT 5 + p_partkey * 7 % 4500 / 100e0 AS a, CAST(p_retailprice AS DOUBLE) AS b FROM part"
 
 
-@register(f"""WITH {_HKL}, p AS (SELECT CAST(a AS DOUBLE) AS peak, CAST(b AS DOUBLE) AS height FROM ({_PEAKS}) v(a, b)),
-j AS (SELECT peak, height, h, k, l, row_number() OVER (PARTITION BY peak ORDER BY abs(h) + abs(k) + abs(l), round(abs(two_theta - peak), 6), h, k, l) AS n FROM p LEFT JOIN t ON abs(two_theta - peak) <= .10)
+@register(f"""WITH {_HKL}, p AS (SELECT a AS peak, b AS height FROM ({_PEAKS}) ORDER BY b DESC, a LIMIT 25),
+j AS (SELECT peak, height, h, k, l, row_number() OVER (PARTITION BY peak, height ORDER BY abs(h) + abs(k) + abs(l), round(abs(two_theta - peak), 6), h, k, l) AS n FROM p LEFT JOIN t ON abs(two_theta - peak) <= .10)
 SELECT peak, height, CASE WHEN h IS NULL THEN '?' ELSE h || ' ' || k || ' ' || l END AS hkl FROM j WHERE n = 1""")
 def peak_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    peaks = spark.sql(f"SELECT CAST(a AS DOUBLE) AS two_theta, CAST(b AS DOUBLE) AS height FROM {_PEAKS} AS v(a, b)")
+    """The strongest 25 peaks, which the report names."""
+    peaks = _views(spark, sf_dir).sql(f"SELECT a AS two_theta, b AS height FROM ({_PEAKS}) v")
     return pattern.index_peaks(peaks, pattern.reflections(spark, _CELL, _WAVE, 5, 50))
 
 
-@register(f"WITH {_HKL}, p AS (SELECT CAST(a AS DOUBLE) AS two_theta FROM ({_PEAKS}) v(a, b)) SELECT p.two_theta, round(min(abs(t.two_theta - p.two_theta)), 6) AS gap, min(abs(t.two_theta - p.two_theta)) <= .05 AS ok FROM p, t WHERE t.two_theta BETWEEN 5 AND 50 GROUP BY 1")
+@register(f"WITH {_HKL}, p AS (SELECT DISTINCT a AS two_theta FROM ({_PEAKS})) SELECT p.two_theta, round(min(abs(t.two_theta - p.two_theta)), 6) AS gap, min(abs(t.two_theta - p.two_theta)) <= .05 AS ok FROM p, t WHERE t.two_theta BETWEEN 5 AND 50 GROUP BY 1")
 def bragg_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    peaks = spark.sql(f"SELECT CAST(a AS DOUBLE) AS two_theta FROM {_PEAKS} AS v(a, b)")
+    peaks = _views(spark, sf_dir).sql(f"SELECT DISTINCT a AS two_theta FROM ({_PEAKS}) v")
     near = pattern.nearest(peaks, pattern.reflections(spark, _CELL, _WAVE, 5, 50))
     return rounded(near.withColumn("ok", F.col("gap") <= 0.05))
 
 
-_LINES = "VALUES (20.0, 100.0), (45.0, 40.0), (170.0, 5.0)"
+#: A line for each size of part, as strong as parts have it.
+_LINES = "SELECT 21 + 3e0 * p_size AS a, CAST(count(*) AS DOUBLE) AS b FROM part GROUP BY p_size"
 
 
-def _lines(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT CAST(a AS DOUBLE) AS two_theta, CAST(b AS DOUBLE) AS intensity FROM {_LINES} AS v(a, b)")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _views(spark, sf_dir).sql(f"SELECT a AS two_theta, b AS intensity FROM ({_LINES}) v")
 
 
-_DOUBLET = f"""i AS (SELECT CAST(a AS DOUBLE) AS two_theta, CAST(b AS DOUBLE) AS intensity FROM ({_LINES}) v(a, b)), s AS (SELECT *, sin(radians(two_theta / 2)) * 1.544426 / 1.540598 AS z FROM i),
+_DOUBLET = f"""i AS (SELECT a AS two_theta, b AS intensity FROM ({_LINES})), s AS (SELECT *, sin(radians(two_theta / 2)) * 1.544426 / 1.540598 AS z FROM i),
 e AS (SELECT 1 AS line, two_theta, intensity FROM i UNION ALL SELECT 2, 2 * degrees(asin(CASE WHEN z < 1 THEN z END)), intensity * .5 FROM s WHERE z < 1)"""
 
 
 @register(f"WITH {_DOUBLET} SELECT line, round(two_theta, 6) AS two_theta, intensity FROM e")
 def kalpha2_doublet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pattern.doublet(_lines(spark)))
+    return rounded(pattern.doublet(_lines(spark, sf_dir)))
 
 
-@register("SELECT CAST(a AS DOUBLE) AS angle, CAST(r AS DOUBLE) AS r, round(pow(r * r * cos(a) ** 2 + sin(a) ** 2 / r, -1.5), 6) AS factor FROM (VALUES (0.0, .5), (1.5707963267948966, .5), (0.0, 2.0), (.7, 1.0)) t(a, r)")
+@register("SELECT p_partkey AS id, r, round(pow(r * r * cos(p_size / 31e0) ** 2 + sin(p_size / 31e0) ** 2 / r, -1.5), 6) AS factor FROM part CROSS JOIN (SELECT CAST(unnest([.5, 1, 2]) AS DOUBLE) AS r)")
 def march_dollase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(a, r) for a, r in ((0.0, 0.5), (math.pi / 2, 0.5), (0.0, 2.0), (0.7, 1.0))]
-    out = None
-    for a, r in rows:
-        one = spark.range(1).select(F.lit(a).alias("angle"), F.lit(r).alias("r")).withColumn("factor", F.round(pattern.march_dollase(F.col("angle"), r), 6))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Three strengths of preference at an angle for each part."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 31).alias("angle"))
+    one = lambda r: F.struct(F.lit(r).alias("r"), F.round(pattern.march_dollase(F.col("angle"), r), 6).alias("factor"))
+    return part.select("id", F.explode(F.array(one(0.5), one(1.0), one(2.0))).alias("v")).select("id", "v.*")
 
 
-@register("SELECT x AS two_theta, round(sqrt(greatest(.01 * tan(radians(x / 2.0)) ** 2 - .005 * tan(radians(x / 2.0)) + .008, 1e-6)), 6) AS fwhm FROM generate_series(5, 150, 5) t(x)")
+@register("SELECT p_partkey AS id, x AS two_theta, round(sqrt(greatest(.01 * tan(radians(x / 2.0)) ** 2 - .005 * tan(radians(x / 2.0)) + .008, 1e-6)), 6) AS fwhm FROM (SELECT p_partkey, p_size * 3 AS x FROM part)")
 def caglioti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spark.range(5, 151, 5).select(F.col("id").alias("two_theta"), pattern.caglioti(F.col("id")).alias("fwhm")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 3).alias("two_theta"))
+    return rounded(rows.withColumn("fwhm", pattern.caglioti(F.col("two_theta"))))
 
 
 _GRID = "SELECT 5 + i * .05 AS x FROM generate_series(0, 900) g(i)"
@@ -225,7 +235,7 @@ g AS (SELECT CAST(x AS DOUBLE) AS x FROM ({_GRID})), v AS (SELECT x, sum(intensi
 FROM g JOIN w ON x >= two_theta - 40 * f AND x < two_theta + 40 * f GROUP BY x) SELECT round(g.x, 4) AS x, round(coalesce(100 * v / max(v) OVER (), 0), 6) AS y FROM g LEFT JOIN v USING (x)""")
 def simulate_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = spark.range(901).select((5 + F.col("id") * 0.05).alias("x"))
-    return pattern.simulate(pattern.doublet(_lines(spark)), grid).select(F.round("x", 4).alias("x"), F.round("y", 6).alias("y"))
+    return pattern.simulate(pattern.doublet(_lines(spark, sf_dir)), grid).select(F.round("x", 4).alias("x"), F.round("y", 6).alias("y"))
 
 
 @register("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'middle' ELSE 'large' END AS class FROM lineitem WHERE l_quantity >= 1 AND l_quantity < 51")
@@ -235,35 +245,38 @@ def range_join_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.range_join(rows, classes, "l_quantity", F.col("lo"), F.col("hi"), 10.0).select("l_orderkey", "l_linenumber", "class")
 
 
-# --- structures: a small molecule with a water, inversion symmetry
+# --- structures: parts as atoms of one structure, 0.05 to a cubic angstrom, in fractions of a cell of ten; inversion symmetry
 
-_ATOMS = """VALUES (0, 'C1', 'C', .10, .10, .10, 1.0, NULL, NULL), (1, 'O1', 'O', .223, .10, .10, 1.0, NULL, NULL), (2, 'O2', 'O', .02, .22, .10, 1.0, NULL, NULL),
-(3, 'H1', 'H', .08, .30, .10, 1.0, NULL, NULL), (4, 'O3', 'O', .17, .46, .10, 1.0, NULL, NULL), (5, 'H2', 'H', .25, .50, .10, 1.0, NULL, NULL), (6, 'C2', 'C', .5, .5, .5, .5, 'A', '1'), (7, 'C3', 'C', .54, .5, .5, .5, 'A', '2'), (8, 'N1', 'N', .64, .5, .5, 1.0, NULL, NULL)"""
+_ATOMS = """SELECT p_partkey, concat(CASE p_partkey % 8 WHEN 0 THEN 'N' WHEN 1 THEN 'C' WHEN 2 THEN 'H' WHEN 3 THEN 'O' WHEN 4 THEN 'C' WHEN 5 THEN 'H' WHEN 6 THEN 'C' ELSE 'O' END, CAST(p_partkey AS VARCHAR(20))),
+ CASE p_partkey % 8 WHEN 0 THEN 'N' WHEN 1 THEN 'C' WHEN 2 THEN 'H' WHEN 3 THEN 'O' WHEN 4 THEN 'C' WHEN 5 THEN 'H' WHEN 6 THEN 'C' ELSE 'O' END,
+ e * ((p_partkey * 61 + p_partkey * p_partkey) % 997 / 997e0), e * ((p_partkey * 101 + p_partkey * p_partkey * 3) % 991 / 991e0), e * ((p_partkey * 37 + p_partkey * p_partkey * 7) % 983 / 983e0),
+ CASE WHEN p_partkey % 11 = 0 THEN 5e-1 ELSE 1e0 END, CASE WHEN p_partkey % 11 = 0 THEN CAST(FLOOR(p_partkey / 100e0) AS VARCHAR(20)) END, CASE WHEN p_partkey % 11 = 0 THEN CAST(p_partkey % 2 AS VARCHAR(20)) END
+ FROM part CROSS JOIN (SELECT power(count(*) / 5e-2, 1 / 3e0) / 10 AS e FROM part) n"""
 _BOX = (10.0, 10.0, 10.0, 90.0, 90.0, 90.0)
 _ATOM_COLUMNS = "idx, label, sym, x, y, z, occ, assembly, grp"
 _A = f"a AS (SELECT idx, label, sym, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, CAST(occ AS DOUBLE) AS occ, assembly, grp FROM ({_ATOMS}) v({_ATOM_COLUMNS}))"
 
 
-def _atoms(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT idx, label, sym, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, CAST(occ AS DOUBLE) AS occ, CAST(assembly AS STRING) AS assembly, CAST(grp AS STRING) AS grp FROM {_ATOMS} AS v({_ATOM_COLUMNS})")
+def _atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _views(spark, sf_dir).sql(f"SELECT * FROM ({_ATOMS}) AS v({_ATOM_COLUMNS})")
 
 
-_EXPANDED = f"""{_A}, i AS (SELECT idx, label, sym, occ, s AS op, x * f - floor(x * f + 1e-9) AS x, y * f - floor(y * f + 1e-9) AS y, z * f - floor(z * f + 1e-9) AS z FROM a, (VALUES (0, 1), (1, -1)) o(s, f)),
+_EXPANDED = f"""{_A}, i AS (SELECT idx, label, sym, occ, s AS op, round(x * f - floor(x * f + 1e-9), 9) AS x, round(y * f - floor(y * f + 1e-9), 9) AS y, round(z * f - floor(z * f + 1e-9), 9) AS z FROM a, (VALUES (0, 1), (1, -1)) o(s, f)),
 n AS (SELECT *, row_number() OVER (PARTITION BY sym, CAST(round(100 * x) AS INT) % 100, CAST(round(100 * y) AS INT) % 100, CAST(round(100 * z) AS INT) % 100 ORDER BY idx, op) AS k FROM i), ex AS (SELECT * FROM n WHERE k = 1)"""
 
 
-def _expanded(spark: SparkSession) -> DataFrame:
-    return structure.expand(_atoms(spark), structure.symmetry_ops(spark, ["x,y,z", "-x,-y,-z"]))
+def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.expand(_atoms(spark, sf_dir), structure.symmetry_ops(spark, ["x,y,z", "-x,-y,-z"]))
 
 
 @register(f"WITH {_EXPANDED} SELECT label, sym, op, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM ex")
 def symmetry_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_expanded(spark).select("label", "sym", "op", "x", "y", "z"))
+    return rounded(_expanded(spark, sf_dir).select("label", "sym", "op", "x", "y", "z"))
 
 
 @register(f"WITH {_EXPANDED} SELECT sym, round(sum(occ), 6) AS n FROM ex GROUP BY sym")
 def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(structure.element_counts(_expanded(spark)))
+    return rounded(structure.element_counts(_expanded(spark, sf_dir)))
 
 
 _MASS = "CASE sym WHEN 'H' THEN 1.008 WHEN 'C' THEN 12.011 WHEN 'N' THEN 14.007 WHEN 'O' THEN 15.999 END"
@@ -271,12 +284,16 @@ _MASS = "CASE sym WHEN 'H' THEN 1.008 WHEN 'C' THEN 12.011 WHEN 'N' THEN 14.007
 
 @register(f"WITH {_EXPANDED}, m AS (SELECT 1.66054 * sum(occ * {_MASS}) / 1000 AS d FROM ex) SELECT round(d, 6) AS from_cell, round(1.66042 * 90 * 2 / 1000, 6) AS from_formula, 30e-2 AS declared, CASE WHEN abs(d / (1.66042 * .18) - 1) <= .03 THEN CASE WHEN abs(1.66042 * .18 / .3 - 1) <= .03 THEN 'agree' ELSE 'declared is off' END WHEN abs(d / .3 - 1) <= .03 THEN 'formula is off' WHEN abs(1.66042 * .18 / .3 - 1) <= .03 THEN 'atoms are missing or too many' ELSE 'none agree' END AS verdict FROM m")
 def density_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(structure.density_check(_expanded(spark), 1000.0, 90.0, 2, 0.30))
+    return rounded(structure.density_check(_expanded(spark, sf_dir), 1000.0, 90.0, 2, 0.30))
+
 
+_CELL_OF = "SELECT s_suppkey AS id, 5 + s_suppkey % 40 / 10e0 AS a, 6 + s_suppkey % 30 / 10e0 AS b, 7 + s_suppkey % 20 / 10e0 AS c, 70 + s_suppkey % 31 * 1e0 AS al, 75 + s_suppkey % 29 * 1e0 AS be, 80 + s_suppkey % 37 * 1e0 AS ga FROM supplier"
 
-@register("SELECT id, round(a * b * c * sqrt(1 - cos(radians(al)) ** 2 - cos(radians(be)) ** 2 - cos(radians(ga)) ** 2 + 2 * cos(radians(al)) * cos(radians(be)) * cos(radians(ga))), 6) AS volume FROM (VALUES (1, 5.0, 5.0, 5.0, 90.0, 90.0, 90.0), (2, 11.43, 6.59, 11.39, 90.0, 95.7, 90.0), (3, 6.1, 7.2, 8.3, 70.0, 80.0, 100.0)) t(id, a, b, c, al, be, ga)")
+
+@register(f"SELECT id, round(a * b * c * sqrt(1 - cos(radians(al)) ** 2 - cos(radians(be)) ** 2 - cos(radians(ga)) ** 2 + 2 * cos(radians(al)) * cos(radians(be)) * cos(radians(ga))), 6) AS volume FROM ({_CELL_OF})")
 def cell_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM VALUES (1, 5.0D, 5.0D, 5.0D, 90.0D, 90.0D, 90.0D), (2, 11.43D, 6.59D, 11.39D, 90.0D, 95.7D, 90.0D), (3, 6.1D, 7.2D, 8.3D, 70.0D, 80.0D, 100.0D) AS t(id, a, b, c, al, be, ga)")
+    """A cell for each supplier."""
+    rows = _views(spark, sf_dir).sql(_CELL_OF)
     return rounded(rows.select("id", structure.cell_volume(*[F.col(c) for c in ("a", "b", "c", "al", "be", "ga")]).alias("volume")))
 
 
@@ -285,27 +302,29 @@ _BONDS = f"""{_A}, p AS (SELECT i.idx AS i, j.idx AS j, i.label AS label_i, j.la
 i.assembly = j.assembly AND i.grp <> j.grp AS alt FROM a i JOIN a j ON i.idx < j.idx), b AS (SELECT * FROM p WHERE d > .4 AND d <= e + .40 AND NOT (oi < 1 AND oj < 1 AND d < .90) AND NOT coalesce(alt, false))"""
 
 
-def _bonds(spark: SparkSession) -> DataFrame:
-    atoms = structure.to_cartesian(_atoms(spark), _BOX)
+def _bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms = structure.to_cartesian(_atoms(spark, sf_dir), _BOX)
     return structure.bonds(atoms, structure.alternatives(atoms))
 
 
 @register(f"WITH {_BONDS} SELECT label_i, label_j, round(d, 6) AS d, abs(d - e) > .25 AS outlying FROM b")
 def bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_bonds(spark).select("label_i", "label_j", "d", "outlying"))
+    return rounded(_bonds(spark, sf_dir).select("label_i", "label_j", "d", "outlying"))
 
 
 @register(f"""WITH RECURSIVE {_BONDS}, e AS (SELECT i AS u, j AS v FROM b UNION SELECT j, i FROM b), r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
 SELECT a.label, CAST(least(a.idx, coalesce(min(r.v), a.idx)) AS INT) AS molecule FROM a LEFT JOIN r ON r.u = a.idx GROUP BY a.label, a.idx""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.components(_bonds(spark).select(F.col("i").alias("src"), F.col("j").alias("dst")))
+    found = graph.components(_bonds(spark, sf_dir).select(F.col("i").alias("src"), F.col("j").alias("dst")))
     found = found.withColumnRenamed("label", "least")
-    return _atoms(spark).join(found, F.col("idx") == F.col("node"), "left").select("label", F.coalesce("least", "idx").cast("int").alias("molecule"))
+    return _atoms(spark, sf_dir).join(found, F.col("idx") == F.col("node"), "left").select("label", F.coalesce("least", "idx").cast("int").alias("molecule"))
 
 
-@register("""WITH RECURSIVE e(u, v) AS (VALUES ('A', 'B'), ('B', 'A'), ('B', 'C'), ('C', 'B'), ('X', 'Y'), ('Y', 'X')), r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u) SELECT u AS src, v AS dst FROM r WHERE u <> v""")
+@register("""WITH RECURSIVE l AS (SELECT s_suppkey AS u, s_suppkey + 1 AS v FROM supplier WHERE s_suppkey % 4 <> 3), e AS (SELECT u, v FROM l UNION SELECT v, u FROM l), r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u) SELECT u AS src, v AS dst FROM r WHERE u <> v""")
 def disorder_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(spark.sql("SELECT * FROM VALUES ('A', 'B'), ('B', 'C'), ('X', 'Y') AS e(src, dst)"))
+    """Chains of up to four suppliers, each linked to the next."""
+    n = F.col("s_suppkey")
+    return graph.closure(table(spark, sf_dir, "supplier").filter("s_suppkey % 4 <> 3").select(n.alias("src"), (n + 1).alias("dst")))
 
 
 @register("""WITH e AS (SELECT o_custkey AS u, -(o_orderkey % 40) - 1 AS v FROM orders), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
@@ -318,9 +337,18 @@ def growth_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shells(edges, edges.agg(F.min("src").alias("node")), 2)
 
 
-@register("SELECT DISTINCT donor, hydrogen, acceptor, kind, strength FROM (VALUES ('O2', 'H1', 'O3', 'hbond', 'moderate'), ('O2', 'H1', 'O1', 'bent', 'strong')) t(donor, hydrogen, acceptor, kind, strength)")
+_NEUTRON = "CASE s WHEN 'N' THEN 1.009 WHEN 'O' THEN .983 END"
+
+
+@register(f"""WITH {_A}, c AS MATERIALIZED (SELECT idx, label, sym, 10 * x AS x, 10 * y AS y, 10 * z AS z FROM a),
+n AS (SELECT h.idx AS h, h.label AS hydrogen, d.idx AS d_idx, d.label AS donor, d.sym AS s, d.x, d.y, d.z, h.x - d.x AS ux, h.y - d.y AS uy, h.z - d.z AS uz, sqrt((h.x - d.x) ** 2 + (h.y - d.y) ** 2 + (h.z - d.z) ** 2) AS dh FROM c h JOIN c d ON h.sym = 'H' AND d.sym <> 'H' AND abs(h.x - d.x) <= 2),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY dh, d_idx) AS k FROM n WHERE dh <= 2) WHERE k = 1 AND s IN ('N', 'O') AND dh > .4 AND dh <= CASE s WHEN 'N' THEN .71 ELSE .66 END + .31 + .4),
+p AS (SELECT o.*, r.label AS acceptor, r.sym AS t, r.x - o.x AS ax, r.y - o.y AS ay, r.z - o.z AS az, sqrt((r.x - o.x) ** 2 + (r.y - o.y) ** 2 + (r.z - o.z) ** 2) AS da, {_NEUTRON} / dh AS g FROM o JOIN c r ON r.sym IN ('N', 'O') AND r.idx <> o.d_idx AND abs(r.x - o.x) <= 4),
+q AS (SELECT *, sqrt((ax - g * ux) ** 2 + (ay - g * uy) ** 2 + (az - g * uz) ** 2) AS ha FROM p WHERE da >= .4 AND da <= 4),
+w AS (SELECT *, degrees(acos(greatest(-1, least(1, -(g * ux * (ax - g * ux) + g * uy * (ay - g * uy) + g * uz * (az - g * uz)) / (g * dh * ha))))) AS angle FROM q)
+SELECT donor, hydrogen, acceptor, CASE WHEN ha > CASE t WHEN 'N' THEN 1.55 ELSE 1.52 END + 1.2 THEN 'far' WHEN angle >= 120 THEN 'hbond' WHEN angle >= 90 THEN 'contact' ELSE 'bent' END AS kind, CASE WHEN da < 2.2 THEN 'long' WHEN da < 2.5 THEN 'strong' WHEN da < 3.2 THEN 'moderate' WHEN da < 4 THEN 'weak' ELSE 'long' END AS strength FROM w""")
 def hbonds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    atoms = structure.to_cartesian(_atoms(spark), _BOX).filter("idx in (0, 1, 2, 3, 4)")
+    atoms = structure.to_cartesian(_atoms(spark, sf_dir), _BOX)
     return structure.hydrogen_bonds(atoms).select("donor", "hydrogen", "acceptor", "kind", "strength")
 
 
@@ -333,28 +361,35 @@ def xref_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {_A} SELECT DISTINCT sym FROM a WHERE sym NOT IN ('H', 'C', 'O')")
 def missing_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.missing_elements(_atoms(spark), spark.sql("SELECT * FROM VALUES ('H'), ('C'), ('O') AS k(sym)"))
+    return structure.missing_elements(_atoms(spark, sf_dir), spark.sql("SELECT * FROM VALUES ('H'), ('C'), ('O') AS k(sym)"))
 
 
 # --- designs, parsing, lint
 
-_LEVELS, _REPS, _WHO = [0.6, 0.8, 1.0, 1.2], 3, ["ann", "bob"]
-_PLAN = "p AS (SELECT l.i, CAST(l.v AS DOUBLE) AS level, r, CASE (r + l.i) % 2 WHEN 0 THEN 'ann' ELSE 'bob' END AS operator FROM (VALUES (0, .6), (1, .8), (2, 1.0), (3, 1.2)) l(i, v), generate_series(0, 2) g(r))"
+_REPS, _WHO = 3, ["ann", "bob"]
+_PLAN = "d AS (SELECT DISTINCT l_discount AS level FROM lineitem), l AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS i, count(*) OVER () AS n FROM d), p AS (SELECT l.i, level, n, r, CASE (r + l.i) % 2 WHEN 0 THEN 'ann' ELSE 'bob' END AS operator FROM l CROSS JOIN generate_series(0, 2) g(r))"
 
 
-@register(f"WITH {_PLAN} SELECT CAST(r * 4 + i AS INT) AS place, level, CAST(r + 1 AS INT) AS rep, operator, 'i1' AS instrument FROM p")
+def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Runs at the discounts in use, some ten levels, and their number."""
+    levels = sorted(r["l_discount"] for r in table(spark, sf_dir, "lineitem").select("l_discount").distinct().collect())
+    return design.schedule(spark, levels, _REPS, _WHO, ["i1"]), _REPS * len(levels)
+
+
+@register(f"WITH {_PLAN} SELECT CAST(r * n + i AS INT) AS place, level, CAST(r + 1 AS INT) AS rep, operator, 'i1' AS instrument FROM p")
 def run_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return design.schedule(spark, _LEVELS, _REPS, _WHO, ["i1"])
+    return _plan(spark, sf_dir)[0]
 
 
 @register(f"WITH {_PLAN} SELECT operator, level, count(*) AS n FROM p GROUP BY ALL")
 def run_order_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return design.balance(design.schedule(spark, _LEVELS, _REPS, _WHO, ["i1"]))
+    return design.balance(_plan(spark, sf_dir)[0])
 
 
-@register("SELECT 12 AS n, 12 AS different, 1 AS first, 12 AS last")
+@register(f"WITH {_PLAN} SELECT CAST(count(*) AS INT) AS n, CAST(count(*) AS INT) AS different, 1 AS first, CAST(count(*) AS INT) AS last FROM p")
 def run_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = design.run_order(spark, design.schedule(spark, _LEVELS, _REPS, _WHO, ["i1"]), 12, seed=7)
+    plan, n = _plan(spark, sf_dir)
+    plan = design.run_order(spark, plan, n, seed=7)
     return plan.agg(F.count("*").cast("int").alias("n"), F.count_distinct("run").cast("int").alias("different"), F.min("run").alias("first"), F.max("run").alias("last"))
 
 
@@ -379,24 +414,25 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-_JSON = '{"result": [{"file": "1", "formula": "- C2 H6 O -"}, {"formula": "x"}, {"file": "2", "formula": "Fe2 O3"}]}'
-
-
-@register("SELECT * FROM (VALUES ('1', 'C2 H6 O', 9e0), ('2', 'Fe2 O3', 5e0)) t(file, formula, atoms)")
+@register("SELECT s_suppkey AS id, CAST(s_suppkey AS VARCHAR) AS file, concat('C', 2 + s_suppkey % 5, ' H', 1 + s_suppkey % 9, ' O') AS formula, CAST(4 + s_suppkey % 5 + s_suppkey % 9 AS DOUBLE) AS atoms FROM supplier UNION ALL SELECT s_suppkey, 'b', 'Fe2 O3', 5 FROM supplier WHERE s_suppkey % 3 = 0")
 def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readers.json_records(spark.sql(f"SELECT '{_JSON}' AS text"), "text", "file:string,formula:string", "file")
+    """Search results as text, one for each supplier: a list or a list in an object, with a record that has no file."""
+    n = F.col("s_suppkey")
+    record = F.concat(F.lit('{"file": "'), n, F.lit('", "formula": "- C'), 2 + n % 5, F.lit(" H"), 1 + n % 9, F.lit(' O -"}, {"formula": "x"}'), F.when(n % 3 == 0, ', {"file": "b", "formula": "Fe2 O3"}').otherwise(""))
+    text = F.when(n % 2 == 0, F.concat(F.lit("["), record, F.lit("]"))).otherwise(F.concat(F.when(n % 3 == 0, '{"data": [').otherwise('{"result": ['), record, F.lit("]}")))
+    rows = readers.json_records(table(spark, sf_dir, "supplier").select(n.alias("id"), text.alias("text")), "text", "file:string,formula:string", "file")
     rows = rows.withColumn("formula", F.trim(F.regexp_replace("formula", r"^\s*-|-\s*$", "")))
     return rows.withColumn("atoms", F.aggregate(F.map_values(readers.formula_counts(F.col("formula"))), F.lit(0.0), lambda s, v: s + v))
 
 
-_CIF = "data_x\n_cell_length_a 11.429(4)\n_chemical_name_common 'Aspirin form'\n_publ_section_title\n;\nA long\n title\n;\n_note ?\n"
-
-
-@register("SELECT 'Aspirin form' AS name, 'A long title' AS title, '' AS note, 11429e-3 AS a")
+@register("SELECT s_suppkey AS id, 'Form ' || s_name AS name, 'A long title of ' || s_suppkey AS title, '' AS note, CAST(5 + s_suppkey % 1000 / 1e3 AS DOUBLE) AS a FROM supplier")
 def cif_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(_CIF,)], "text string")
+    """A text for each supplier: a number with its error, a quoted value, a block of lines and an unknown one."""
+    n = F.col("s_suppkey")
+    text = F.concat(F.lit("data_x\n_cell_length_a "), F.format_string("%.3f(4)", 5 + n % 1000 / 1e3), F.lit("\n_chemical_name_common 'Form "), "s_name", F.lit("'\n_publ_section_title\n;\nA long\n title of "), n, F.lit("\n;\n_note ?\n"))
+    t = table(spark, sf_dir, "supplier").select(n.alias("id"), text.alias("text"))
     f = lambda k: cif_field(F.col("text"), k)
-    return t.select(f("_chemical_name_common").alias("name"), f("_publ_section_title").alias("title"), f("_note").alias("note"), cif_number(f("_cell_length_a")).alias("a"))
+    return t.select("id", f("_chemical_name_common").alias("name"), f("_publ_section_title").alias("title"), f("_note").alias("note"), cif_number(f("_cell_length_a")).alias("a"))
 
 
 @register(f"WITH sp AS ({SPECTRA_SQL}) SELECT s.sample FROM sp s WHERE NOT EXISTS (SELECT 1 FROM sp t WHERE t.sample = s.sample AND t.grp IN (0, 1))")
@@ -447,18 +483,18 @@ f AS (SELECT h, k, l, two_theta, sqrt(sum(v * cos(p)) ** 2 + sum(v * sin(p)) **
 y AS (SELECT *, amplitude ** 2 * (1 + cos(radians(two_theta)) ** 2) / (sin(radians(two_theta / 2)) ** 2 * cos(radians(two_theta / 2))) AS v FROM f)"""
 
 
-def _amplitudes(spark: SparkSession) -> DataFrame:
-    return scattering.with_amplitudes(pattern.reflections(spark, _CELL, _WAVE, 5, 50), _expanded(spark))
+def _amplitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scattering.with_amplitudes(pattern.reflections(spark, _CELL, _WAVE, 5, 50), _expanded(spark, sf_dir))
 
 
 @register(_AMPLITUDES + " SELECT h, k, l, round(amplitude, 6) AS amplitude FROM y")
 def structure_amplitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_amplitudes(spark).select("h", "k", "l", "amplitude"))
+    return rounded(_amplitudes(spark, sf_dir).select("h", "k", "l", "amplitude"))
 
 
 @register(_AMPLITUDES + ", m AS (SELECT round(two_theta, 4) AS two_theta, sum(v) AS v, count(*) AS reflections FROM y GROUP BY 1) SELECT two_theta, round(100 * v / max(v) OVER (), 6) AS intensity, reflections FROM m")
 def powder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scattering.powder_lines(_amplitudes(spark)))
+    return rounded(scattering.powder_lines(_amplitudes(spark, sf_dir)))
 
 
 @register("SELECT * FROM (VALUES ('even', 1e0, 5e-1, NULL), ('even', 2e0, -25e-2, NULL), ('even', 3e0, 1e0, NULL), ('text', NULL, NULL, 'not an SPC file of version 0x4B')) t(file, x, y, problem)")
