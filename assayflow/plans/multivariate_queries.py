@@ -179,7 +179,20 @@ def component_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validate.component_scan(validate.folds(spectra(spark, sf_dir), "logo"), 6))
 
 
-@register()
+#: Two latent variables from all moments less one row's, for each row i.
+_LEFT_OUT = f"""{_S}, nn AS (SELECT count(*)::DOUBLE AS n, avg(y) AS my FROM sp), d AS MATERIALIZED (SELECT sample AS i, pos, v - avg(v) OVER (PARTITION BY pos) AS d FROM ch), dy AS MATERIALIZED (SELECT sample AS i, y, y - my AS d, n, my FROM sp CROSS JOIN nn),
+s AS MATERIALIZED (SELECT a.pos AS j, b.pos AS k, sum(a.d * b.d) AS s FROM d a JOIN d b USING (i) GROUP BY ALL), sy AS MATERIALIZED (SELECT pos AS j, sum(d.d * dy.d) AS s FROM d JOIN dy USING (i) GROUP BY ALL), yy AS (SELECT sum(d * d) AS s FROM dy),
+sd AS MATERIALIZED (SELECT i, pos AS j, d.d, sqrt((s.s - n / (n - 1) * d.d * d.d) / (n - 2)) AS sd FROM d JOIN s ON s.j = pos AND s.k = pos JOIN dy USING (i)), dz AS MATERIALIZED (SELECT i, y, dy.d, n, my, sqrt((s - n / (n - 1) * dy.d * dy.d) / (n - 2)) AS sd FROM dy CROSS JOIN yy),
+a1 AS MATERIALIZED (SELECT x.i, x.j, z.j AS k, (s - n / (n - 1) * x.d * z.d) / (x.sd * z.sd) AS a FROM sd x JOIN sd z USING (i) JOIN s ON s.j = x.j AND s.k = z.j JOIN dz USING (i)), b1 AS MATERIALIZED (SELECT x.i, x.j, (s - n / (n - 1) * x.d * y.d) / (x.sd * y.sd) AS b FROM sd x JOIN sy USING (j) JOIN dz y USING (i)),
+w1 AS MATERIALIZED (SELECT i, j, b, b / sqrt(sum(b * b) OVER (PARTITION BY i)) AS w FROM b1), p1 AS (SELECT a1.i, a1.j, sum(a * w) AS aw FROM a1 JOIN w1 ON w1.i = a1.i AND w1.j = k GROUP BY ALL), t1 AS MATERIALIZED (SELECT i, sum(w * aw) AS tt, sum(b * w) / sum(w * aw) AS q FROM w1 JOIN p1 USING (i, j) GROUP BY i),
+l1 AS MATERIALIZED (SELECT i, j, aw / tt AS p FROM p1 JOIN t1 USING (i)), b2 AS (SELECT i, j, b - tt * q * p AS b FROM b1 JOIN l1 USING (i, j) JOIN t1 USING (i)), w2 AS MATERIALIZED (SELECT i, j, b, b / sqrt(sum(b * b) OVER (PARTITION BY i)) AS w FROM b2),
+p2 AS (SELECT a1.i, a1.j, sum(a * w) AS aw FROM a1 JOIN w2 ON w2.i = a1.i AND w2.j = k GROUP BY ALL), o2 AS MATERIALIZED (SELECT i, sum(p * w) AS pw FROM l1 JOIN w2 USING (i, j) GROUP BY i),
+t2 AS MATERIALIZED (SELECT w2.i, sum(b * w) / (sum(w * aw) - any_value(tt) * any_value(pw) ** 2) AS q FROM w2 JOIN p2 USING (i, j) JOIN t1 ON t1.i = w2.i JOIN o2 ON o2.i = w2.i GROUP BY w2.i),
+c AS (SELECT w1.i, w1.j, t1.q * w1.w + t2.q * (w2.w - pw * w1.w) AS c FROM w1 JOIN w2 USING (i, j) JOIN t1 ON t1.i = w1.i JOIN t2 ON t2.i = w1.i JOIN o2 ON o2.i = w1.i),
+h AS (SELECT c.i, sum(c / sd.sd * (sd.d + sd.d / (n - 1))) * any_value(y.sd) + any_value(my) - any_value(y.d) / (any_value(n) - 1) AS predicted, any_value(y.y) AS y FROM c JOIN sd USING (i, j) JOIN dz y ON y.i = c.i GROUP BY c.i)"""
+
+
+@register(_LEFT_OUT + " SELECT i AS sample, y, round(predicted, 6) AS predicted FROM h")
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validate.leave_one_out(spectra(spark, sf_dir), 2))
 
@@ -263,7 +276,16 @@ def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("scheme", "question", "n", "rmsecv", "severity"))
 
 
-@register()
+#: Quantiles of F and beta have a closed form for two components; chi-squared's is bisected over the incomplete gamma function's series.
+_INCOMPLETE = "exp(-x / 2 + a * ln(x / 2)) * list_sum(list_transform(range(0, 400), lambda k: exp(k * ln(x / 2) - lgamma(a + k + 1))))"
+
+
+@register(_PR.replace("WITH ", "WITH RECURSIVE ", 1) + f""", n AS (SELECT n::DOUBLE AS n, 2e0 AS a FROM tn), f AS (SELECT *, (n - a) / 2 * (pow(.05::DOUBLE, -2 / (n - a)) - 1) AS f FROM n),
+s2 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c3 a JOIN c3 b ON a.j = b.i GROUP BY ALL), r AS (SELECT (SELECT sum(v) FROM c3 WHERE i = j) AS t1, (SELECT sum(v) FROM s2 WHERE i = j) AS t2, (SELECT sum(s2.v * c3.v) FROM s2 JOIN c3 ON c3.i = s2.j AND c3.j = s2.i) AS t3),
+h AS (SELECT *, CASE WHEN 1 - 2 * t1 * t3 / (3 * t2 * t2) > 0 THEN 1 - 2 * t1 * t3 / (3 * t2 * t2) ELSE 1e-6 END AS h FROM r),
+bi AS (SELECT 0 AS step, t1 * t1 / t2 / 2 AS a, 0e0 AS lo, 10 * t1 * t1 / t2 + 50 AS hi FROM r UNION ALL SELECT step + 1, a, CASE WHEN p < .95 THEN x ELSE lo END, CASE WHEN p < .95 THEN hi ELSE x END FROM (SELECT *, {_INCOMPLETE} AS p FROM (SELECT *, (lo + hi) / 2 AS x FROM bi WHERE step < 80)))
+SELECT 't2' AS distance, form, round(value, 6) AS value FROM (SELECT 'F_textbook' AS form, a * (n - 1) / (n - a) * f AS value FROM f UNION ALL SELECT 'F_n2m1', a * (n * n - 1) / (n * (n - a)) * f FROM f UNION ALL SELECT 'chi2', -2 * ln(.05::DOUBLE) UNION ALL SELECT 'beta', (n - 1) ** 2 / n * (1 - pow(.05::DOUBLE, 2 / (n - a - 1))) FROM n)
+UNION ALL SELECT 'q', 'jm', round(t1 * pow(1.6448536269514722 * sqrt(2 * t2 * h * h) / t1 + 1 + t2 * h * (h - 1) / (t1 * t1), 1 / h), 6) FROM h UNION ALL SELECT 'q', 'box', round(t2 / t1 * (SELECT (lo + hi) / 2 FROM bi WHERE step = 80), 6) FROM r""")
 def distance_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = outliers.fit(spectra(spark, sf_dir), 2)
     rows = [("t2", form, outliers.t2_limit(model, form=form)) for form in ("F_textbook", "F_n2m1", "chi2", "beta")] + [("q", how, outliers.q_limit(model, method=how)) for how in ("jm", "box")]
