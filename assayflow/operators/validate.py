@@ -129,10 +129,11 @@ def permutation_test(spark: SparkSession, df: DataFrame, components: int, n_perm
     """
     keyed = df.filter(F.col("spectrum").isNotNull() & F.col("y").isNotNull()).select(F.col(sample).alias("s"), (F.col(groups) if groups else F.col(sample)).alias("g"), "spectrum", "y", "fold")
     level = keyed.groupBy("g").agg(F.avg("y").alias("level"))
-    ranks = level.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm)))).withColumn("h", F.when(F.col("perm") == 0, F.lit(0)).otherwise(F.xxhash64("g", "perm", F.lit(seed))))
-    own = ranks.withColumn("k", F.row_number().over(Window.partitionBy("perm").orderBy("g"))).select("perm", "k", "g")
-    other = ranks.withColumn("k", F.row_number().over(Window.partitionBy("perm").orderBy("h", "g"))).select("perm", "k", "level")
-    response = own.join(other, ["perm", "k"]).select("perm", "g", F.col("level").alias("yp"))
+    # places by one hash and by one for each permutation, ranked in slices, so that no task holds a permutation
+    own = ranked(level.withColumn("h", F.xxhash64("g", F.lit(seed))), "h", name="k", ties="g").select("k", "g")
+    drawn = level.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumn("h", F.xxhash64("g", "perm", F.lit(seed)))
+    other = ranked(drawn, "h", ["perm"], "k", "g").select("perm", "k", "level")
+    response = own.join(other, "k").select("perm", "g", F.col("level").alias("yp")).unionByName(level.select(F.lit(0).alias("perm"), "g", F.col("level").alias("yp")))
     parts = gram.moments(keyed, fold="fold")
     shared = spark.sparkContext.broadcast({k: (m.n, m.shift[:-1], m.sums[:-1], m.products[:-1, :-1]) for k, m in parts.items()})
 
