@@ -20,9 +20,9 @@ _SIGN = rf"(?i:(?:{_NAMES})(?:(?!{_NAMES})[A-Za-z0-9_-])*+[\"']?[ \t]*+[:=][ \t]
 ASSIGNED = _SIGN + "[\"']?"
 #: A private key from its first line to its last, or to the next dashes or the end if that is missing.
 _KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----(?:(?!-----)[\s\S])*+(?:-----END [A-Z0-9 ]*-----)?"
-#: A key block, what is assigned to a secret's name (a quoted value to its own quote, any other to white space or a
-#: quote), or 16 or more token characters with a digit among them. Of any length.
-CANDIDATE = _KEY_BLOCK + "|" + _SIGN + r"(?:\"[^\"]{8,}+(?=\")|'[^']{8,}+(?=')|[\"']?[^\s\"']{8,}+)|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+#: A key block, what is assigned to a secret's name (a quoted value to its own quote on that line, any other to white
+#: space or a quote), or 16 or more token characters with a digit among them. Of any length.
+CANDIDATE = _KEY_BLOCK + "|" + _SIGN + r"(?:\"[^\"\r\n]{8,}+(?=\")|'[^'\r\n]{8,}+(?=')|[\"']?[^\s\"']{8,}+)|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 #: What every candidate has; texts without it are passed over before the slower search.
 NEEDED = "[0-9:=]|PRIVATE KEY"
 BEFORE, AFTER = 48, 24
@@ -93,15 +93,26 @@ def with_dictionary(rows: DataFrame, words: DataFrame) -> DataFrame:
 
     A candidate's words are its runs of letters, cut where capitals begin. Each different candidate is looked up once.
     """
-    rows = rows.withColumn("candidate_sha256", F.sha2("candidate", 256))
-    different = rows.groupBy("candidate_sha256").agg(F.first("candidate").alias("candidate"))
-    runs = different.select("candidate_sha256", F.length("candidate").alias("n"), F.explode(F.regexp_extract_all("candidate", F.lit(_RUNS), F.lit(0))).alias("run"))
-    known = runs.withColumn("word", F.lower("run")).join(words, "word").groupBy("candidate_sha256").agg((F.sum(F.length("run")) / F.max("n")).alias("share"))
-    return rows.join(known, "candidate_sha256", "left").withColumn("dictionary_share", F.coalesce("share", F.lit(0.0))).drop("share")
+    return _looked_up(rows.withColumns(_veil()), words).drop("runs", "size")
 
 
-def with_features(rows: DataFrame) -> DataFrame:
-    """rows (candidate, before, after, path, dictionary_share) with the columns of FEATURES."""
+def _veil() -> dict[str, Column]:
+    """What is known of a candidate without its text: its hash, its size, and hashes and lengths of its words."""
+    run = lambda w: F.struct(F.xxhash64(F.lower(w)).alias("word"), F.length(w).alias("n"))
+    return {"candidate_sha256": F.sha2("candidate", 256), "size": F.length("candidate"), "runs": F.transform(F.regexp_extract_all("candidate", F.lit(_RUNS), F.lit(0)), run)}
+
+
+def _looked_up(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """rows (candidate_sha256, size, runs) with dictionary_share; no candidate's text is shuffled."""
+    different = rows.groupBy("candidate_sha256").agg(F.first("runs").alias("runs"), F.first("size").alias("size"))
+    hashes = words.select(F.xxhash64("word").alias("word")).distinct()
+    known = different.select("candidate_sha256", "size", F.explode("runs").alias("run")).select("candidate_sha256", "size", "run.*").join(hashes, "word")
+    shares = known.groupBy("candidate_sha256").agg((F.sum("n") / F.max("size")).alias("share"))
+    return rows.join(shares, "candidate_sha256", "left").withColumn("dictionary_share", F.coalesce("share", F.lit(0.0))).drop("share")
+
+
+def with_features(rows: DataFrame, looked_up: bool = True) -> DataFrame:
+    """rows (candidate, before, after, path, dictionary_share) with the columns of FEATURES; not looked up yet, all but dictionary_share."""
     c, low = F.col("candidate"), F.lower(F.col("candidate"))
     n = F.greatest(F.length(c), F.lit(1))
     share = lambda pattern, of: (n - F.length(F.regexp_replace(of, pattern, ""))) / n
@@ -116,7 +127,7 @@ def with_features(rows: DataFrame) -> DataFrame:
         "quoted": flag(before.rlike(r"[\"']$") & F.col("after").rlike(r"^[\"']")), "path_secret": flag(path.rlike(r"[.]env|secret|credential|[.]pem|config|[.]ya?ml")),
         "path_test": flag(path.rlike("test|example|docs?/|fixture|[.]md")), "dictionary_share": F.col("dictionary_share"),
     }
-    return rows.withColumns({f: made[f].cast("double") for f in FEATURES})
+    return rows.withColumns({f: made[f].cast("double") for f in FEATURES if looked_up or f != "dictionary_share"})
 
 
 # How labelled findings are made. Kinds of candidate by label, and what stands before them.
@@ -174,17 +185,18 @@ def scan(docs: DataFrame, model: PipelineModel, id_col: str = "doc_id", text_col
     """A row per candidate: doc_id, start, length, candidate_sha256, score (0 to 1), is_secret (score >= threshold).
 
     Also text_sum, at and bytes: a hash of the text and the candidate's place in its UTF-8 bytes, for redact(). Whole
-    texts are scanned; the dictionary is of the words of all texts unless given. The secret itself is not passed on.
+    texts are scanned; the dictionary is of the words of all texts unless given. The secret itself is not passed on, nor
+    written or shuffled on the way: only hashes, sizes and features leave the task that reads its text.
     Null and empty texts have no rows; a null path is empty; null ids are kept; repeated rows repeat their findings;
     an empty table gives no rows; other columns are ignored.
     """
-    found = materialize(findings(docs, id_col, text_col, path_col), "findings")
+    seen = with_features(findings(docs, id_col, text_col, path_col), looked_up=False).withColumns(_veil() | {"bytes": F.octet_length("candidate").cast("long")})
+    found = materialize(seen.select("doc_id", "text_sum", "start", "at", "bytes", "size", "candidate_sha256", "runs", *[f for f in FEATURES if f != "dictionary_share"]), "findings")
     words = materialize(dictionary(docs, text_col), "dictionary") if words is None else words
-    scored = model.transform(with_features(with_dictionary(found, words)))
+    scored = model.transform(_looked_up(found, words))
     score: Column = vector_to_array("odds")[1]
     return scored.select(
-        "doc_id", "start", F.length("candidate").cast("long").alias("length"), "candidate_sha256", score.alias("score"), (score >= threshold).alias("is_secret"),
-        "text_sum", "at", F.octet_length("candidate").cast("long").alias("bytes"),
+        "doc_id", "start", F.col("size").cast("long").alias("length"), "candidate_sha256", score.alias("score"), (score >= threshold).alias("is_secret"), "text_sum", "at", "bytes",
     )
 
 

@@ -156,3 +156,18 @@ def test_candidates_are_whole(spark):
         assert cases[r.doc_id][0][r.start :].startswith(r.candidate)
     found = secrets.findings(docs.filter("doc_id in (1, 8)")).selectExpr("doc_id", "text_sum", "at", "octet_length(candidate) AS bytes", "true AS is_secret")
     assert {r.doc_id: r.text for r in secrets.redact(docs.filter("doc_id in (1, 8)"), found).collect()} == {1: "see [SECRET] end", 8: 'api_key = "[SECRET]" next'}
+
+
+def test_quoted_values_end_on_their_line_and_nothing_is_written_in_clear(spark, monkeypatch):
+    secret = "Zq7-hunter22x-Kp9"
+    texts = {1: (f'password: "{secret}\n second line" end', secret), 2: (f"token = '{secret} and more' end", f"{secret} and more"), 3: (f'api_key: "{secret}\r\n"', secret)}
+    docs = spark.createDataFrame([(i, t, "a") for i, (t, _) in texts.items()], "doc_id long, text string, source string")
+    assert {r.doc_id: r.candidate for r in secrets.findings(docs).collect()} == {i: c for i, (_, c) in texts.items()}
+    model = secrets.fit(secrets.labelled_findings(spark, 512))
+    written, real = {}, secrets.materialize
+    monkeypatch.setattr(secrets, "materialize", lambda df, tag: written.setdefault(tag, real(df, tag)))
+    assert secrets.scan(docs, model, words=secrets.dictionary(docs)).count() == 3
+    table = written["findings"]
+    assert not {"candidate", "before", "after"} & set(table.columns)
+    raw = b"".join(open(f.removeprefix("file://").removeprefix("file:"), "rb").read() for f in table.inputFiles())
+    assert raw and b"hunter" not in raw and b"Zq7" not in raw
