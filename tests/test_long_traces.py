@@ -46,7 +46,7 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize(("width", "distance"), [(8, 5), (7, 20), (1000, 3)])
+@pytest.mark.parametrize(("width", "distance"), [(40, 5), (37, 20), (1000, 3)])
 def test_peaks_match_a_loop(spark, width, distance):
     at = long_traces.placed(trace_table(spark, SHAPES), "trace")
     found = long_traces.maxima(at, "trace", height=1.0, width=width)
