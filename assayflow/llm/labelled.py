@@ -1,4 +1,4 @@
-"""Bounded labelled samples for fitting, and which documents are held out."""
+"""Labelled documents for fitting, all or bounded samples, and which documents are held out."""
 
 from __future__ import annotations
 
@@ -19,6 +19,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
+def known(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y, fold of the labelled ids outside fold 0; a label other than 0 counts as 1."""
+    rows = labels.select(F.col("doc_id"), (F.col(label) != 0).cast("int").alias("y")).filter("doc_id is not null and y is not null")
+    return rows.withColumn("fold", fold(F.col("doc_id"))).filter("fold <> 0")
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, by_label: bool = False) -> DataFrame:
     """text, y, fold of at most `most` labelled documents outside fold 0 (per label if by_label), by hash of the id.
 
@@ -26,12 +32,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, by_label:
     left out; a label other than 0 counts as 1. Ids labelled or stored more than once appear as often, so callers cut
     the rows to their bound again.
     """
-    known = labels.select(F.col("doc_id"), (F.col(label) != 0).cast("int").alias("y")).filter("doc_id is not null and y is not null")
-    known = known.withColumn("fold", fold(F.col("doc_id"))).filter("fold <> 0").withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(11)))
+    rows = known(labels, label).withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(11)))
     if by_label:
-        chosen = known.filter("y = 1").orderBy("order", "doc_id").limit(most).unionByName(known.filter("y = 0").orderBy("order", "doc_id").limit(most))
+        chosen = rows.filter("y = 1").orderBy("order", "doc_id").limit(most).unionByName(rows.filter("y = 0").orderBy("order", "doc_id").limit(most))
     else:
-        chosen = known.orderBy("order", "doc_id").limit(most)
+        chosen = rows.orderBy("order", "doc_id").limit(most)
     chosen = F.broadcast(chosen.withColumnRenamed("doc_id", "known_id"))
     return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("known_id")).select("text", "y", "fold", "order")
 

@@ -29,9 +29,8 @@ from .sketch import in_sketch, sketch
 #: Differing bits up to which fingerprints are looked at. At a similarity of 0.8 some 9.7 bits differ, 2.9 being one
 #: standard deviation, so that a pair lies beyond this with a chance of less than one in a thousand.
 RADIUS = 20
-#: Texts counted, about, to tell rare shingles from common ones; the order sets the speed and never the result.
-COUNTED = 20_000
-CELL_BITS = 22
+#: Bits of a shingle's hash by which its text count is kept, and cells of counts that go from task to task as one row.
+CELL_BITS, ROW_CELLS = 22, 1 << 12
 #: Members of a shard in one tree and of a block; a larger shard or group is dealt into blocks.
 MOST_IN_TREE, MOST_IN_BLOCK = 1024, 256
 #: Shingles in a block, about.
@@ -63,20 +62,41 @@ def _raw(value: pa.Scalar) -> bytes:
 
 
 def _common(docs: DataFrame, size: int) -> np.ndarray:
-    """How often the shingles of about COUNTED texts fall on each cell; cells of fewer than 8 count as 0."""
-    every = max(1, docs.count() // COUNTED)
+    """How often the shingles of all texts fall on each cell; the order by it sets the speed and never the result."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << CELL_BITS, np.int32)
         for batch in slices(batches):
-            cells = [shingle_set(_raw(v), size) >> np.uint64(64 - CELL_BITS) for v in batch.column("text")]
-            cell, n = np.unique(np.concatenate(cells), return_counts=True) if cells else (np.array([]), np.array([]))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["cell", "n"])
-
-    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInArrow(run, "cell int, n long")
-    found = some.groupBy("cell").agg(F.sum("n").alias("n")).filter("n >= 8").toArrow()
-    counts = np.zeros(1 << CELL_BITS, np.int32)
-    counts[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
-    return counts
+            for v in batch.column("text"):
+                np.add.at(counts, shingle_set(_raw(v), size) >> np.uint64(64 - CELL_BITS), 1)
+        rows = counts.reshape(-1, ROW_CELLS)
+        some = np.flatnonzero(rows.any(axis=1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[i].tobytes() for i in some], pa.binary())], names=["row", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(ROW_CELLS, np.int64)
+        for batch in batches:
+            done = []
+            for row, counts in zip(batch.column("row").to_pylist(), batch.column("counts")):
+                if row != at:
+                    done.append((at, total))
+                    at, total = row, np.zeros(ROW_CELLS, np.int64)
+                total += np.frombuffer(counts.as_buffer(), np.int32)
+            yield _counted(done)
+        yield _counted([(at, total)])
+
+    made = docs.select("text").mapInArrow(count, "row int, counts binary")
+    found = made.repartition("row").sortWithinPartitions("row").mapInArrow(add, "row int, counts binary").toArrow()
+    counts = np.zeros(((1 << CELL_BITS) // ROW_CELLS, ROW_CELLS), np.int32)
+    for row, raw in zip(found["row"].to_pylist(), found["counts"].to_pylist()):
+        counts[row] = np.frombuffer(raw, np.int32)
+    return counts.ravel()
+
+
+def _counted(rows: list[tuple[int | None, np.ndarray]]) -> pa.RecordBatch:
+    rows = [(row, np.minimum(n, 2**31 - 1).astype(np.int32).tobytes()) for row, n in rows if row is not None]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["row", "counts"])
 
 
 def _signatures(docs: DataFrame, similarity: float, size: int) -> DataFrame:

@@ -71,6 +71,30 @@ def test_isotonic_is_monotone_and_pools():
     assert (np.diff(values) >= 0).all() and np.interp(0.25, knots, values) == pytest.approx(0.5) and (np.diff(knots) > 0).all()
 
 
+def test_tasks_pool_as_one(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 40, (600, len(NAMES))) / 8
+    y = (rng.random(600) < x[:, 0] / 5).astype(int)
+    p = len(NAMES)
+    linear = quality.Model(np.zeros(p), np.full(p, 2.0), np.zeros((p, 1)), np.zeros(1), np.r_[0, 1, np.zeros(p)], np.zeros(1), np.zeros(1))
+    rows = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x array<double>, y int").repartition(7)
+    score = (linear.features(x) @ linear.weights).round(12)
+    order = np.lexsort((-y, score))  # of equal scores the ones first, so that they are pooled
+    for got, want in zip(quality._isotonic(rows, linear), quality.isotonic(score[order], y[order])):
+        assert got == pytest.approx(want)
+
+
+def test_every_labelled_document_is_learnt_from(spark):
+    ids = spark.range(25_800).withColumnRenamed("id", "doc_id")
+    known = labelled.known(ids.selectExpr("doc_id", "1 as quality"), "quality")
+    last = {r.doc_id for r in known.selectExpr("doc_id", "xxhash64(doc_id, 11) as h").orderBy("h").offset(20_000).collect()}
+    assert 100 < len(last) < 1500
+    rows = [(i, "NO!! WAY!!" if i in last else "yes of course", int(i not in last)) for i in range(25_800)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    kept = quality.keep_good(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    assert {r.doc_id for r in kept.collect()} == {i for i in range(25_800) if i not in last}
+
+
 def test_random_features_approximate_the_kernel():
     rng = np.random.default_rng(0)
     p, d = len(NAMES), 4096

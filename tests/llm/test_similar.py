@@ -83,3 +83,10 @@ def test_one_row_of_each_component_with_repeats_and_without_ids(spark):
     kept = sorted((str(r.doc_id), r.text.lower()) for r in similar.drop_similar(docs).collect())
     assert kept == [("5", a), ("5", b), ("None", "no id here at all but some words")]
     assert similar.drop_similar(docs.withColumn("doc_id", F.col("doc_id").cast("string"))).count() == 3
+
+
+def test_shingles_of_every_text_are_counted(spark):
+    docs = spark.range(41_000).select(F.concat(F.lit("w"), F.col("id") % 40_000).alias("text"))
+    counts = similar._common(docs, 5)
+    assert counts.sum() == 41_000
+    assert (counts[similar.shingle_set(b"w7", 5) >> (64 - similar.CELL_BITS)] >= 2).all()
