@@ -29,10 +29,11 @@ from .common import materialize, slices
 from .sketch import in_sketch, sketch
 
 THRESHOLD = 200
-#: Bytes of text that the kernel handles at once; longer texts are cut with an overlap.
-BLOCK = 1 << 20
+#: Bytes of text that the kernel handles at once, with some 100 bytes of memory for each; longer texts are cut with an
+#: overlap.
+BLOCK = 1 << 18
 #: Bytes of stretches whose positions are named at once.
-NAMED = 1 << 20
+NAMED = 1 << 18
 
 _U = np.uint64
 #: Low bits of a comparison key that hold the place; over all the places of a block with its overlap.
@@ -150,7 +151,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _ranks(docs: DataFrame, threshold: int, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for _, _, parts in _blocks(_raw(batch), threshold, block):
                 rank, stretch = anchors(parts, threshold)[:2]
                 yield pa.RecordBatch.from_arrays([_signed(rank), _signed(stretch)], names=["rank", "stretch"])
@@ -163,7 +164,7 @@ def _places(docs: DataFrame, threshold: int, sieve, block: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sieve.value
-        for batch in batches:
+        for batch in slices(batches):
             for rows, offsets, parts in _blocks(_raw(batch), threshold, block):
                 rank, stretch, text, anchor, first, last = anchors(parts, threshold)
                 keep = in_sketch(words, rank)
@@ -196,7 +197,7 @@ def _stretches(docs: DataFrame, threshold: int, sieve, block: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sieve.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, sums = batch.column("id").to_numpy(), batch.column("sum").to_numpy()
             raws = _raw(batch)
             for rows, offsets, parts in _blocks(raws, threshold, block):
@@ -345,7 +346,8 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLO
     one = F.min(F.struct("id", "sum", "anchor", "first")).alias("one")
     kinds = mixed.groupBy("rank", "stretch").agg(F.count("*").alias("n"), one).select("rank", "stretch", "n", "one.*")
     kinds = materialize(kinds, "kinds")
-    copied = mixed.join(kinds.filter("n > 1").select("rank", "stretch"), ["rank", "stretch"], "left_semi")
+    # by place, which no two have in common: those of one kind, copies of a passage, would meet in one task
+    copied = mixed.join(kinds.filter("n = 1"), ["id", "sum", "anchor", "first"], "left_anti")
     settled = span(places.filter("not mixed")).unionByName(span(copied))
 
     held = _stretches(docs, threshold, sketch(spark, _place_keys(kinds), "key"), block)
@@ -379,7 +381,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool
     joined = keyed.join(by_text, (F.col("id") == F.col("span_id")) & (F.col("sum") == F.col("span_sum")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             numbers, digests, kept_texts, merged = [], [], [], []
             for raw, spans in zip(_raw(batch), batch.column("spans")):
                 runs: list[list[int]] = []

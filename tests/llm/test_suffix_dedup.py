@@ -1,9 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from assayflow.llm import suffix_dedup
 from assayflow.llm.suffix_dedup import _rerank, remove_repeats
 
 
@@ -84,3 +87,26 @@ def test_shared_and_null_ids_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in remove_repeats(docs, 24).collect())
     assert got == [(0, 44, 43), (1, 38, 0), (1, 43, 43), (1, 43, 43)]
     assert remove_repeats(docs.limit(0), 24).count() == 0
+
+
+def test_kernels_hold_little_of_a_long_text():
+    raw = np.random.default_rng(1).integers(97, 123, 3 << 20, dtype=np.uint8).tobytes()
+    suffix_dedup._POWERS.clear()
+    tracemalloc.start()
+    for _, _, parts in suffix_dedup._blocks([raw], 200, suffix_dedup.BLOCK):
+        suffix_dedup.anchors(parts, 200)
+    suffix_dedup._first_ranks([raw[at : at + 400] for at in range(0, suffix_dedup.NAMED, 400)], 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+
+def test_copies_of_a_passage_meet_in_no_task(spark):
+    # the sort-merge plan, as on tables too large to broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = suffix_dedup._keyed(spark.createDataFrame(list(enumerate(random_texts(1))), "doc_id long, text string")).drop("doc_id")
+        plan = suffix_dedup.repeated_spans(docs, 24)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(id" in plan and "hashpartitioning(rank" not in plan
