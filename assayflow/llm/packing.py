@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ END_ID = 1
 OPEN_BINS = 4096
 #: Pieces that one shard packs on average. A shard leaves less than one bin's space unused beyond what best fit does.
 SHARD_PIECES = 16_384
+#: Bytes of text in which each different word is looked up once.
+SLICE = 1 << 23
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 700_000
 
@@ -60,14 +63,28 @@ class WordIds:
         self.parts: dict[str, bytes] = {"": b""}
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        split = [_loosened(t).replace(b"\n", b" ").split(b" ") for t in texts]
+        """Each different word is looked up once; Arrow numbers the words and numpy lays their ids end to end."""
+        split = pc.split_pattern(pa.array([_loosened(t).replace(b"\n", b" ") for t in texts], pa.large_binary()), " ")
+        coded = split.flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
         if len(self.words) > REMEMBERED:
             self.words = {b"": b""}
-        self._learn(set().union(*split) - self.words.keys())
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def _learn(self, new: set[bytes]) -> None:
+        own = list(map(self.words.get, different))
+        new = [i for i, x in enumerate(own) if x is None]
+        self._learn([different[i] for i in new])
+        for i in new:
+            own[i] = self.words[different[i]]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        word = coded.indices.to_numpy()
+        lengths = sizes[word]
+        ends = np.r_[0, np.cumsum(lengths)]
+        at = np.repeat((np.cumsum(sizes) - sizes)[word] - ends[:-1], lengths)
+        at += np.arange(len(at))
+        raw = np.frombuffer(b"".join(own), "<u4")[at].tobytes()
+        edges = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(edges, edges[1:])]
+
+    def _learn(self, new: list[bytes]) -> None:
         letters, signed, other = [], [], []
         match = _PLAIN.fullmatch
         for raw in new:
@@ -91,7 +108,7 @@ class WordIds:
         parts = list(new)
         for at in range(0, len(parts), 4096):
             some = parts[at : at + 4096]
-            ids = np.array(self.merges.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 raise ValueError("the tokenizer does not mark the end of each word")
@@ -111,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _WORD_IDS.setdefault(tokenizer, WordIds(tokenizer)) if tokenizer not in _WORD_IDS else _WORD_IDS[tokenizer]
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             rows, out = [], []
             for i, raw in enumerate(ids_of.texts([v.as_buffer().to_pybytes() if v.is_valid else b"" for v in batch.column("text")])):
                 raw += end

@@ -39,6 +39,27 @@ def test_forgetting_words_changes_nothing(path, reference, monkeypatch):
         assert np.frombuffer(ids.texts([(t or "").encode()])[0], "<u4").tolist() == reference(t)[:-1]
 
 
+def test_a_word_is_looked_up_once_in_a_slice(path, reference):
+    class Counted(dict):
+        looked_up = 0
+
+        def __getitem__(self, key):
+            self.looked_up += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            self.looked_up += 1
+            return super().get(key, default)
+
+    ids = packing.WordIds(path)
+    ids.words = Counted(ids.words)
+    texts = ["the cat, the dog and the cat.\nThe end. " * 500, "", "the end " * 300]
+    got = ids.texts([t.encode() for t in texts])
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in got] == [reference(t)[:-1] for t in texts]
+    assert ids.words.looked_up <= 40
+    assert ids.texts([]) == []
+
+
 def test_pieces_and_sequences(spark, path, reference):
     rng = random.Random(3)
     texts = TEXTS + [" ".join(rng.choice(["tion", "word,", "é", "the"]) for _ in range(rng.randint(0, 90))) for _ in range(200)]
