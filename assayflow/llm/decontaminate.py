@@ -25,6 +25,8 @@ WINDOW = 13
 SHARD_BYTES = 4_000_000
 #: Bytes of text that a task takes through all automata before it reads on; with several, each is built anew for these.
 SCANNED = 1 << 26
+#: The same where one automaton holds the whole benchmark.
+SLICE = 1 << 21
 #: Characters that are no part of a word become a space, A-Z become a-z; bytes of multi-byte characters stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _TOKEN = re.compile(rb"[^ ]+")
@@ -62,6 +64,11 @@ class Shards:
     def __init__(self, parts: list[Broadcast], window: int) -> None:
         self.parts, self.window = parts, window
 
+    @property
+    def scanned(self) -> int:
+        """Bytes of text whose words a task holds at once: few, unless automata are built anew for each lot."""
+        return SCANNED if len(self.parts) > 1 else SLICE
+
     def built(self, k: int) -> tuple[list[Item], Built]:
         """The kth shard's items and automaton. A worker keeps the last one that it built."""
         items = self.parts[k].value
@@ -124,7 +131,7 @@ def _scan(docs: DataFrame, shards: Shards) -> DataFrame:
     schema = pa.schema([("doc_id", docs_type(docs)), ("n_words", pa.int64()), ("spans", _PAIRS), ("items", pa.list_(pa.string())), ("chars", _PAIRS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SCANNED):
+        for batch in slices(batches, most=shards.scanned):
             flat = [_raw(v).translate(_WORDS) for v in batch.column("text")]
             texts = [f.split() for f in flat]
             covered, ids = shards.scan(texts)
@@ -187,7 +194,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     shards = shards_of(benchmark, window, shard_bytes, nameless)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SCANNED):
+        for batch in slices(batches, most=shards.scanned):
             texts = [words(_raw(v)) for v in batch.column("text")]
             hit = [sum(b - a for a, b in hits) for hits in shards.scan(texts)[0]]
             yield batch.filter(pa.array([not (n and 20 * n >= len(t)) for n, t in zip(hit, texts)], pa.bool_()))

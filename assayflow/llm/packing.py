@@ -23,9 +23,9 @@ OPEN_BINS = 4096
 #: Pieces that one shard packs on average. A shard leaves less than one bin's space unused beyond what best fit does.
 SHARD_PIECES = 16_384
 #: Bytes of text in which each different word is looked up once.
-SLICE = 1 << 23
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 700_000
+SLICE = 1 << 22
+#: Words whose ids a Python worker remembers in each of two generations, beyond a slice's; some 200 bytes each.
+REMEMBERED = 200_000
 
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 #: Of such a word the tokenizer makes one piece from the letters and one from the signs, whatever stands around it.
@@ -60,6 +60,7 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
@@ -68,9 +69,15 @@ class WordIds:
         coded = split.flatten().dictionary_encode()
         different = coded.dictionary.to_pylist()
         if len(self.words) > REMEMBERED:
-            self.words = {b"": b""}
+            # words that occur again are taken over, so that frequent ones are never learnt anew
+            self.older, self.words = self.words, {b"": b""}
         own = list(map(self.words.get, different))
-        new = [i for i, x in enumerate(own) if x is None]
+        new = []
+        for i in [i for i, x in enumerate(own) if x is None]:
+            if (known := self.older.get(different[i])) is None:
+                new.append(i)
+            else:
+                own[i] = self.words[different[i]] = known
         self._learn([different[i] for i in new])
         for i in new:
             own[i] = self.words[different[i]]

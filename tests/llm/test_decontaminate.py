@@ -89,3 +89,15 @@ def test_a_benchmark_of_many_shards_and_slices(spark, monkeypatch):
     assert len(shards.parts) > 2
     got = sorted((r.doc_id, r.n_hit, r.n_items) for r in dc.decontaminate(docs.coalesce(1), bench, shard_bytes=300_000).collect())
     assert got == [(0, 20, 1), (1, 20, 1), (2, 20, 1), (3, 0, 0), (4, 0, 0)]
+
+
+def test_words_of_few_texts_are_held_for_one_automaton():
+    import pyarrow as pa
+
+    from assayflow.llm.common import slices
+
+    batch = pa.record_batch({"text": ["word " * 100_000] * 20})
+    one, two = dc.Shards([None], 13), dc.Shards([None, None], 13)
+    sizes = [b.num_rows for b in slices([batch], most=one.scanned)]
+    assert sum(sizes) == 20 and max(sizes) <= 5
+    assert [b.num_rows for b in slices([batch], most=two.scanned)] == [20]  # automata are built anew for each lot

@@ -39,6 +39,18 @@ def test_forgetting_words_changes_nothing(path, reference, monkeypatch):
         assert np.frombuffer(ids.texts([(t or "").encode()])[0], "<u4").tolist() == reference(t)[:-1]
 
 
+def test_words_that_recur_are_kept_while_others_go(path, reference, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    ids, learnt = packing.WordIds(path), []
+    learn = ids._learn
+    ids._learn = lambda new: (learnt.extend(new), learn(new))
+    for k in range(40):
+        text = "the common cat " + " ".join(f"word{20 * k + i}x" for i in range(20))
+        assert np.frombuffer(ids.texts([text.encode()])[0], "<u4").tolist() == reference(text)[:-1]
+        assert len(ids.words.keys() | ids.older.keys()) <= 2 * (50 + 24)
+    assert [learnt.count(w) for w in (b"the", b"common", b"cat", b"word0x")] == [1, 1, 1, 1]
+
+
 def test_a_word_is_looked_up_once_in_a_slice(path, reference):
     class Counted(dict):
         looked_up = 0
