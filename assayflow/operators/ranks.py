@@ -10,6 +10,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 SLICES = 256
 
 
@@ -23,9 +25,13 @@ def sliced(df: DataFrame, column: str, name: str = "__slice") -> DataFrame:
 
 
 def ranked(df: DataFrame, column: str, by: list[str] | None = None, name: str = "rank", ties: str | None = None) -> DataFrame:
-    """df with the 0-based place of each row by ascending column (then ties), in each group of `by` or overall."""
+    """df with the 0-based place of each row by ascending column (then ties), in each group of `by` or overall.
+
+    Rows are written with their slices, so that counts and places are of the same values: sums of doubles differ in
+    their last bits when they are worked out again, which moves a value that is the edge of a slice.
+    """
     keys = by or []
-    rows = sliced(df, column)
+    rows = materialize(sliced(df, column), "slices")
     counts = rows.groupBy(*keys, "__slice").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("__slice").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
     offsets = counts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__slice").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
