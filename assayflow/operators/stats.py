@@ -59,11 +59,9 @@ def _adjust_one_family(df: DataFrame, p: str, method: str) -> DataFrame:
     m = df.agg(F.count(p)).first()[0]
     step = (m - F.col("__rank")) if method == "holm" else m / (F.col("__rank") + 1)
     rows = ranks.sliced(ranks.ranked(df, p, name="__rank").withColumn("__step", step * F.col(p)), p)
-    extreme = F.max if method == "holm" else F.min
-    inside = Window.partitionBy("__slice").orderBy("__rank")
-    inside = inside.rowsBetween(Window.unboundedPreceding, 0) if method == "holm" else inside.rowsBetween(0, Window.unboundedFollowing)
-    order = Window.partitionBy(F.lit(0)).orderBy("__of")  # a row per slice
-    beyond = order.rowsBetween(Window.unboundedPreceding, -1) if method == "holm" else order.rowsBetween(1, Window.unboundedFollowing)
+    extreme, way = (F.max, F.asc) if method == "holm" else (F.min, F.desc)  # a window up to its end costs a square
+    inside = Window.partitionBy("__slice").orderBy(way("__rank")).rowsBetween(Window.unboundedPreceding, 0)
+    beyond = Window.partitionBy(F.lit(0)).orderBy(way("__of")).rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
     slices = rows.groupBy(F.col("__slice").alias("__of")).agg(extreme("__step").alias("__own"))
     slices = slices.select("__of", extreme("__own").over(beyond).alias("__other"))
     both = F.greatest if method == "holm" else F.least
@@ -87,11 +85,11 @@ def adjust_pvalues(df: DataFrame, p: str, method: str, by: list[str] | None = No
         df = df.withColumn("__step", (m - rank + 1) * F.col(p))
         adjusted = F.max("__step").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     elif method == "bh":
-        df = df.withColumn("__step", m * F.col(p) / rank)
-        adjusted = F.min("__step").over(ordered.rowsBetween(0, Window.unboundedFollowing))
+        df = df.withColumns({"__rank": rank, "__step": m * F.col(p) / rank})
+        adjusted = F.min("__step").over(family.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0))
     else:
         raise ValueError(f"unknown method {method!r}")
-    return df.withColumn("p_adjusted", F.least(F.lit(1.0), adjusted)).drop("__step")
+    return df.withColumn("p_adjusted", F.least(F.lit(1.0), adjusted)).drop("__step", "__rank")
 
 
 def multiplicity(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
