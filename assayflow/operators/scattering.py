@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # X-ray form factors of neutral atoms as four Gaussians and a constant (a1 b1 a2 b2 a3 b3 a4 b4 c), as in
@@ -25,29 +25,27 @@ FORM_FACTORS = {
 def with_amplitudes(lines: DataFrame, atoms: DataFrame) -> DataFrame:
     """lines (h, k, l, d, two_theta) with amplitude |F| and intensity |F|^2 times the Lorentz and polarisation factor.
 
-    atoms are those of one whole cell (sym, x, y, z, occ, and u_iso if there is one; null counts as 0). They become one
-    array in one row, bounded by the cell, which is broadcast; so no line is shuffled. An element without form factors
-    is an error; a cell without atoms has amplitudes of zero.
+    atoms are those of one whole cell (sym, x, y, z, occ, and u_iso if there is one; null counts as 0), of any number:
+    the lines, bounded by cell and angles, go to every task with each element's form factor at their angle, and a task
+    sums its atoms for each line. An element without form factors is an error; a cell without atoms has amplitudes of zero.
     """
-    table = F.create_map(*[x for sym, f in FORM_FACTORS.items() for x in (F.lit(sym), F.array(*[F.lit(v) for v in f]))])
-    known = F.coalesce(F.try_element_at(table, F.col("sym")), F.raise_error(F.concat(F.lit("no form factors for element "), F.coalesce("sym", F.lit("null")))))
-    u = F.coalesce(F.col("u_iso").cast("double"), F.lit(0.0)) if "u_iso" in atoms.columns else F.lit(0.0)
-    site = F.struct("x", "y", "z", F.coalesce(F.col("occ").cast("double"), F.lit(1.0)).alias("occ"), (8 * math.pi**2 * u).alias("b"), known.alias("f"))
-    cell = atoms.agg(F.collect_list(site).alias("sites"))
     s2 = 1 / (4 * F.col("d") * F.col("d"))
-
-    def step(acc: Column, site: Column) -> Column:
-        f = sum(F.get(site["f"], F.lit(i)) * F.exp(-F.get(site["f"], F.lit(i + 1)) * s2) for i in (0, 2, 4, 6)) + F.get(site["f"], F.lit(8))
-        weight = site["occ"] * f * F.exp(-site["b"] * s2)
-        phase = 2 * math.pi * (F.col("h") * site["x"] + F.col("k") * site["y"] + F.col("l") * site["z"])
-        return F.struct((acc["re"] + weight * F.cos(phase)).alias("re"), (acc["im"] + weight * F.sin(phase)).alias("im"))
-
-    start = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    factors = [sum(f[i] * F.exp(-f[i + 1] * s2) for i in (0, 2, 4, 6)) + f[8] for f in FORM_FACTORS.values()]
+    key = ["h", "k", "l", "d"]
+    angles = lines.select(*key, s2.alias("__s2"), F.array(*factors).alias("__factors")).dropDuplicates(key)
+    places = F.create_map(*[x for i, sym in enumerate(FORM_FACTORS) for x in (F.lit(sym), F.lit(i))])
+    known = F.coalesce(F.try_element_at(places, F.col("sym")), F.raise_error(F.concat(F.lit("no form factors for element "), F.coalesce("sym", F.lit("null")))))
+    u = [F.coalesce(F.col("u_iso").cast("double"), F.lit(0.0)).alias("__u")] if "u_iso" in atoms.columns else []
+    sites = atoms.select(known.alias("__element"), "x", "y", "z", F.coalesce(F.col("occ").cast("double"), F.lit(1.0)).alias("__occ"), *u)
+    weight = F.col("__occ") * F.get("__factors", F.col("__element"))
+    weight = weight * F.exp(-8 * math.pi**2 * F.col("__u") * F.col("__s2")) if u else weight
+    phase = 2 * math.pi * (F.col("h") * F.col("x") + F.col("k") * F.col("y") + F.col("l") * F.col("z"))
+    sums = sites.crossJoin(F.broadcast(angles)).groupBy(*key).agg(F.sum(weight * F.cos(phase)).alias("__re"), F.sum(weight * F.sin(phase)).alias("__im"))
     half = F.radians("two_theta") / 2
     lorentz = (1 + F.pow(F.cos(2 * half), F.lit(2))) / (F.sin(half) * F.sin(half) * F.cos(half))
-    summed = lines.crossJoin(F.broadcast(cell)).withColumn("__f", F.aggregate("sites", start, step))
-    out = summed.withColumn("amplitude", F.sqrt(F.col("__f.re") * F.col("__f.re") + F.col("__f.im") * F.col("__f.im")))
-    return out.withColumn("intensity", F.col("amplitude") * F.col("amplitude") * lorentz).drop("sites", "__f")
+    size = F.sqrt(F.col("__re") * F.col("__re") + F.col("__im") * F.col("__im"))
+    out = lines.join(F.broadcast(sums), key, "left").withColumn("amplitude", F.coalesce(size, F.lit(0.0)))  # a row per line
+    return out.withColumn("intensity", F.col("amplitude") * F.col("amplitude") * lorentz).select(*lines.columns, "amplitude", "intensity")
 
 
 def powder_lines(lines: DataFrame, digits: int = 4) -> DataFrame:

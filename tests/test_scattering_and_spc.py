@@ -2,6 +2,7 @@ import cmath
 import math
 import struct
 
+import numpy as np
 import pytest
 
 from assayflow.operators import pattern, scattering
@@ -67,3 +68,19 @@ def test_spc_layouts_and_bad_files(spark):
 def test_read_spc_folder(spark, tmp_path):
     (tmp_path / "a.spc").write_bytes(CASES["floats"][0])
     assert [r.y for r in spc.read_spc(spark, str(tmp_path)).collect()] == [1, 2, 0.5]
+
+
+def test_atoms_of_a_large_cell_are_summed_where_they_lie(spark):
+    rng = np.random.default_rng(5)
+    xyz, occ, u = rng.random((20000, 3)), rng.random(20000), rng.random(20000) / 20
+    sym = rng.choice(["C", "O"], 20000)
+    rows = [(str(s), *map(float, p), float(o), float(v)) for s, p, o, v in zip(sym, xyz, occ, u)] + [("C", None, 0.1, 0.2, 1.0, 0.0)]
+    atoms = spark.createDataFrame(rows, "sym string, x double, y double, z double, occ double, u_iso double").repartition(8)
+    lines = scattering.with_amplitudes(pattern.reflections(spark, (5.0, 5.0, 5.0, 90.0, 90.0, 90.0), 1.5406, 20, 40), atoms)
+    got = lines.collect()
+    assert got and "collect_list" not in lines._jdf.queryExecution().toString()  # no row holds all atoms
+    for r in got:
+        s2 = 1 / (4 * r.d**2)
+        size = {s: sum(f[i] * math.exp(-f[i + 1] * s2) for i in (0, 2, 4, 6)) + f[8] for s, f in scattering.FORM_FACTORS.items()}
+        weight = occ * np.array([size[s] for s in sym]) * np.exp(-8 * math.pi**2 * u * s2)
+        assert r.amplitude == pytest.approx(abs((weight * np.exp(2j * math.pi * (xyz @ [r.h, r.k, r.l]))).sum()), abs=1e-6)
