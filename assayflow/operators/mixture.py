@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from .pattern import residual_peaks
-from .spatial import range_join
 from .stats import weighted_residual
 
 #: Fixed values of the pKa rule and of the complementarity rule (short axis, middle axis, dipole).
@@ -103,11 +102,23 @@ def complementary(left: str, right: str) -> Column:
 
 
 def complementary_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Complementary rows l, r (structs) of two tables (short, middle, dipole, any others): a join on buckets of short."""
-    a = left.select(F.struct("*").alias("l"), F.col("short").alias("__at"))
-    near = lambda sign: F.col("r.short") + sign * (MOST_SHORT * 1.000001)
-    pairs = range_join(a, right.select(F.struct("*").alias("r")), "__at", near(-1), near(1), MOST_SHORT)
-    return pairs.filter(complementary("l", "r")).select("l", "r")
+    """Complementary rows l, r (structs) of two tables (short, middle, dipole, any others).
+
+    Different shapes are paired on buckets of all three values, and then the rows of each shape of a pair, so that rows
+    of one shape are compared once and a bucket holds only what is near in every value.
+    """
+    most = {"short": MOST_SHORT, "middle": MOST_MIDDLE, "dipole": MOST_DIPOLE}
+    number = {c: F.col(c).cast("double") for c in most}
+    place = lambda v, c: F.floor(v / (2 * most[c])).cast("long")
+    shapes = lambda df: df.select(*[v.alias(c) for c, v in number.items()]).dropna().distinct()
+    a, b = shapes(left).select(F.struct("*").alias("ls")), shapes(right).select(F.struct("*").alias("rs"))
+    for c, reach in most.items():
+        v, reach = F.col(f"rs.{c}"), reach * 1.000001
+        a = a.withColumn(f"__{c}", place(F.col(f"ls.{c}"), c))
+        b = b.withColumn(f"__{c}", F.explode(F.sequence(place(v - reach, c), place(v + reach, c))))
+    near = a.join(b, [f"__{c}" for c in most]).filter(complementary("ls", "rs")).select("ls", "rs")
+    rows = lambda df, name, shape: df.select(F.struct("*").alias(name), F.struct(*[v.alias(c) for c, v in number.items()]).alias(shape))
+    return rows(left, "l", "ls").join(near, "ls").join(rows(right, "r", "rs"), "rs").select("l", "r")
 
 
 def conformer_summary(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
