@@ -108,13 +108,13 @@ def around(points: DataFrame, knots: DataFrame, at: str, place: str, value: str
     both = row.unionByName(k.withColumn("__row", F.lit(None).cast(row.schema["__row"].dataType)))
     both = sliced(both, "__x", "__slice")
     knot = F.when(F.col("__row").isNull(), F.struct(F.col("__x").alias("x"), F.col("__y").alias("y")))
-    inside = Window.partitionBy(*keys, "__slice").orderBy("__x")
-    up, down = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow), inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    both = both.withColumns({"__before": F.last(knot, True).over(up), "__after": F.first(knot, True).over(down)})
-    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__slice")  # a row for each slice
-    ends = both.filter("__row IS NULL").groupBy(*keys, "__slice").agg(F.max("__before").alias("last"), F.min("__after").alias("first"))
-    every = both.select(*keys, "__slice").distinct().join(ends, [*keys, "__slice"], "left") if keys else both.select("__slice").distinct().join(ends, "__slice", "left")
-    carried = every.withColumns({"__prior": F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)), "__next": F.first("first", True).over(along.rowsBetween(1, Window.unboundedFollowing))}).drop("last", "first")
+    # both sides look back, one over falling places: a window up to its end costs the square of a slice
+    to = lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside, along = Window.partitionBy(*keys, "__slice"), Window.partitionBy(*(keys or [F.lit(0)]))  # along: a row for each slice
+    ends = both.groupBy(*keys, "__slice").agg(F.max(knot).alias("last"), F.min(knot).alias("first"))
+    over = lambda order: along.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumns({"__prior": F.last("last", True).over(over(F.asc("__slice"))), "__next": F.last("first", True).over(over(F.desc("__slice")))}).drop("last", "first")
+    both = both.withColumns({"__before": F.last(knot, True).over(to(inside.orderBy(F.asc("__x")))), "__after": F.last(knot, True).over(to(inside.orderBy(F.desc("__x"))))})
     known = both.filter("__row IS NOT NULL").join(carried, [*keys, "__slice"], "left")
     b, a = F.coalesce("__before", "__prior"), F.coalesce("__after", "__next")
     out = [b["x"].alias("before_x"), a["x"].alias("after_x")] + ([b["y"].alias("before_y"), a["y"].alias("after_y")] if value else [])

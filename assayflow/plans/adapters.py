@@ -24,10 +24,10 @@ def as_spectra(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").alias("sample"), F.col("embedding").cast("array<double>").alias("spectrum"), F.col("label").cast("double").alias("y"), F.col("label").cast("int").alias("grp"))
 
 
-def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """trace, x (hours since the start of 2024), y, step (tie-break) from events."""
+def traces(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """trace, x (hours since the start of 2024), y, step (tie-break) and any more columns from events."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("trace"), (seconds / 3.6e9).alias("x"), F.col("value").alias("y"), F.col("event_id").alias("step"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("trace"), (seconds / 3.6e9).alias("x"), F.col("value").alias("y"), F.col("event_id").alias("step"), *more)
 
 
 #: The same roles in SQL.

@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from ..operators import long_traces
 from ..sources.scratch import materialize
-from .adapters import TRACES_SQL, rounded, table, traces
+from .adapters import TRACES_SQL, rounded, traces
 from .catalogue import register
 from .structure_queries import thinned_sql
 
 _L = "l AS MATERIALIZED (SELECT event_type AS trace, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9 AS x, value AS y, event_id AS step FROM events)"
 
 
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples of their users' traces, with their types; one without an id is none."""
+    return traces(spark, sf_dir, "event_type").filter("step IS NOT NULL")
+
+
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trace (the event type), x in hours, y and step."""
-    kinds = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), "event_type")
-    return traces(spark, sf_dir).drop("trace").join(kinds, "step").select(F.col("event_type").alias("trace"), "x", "y", "step")
+    return _typed(spark, sf_dir).select(F.col("event_type").alias("trace"), "x", "y", "step")
 
 
 @register(f"""WITH RECURSIVE {_L}, o AS (SELECT trace, x, floor(y) AS y, row_number() OVER (PARTITION BY trace ORDER BY x, step) - 1 AS pos FROM l),
@@ -37,7 +41,7 @@ _SIDES = f"""WITH t AS ({TRACES_SQL}), e AS (SELECT t.*, event_type FROM t JOIN
 SELECT step, round(CASE WHEN b IS NULL THEN a WHEN a IS NULL THEN b WHEN ax > bx THEN b + (a - b) * (x - bx) / (ax - bx) ELSE b END, 6) + 0.0 AS value_at FROM b JOIN a USING (step)""")
 def knot_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's purchases as knots, read at the times of the user's views."""
-    every = traces(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), "event_type"), "step")
+    every = _typed(spark, sf_dir)
     knots = every.filter("event_type = 'purchase'").select("trace", F.col("x").alias("at"), "y")
     return rounded(long_traces.interpolated(every.filter("event_type = 'view'"), knots, "x", "at", "y", ["trace"]).select("step", "value_at"))
 
@@ -46,7 +50,7 @@ def knot_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT step, round(least(x - bx, ax - x), 6) AS gap FROM b JOIN a USING (step)""")
 def knot_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours from each view to the nearest purchase of anyone."""
-    every = traces(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), "event_type"), "step")
+    every = _typed(spark, sf_dir)
     places = every.filter("event_type = 'purchase'").select(F.col("x").alias("at"))
     return rounded(long_traces.gaps(every.filter("event_type = 'view'"), places, "x", "at").select("step", "gap"))
 

@@ -123,3 +123,11 @@ def test_null_samples_and_repeated_places(spark):
     assert got == pytest.approx({(0.0, 1.0): 1.0, (0.0, 3.0): 1.0, (1.0, 5.0): 1.25, (2.0, 1.5): 1.5, (3.0, 4.0): 4.0})
     empty = rows.filter(F.lit(False))
     assert long_traces.rubber_band(empty, "trace").count() == 0 and long_traces.maxima(long_traces.placed(empty, "trace"), "trace").count() == 0
+
+
+def test_no_window_of_a_long_trace_runs_up_to_its_end(spark):
+    """Spark works such a window out anew for every row, which costs the square of a slice."""
+    p = spark.createDataFrame([(1.0,), (2.0,)], "x double")
+    plans = [long_traces.gaps(p, p.withColumnRenamed("x", "at"), "x", "at"), long_traces.interpolated(p, p.selectExpr("x AS at", "x AS v"), "x", "at", "v")]
+    for df in plans:
+        assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
