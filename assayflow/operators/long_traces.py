@@ -6,6 +6,8 @@ the trace. Per-trace windows then run over slices alone: a few rows for some tho
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -137,14 +139,30 @@ def gaps(points: DataFrame, places: DataFrame, at: str, place: str, by: list[str
     return found.withColumn(name, F.least(x - F.col("before_x"), F.col("after_x") - x)).drop("before_x", "after_x")
 
 
+def _corners(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of points (by x, each its own) that may be corners of the lower hull.
+
+    What lies on or above the line between its neighbours is none; passes go on while they take off a tenth.
+    """
+    at = np.arange(len(x))
+    while len(at) > 2:
+        u, v = x[at], y[at]
+        stays = np.r_[True, ~((u[1:-1] - u[:-2]) * (v[2:] - v[:-2]) <= (v[1:-1] - v[:-2]) * (u[2:] - u[:-2])), True]
+        at, before = at[stays], len(at)
+        if 10 * (before - len(at)) < before:
+            break
+    return at
+
+
 def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
     """The lower hull of points by x; of equal x the lowest."""
-    x, y = pdf["__x"].to_numpy(), pdf["__y"].to_numpy()
-    order = np.lexsort((y, x))
+    order = np.lexsort((pdf["__y"].to_numpy(), pdf["__x"].to_numpy()))
+    x = pdf["__x"].to_numpy()[order]
+    order = order[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+    order = order[_corners(pdf["__x"].to_numpy()[order], pdf["__y"].to_numpy()[order])]
+    x, y = pdf["__x"].to_numpy()[order].tolist(), pdf["__y"].to_numpy()[order].tolist()
     kept: list[int] = []
-    for i in order:
-        if kept and x[kept[-1]] == x[i]:
-            continue
+    for i in range(len(x)):
         while len(kept) > 1:
             a, b = kept[-2], kept[-1]
             if (x[b] - x[a]) * (y[i] - y[a]) <= (y[b] - y[a]) * (x[i] - x[a]):
@@ -152,7 +170,7 @@ def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
             else:
                 break
         kept.append(i)
-    return pdf.iloc[kept]
+    return pdf.iloc[order[kept]]
 
 
 def lower_hull(df: DataFrame, key: str, x: str = "x", y: str = "y", together: int = 16) -> DataFrame:
@@ -193,8 +211,14 @@ def rubber_band(df: DataFrame, key: str, x: str = "x", y: str = "y", ties: list[
     run, rise = F.col(f"__b.{x}") - F.col(f"__a.{x}"), F.col(f"__b.{y}") - F.col(f"__a.{y}")
     off = F.abs((F.col(y) - F.col(f"__a.{y}")) * run - (F.col(x) - F.col(f"__a.{x}")) * rise)
     span = F.max(F.abs(F.col(y))) * F.max(F.abs(run))
-    flat = rows.join(ends, key).groupBy(key).agg((F.max(off) <= 1e-12 * span).alias("__flat"))
+    # a row for each trace, written: joins on it needn't deal out all samples by trace
+    flat = materialize(rows.join(ends, key).groupBy(key).agg((F.max(off) <= 1e-12 * span).alias("__flat")), "flat")
     some = rows.join(flat, key)
-    band = interpolated(some.filter(~F.col("__flat")).drop("__flat"), hull.select(key, F.col(x).alias("__hx"), F.col(y).alias("__hy")), x, "__hx", "__hy", [key], "baseline").withColumn("method", F.lit("rubberband"))
-    least = running_minimum(some.filter("__flat").drop("__flat"), key, x, y, ties or [y], "baseline").withColumn("method", F.lit("running minimum"))
-    return band.unionByName(least).withColumn("corrected", F.col(y) - F.col("baseline"))
+    parts = []
+    if flat.filter(~F.col("__flat")).count() or flat.isEmpty():
+        knots = hull.select(key, F.col(x).alias("__hx"), F.col(y).alias("__hy"))
+        parts.append(interpolated(some.filter(~F.col("__flat")).drop("__flat"), knots, x, "__hx", "__hy", [key], "baseline").withColumn("method", F.lit("rubberband")))
+    if flat.filter("__flat").count():
+        parts.append(running_minimum(some.filter("__flat").drop("__flat"), key, x, y, ties or [y], "baseline").withColumn("method", F.lit("running minimum")))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.withColumn("corrected", F.col(y) - F.col("baseline"))

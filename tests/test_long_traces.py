@@ -1,6 +1,7 @@
 """Peaks, knots and hulls over slices against loops over whole traces."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,25 @@ def test_no_window_of_a_long_trace_runs_up_to_its_end(spark):
     plans = [long_traces.gaps(p, p.withColumnRenamed("x", "at"), "x", "at"), long_traces.interpolated(p, p.selectExpr("x AS at", "x AS v"), "x", "at", "v")]
     for df in plans:
         assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+
+
+def plain_hull(x, y):
+    kept = []
+    for u, v in sorted(zip(x, y)):
+        if kept and kept[-1][0] == u:
+            continue
+        while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (v - kept[-2][1]) <= (kept[-1][1] - kept[-2][1]) * (u - kept[-2][0]):
+            kept.pop()
+        kept.append((u, v))
+    return kept
+
+
+def test_hull_of_a_slice_equals_a_loop_and_few_points_are_looked_at_one_by_one():
+    rng = np.random.default_rng(8)
+    t = np.arange(500.0)
+    shapes = [(t, rng.normal(size=500)), (t, (t - 250) ** 2), (t, -((t - 250) ** 2)), (rng.integers(0, 40, 500).astype(float), rng.integers(0, 9, 500).astype(float)), (t, np.abs(t - 99)), (t[:1], t[:1]), (t[:0], t[:0])]
+    for x, y in shapes:
+        deal = rng.permutation(len(x))
+        got = long_traces._hull(pd.DataFrame({"__x": x[deal], "__y": y[deal]}))
+        assert list(zip(got["__x"], got["__y"])) == plain_hull(x, y)
+    assert len(long_traces._corners(np.arange(1e5), rng.normal(size=100000))) < 5000
